@@ -57,3 +57,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def broadcast_value(spark: SparkSession, value):
     """A Spark broadcast of a value whose size the caller has bounded."""
     return spark.sparkContext.broadcast(value)
+
+
+def chunks(texts: list, most: int = 2_000_000):
+    """(start, stop) of runs of texts of at most ``most`` characters in all, or of one longer text."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size > most and k > start:
+            yield start, k
+            start, size = k, len(text or "")
+    if start < len(texts):
+        yield start, len(texts)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, materialize, words_of
+from tmspark.llm.common import broadcast_value, chunks, materialize, words_of
 
 HITS = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,stop:int>>"
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -124,7 +124,9 @@ def hit_column(text: Column, benchmark: DataFrame, n: int = 10, item_col: str =
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(hits_in(texts.tolist(), shared.value), columns=["n_words", "n_hit", "items", "spans"])
+            texts = texts.tolist()
+            rows = [row for a, b in chunks(texts) for row in hits_in(texts[a:b], shared.value)]
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
 
     return F.pandas_udf(scan, HITS)(text)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tmspark.llm import chat, common, decontaminate, packing, sharding, token_counts
+from tmspark.llm import ann, chat, common, decontaminate, langid, lm_scoring, packing, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), common.fold_of("doc_id", 4, 2)
+    model = langid.train(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.language_column(F.col("text"), model, spark).alias("_l"))
+    return found.select("doc_id", "held_out", "_l.*")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+def op4_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arrivals (by a hash of the id), a compaction after each, then every row as the last version holds it."""
     docs, folder = table(spark, sf_dir, "documents"), common.scratch_dir(spark)
@@ -37,6 +48,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), common.fold_of("doc_id", 4, 2)
+    model = quality.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score_column(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -65,12 +83,20 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(source.unionByName(more)))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), common.fold_of("doc_id", 5, 1))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_hash_prefix_forest": op4_hash_prefix_forest,
     "op5_sharding": op5_sharding,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL = {
