@@ -30,14 +30,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet to the shared folder and read again: lineage ends there, executors may go."""
+def materialize(df: DataFrame, bag: list[str] | None = None) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read again: lineage ends there, executors may go.
+
+    ``bag`` collects the folders, for ``discard`` when nothing reads them any more."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
+    if bag is not None:
+        bag.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, bag: list[str]) -> None:
+    """Deletes the folders of the bag."""
+    for path in bag:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    bag.clear()
+
+
 def fold_of(id_col: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text leaves ``fold`` modulo ``folds``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import chunks, materialize, mix64, words_of
+from tmspark.llm.common import chunks, discard, materialize, mix64, words_of
 
 BINS = 64
 #: Tokens that a set offers for deeper choices: those of the lowest hashes, so many on average (times 1 / threshold).
@@ -119,7 +119,7 @@ def _children(threshold: float, branch: float):
     return F.pandas_udf(make, "array<long>")
 
 
-def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket_rows: int, depth: int, branch: float) -> DataFrame:
+def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket_rows: int, depth: int, branch: float, bag: list[str]) -> DataFrame:
     """(key, node, members) of the buckets of 2 sets or more that aren't split further.
 
     A bucket whose largest child would hold half of it or more is one of near copies; no split parts those, so it is
@@ -128,17 +128,17 @@ def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket
     leaves = None
     for level in range(depth + 1):
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        rows = materialize(rows.join(sizes, "key"))
+        rows = materialize(rows.join(sizes, "key"), bag)
         done = rows if level == depth else rows.where(F.col("members") <= bucket_rows)
         leaves = done if leaves is None else leaves.unionByName(done)
         large = rows.where(F.col("members") > bucket_rows)
         if level == depth or not large.limit(1).count():
             return leaves
-        own = large.select("node").distinct().join(shingles, "node")
+        own = shingles.join(large.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
         child = large.join(own, "node").select(
             "node", "key", "members", F.explode(_children(threshold, branch)("key", "size", "shingles")).alias("child")
         )
-        child = materialize(child.distinct())
+        child = materialize(child.distinct(), bag)
         kept = child.groupBy("key", "members", "child").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
             F.max(F.col("n") / F.col("members")).alias("share")
         ).where("share >= 0.5").select("key")
@@ -293,12 +293,12 @@ def _verify(threshold: float):
     return verify
 
 
-def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def components(edges: DataFrame, bag: list[str]) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (node, toward): root is the smallest node reachable.
 
     Alternates two steps until no edge changes: each node's larger neighbours are tied to its smallest neighbour, then
     its smaller ones are. Each step is a grouping and a join, so no neighbourhood is gathered in one place."""
-    now = materialize(edges.where("node <> toward").select(F.greatest("node", "toward").alias("u"), F.least("node", "toward").alias("v")).distinct())
+    now = materialize(edges.where("node <> toward").select(F.greatest("node", "toward").alias("u"), F.least("node", "toward").alias("v")).distinct(), bag)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -306,7 +306,7 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), bag)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if mark == before:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -324,16 +324,18 @@ def join(
     their words; those without a word (null, empty) are in no class but their own and have no links. Repeated rows are
     copies of each other. Rows with a null id take part; a class of such rows alone has a null class_id. An empty table
     gives an empty one; other columns aren't read."""
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), set_column(F.col(text_col), n, threshold, runs).alias("_s")).select("_id", "_s.*"))
+    bag: list[str] = []
+    rows = materialize(docs.select(F.col(id_col).alias("_id"), set_column(F.col(text_col), n, threshold, runs).alias("_s")).select("_id", "_s.*"), bag)
+    ids = materialize(rows.select("_id", "node"))
     nodes = materialize(
         rows.where("node is not null").groupBy("node").agg(
             F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least"), F.first("size").alias("size"),
             F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
-        )
+        ),
+        bag,
     )
-    # One stored set of each node: that of the smallest id, and of any of its rows if that id repeats.
-    stored = rows.where("node is not null").select("node", "_id", "size", "shingles")
-    leaves = leaf_buckets(nodes, stored.select("node", "size", "shingles").dropDuplicates(["node"]), threshold, bucket_rows, depth, branch)
+    stored = rows.where("node is not null").select("node", "size", "shingles")
+    leaves = leaf_buckets(nodes, stored.select("node", "size", "shingles"), threshold, bucket_rows, depth, branch, bag)
     own = leaves.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     about = nodes.select("node", "copies", "size", "sketch").join(own, "node")
     blocks = F.when(F.col("members") > bucket_rows, F.ceil(F.col("members") / bucket_rows)).otherwise(0).cast("long")
@@ -343,22 +345,24 @@ def join(
         .repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
         .mapInPandas(_scan(threshold), "key long, pair long, block long, blocks long, members long, node long")
     )
-    needed = materialize(scanned)
+    needed = materialize(scanned, bag)
     sets = stored.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
     verified = materialize(
         needed.join(about, "node").join(sets, "node")
         .repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-        .mapInPandas(_verify(threshold), "node long, links long, toward long")
+        .mapInPandas(_verify(threshold), "node long, links long, toward long"),
+        bag,
     )
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    root = components(verified.select("node", "toward"))
+    root = components(verified.select("node", "toward"), bag)
     known = nodes.select("node", "copies", "least").join(links, "node", "left").join(root, "node", "left")
     known = materialize(known.withColumn("root", F.coalesce("root", "node")))
+    discard(docs.sparkSession, bag)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
     result = known.join(classes, "root").select(
         "node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    return rows.select("_id", "node").join(result, "node", "left").select(
+    return ids.join(result, "node", "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
