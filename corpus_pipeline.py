@@ -24,12 +24,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word similarities of 0.8 or more connect, the one of the smallest id; one row of it."""
-    found = jaccard_join.join(docs, n=5, threshold=0.8)
-    gone = found.where("doc_id is not null and class_id <> doc_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null").join(found.where("doc_id is null and class_id is null").limit(1).select(F.lit(1).alias("_1")), how="left_semi")
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(nameless.select(docs.columns))
+    """Of documents that five-word similarities of 0.8 or more connect, the one of the smallest id; one row of it.
+
+    A row without an id takes part under a number made of its text, above all ids."""
+    high = 1 << 62
+    number = F.coalesce("doc_id", F.lit(high) + F.pmod(F.xxhash64("text"), F.lit(high)))
+    numbered = docs.withColumn("_number", number)
+    found = jaccard_join.join(numbered.select("_number", "text"), n=5, threshold=0.8, id_col="_number")
+    gone = found.where("class_id <> _number").select("_number").distinct()
+    return numbered.join(gone, "_number", "left_anti").dropDuplicates(["_number"]).select(docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tmspark.llm.common import broadcast_value, chunks, materialize, words_of
 
 HITS = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,stop:int>>"
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -202,7 +203,7 @@ def find_contamination(
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between them."""
-    words = list(_WORD.finditer(text))
+    words = list(_WORD.finditer(text.translate(_LOWER)))
     for start, stop in reversed(spans):
         text = text[: words[start].start()] + text[words[stop - 1].end() :]
     return text

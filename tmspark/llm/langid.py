@@ -4,8 +4,9 @@ Text is reduced to lower-case letters with single spaces between words. N-gram c
 job over a sample of labelled rows, bounded by ``train_docs_per_lang`` (all rows where there are fewer). From them the
 driver makes one table an order: sorted 64-bit hashes of the n-grams that any language has, and for each a row of log
 probabilities, one a language; likewise the back-off weights of contexts. A text's score in a language is the
-cross-entropy a character; the lowest wins. It is rejected if it lies further above that language's usual
-cross-entropy, measured on rows kept out of the counts, than ``reject_sigmas`` deviations for a text of its length.
+cross-entropy a character; the lowest wins. Rows kept out of the counts calibrate rejection: a text is rejected if its
+cross-entropy lies above its language's usual one by more than three quarters of the way to that of foreign texts, and
+by more than ``reject_sigmas`` deviations of texts of its length. So a text that mixes known languages is accepted.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class KneserNey:
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: np.ndarray
-    usual: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    usual: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """A row for each character after the leading spaces, a column for each language."""
@@ -233,20 +234,23 @@ def train(
             known = batch[batch["lang"].isin(shared.value.languages)]
             found = zip(known["lang"], known["text"], shared.value.entropies(known["text"].tolist()), strict=True)
             yield pd.DataFrame(
-                [(lang, float(h[shared.value.languages.index(lang)]), len(t)) for lang, t, h in found if h is not None],
-                columns=["lang", "h", "n"],
+                [(lang, of, float(x), len(t)) for lang, t, h in found if h is not None for of, x in zip(shared.value.languages, h, strict=True)],
+                columns=["lang", "model", "h", "n"],
             )
 
-    own = sample.where(kept_out).select("lang", "text").mapInPandas(measure, "lang string, h double, n long").toPandas()
+    all_ = sample.where(kept_out).select("lang", "text").mapInPandas(measure, "lang string, model string, h double, n long").toPandas()
     for lang in model.languages:
-        h, n = own.loc[own["lang"] == lang, "h"].to_numpy(), own.loc[own["lang"] == lang, "n"].to_numpy()
+        own = all_[(all_["model"] == lang) & (all_["lang"] == lang)]
+        foreign = all_.loc[(all_["model"] == lang) & (all_["lang"] != lang), "h"]
+        h, n = own["h"].to_numpy(), own["n"].to_numpy()
         if len(h) < 5:
-            model.usual[lang] = (2.5, 0.5, 3.0)
+            model.usual[lang] = (2.5, 0.5, 3.0, 0.0)
             continue
         middle = float(np.median(h))
         spread = float(np.median(np.abs(h - middle)) * 1.4826)
         noise = float(np.sqrt(np.median((h - middle) ** 2 * n)) * 1.4826)
-        model.usual[lang] = (middle, max(spread, 0.02), max(noise, 1.5))
+        apart = 0.75 * max(float(np.median(foreign)) - middle, 0.0) if len(foreign) else 0.0
+        model.usual[lang] = (middle, max(spread, 0.02), max(noise, 1.5), apart)
     return model
 
 
@@ -266,8 +270,8 @@ def language_column(text: Column, model: KneserNey | None, spark, reject_sigmas:
                 best = int(np.argmin(h))
                 n = len(text)
                 weight = np.exp(-(h - h[best]) * min(n, 50))
-                middle, spread, noise = model.usual[model.languages[best]]
-                limit = middle + reject_sigmas * np.sqrt(spread**2 + noise**2 / n)
+                middle, spread, noise, apart = model.usual[model.languages[best]]
+                limit = middle + max(apart, reject_sigmas * np.sqrt(spread**2 + noise**2 / n))
                 rows.append((model.languages[best], float(1 / weight.sum()), float(h[best]), bool(h[best] <= limit)))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "entropy", "accepted"])
 
