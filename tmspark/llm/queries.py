@@ -36,7 +36,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), common.scratch_dir(spark)
     late = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 3, F.lit(False))
     for arrival in (docs.where(~late), docs.where(late)):
-        sharding.append(arrival, folder, max_records=4_000)
+        sharding.append(arrival, folder, max_records=1_000)
         sharding.compact_all(spark, folder, docs.schema, target_bytes=16 << 20, fan_in=4)
         sharding.expire(spark, folder)
     rows = sharding.read(spark, folder, docs.schema)

@@ -2,8 +2,9 @@
 
 A table is a folder: ``data/`` holds immutable shards, ``manifests/v<number>`` lists the shards of one version. An
 append writes its rows as small shards and commits a version that lists them too. A compaction takes the tiers (shards
-of similar size, by powers of ``fan_in``) that hold at least ``fan_in`` shards below the target, merges them into
-files of about the target size, and commits a version with the merged files in place of the small ones. A version is
+of similar size, by powers of ``fan_in``) that hold at least ``fan_in`` shards below half the target, merges them into
+files of about the target size, and commits a version with the merged files in place of the small ones. So a row is
+rewritten at most once a tier between its arrival's size and the target, however large the table grows. A version is
 written aside and then renamed: readers see all of it or none, and of two writers of one version only one succeeds.
 """
 
@@ -75,12 +76,12 @@ def append(rows: DataFrame, table: str, max_records: int = 100_000) -> int:
 
 
 def merge_plan(shards: DataFrame, target_bytes: int, fan_in: int) -> DataFrame:
-    """The shards to merge, each with the name of the run (``_run``) that takes it.
+    """The shards to merge, each with the name of the run (``_compaction_run``) that takes it.
 
-    Shards below the target are tiered by size; tiers of at least ``fan_in`` shards are merged. Within a tier shards
+    Shards of half the target or more are done. The others are tiered by size; tiers of at least ``fan_in`` shards are merged. Within a tier shards
     are cut, in order of path, where the running size passes multiples of the target; a merged file so holds at most
     the target and one shard more."""
-    small = shards.where(F.col("bytes") < target_bytes)
+    small = shards.where(2 * F.col("bytes") < target_bytes)
     tier = F.floor(F.log(F.greatest("bytes", F.lit(1)).cast("double")) / math.log(fan_in)).cast("int")
     tiered = small.withColumn("tier", tier)
     full = tiered.groupBy("tier").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= fan_in)
@@ -89,10 +90,10 @@ def merge_plan(shards: DataFrame, target_bytes: int, fan_in: int) -> DataFrame:
     return (
         tiered.join(F.broadcast(full), "tier")
         .withColumn("_part", F.floor(running / target_bytes))
-        .withColumn("_run", F.concat_ws("-", F.col("tier"), F.col("_part")))
-        .withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("_run")))
+        .withColumn("_compaction_run", F.concat_ws("-", F.col("tier"), F.col("_part")))
+        .withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("_compaction_run")))
         .where(F.col("_of") > 1)
-        .select("path", "_run", "bytes")
+        .select("path", "_compaction_run", "bytes")
     )
 
 
@@ -105,9 +106,9 @@ def compact(spark: SparkSession, table: str, schema, target_bytes: int = 256 <<
     if not paths:
         return version
     folder = f"{table}/data/c{version + 1}-{uuid.uuid4().hex}"
-    source = spark.read.schema(schema).parquet(*paths).withColumn("_path", F.col("_metadata.file_path"))
-    merged = source.join(F.broadcast(plan.select(F.col("path").alias("_path"), "_run")), "_path").drop("_path")
-    merged.repartition("_run").write.option("compression", "zstd").partitionBy("_run").parquet(folder)
+    source = spark.read.schema(schema).parquet(*paths).withColumn("_compaction_path", F.col("_metadata.file_path"))
+    merged = source.join(F.broadcast(plan.select(F.col("path").alias("_compaction_path"), "_compaction_run")), "_compaction_path").drop("_compaction_path")
+    merged.repartition("_compaction_run").write.option("compression", "zstd").partitionBy("_compaction_run").parquet(folder)
     new = _shards(spark, folder, schema, version + 1)
     kept = shards.join(plan.select("path"), "path", "left_anti")
     commit(spark, table, kept.unionByName(new), version + 1)
