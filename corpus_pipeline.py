@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tmspark.cluster import ship
 from tmspark.llm import decontaminate, jaccard_join, langid, packing, quality
 from tmspark.llm.common import fold_of, materialize
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives 0.7 or more; it learns from the labelled ones outside the held-out fold."""
+    ship(spark)
     held_out = fold_of("doc_id", 4, 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     model = quality.train(docs.where(~held_out), labels)
@@ -19,6 +21,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; they learn from those with a language outside the held-out fold."""
+    ship(spark)
     model = langid.train(docs.where(~fold_of("doc_id", 4, 2)))
     return docs.where(langid.language_column(F.col("text"), model, spark)["accepted"])
 
@@ -27,6 +30,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of documents that five-word similarities of 0.8 or more connect, the one of the smallest id; one row of it.
 
     A row without an id takes part under a number made of its text, above all ids."""
+    ship(spark)
     high = 1 << 62
     number = F.coalesce("doc_id", F.lit(high) + F.pmod(F.xxhash64("text"), F.lit(high)))
     numbered = docs.withColumn("_number", number)
@@ -37,11 +41,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
+    ship(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, remove="documents")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of 1024 tokens."""
+    ship(spark)
     return packing.pack(docs, capacity=1024, end_id=2)
 
 

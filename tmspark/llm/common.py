@@ -55,6 +55,13 @@ def fold_of(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
+def small_batches(spark: SparkSession, rows: int = 2_500) -> None:
+    """Lowers Spark's limit of rows an Arrow batch, for tasks that hold a batch of whole texts several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

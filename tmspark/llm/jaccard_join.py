@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import chunks, discard, materialize, mix64, words_of
+from tmspark.llm.common import chunks, discard, materialize, mix64, small_batches, words_of
 
 BINS = 64
 #: Tokens that a set offers for deeper choices: those of the lowest hashes, so many on average (times 1 / threshold).
@@ -83,7 +83,7 @@ def set_column(text, n: int, threshold: float, runs: int):
         memo: dict[bytes, int] = {}
         for texts in batches:
             texts, rows = texts.tolist(), []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 500_000):
                 sets = []
                 for text in texts[a:b]:
                     words = words_of(text)
@@ -91,7 +91,7 @@ def set_column(text, n: int, threshold: float, runs: int):
                         if w not in memo:
                             memo[w] = xxhash.xxh64_intdigest(w)
                     sets.append(shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), n))
-                    if len(memo) > 500_000:
+                    if len(memo) > 150_000:
                         memo.clear()
                 rows += [r or (None, 0, None, [], None) for r in describe(sets, threshold, runs)]
             out = pd.DataFrame(rows, columns=["node", "size", "sketch", "keys", "shingles"])
@@ -119,6 +119,18 @@ def _children(threshold: float, branch: float):
     return F.pandas_udf(make, "array<long>")
 
 
+def sets_of(stored: DataFrame, nodes: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """The stored row of each of the given nodes.
+
+    Rows are first held against the nodes' residues, a table that is broadcast and has at most ``slots`` rows, so that
+    few but the wanted shingles are shuffled; where most residues occur this filters little and changes nothing."""
+    wanted = nodes.select("node").distinct()
+    residue = F.pmod("node", F.lit(slots))
+    some = F.broadcast(wanted.select(residue.alias("_slot")).distinct())
+    near = stored.withColumn("_slot", residue).join(some, "_slot", "left_semi").drop("_slot")
+    return near.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
 def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket_rows: int, depth: int, branch: float, bag: list[str]) -> DataFrame:
     """(key, node, members) of the buckets of 2 sets or more that aren't split further.
 
@@ -134,7 +146,7 @@ def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket
         large = rows.where(F.col("members") > bucket_rows)
         if level == depth or not large.limit(1).count():
             return leaves
-        own = shingles.join(large.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        own = sets_of(shingles, large)
         child = large.join(own, "node").select(
             "node", "key", "members", F.explode(_children(threshold, branch)("key", "size", "shingles")).alias("child")
         )
@@ -314,8 +326,8 @@ def components(edges: DataFrame, bag: list[str]) -> DataFrame:
 
 
 def join(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", runs: int = 12,
-    bucket_rows: int = 256, depth: int = 2, branch: float = 2.0,
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", runs: int = 14,
+    bucket_rows: int = 256, depth: int = 2, branch: float = 1.5,
 ) -> DataFrame:
     """One row per row of ``docs``: id, class_id, n_links.
 
@@ -325,6 +337,7 @@ def join(
     copies of each other. Rows with a null id take part; a class of such rows alone has a null class_id. An empty table
     gives an empty one; other columns aren't read."""
     bag: list[str] = []
+    small_batches(docs.sparkSession)
     rows = materialize(docs.select(F.col(id_col).alias("_id"), set_column(F.col(text_col), n, threshold, runs).alias("_s")).select("_id", "_s.*"), bag)
     ids = materialize(rows.select("_id", "node"))
     nodes = materialize(
@@ -346,7 +359,7 @@ def join(
         .mapInPandas(_scan(threshold), "key long, pair long, block long, blocks long, members long, node long")
     )
     needed = materialize(scanned, bag)
-    sets = stored.join(needed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles")
+    sets = sets_of(stored, needed).select("node", "shingles")
     verified = materialize(
         needed.join(about, "node").join(sets, "node")
         .repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
