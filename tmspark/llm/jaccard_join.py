@@ -14,7 +14,6 @@ row a set: the number of its links, and one link toward the set that stands for
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,8 @@ BINS = 64
 #: Tokens that a set offers for deeper choices: those of the lowest hashes, so many on average (times 1 / threshold).
 OFFERED = 64
 _FULL = float(2**64)
+#: Shingles are told apart by 48 bits.
+_KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 _COMBINE = np.uint64(0x9E3779B97F4A7C15)
 SETS = "node long, size int, sketch binary, keys array<long>, shingles binary"
 
@@ -41,7 +42,18 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for k in range(n):
         total = total * _COMBINE + words[k : k + len(total)]
-    return np.unique(mix64(total + np.uint64(n)))
+    return np.unique(mix64(total + np.uint64(n)) & _KEPT)
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """Six bytes a hash, as the two lowest are zero."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    whole = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    whole[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return whole.reshape(-1).view(np.uint64)
 
 
 def _limit(share: np.ndarray) -> np.ndarray:
@@ -58,7 +70,7 @@ def describe(sets: list[np.ndarray], threshold: float, runs: int) -> list[tuple]
     if len(flat):
         bins = (flat >> np.uint64(58)).astype(np.int64)
         first = np.concatenate(([True], (bins[1:] != bins[:-1]) | (doc[1:] != doc[:-1])))
-        sketch[doc[first], bins[first]] = np.maximum(flat[first] & np.uint64(255), np.uint64(1))
+        sketch[doc[first], bins[first]] = np.maximum((flat[first] >> np.uint64(16)) & np.uint64(255), np.uint64(1))
     limit = _limit(1 / (threshold * np.maximum(sizes, 1)))[doc]
     keys: list[list[int]] = [[] for _ in sets]
     for run in range(runs):
@@ -67,7 +79,7 @@ def describe(sets: list[np.ndarray], threshold: float, runs: int) -> list[tuple]
         for d, key in zip(doc[chosen].tolist(), mix64(flat[chosen] * _COMBINE + seed).view(np.int64).tolist(), strict=True):
             keys[d].append(key)
     return [
-        (_signed(xxhash.xxh64_intdigest(s.tobytes())), len(s), k.tobytes(), sorted(set(own)), s.tobytes()) if len(s) else None
+        (_signed(xxhash.xxh64_intdigest(s.tobytes())), len(s), k.tobytes(), sorted(set(own)), pack(s)) if len(s) else None
         for s, k, own in zip(sets, sketch, keys, strict=True)
     ]
 
@@ -107,7 +119,7 @@ def _children(threshold: float, branch: float):
     def make(keys: pd.Series, sizes: pd.Series, shingles: pd.Series) -> pd.Series:
         out = []
         for key, size, data in zip(keys, sizes, shingles, strict=True):
-            tokens = np.frombuffer(data, dtype=np.uint64)
+            tokens = unpack(data)
             offer = min(1.0, OFFERED / (threshold * size))
             tokens = tokens[tokens <= _limit(np.array([offer]))[0]]
             share = min(1.0, branch / (threshold * size) / offer)
@@ -146,7 +158,9 @@ def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket
         large = rows.where(F.col("members") > bucket_rows)
         if level == depth or not large.limit(1).count():
             return leaves
-        own = sets_of(shingles, large)
+        # A set offers its lowest tokens only, and never near as many as twice the mean.
+        offered = shingles.withColumn("shingles", F.substring("shingles", 1, 12 * round(OFFERED / threshold)))
+        own = sets_of(offered, large)
         child = large.join(own, "node").select(
             "node", "key", "members", F.explode(_children(threshold, branch)("key", "size", "shingles")).alias("child")
         )
@@ -190,7 +204,7 @@ def possible_pairs(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np
     """Places (left, right) of the pairs of one bucket that are to be compared in it.
 
     Left out: pairs in another smaller bucket, pairs of one block in another pair of blocks, and pairs that sizes or
-    (where at least 40 ranges are filled) sketches rule out, these with five deviations to spare."""
+    (where at least 40 ranges are filled) sketches rule out, these with four deviations to spare."""
     key, pair, block = (rows[c].to_numpy() for c in ("key", "pair", "block"))
     size, blocks = rows["size"].to_numpy(), np.maximum(rows["blocks"].to_numpy(), 1)
     sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, BINS)
@@ -217,7 +231,7 @@ def possible_pairs(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np
             filled = ((x > 0) | (y > 0)).sum(axis=1)
             alike = ((x == y) & (x > 0)).sum(axis=1)
             share = alike / np.maximum(filled, 1)
-            ok = (filled < 40) | (share >= threshold - 5 * math.sqrt(threshold * (1 - threshold) / 40))
+            ok = (filled < 40) | (share >= threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1)))
             a, b = a[ok], b[ok]
             for first in range(0, len(a), 20_000):
                 p, q = a[first : first + 20_000], b[first : first + 20_000]
@@ -275,7 +289,7 @@ def _verify(threshold: float):
         for rows in _groups(batches):
             left, right = possible_pairs(rows, threshold)
             node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-            data = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
+            data = [unpack(s) for s in rows["shingles"]]
             size = rows["size"].to_numpy()
             links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
             key, pair = rows["key"].to_numpy(), rows["pair"].to_numpy()
