@@ -220,3 +220,26 @@ def test_resumable_append(spark, tmp_path):
     done = io.read_replay(spark, f"{tmp_path}/r")
     io.append_replay(spark.createDataFrame([row(1, True), row(2, True)], schema), done, f"{tmp_path}/r")
     assert sorted(r.page_id for r in io.read_replay(spark, f"{tmp_path}/r").collect()) == [1, 2]
+
+
+def letters(texts):
+    return [[t.count("a"), t.count("b")] for t in texts]
+
+
+def test_embedding_hook(spark):
+    import struct
+
+    rows = spark.createDataFrame([(1, "aab b", None, True), (2, None, [1.0, 0.0], True), (3, "b", [1.0, 0.0], False), (4, "", None, False)], "id int, source_text string, embedding array<float>, re_embed boolean")
+    got = {r.id: r.embedding for r in memory.reembed(rows, letters).collect()}
+    assert got[1] == pytest.approx([0.5**0.5] * 2) and got[2] == [1.0, 0.0] and got[3] == [1.0, 0.0] and got[4] == [0.0, 0.0]
+    blobs = spark.createDataFrame([(bytearray(struct.pack("<2f", 1.5, -2.0)),), (None,)], "embedding binary")
+    assert [r.embedding for r in memory.decode_vectors(blobs).collect()] == [[1.5, -2.0], None]
+
+
+def test_origins_and_filters(spark):
+    terms = spark.createDataFrame([("ai", True, "x", "y"), (None, True, None, "y"), (None, False, "y", "y")], "origin string, auto_detected boolean, proposed_term string, target_term string")
+    assert [(r.shown_origin, r.changed_proposal) for r in glossary.origin_of(terms).collect()] == [("ai", True), ("scan", False), ("manual", False)]
+    pages = spark.createDataFrame([("ocr", "A1.png"), ("checked", "a2.png"), ("checked", "b.png")], "stage string, file_name string")
+    assert [r.file_name for r in catalog.page_filter(pages, ["ocr"], "A").collect()] == ["a2.png"]
+    readings = spark.createDataFrame([("one two", "one two three"), ("one two", "xx yy zz"), ("one two", "one")], "old_text string, new_text string")
+    assert [r.c for r in readings.select(ocr.more_complete().alias("c")).collect()] == [True, False, False]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -250,3 +252,38 @@ def fold_corrections(saves: DataFrame, **settings) -> DataFrame:
         return pd.DataFrame(fold_phrase(ordered, [], **settings), columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
 
     return keyed.groupBy("project_id", "phrase_key").applyInPandas(fold, FOLD_SCHEMA)
+
+
+def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], text_col: str = "source_text", out_col: str = "embedding") -> DataFrame:
+    """Adds unit vectors of a text column by a model of the user's: ``encode`` takes a list of texts and is called once a
+    batch in the tasks; it should load its model on first use. Null texts have null vectors."""
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            known = texts.dropna()
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            if len(known):
+                found = np.asarray(encode([" ".join(t.split()) for t in known]), dtype=np.float64)
+                norms = np.linalg.norm(found, axis=1, keepdims=True)
+                found = (found / np.where(norms > 0, norms, 1)).astype(np.float32)
+                out[known.index] = pd.Series(list(found), index=known.index)
+            yield out
+
+    return rows.withColumn(out_col, F.pandas_udf(vectors, "array<float>")(F.col(text_col)))
+
+
+def reembed(corrections: DataFrame, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """Entries with new vectors where ``re_embed`` asks for one or none is there; the others are left as they are."""
+    wanted = F.coalesce("re_embed", F.lit(False)) | F.col("embedding").isNull()
+    done = embed(corrections.withColumn("_t", F.when(wanted, F.col("source_text"))), encode, "_t", "_e")
+    return done.withColumn("embedding", F.coalesce("_e", "embedding")).drop("_t", "_e", "re_embed")
+
+
+def decode_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """Vectors stored as little-endian float32 bytes, as arrays."""
+
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for blobs in batches:
+            yield pd.Series([None if b is None else np.frombuffer(b, dtype="<f4") for b in blobs], dtype=object)
+
+    return rows.withColumn(column, F.pandas_udf(decode, "array<float>")(F.col(column)))

@@ -591,7 +591,7 @@ def chapter_fingerprint(spark, d):
 
 
 @query(
-    "SELECT doc_id, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS position, sum(CAST(n <> t AS INT)) OVER (PARTITION BY folder) AS differs FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS n, row_number() OVER (PARTITION BY folder ORDER BY mtime, doc_id) AS t FROM files)",
+    "SELECT doc_id, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS position, CAST(sum(CAST(n <> t AS INT)) OVER (PARTITION BY folder) AS BIGINT) AS differs FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS n, row_number() OVER (PARTITION BY folder ORDER BY mtime, doc_id) AS t FROM files)",
     "files",
 )
 def page_order(spark, d):
