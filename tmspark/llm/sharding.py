@@ -107,7 +107,9 @@ def compact(spark: SparkSession, table: str, schema, target_bytes: int = 256 <<
         return version
     folder = f"{table}/data/c{version + 1}-{uuid.uuid4().hex}"
     source = spark.read.schema(schema).parquet(*paths).withColumn("_compaction_path", F.col("_metadata.file_path"))
-    merged = source.join(F.broadcast(plan.select(F.col("path").alias("_compaction_path"), "_compaction_run")), "_compaction_path").drop("_compaction_path")
+    runs = plan.select(F.col("path").alias("_compaction_path"), "_compaction_run")
+    runs = F.broadcast(runs) if len(paths) <= 200_000 else runs  # beyond that many names, an ordinary join
+    merged = source.join(runs, "_compaction_path").drop("_compaction_path")
     merged.repartition("_compaction_run").write.option("compression", "zstd").partitionBy("_compaction_run").parquet(folder)
     new = _shards(spark, folder, schema, version + 1)
     kept = shards.join(plan.select("path"), "path", "left_anti")
