@@ -207,15 +207,17 @@ def chapter_labels(spark, d):
 
 
 @query(
-    """SELECT page_id, bubble_id, CASE WHEN a = '' THEN 'no_draft' WHEN a = f THEN 'unchanged' WHEN ba = bf THEN 'minor' ELSE 'edited' END AS status, CASE WHEN a <> '' THEN levenshtein(a, f) END AS char_dist, length(f) AS final_chars
+    """SELECT page_id, bubble_id, CASE WHEN a = '' THEN 'no_draft' WHEN a = f THEN 'unchanged' WHEN ba = bf THEN 'minor' ELSE 'edited' END AS status, CASE WHEN a <> '' AND strlen(a || f) = length(a || f) THEN levenshtein(a, f) END AS char_dist, length(f) AS final_chars
 FROM (SELECT *, trim(ai_translation) AS a, trim(translation) AS f, regexp_replace(lower(ai_translation), '[\\p{P}\\p{Z}\\p{S}\\s]', '', 'g') AS ba, regexp_replace(lower(translation), '[\\p{P}\\p{Z}\\p{S}\\s]', '', 'g') AS bf FROM bubbles
-WHERE NOT skip AND lang = 'en' AND length(text) < 200 AND strlen(text) = length(text) AND """.replace("\\\\", "\\") + SEEN + ")",
+WHERE NOT skip AND """.replace("\\\\", "\\") + SEEN + ")",
     "bubbles",
 )
 def edit_effort(spark, d):
-    """F8, F9 on ASCII lines."""
-    b = view(spark, d, "bubbles").where("lang = 'en' and length(text) < 200 and octet_length(text) = length(text)")
-    return progress.bubble_effort(b).select("page_id", "bubble_id", "status", "char_dist", "final_chars")
+    """F8, F9; distances are shown for ASCII lines, as the other engine counts bytes."""
+    b = view(spark, d, "bubbles")
+    ascii_ = b.select("page_id", "bubble_id", (F.octet_length(F.concat("ai_translation", "translation")) == F.length(F.concat("ai_translation", "translation"))).alias("_a"))
+    out = progress.bubble_effort(b).join(ascii_, ["page_id", "bubble_id"])
+    return out.select("page_id", "bubble_id", "status", F.when(F.col("_a"), F.col("char_dist")).alias("char_dist"), "final_chars")
 
 
 @query(
@@ -299,12 +301,12 @@ def first_translation(spark, d):
 
 @query()
 def translation_effort(spark, d):
-    return progress.translation_effort(progress.bubble_effort(view(spark, d, "bubbles").where("length(text) < 400")))
+    return progress.translation_effort(progress.bubble_effort(view(spark, d, "bubbles")))
 
 
 @query()
 def page_work(spark, d):
-    b, m = view(spark, d, "bubbles").where("length(text) < 400"), view(spark, d, "page_meta")
+    b, m = view(spark, d, "bubbles"), view(spark, d, "page_meta")
     work = progress.page_work(m.select("page_id", "ocr_at"), progress.bubble_effort(b), view(spark, d, "manual_ops"), progress.first_translation(view(spark, d, "logs")), "2024-01-05", "2024-01-20")
     return work.drop("ocr_at", "first_at")
 
@@ -837,10 +839,11 @@ def split_operator_blocks(spark, d):
 
 @query()
 def fixed_text(spark, d):
-    """lines with a wrapped word, against the corpus's own most frequent words (a bounded table)."""
-    zipf = ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet")).where("zipf >= 2.5").orderBy(F.desc("zipf"), "word").limit(50_000)
+    """lines with a wrapped word, against the corpus's own words of a zipf of 2.5 or more, of which there
+    can be no more than 3.2 million."""
+    zipf = ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet")).where("zipf >= 2.5")
     table = {r.word: r.zipf for r in zipf.collect()}
-    b = view(spark, d, "bubbles").where(F.length("text") > 8)
+    b = view(spark, d, "bubbles")
     torn = F.regexp_replace("text", r"(\p{L}{3})(\p{L}{3})", "$1- $2")
     return b.select("page_id", "pos", helpers.fix_text(table)(torn).alias("fixed"))
 
@@ -848,7 +851,7 @@ def fixed_text(spark, d):
 @query()
 def word_diffs(spark, d):
     """U6."""
-    b = view(spark, d, "bubbles").where("length(text) < 300 and ai_translation <> translation")
+    b = view(spark, d, "bubbles").where("ai_translation <> translation")
     return b.select("page_id", "pos", F.size(F.filter(helpers.word_diff("ai_translation", "translation"), lambda x: x["type"] != "same")).alias("n_changes"))
 
 
@@ -881,7 +884,7 @@ AND ai_translation IS NOT NULL AND strlen(final_translation) = length(final_tran
 )
 def biggest_corrections(spark, d):
     """ASCII entries, the largest three."""
-    c = view(spark, d, "corrections").where("ai_translation is not null and octet_length(final_translation) = length(final_translation)")
+    c = view(spark, d, "corrections").where("ai_translation is not null and octet_length(final_translation) = length(final_translation)")  # the other engine counts bytes
     return replay.biggest_corrections(c).select("id", "rank")
 
 
@@ -916,27 +919,21 @@ def _outputs(spark, d):
         ("A0", F.col("ai_translation")), ("A0b", F.col("ai_translation")), ("A1", F.replace("ai_translation", F.lit("ar"), F.lit("er"))), ("A2", F.col("final_translation")), ("A3", F.replace("ai_translation", F.lit("sion"), F.lit("tion"))))]))
     rows = c.select("*", variants.alias("_v"))
     return rows.select(
-        "page_id", "bubble_id", "_v.variant", F.substring("_v.output", 1, 10_000).alias("output"), F.col("final_translation").alias("final"), F.col("ai_translation").alias("ai_first"), F.col("id").alias("seq"),
+        "page_id", "bubble_id", "_v.variant", "_v.output", F.col("final_translation").alias("final"), F.col("ai_translation").alias("ai_first"), F.col("id").alias("seq"),
         F.lit(False).alias("short"), F.lit(None).cast("string").alias("confirmed_via"), ((F.col("id") % 100) / 100).alias("nearest"),
-    ).withColumn("output", F.col("output"))
+    )
 
 
 @query()
 def replay_scores(spark, d):
     """A21, U9, U2."""
-    return replay.mean_scores(replay.replay_scores(_short(_outputs(spark, d))))
-
-
-def _short(outputs: DataFrame) -> DataFrame:
-    """Lines rather than paragraphs: the first line of each text, which is what a bubble holds."""
-    first = lambda c: F.split_part(c, F.lit("\n"), F.lit(1))
-    return outputs.withColumns({c: first(F.col(c)) for c in ("output", "final", "ai_first")})
+    return replay.mean_scores(replay.replay_scores(_outputs(spark, d)))
 
 
 @query()
 def paired_statistics(spark, d):
     """Means, intervals and signed-rank tests."""
-    diffs = replay.differences(replay.replay_scores(_short(_outputs(spark, d))))
+    diffs = replay.differences(replay.replay_scores(_outputs(spark, d)))
     return replay.bootstrap(diffs, rounds=200).join(replay.wilcoxon(diffs).drop("n"), replay.KEYS, "left")
 
 
