@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, chunks, materialize, words_of
+from tmspark.llm.common import broadcast_value, chunks, materialize, small_batches, words_of
 
 HITS = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,stop:int>>"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -121,6 +121,7 @@ def small_enough(benchmark: DataFrame, limit: int, text_col: str = "text") -> bo
 
 def hit_column(text: Column, benchmark: DataFrame, n: int = 10, item_col: str = "item_id", text_col: str = "text") -> Column:
     """struct<n_words, n_hit, items, spans> of a text column; the benchmark is broadcast, so check its size before."""
+    small_batches(benchmark.sparkSession)
     shared = broadcast_value(benchmark.sparkSession, _index(benchmark, n, item_col, text_col))
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -103,7 +103,7 @@ def set_column(text, n: int, threshold: float, runs: int):
                         if w not in memo:
                             memo[w] = xxhash.xxh64_intdigest(w)
                     sets.append(shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), n))
-                    if len(memo) > 150_000:
+                    if len(memo) > 60_000:
                         memo.clear()
                 rows += [r or (None, 0, None, [], None) for r in describe(sets, threshold, runs)]
             out = pd.DataFrame(rows, columns=["node", "size", "sketch", "keys", "shingles"])

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, chunks
+from tmspark.llm.common import broadcast_value, chunks, small_batches
 
 RESULT = "lang_pred string, score double, entropy double, accepted boolean"
 UNDETERMINED = "und"
@@ -90,7 +90,7 @@ class KneserNey:
 
     def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Nats a character in each language."""
-        return [h for a, b in chunks(texts, 1_000_000) for h in self._entropies(texts[a:b])]
+        return [h for a, b in chunks(texts, 300_000) for h in self._entropies(texts[a:b])]
 
     def _entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
         codes = [code_points(t, self.order) for t in texts]
@@ -256,6 +256,7 @@ def train(
 
 def language_column(text: Column, model: KneserNey | None, spark, reject_sigmas: float = 8.0) -> Column:
     """struct<lang_pred, score, entropy, accepted> of a text column; ``und`` with score 0 where there is no letter."""
+    small_batches(spark)
     shared = broadcast_value(spark, model)
 
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

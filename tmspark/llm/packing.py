@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import materialize
+from tmspark.llm.common import materialize, small_batches
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
@@ -197,6 +197,7 @@ def pack(
     an empty one; columns other than id and text aren't read. Pieces are ranked within (length, salt), so no length
     gathers in one task, and the plan that is broadcast has some rows per length and never grows with the corpus."""
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = materialize(
         token_pieces(docs, capacity, end_id, vocabulary, id_col, text_col).withColumn(
             "_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int")

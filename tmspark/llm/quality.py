@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, materialize
+from tmspark.llm.common import broadcast_value, materialize, small_batches
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -43,7 +43,7 @@ def features_of(text: str | None, bits: int, memo: dict[str, tuple[str, int]]) -
     for token in _TOKEN.findall(text or ""):
         known = memo.get(token)
         if known is None:
-            if len(memo) > 200_000:
+            if len(memo) > 60_000:
                 memo.clear()
             known = memo[token] = (shape_of(token), zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) & mask)
         shapes.append("=" if token == before and len(token) > 1 else known[0])
@@ -180,6 +180,7 @@ def train(
 
 def score_column(text: Column, model: QualityModel, spark) -> Column:
     """The probability of label 1; null and empty texts get that of the empty text."""
+    small_batches(spark)
     shared = broadcast_value(spark, model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
