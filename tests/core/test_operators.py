@@ -222,13 +222,12 @@ def test_resumable_append(spark, tmp_path):
     assert sorted(r.page_id for r in io.read_replay(spark, f"{tmp_path}/r").collect()) == [1, 2]
 
 
-def letters(texts):
-    return [[t.count("a"), t.count("b")] for t in texts]
-
-
 def test_embedding_hook(spark):
     import struct
 
+    def letters(texts):
+        return [[t.count("a"), t.count("b")] for t in texts]
+
     rows = spark.createDataFrame([(1, "aab b", None, True), (2, None, [1.0, 0.0], True), (3, "b", [1.0, 0.0], False), (4, "", None, False)], "id int, source_text string, embedding array<float>, re_embed boolean")
     got = {r.id: r.embedding for r in memory.reembed(rows, letters).collect()}
     assert got[1] == pytest.approx([0.5**0.5] * 2) and got[2] == [1.0, 0.0] and got[3] == [1.0, 0.0] and got[4] == [0.0, 0.0]
