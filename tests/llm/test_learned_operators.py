@@ -140,6 +140,47 @@ def test_scoring_an_empty_table(spark):
 # --- neighbours
 
 
+def counted_windows(texts):
+    counts = Counter()
+    for t in texts:
+        counts.update(lm_scoring.turned(lm_scoring.windows(t.encode())).tolist())
+    return counts
+
+
+def test_every_training_window_is_counted_exactly(spark):
+    """The table follows the corpus: no window is left out or shares its counts with another one."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(c) for c in rng.integers(33, 123, 3_000)) for _ in range(30)] + ["ab" * 2_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.train_mixing(docs, "text", "doc_id", bits=3, mix_bytes=10_000)
+    want = counted_windows(texts)
+    assert dict(zip(model.window.tolist(), model.counts.sum(axis=0).tolist(), strict=True)) == dict(want)
+    asked = np.unique(lm_scoring.turned(lm_scoring.windows(texts[3].encode())))[:200]
+    part = lm_scoring.Part(model.window, model.counts)
+    got = part.inputs(model.low, None, np.searchsorted(model.window, asked))
+    for number, order in enumerate(lm_scoring.ORDERS):
+        nodes = Counter()
+        for w, n in want.items():
+            context = w >> (8 * (7 - order)) if order else 0
+            for k in range(8):
+                nodes[context, k, (w & 255) >> (8 - k), (w >> (7 - k)) & 1] += n
+        for j, w in enumerate(asked.tolist()):
+            for k in range(8):
+                key = (w >> (8 * (7 - order)) if order else 0, k, (w & 255) >> (8 - k))
+                p = (nodes[*key, 1] + 0.1) / (nodes[*key, 0] + nodes[*key, 1] + 0.2)
+                assert got[number, k, j] == np.clip(np.rint(np.log(p / (1 - p)) * 16), -127, 127)
+
+
+def test_scores_follow_the_counts_however_blocks_and_parts_are_cut(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    held = fold_of("doc_id", 5, 1)
+    one, many = ({r.doc_id: r.score for r in lm_scoring.score(docs, held, mix_bytes=m, bits=b).collect()} for m, b in ((1 << 24, 0), (20_000, 3)))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 0.02 * abs(one[k]) + 1 for k in one)
+    model = lm_scoring.train_mixing(docs.where(~held), "text", "doc_id")
+    bits = {r.doc_id: float(model.log2_of_bytes(lm_scoring.windows(r.text.encode())).sum()) for r in docs.collect()}
+    assert all(abs(one[k] / np.log10(2) - bits[k]) < 0.02 * abs(bits[k]) + 1 for k in one)
+
+
 def brute_nearest(rows, asked, k):
     out = {}
     for q in asked:

@@ -1,15 +1,18 @@
-"""Language-model scoring by logistic context mixing over hashed contexts.
-
-A byte is predicted bit by bit, from the highest. For each of several contexts (the last 0 to 6 bytes) a table of
-hashed slots holds how often the next bit was 0 and 1 after that context and the bits of the byte so far. Predictions
-are mixed in the logistic domain by weights of a set that the bits so far choose (the gate), and the mix is refined by
-an adaptive map from the mixed probability and the byte before to the share of ones that followed.
-
-The counts are gathered by a Spark job over every training text: tasks count in blocks of slots, and the blocks are
-summed by key. Slots are fixed in number, so the model's size is bounded; what fills them comes from the whole corpus.
-Weights and map are then learned online, step by step, on ``mix_bytes`` of training text. In scoring the model is
-fixed, so the bits of a byte depend on nothing but the bytes before it within the longest context, and each distinct
-window of bytes is scored once in a batch.
+"""Language-model scoring by logistic context mixing over exact counts of contexts.
+
+A byte is predicted bit by bit, from the highest. For each of several contexts (the last 0 to 6 bytes) it is known how
+often the next bit was 0 and 1 after that context and the bits of the byte so far. Predictions are mixed in the
+logistic domain by weights of a set that the bits so far choose (the gate), and the mix is refined by an adaptive map
+from the mixed probability and the byte before to the share of ones that followed.
+
+Nothing is hashed into slots and nothing is drawn: the counts are a table of the distinct windows (a byte and the six
+before it) of all training texts, in parts by the three bytes before, so it grows with the corpus and no task or driver
+holds it. Rows are dealt into blocks. A block asks each part for its distinct windows and says how often its training
+texts have them; the part adds the blocks up, and answers each with the windows' log probabilities. Contexts of up to
+two bytes run over all parts; their counts (2^24 at most) are broadcast.
+
+Weights and map are learned from every training byte in rounds over the parts, whose sums are merged. Blocks belong to
+folds, and a byte teaches with the counts of the other folds, so no document's own counts speak for it.
 """
 
 from __future__ import annotations
@@ -21,22 +24,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, chunks, materialize, mix64
+from tmspark.llm.common import broadcast_value, chunks, discard, materialize, mix64
 
-#: Lengths of the contexts in bytes.
+#: Lengths of the contexts in bytes; those of more than ``LOW`` are counted within a part.
 ORDERS = (0, 1, 2, 3, 4, 6)
+LOW = 2
 SPAN = max(ORDERS) + 1
-BLOCK = 1 << 14
+FOLDS = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_EIGHT = np.uint64(8)
+_BYTE = np.uint64(255)
 
 
 def windows(text: bytes) -> np.ndarray:
     """For each byte, itself (highest) and the bytes before it, the nearest first, ``SPAN`` in all, as an integer;
-    zeros before the text. Sorted, windows of equal contexts of any length lie together."""
+    zeros before the text."""
     padded = np.frombuffer(b"\0" * (SPAN - 1) + text, dtype=np.uint8)
     n = len(padded) - SPAN + 1
     out = np.zeros(n, dtype=np.uint64)
@@ -45,34 +52,19 @@ def windows(text: bytes) -> np.ndarray:
     return out
 
 
-class Level:
-    """Distinct (byte, context) of one order among sorted windows: where each begins in the level above, its slots."""
-
-    def __init__(self, order: int, prefix: np.ndarray, bits: int):
-        past = prefix & np.uint64((1 << (8 * order)) - 1)
-        self.byte = (prefix >> np.uint64(8 * order)).astype(np.int64)
-        self.number, self.shift = ORDERS.index(order), np.uint64(64 - bits)
-        self.hash = mix64(past * np.uint64(8) + np.uint64(self.number + 1))
+def turned(window: np.ndarray) -> np.ndarray:
+    """Windows with the byte lowest, so that sorted ones of equal contexts of any length lie together."""
+    low = np.uint64(8 * (SPAN - 1))
+    return (window & np.uint64((1 << (8 * (SPAN - 1))) - 1)) << _EIGHT | window >> low
 
-    def so_far(self, k: int) -> np.ndarray:
-        """The byte's first k bits, with a leading 1."""
-        return (self.byte | 256) >> (8 - k)
 
-    def bit(self, k: int) -> np.ndarray:
-        return (self.byte >> (7 - k)) & 1
+def keys_of(window: np.ndarray, order: int) -> np.ndarray:
+    """Context of that many bytes, and the byte, of turned windows."""
+    return window >> np.uint64(8 * (SPAN - order)) << _EIGHT | window & _BYTE
 
-    def slot(self, k: int) -> np.ndarray:
-        return ((self.hash + self.so_far(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-
-def levels(window: np.ndarray, bits: int) -> list[tuple[Level, np.ndarray]]:
-    """For each order, its level over sorted windows, and the place of the first window of each of its entries."""
-    out = []
-    for order in ORDERS:
-        prefix = window >> np.uint64(8 * (SPAN - 1 - order))
-        first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
-        out.append((Level(order, prefix[first], bits), first))
-    return out
+def part_of(window: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64(window >> np.uint64(8 * (SPAN - LOW - 1))) % np.uint64(parts)).astype(np.int64)
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -83,162 +75,363 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
 
 
+def node_inputs(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(8, keys): for each bit of the byte of sorted distinct keys, the stretched prediction of its context and the bits
+    so far in sixteenths; 0 where these were never reached."""
+    out = np.zeros((8, len(key)), dtype=np.int8)
+    if not len(key):
+        return out
+    for k in range(8):
+        node = key >> np.uint64(8 - k)
+        new = np.concatenate(([True], node[1:] != node[:-1]))
+        first = np.flatnonzero(new)
+        ones = np.add.reduceat(np.where(key >> np.uint64(7 - k) & np.uint64(1) == 1, n, 0), first)
+        total = np.add.reduceat(n, first)
+        values = np.where(total > 0, np.clip(np.rint(stretch((ones + 0.1) / (total + 0.2)) * 16), -127, 127), 0)
+        out[k] = values.astype(np.int8)[np.cumsum(new) - 1]
+    return out
+
+
 @dataclass
-class MixingModel:
-    """inputs[order, slot]: a slot's stretched prediction in sixteenths, 0 for one that was never reached."""
+class LowOrders:
+    """Sorted keys of the two bytes before and the byte, and their training counts by fold."""
+
+    key: np.ndarray
+    counts: np.ndarray  # (FOLDS, keys)
+
+    def inputs(self, window: np.ndarray, left_out: int | None) -> list[np.ndarray]:
+        asked, at = np.unique(keys_of(window, LOW), return_inverse=True)
+        key = np.union1d(self.key, asked)
+        n = np.zeros(len(key), dtype=np.int64)
+        n[np.searchsorted(key, self.key)] = _counts_without(self.counts, left_out)
+        place = np.searchsorted(key, asked)[at]
+        out = []
+        for order in ORDERS[: LOW + 1]:
+            own, to = np.unique(((key >> np.uint64(8 * (1 + LOW - order))) << _EIGHT) | (key & _BYTE), return_inverse=True)
+            out.append(node_inputs(own, np.bincount(to, n, len(own)).astype(np.int64))[:, to[place]])
+        return out
+
+
+def _counts_without(counts: np.ndarray, left_out: int | None) -> np.ndarray:
+    total = counts.sum(axis=0)
+    return total if left_out is None else total - counts[left_out]
+
+
+class Part:
+    """Sorted distinct windows that share no context longer than ``LOW`` with other parts, with their counts by fold."""
 
-    bits: int
-    inputs: np.ndarray
+    def __init__(self, window: np.ndarray, counts: np.ndarray):
+        self.window, self.counts = window, counts
+        self.levels = [np.unique(keys_of(window, order), return_inverse=True) for order in ORDERS[LOW + 1 :]]
+
+    def inputs(self, low: LowOrders, left_out: int | None = None, some: np.ndarray | None = None) -> np.ndarray:
+        """(orders, 8, windows), of all windows or those at the given places."""
+        some = np.arange(len(self.window)) if some is None else some
+        n = _counts_without(self.counts, left_out)
+        high = [node_inputs(key, np.bincount(to, n, len(key)).astype(np.int64))[:, to[some]] for key, to in self.levels]
+        return np.stack(low.inputs(self.window[some], left_out) + high)
+
+
+@dataclass
+class Mixing:
     weights: np.ndarray  # (256 gates, a constant and the orders)
     refined: np.ndarray  # (256 bytes before, steps)
 
     STEPS = 49
 
+    def mix(self, inputs: np.ndarray, gate: np.ndarray, k: int) -> np.ndarray:
+        x = self.weights[gate, 0].copy()
+        for order in range(len(ORDERS)):
+            x += inputs[order, k] * np.float32(1 / 16) * self.weights[gate, 1 + order]
+        return np.clip(x, -11, 11)
+
     def cell(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
         return before * self.STEPS + ((x + np.float32(12)) * np.float32((self.STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
 
-    def refine(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Probability of a one: half the mix, half what followed such mixes after that byte."""
-        p = (squash(x) + self.refined.reshape(-1)[self.cell(x, before)]) * np.float32(0.5)
-        return np.clip(p, 1 / 65536, 1 - 1 / 65536)
-
-    def log2_of_bytes(self, window: np.ndarray) -> np.ndarray:
-        """log2 probability of the first byte of each of the sorted windows, given the rest.
-
-        An order's part of the mix is worked out once for each of its distinct contexts and handed to the next order."""
-        if not len(window):
-            return np.zeros(0)
-        parts = levels(window, self.bits)
-        spread = []
-        for (_, first), (_, following) in zip(parts, parts[1:] + [(None, np.arange(len(window)))], strict=True):
-            spread.append(np.searchsorted(first, following, side="right") - 1)
+    def log2(self, window: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+        """log2 probability of the byte of each turned window: half the mix, half what followed such mixes."""
+        byte, before = _bytes_of(window)
         total = np.zeros(len(window), dtype=np.float32)
-        before = ((window >> np.uint64(8 * (SPAN - 2))) & np.uint64(255)).astype(np.int64)
-        byte = (window >> np.uint64(8 * (SPAN - 1))).astype(np.int64)
         for k in range(8):
-            x = None
-            for (level, _), onward in zip(parts, spread, strict=True):
-                gate = level.so_far(k)
-                own = self.inputs[level.number, level.slot(k)] * self.weights[gate, 1 + level.number]
-                x = own + self.weights[gate, 0] if x is None else x + own
-                x = x[onward]
-            p = self.refine(np.clip(x, -11, 11), before)
+            x = self.mix(inputs, (byte | 256) >> (8 - k), k)
+            p = (squash(x) + self.refined.reshape(-1)[self.cell(x, before)]) * np.float32(0.5)
+            p = np.clip(p, 1 / 65536, 1 - 1 / 65536)
             total += np.log2(np.where((byte >> (7 - k)) & 1 == 1, p, 1 - p))
         return total
 
 
-def learn(model: MixingModel, texts: list[bytes], rate: float = 0.006, step: int = 2048, passes: int = 3) -> None:
-    """Online passes over texts that the slots have not counted: after each step of ``step`` bytes the gated weights
-    move along the gradient of the coding cost (each by its own rate, which falls with what it has moved), and the
-    map's cells toward what followed."""
-    squares = np.full(model.weights.shape, 1e-6)
-    window = np.concatenate([windows(t) for t in texts]) if texts else np.zeros(0, dtype=np.uint64)
-    flat = model.refined.reshape(-1)
-    for turn in range(passes):
-        for a in range(0, len(window), step):
-            part = window[a : a + step]
-            before = ((part >> np.uint64(8 * (SPAN - 2))) & np.uint64(255)).astype(np.int64)
-            orders = [Level(order, part >> np.uint64(8 * (SPAN - 1 - order)), model.bits) for order in ORDERS]
-            for k in range(8):
-                gate, bit = orders[0].so_far(k), orders[0].bit(k)
-                signals = [np.ones(len(part), dtype=np.float32)]
-                signals += [model.inputs[o.number, o.slot(k)].astype(np.float32) for o in orders]
-                x = np.clip(sum(s * model.weights[gate, i] for i, s in enumerate(signals)), -11, 11)
-                error = bit - squash(x)
-                gradient = np.stack([np.bincount(gate, error * s, 256) for s in signals], axis=1)
-                squares += gradient**2
-                model.weights += (rate * gradient / np.sqrt(squares)).astype(np.float32)
-                if turn == passes - 1:
-                    cells, at, n = np.unique(model.cell(x.astype(np.float32), before), return_inverse=True, return_counts=True)
-                    ones = np.bincount(at, bit)
-                    flat[cells] += (n / (n + 30) * (ones / n - flat[cells])).astype(np.float32)
-
-
-def _count_blocks(bits: int):
-    """Counts zeros and ones of every slot over a task's texts; rows (block, task, counts as packed bytes)."""
+def _bytes_of(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (window & _BYTE).astype(np.int64), (window >> np.uint64(8 * (SPAN - 1))).astype(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        seen = np.zeros((2, len(ORDERS) << bits), dtype=np.int32)
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted windows as compressed bytes of their differences, each place of a byte by itself."""
+    steps = np.diff(x, prepend=np.uint64(0)).astype(np.uint64)
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    return zlib.compress(n.astype(np.int64).tobytes(), 1)
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
+
+
+def _merged(window: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct windows with the sums of their counts."""
+    flat, counts = np.concatenate(window), np.concatenate(n)
+    order = np.argsort(flat, kind="stable")
+    flat, counts = flat[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), dtype=bool), flat[1:] != flat[:-1])))
+    return flat[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _by_part(window: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sorted windows by part, and the part of each."""
+    part = part_of(window, parts)
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+def _raw(texts: list) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+ASKED = "part int, block int, windows binary, counts binary"
+
+
+def _ask(parts: int):
+    """A block's distinct windows by part, and how often its training texts have each."""
+
+    def ask(rows: pa.Table) -> pa.Table:
+        texts, held = rows["_text"].to_pylist(), np.array(rows["_held"].to_pylist(), dtype=bool)
+        found, counts = [], []
+        for a, b in chunks(texts):
+            raw = _raw(texts[a:b])
+            for kind in (False, True):
+                own = [windows(t) for t, h in zip(raw, held[a:b], strict=True) if h == kind]
+                if own:
+                    w, n = np.unique(turned(np.concatenate(own)), return_counts=True)
+                    found.append(w)
+                    counts.append(np.zeros_like(n) if kind else n)
+        out = []
+        if found:
+            window, n = _merged(found, counts)
+            order, part = _by_part(window, parts)
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            block = rows["_block"][0].as_py()
+            for at in np.split(order, cuts) if len(order) else []:
+                out.append((int(part_of(window[at[:1]], parts)[0]), block, _pack(window[at]), _pack_counts(n[at])))
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("windows", pa.binary()), ("counts", pa.binary())])
+        return pa.table([pa.array([r[k] for r in out], schema[k].type) for k in range(4)], schema=schema)
+
+    return ask
+
+
+def _add_blocks(rows: pa.Table) -> pa.Table:
+    """One row: the part's distinct windows and their counts by fold. Blocks are added 32 at a time."""
+    window, counts = np.zeros(0, dtype=np.uint64), np.zeros((0, FOLDS), dtype=np.int64)
+    blocks, data, n = (rows[c].to_pylist() for c in ("block", "windows", "counts"))
+    for a in range(0, len(blocks), 32):
+        wide = []
+        for block, own in zip(blocks[a : a + 32], n[a : a + 32], strict=True):
+            own = _unpack_counts(own)
+            wide.append(np.zeros((len(own), FOLDS), dtype=np.int64))
+            wide[-1][:, block % FOLDS] = own
+        flat = np.concatenate([window] + [_unpack(d) for d in data[a : a + 32]])
+        counts = np.concatenate([counts] + wide)
+        order = np.argsort(flat, kind="stable")
+        flat, counts = flat[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        window, counts = flat[first], np.add.reduceat(counts, first, axis=0)
+    return pa.table({"part": pa.array([rows["part"][0].as_py()], pa.int32()), "windows": [_pack(window)], "counts": [_pack_counts(counts.T.reshape(-1))]})
+
+
+def _part(windows_: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _unpack(windows_), _unpack_counts(counts).reshape(FOLDS, -1)
+
+
+def low_orders(table: DataFrame) -> LowOrders:
+    """Counts of the short contexts, summed over the parts; at most 2^24 rows, whatever the corpus."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data, n in zip(batch["windows"], batch["counts"], strict=True):
+                window, counts = _part(data, n)
+                key, to = np.unique(keys_of(window, LOW), return_inverse=True)
+                yield pd.DataFrame({"key": key.astype(np.int64)} | {f"n{f}": np.bincount(to, counts[f], len(key)).astype(np.int64) for f in range(FOLDS)})
+
+    names = [f"n{f}" for f in range(FOLDS)]
+    found = table.mapInPandas(sums, "key long, " + ", ".join(f"{c} long" for c in names)).groupBy("key").agg(*[F.sum(c).alias(c) for c in names])
+    found = found.where(" + ".join(names) + " > 0").orderBy("key").toArrow()
+    return LowOrders(found["key"].to_numpy().astype(np.uint64), np.stack([found[c].to_numpy() for c in names]))
+
+
+def _teaching(data: bytes, n: bytes, low: LowOrders, most: int = 500_000) -> Iterator[tuple]:
+    """(windows sorted by byte, their occurrences in a fold's training texts, inputs from the other folds)."""
+    window, counts = _part(data, n)
+    part = Part(window, counts)
+    for fold in range(FOLDS):
+        some = np.flatnonzero(counts[fold])
+        some = some[np.argsort(window[some] & _BYTE, kind="stable")]
+        for a in range(0, len(some), most):
+            at = some[a : a + most]
+            yield window[at], counts[fold][at], part.inputs(low, fold, at)
+
+
+def _slopes(mixing, low):
+    """Sums over a task's parts: per gate the cost, its gradient, and its curvature."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wide = 1 + len(ORDERS)
+        total = np.zeros((256, 1 + wide + wide * wide))
+        model = mixing.value
         for batch in batches:
-            texts = batch["text"].tolist()
-            for a, b in chunks(texts, 4_000_000):
-                window, n = np.unique(np.concatenate([windows(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]]), return_counts=True)
-                for level, first in levels(window, bits):
-                    own = np.add.reduceat(n, first).astype(np.int32)
+            for row in zip(batch["windows"], batch["counts"], strict=True):
+                for window, n, inputs in _teaching(*row, low.value):
+                    byte, _ = _bytes_of(window)
                     for k in range(8):
-                        bit = level.bit(k)
-                        at = level.slot(k) + (level.number << bits)
-                        for one in (0, 1):
-                            np.add.at(seen[one], at[bit == one], own[bit == one])
-        task = TaskContext.get().partitionId()
-        width = min(BLOCK, seen.shape[1])
-        for block in range(0, seen.shape[1] // width):
-            part = seen[:, block * width : (block + 1) * width]
-            if part.any():
-                packed = zlib.compress(np.ascontiguousarray(part).tobytes(), 1)
-                yield pd.DataFrame({"block": [block], "task": [task], "counts": [packed], "wide": [False]})
-
-    return count
-
-
-def _unpacked(counts: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(counts), dtype=np.int64 if wide else np.int32)
-
-
-def _add_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.int64(0)
-    for counts, wide in zip(rows["counts"], rows["wide"], strict=True):
-        total = total + _unpacked(counts, wide).astype(np.int64)
-    return pd.DataFrame({"block": [key[0]], "task": [key[1]], "counts": [zlib.compress(total.tobytes(), 1)], "wide": [True]})
-
-
-def _predictions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        packed = []
-        for counts, wide in zip(batch["counts"], batch["wide"], strict=True):
-            zeros, ones = _unpacked(counts, wide).reshape(2, -1)
-            p = (ones + 0.1) / (zeros + ones + 0.2)
-            values = np.where(zeros + ones > 0, np.clip(np.rint(stretch(p) * 16), -127, 127), 0)
-            packed.append(values.astype(np.int8).tobytes())
-        yield pd.DataFrame({"block": batch["block"], "values": packed})
-
-
-def slot_predictions(training: DataFrame, text_col: str, bits: int, tasks: int) -> np.ndarray:
-    """(orders, slots): stretched predictions, counted over all training texts (null ones aside).
-
-    Tasks' blocks of slots are added 32 at a time, so no group holds more than that, and only finished predictions of
-    a fixed number of slots come to the driver."""
-    schema = "block int, task int, counts binary, wide boolean"
-    texts = training.where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(F.col(text_col).alias("text"))
-    blocks = texts.coalesce(tasks).mapInPandas(_count_blocks(bits), schema)
-    while tasks > 1:
-        blocks = blocks.groupBy("block", F.floor(F.col("task") / 32).cast("int").alias("task")).applyInPandas(_add_blocks, schema)
-        tasks = -(-tasks // 32)
-    inputs = np.zeros(len(ORDERS) << bits, dtype=np.int8)
-    for row in blocks.mapInPandas(_predictions, "block int, values binary").toLocalIterator():
-        part = np.frombuffer(row["values"], dtype=np.int8)
-        inputs[row["block"] * len(part) : (row["block"] + 1) * len(part)] = part
-    return inputs.reshape(len(ORDERS), -1)
-
-
-def train_mixing(training: DataFrame, text_col: str, id_col: str, bits: int = 20, mix_bytes: int = 600_000, split_bytes: int = 256 << 20) -> MixingModel:
-    """Slots from the training texts; weights from about ``mix_bytes`` of training text kept out of the slots."""
-    spark = training.sparkSession
-    total = training.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    share = min(0.1, mix_bytes / total) if total else 0.0
-    draw = F.pmod(F.xxhash64(F.lit("mix"), id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30))
-    draw = F.coalesce(draw & (F.octet_length(text_col) <= mix_bytes), F.lit(False))  # a longer text would be all of it
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // split_bytes))
-    inputs = slot_predictions(training.where(~draw), text_col, bits, int(tasks))
-    weights = np.full((256, 1 + len(ORDERS)), 0.3 / 16, dtype=np.float32)
-    weights[:, 0] = 0
-    cells = squash((np.arange(MixingModel.STEPS) * 24 / (MixingModel.STEPS - 1)) - 12)
-    model = MixingModel(bits, inputs, weights, np.tile(cells, (256, 1)).astype(np.float32))
-    kept = training.where(draw).select(F.col(text_col).alias("t")).orderBy(F.xxhash64("t"), "t").collect()
-    learn(model, [row["t"].encode("utf-8", "surrogatepass") for row in kept])
-    return model
+                        gate, bit = (byte | 256) >> (8 - k), (byte >> (7 - k)) & 1
+                        p = squash(model.mix(inputs, gate, k).astype(np.float64))
+                        cost = -n * np.log2(np.where(bit == 1, p, 1 - p))
+                        signals = np.concatenate((np.ones((1, len(n))), inputs[:, k] / 16.0))
+                        edges = np.concatenate(([0], np.flatnonzero(np.diff(gate)) + 1, [len(gate)]))
+                        for a, b in zip(edges[:-1], edges[1:], strict=True):  # a gate's windows lie together
+                            s, own = signals[:, a:b], n[a:b]
+                            total[gate[a], 0] += cost[a:b].sum()
+                            total[gate[a], 1 : 1 + wide] += s @ (own * (bit[a:b] - p[a:b]))
+                            total[gate[a], 1 + wide :] += ((s * (own * p[a:b] * (1 - p[a:b]))) @ s.T).reshape(-1)
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    return sums
+
+
+def _followed(mixing, low):
+    """Sums over a task's parts: how often a one, and any bit, followed each cell of the map."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = mixing.value
+        total = np.zeros((2, 256 * model.STEPS))
+        for batch in batches:
+            for row in zip(batch["windows"], batch["counts"], strict=True):
+                for window, n, inputs in _teaching(*row, low.value):
+                    byte, before = _bytes_of(window)
+                    for k in range(8):
+                        cell = model.cell(model.mix(inputs, (byte | 256) >> (8 - k), k), before)
+                        total[0] += np.bincount(cell, n * ((byte >> (7 - k)) & 1), total.shape[1])
+                        total[1] += np.bincount(cell, n, total.shape[1])
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    return sums
+
+
+def _sum_of(table: DataFrame, function, shape: tuple) -> np.ndarray:
+    """One task's sums at a time come to the driver, and are of a fixed size."""
+    total = np.zeros(shape)
+    for row in table.mapInPandas(function, "sums binary").toLocalIterator():
+        total += np.frombuffer(row["sums"]).reshape(shape)
+    return total
+
+
+def learn(table: DataFrame, low, rounds: int = 5) -> Mixing:
+    """Newton rounds on the coding cost of all training bytes, gate by gate, then the map. A gate whose cost rose goes
+    half the way back to its best weights; the best ones stay."""
+    spark = table.sparkSession
+    wide = 1 + len(ORDERS)
+    cells = squash((np.arange(Mixing.STEPS) * 24 / (Mixing.STEPS - 1)) - 12)
+    start = np.full((256, wide), 0.3)
+    start[:, 0] = 0
+    now, best, least = start.copy(), start.copy(), np.full(256, np.inf)
+    prior = 4.0  # pulls gates that hardly occur to the start
+    for _ in range(rounds):
+        held = broadcast_value(spark, Mixing(now.astype(np.float32), np.zeros((256, Mixing.STEPS), np.float32)))
+        sums = _sum_of(table, _slopes(held, low), (256, 1 + wide + wide * wide))
+        held.unpersist()
+        better = sums[:, 0] <= least
+        best[better], least[better] = now[better], sums[better, 0]
+        curve = sums[:, 1 + wide :].reshape(256, wide, wide) + prior * np.eye(wide)
+        step = np.linalg.solve(curve, (sums[:, 1 : 1 + wide] - prior * (now - start))[:, :, None])[:, :, 0]
+        step *= np.minimum(1, 2 / np.maximum(np.linalg.norm(step, axis=1), 1e-9))[:, None]
+        now = np.where(better[:, None], now + step, (now + best) / 2)
+    weights = best.astype(np.float32)
+    held = broadcast_value(spark, Mixing(weights, np.zeros((256, Mixing.STEPS), np.float32)))
+    ones, n = _sum_of(table, _followed(held, low), (2, 256 * Mixing.STEPS)).reshape(2, 256, -1)
+    return Mixing(weights, ((ones + 30 * cells) / (n + 30)).astype(np.float32))
+
+
+def in_blocks(rows: DataFrame, mix_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (_id, _held, _text) with ``_block``, of about ``mix_bytes`` of text each, and the number of blocks."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    number = int(max(2 * FOLDS, -(-total // mix_bytes)))
+    return rows.withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), "_id", "_text"), F.lit(number)).cast("int")), number
+
+
+def count_windows(blocks: DataFrame, parts: int, bag: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What blocks ask (a row a block and part), and the table of windows (a row a part)."""
+    asked = materialize(blocks.select("_block", "_held", "_text").groupBy("_block").applyInArrow(_ask(parts), ASKED), bag)
+    return asked, materialize(asked.groupBy("part").applyInArrow(_add_blocks, "part int, windows binary, counts binary"), bag)
+
+
+def parts_for(number: int, bits: int) -> int:
+    return min(1 << bits, max(6, -(-number // 2)))
+
+
+def _answer(mixing, low):
+    """For each block its windows' log2 probabilities, in the order asked."""
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        window, counts = _part(table["windows"][0].as_py(), table["counts"][0].as_py())
+        part, bits = Part(window, counts), np.zeros(len(window), dtype=np.float32)
+        for a in range(0, len(window), 500_000):
+            at = np.arange(a, min(a + 500_000, len(window)))
+            bits[at] = mixing.value.log2(window[at], part.inputs(low.value, None, at))
+        out = [zlib.compress(bits[np.searchsorted(window, _unpack(d.as_py()))].tobytes(), 1) for d in asked["windows"]]
+        return pa.table({"block": asked["block"], "part": asked["part"], "bits": pa.array(out, pa.binary())})
+
+    return answer
+
+
+@dataclass
+class MixingModel:
+    """A model with all of its windows in one place, for looks at a small corpus; ``score`` never gathers them."""
+
+    mixing: Mixing
+    low: LowOrders
+    window: np.ndarray
+    counts: np.ndarray
+
+    def log2_of_bytes(self, window: np.ndarray) -> np.ndarray:
+        """log2 probability of the first byte of each of the windows, given the rest."""
+        asked, at = np.unique(turned(window), return_inverse=True)
+        context = np.uint64(8 * (SPAN - LOW - 1))
+        near = np.isin(self.window >> context, np.unique(asked >> context))
+        every = np.union1d(self.window[near], asked)
+        counts = np.zeros((FOLDS, len(every)), dtype=np.int64)
+        counts[:, np.searchsorted(every, self.window[near])] = self.counts[:, near]
+        inputs = Part(every, counts).inputs(self.low, None, np.searchsorted(every, asked))
+        return self.mixing.log2(asked, inputs)[at]
+
+
+def train_mixing(training: DataFrame, text_col: str, id_col: str, bits: int = 20, mix_bytes: int = 16 << 20) -> MixingModel:
+    """The model of the training texts, gathered on the driver."""
+    bag: list[str] = []
+    rows = training.select(F.col(id_col).alias("_id"), F.lit(False).alias("_held"), F.col(text_col).alias("_text"))
+    blocks, number = in_blocks(rows, mix_bytes)
+    _, table = count_windows(blocks, parts_for(number, bits), bag)
+    low = broadcast_value(training.sparkSession, low_orders(table))
+    mixing = learn(table, low)
+    found = [_part(r["windows"], r["counts"]) for r in table.toLocalIterator()]
+    discard(training.sparkSession, bag)
+    window = np.concatenate([w for w, _ in found] + [np.zeros(0, dtype=np.uint64)])
+    counts = np.concatenate([c for _, c in found] + [np.zeros((FOLDS, 0), dtype=np.int64)], axis=1)
+    order = np.argsort(window)
+    return MixingModel(mixing, low.value, window[order], counts[:, order])
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -300,7 +493,8 @@ def frequent_words(totals: DataFrame, most: int) -> Frequent:
 
 
 def score(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000, **settings
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000, bits: int = 20,
+    mix_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -308,11 +502,20 @@ def score(
     bytes (0 for null and empty texts); bits per byte are -score * log2(10) / bytes. ``base_score`` sums
     log10((c + 0.5) / (N + 0.5 * (V + 1))) over words and one end. Frequent words' counts are broadcast (at most
     ``most_words`` of them); occurrences of the others are joined with the table of counts. Words are told apart by 64
-    bits of hash. Repeated rows stay, an empty table gives an empty one, other columns aren't read."""
+    bits of hash. ``mix_bytes`` is the text of a block,
+    2^``bits`` the most parts. Repeated rows stay, an empty table gives an empty one, other columns aren't read."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(held_out, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))
     training = rows.where(~F.col("_held"))
-    model = broadcast_value(spark, train_mixing(training, "_text", "_id", **settings))
+    bag: list[str] = []
+    blocks, number = in_blocks(rows, mix_bytes)
+    parts = parts_for(number, bits)
+    asked, table = count_windows(blocks, parts, bag)
+    low = broadcast_value(spark, low_orders(table))
+    model = broadcast_value(spark, learn(table, low))
+    answers = asked.select("part", "block", "windows").groupBy("part").cogroup(table.groupBy("part")).applyInArrow(
+        _answer(model, low), "block int, part int, bits binary"
+    )
     totals = materialize(token_totals(training, "_text"))
     n_words, n_kinds = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = training.count()
@@ -321,46 +524,59 @@ def score(
     norm = float(np.log10(n_all + 0.5 * (n_kinds + 1)))
     end = float(np.log10(ends + 0.5))
 
-    def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def scan(rows: pa.Table, answers: pa.Table) -> pa.Table:
         memo: dict[bytes, int] = {}
-        known, mixing = frequent.value, model.value
-        for texts, held in batches:
-            texts, held, out = texts.tolist(), held.to_numpy(dtype=bool), []
-            for a, b in chunks(texts):
-                words = [tokens_of(t) for t in texts[a:b]]
-                if len(memo) > 200_000:
-                    memo.clear()
-                new = list(set().union(*words) - memo.keys())
-                memo.update(zip(new, known.look_up([_word_hash(w) for w in new]).tolist(), strict=True))
-                sizes = np.array([len(w) for w in words])
-                flat = [w for own in words for w in own]
-                counts = np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
-                doc = np.repeat(np.arange(len(words)), sizes)
-                rare = counts == 0
-                if known.least <= 2:  # a training text's word is in the counts, and isn't one of 2 or more
-                    once = rare & ~held[a:b][doc]
-                    counts[once] = 1
-                    rare &= ~once
-                base = np.bincount(doc, np.where(rare, 0.0, np.log10(counts + 0.5)), len(words))
-                seen = np.bincount(doc[~rare], minlength=len(words))
-                at = np.flatnonzero(rare)
-                hashes = np.array([_word_hash(flat[k]) for k in at], dtype=np.int64)
-                parts = np.split(hashes, np.searchsorted(at, np.cumsum(sizes)[:-1]))
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
-                window, place = np.unique(np.concatenate([windows(t) for t in raw]), return_inverse=True)
-                bits = np.concatenate(([0.0], np.cumsum(mixing.log2_of_bytes(window)[place], dtype=np.float64)))
-                edges = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
-                out.append(
-                    pd.DataFrame({"n_tokens": sizes + 1, "n_known": seen, "base": base, "bits": bits[edges[1:]] - bits[edges[:-1]], "rare": parts})
+        known = frequent.value
+        texts, held, out = rows["_text"].to_pylist(), np.array(rows["_held"].to_pylist(), dtype=bool), []
+        inside = [np.unique(turned(np.concatenate([windows(t) for t in _raw(texts[a:b])]))) for a, b in chunks(texts)]
+        asked = np.unique(np.concatenate(inside)) if inside else np.zeros(0, dtype=np.uint64)
+        order, _ = _by_part(asked, parts)
+        found = sorted(zip(answers["part"].to_pylist(), answers["bits"].to_pylist(), strict=True))
+        of_window = np.zeros(len(asked), dtype=np.float32)
+        of_window[order] = np.concatenate([np.frombuffer(zlib.decompress(d), dtype=np.float32) for _, d in found] + [np.zeros(0, np.float32)])
+        for a, b in chunks(texts):
+            words = [tokens_of(t) for t in texts[a:b]]
+            if len(memo) > 200_000:
+                memo.clear()
+            new = list(set().union(*words) - memo.keys())
+            memo.update(zip(new, known.look_up([_word_hash(w) for w in new]).tolist(), strict=True))
+            sizes = np.array([len(w) for w in words])
+            flat = [w for own in words for w in own]
+            counts = np.fromiter(map(memo.__getitem__, flat), np.int64, len(flat))
+            doc = np.repeat(np.arange(len(words)), sizes)
+            rare = counts == 0
+            if known.least <= 2:  # a training text's word is in the counts, and isn't one of 2 or more
+                once = rare & ~held[a:b][doc]
+                counts[once] = 1
+                rare &= ~once
+            base = np.bincount(doc, np.where(rare, 0.0, np.log10(counts + 0.5)), len(words))
+            seen = np.bincount(doc[~rare], minlength=len(words))
+            at = np.flatnonzero(rare)
+            hashes = np.array([_word_hash(flat[k]) for k in at], dtype=np.int64)
+            raw = _raw(texts[a:b])
+            window, place = np.unique(turned(np.concatenate([windows(t) for t in raw])), return_inverse=True)
+            bits = np.concatenate(([0.0], np.cumsum(of_window[np.searchsorted(asked, window)][place], dtype=np.float64)))
+            edges = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+            ends_of = np.concatenate(([0], np.searchsorted(at, np.cumsum(sizes)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends_of, pa.int32()), pa.array(hashes, pa.int64()))
+            out.append(
+                pa.table(
+                    {
+                        "n_tokens": pa.array(sizes + 1, pa.int64()), "n_known": pa.array(seen, pa.int64()), "base": pa.array(base, pa.float64()),
+                        "bits": pa.array(bits[edges[1:]] - bits[edges[:-1]], pa.float64()), "rare": lists,
+                    }
                 )
-            empty = pd.DataFrame({"n_tokens": [], "n_known": [], "base": [], "bits": [], "rare": []})
-            yield pd.concat(out, ignore_index=True) if out else empty
+            )
+        whole = pa.concat_tables(out)
+        return pa.table({"_id": rows["_id"], "_held": rows["_held"]} | {c: whole[c] for c in whole.column_names})
 
-    kind = "n_tokens long, n_known long, base double, bits double, rare array<long>"
+    id_type = rows.schema["_id"].dataType.simpleString()
+    kind = f"_id {id_type}, _held boolean, n_tokens long, n_known long, base double, bits double, rare array<long>"
     scanned = materialize(
-        rows.select("_id", "_held", F.pandas_udf(scan, kind)("_text", "_held").alias("_s"))
-        .select("_id", "_held", "_s.*").withColumn("_row", F.monotonically_increasing_id())
+        blocks.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(scan, kind)
+        .withColumn("_row", F.monotonically_increasing_id())
     )
+    discard(spark, bag)
     rare = scanned.select("_row", F.explode("rare").alias("word"))
     few = totals.where(F.col("n") < frequent.value.least)
     found = rare.join(few, "word", "left").groupBy("_row").agg(
