@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,6 +279,16 @@ def test_join_equals_brute_force(spark, settings):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute_join(rows, 5, 0.8)
 
 
+def test_sketches_never_rule_out_a_pair_at_the_threshold():
+    """Two sets that share 512 of 640 shingles, and in each range differ in the lowest ones."""
+    tokens = (np.arange(64, dtype=np.uint64)[:, None] << np.uint64(58)) + (np.arange(1, 11, dtype=np.uint64) << np.uint64(16))
+    first, second = np.unique(tokens[:, 1:]), np.unique(np.delete(tokens, 1, axis=1))
+    assert len(np.intersect1d(first, second)) == 0.8 * len(np.union1d(first, second)) == 512
+    rows = jaccard_join.describe([first, second], 0.8, 1)
+    pairs = pd.DataFrame([(1, 0, 0, 0, r[1], r[2], [1]) for r in rows], columns=["key", "pair", "block", "blocks", "size", "sketch", "keys"])
+    assert len(jaccard_join.possible_pairs(pairs, 0.8)[0]) == 1
+
+
 def test_join_of_whole_table_and_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in queries.op9_ngram_jaccard_join(spark, sf_dir).collect()), key=str)

@@ -6,8 +6,8 @@ chosen; two sets at the threshold meet in a run with probability 1 - 1/e or more
 exp(-runs) unmet. Buckets above ``bucket_rows`` are split again by further chosen tokens, down to ``depth``. In the
 last buckets all pairs are compared; one that stays large is compared in pairs of blocks, so nothing is dropped.
 
-A pair is compared only in the smallest bucket that holds both, and only if sizes and sketches (a byte of the smallest
-hash in each of 64 ranges) don't rule it out. First the buckets are scanned without shingles for sets that have such a
+A pair is compared only in the smallest bucket that holds both, and only if sizes and sketches (how many
+hashes lie in each of 64 ranges) allow it: sets differ by no less than their counts do, so no true pair is ruled out. First the buckets are scanned without shingles for sets that have such a
 pair; then those alone are sent there with their shingles, and pairs are verified exactly. What leaves a bucket is a
 row a set: the number of its links, and one link toward the set that stands for the bucket's component.
 """
@@ -69,8 +69,8 @@ def describe(sets: list[np.ndarray], threshold: float, runs: int) -> list[tuple]
     sketch = np.zeros((len(sets), BINS), dtype=np.uint8)
     if len(flat):
         bins = (flat >> np.uint64(58)).astype(np.int64)
-        first = np.concatenate(([True], (bins[1:] != bins[:-1]) | (doc[1:] != doc[:-1])))
-        sketch[doc[first], bins[first]] = np.maximum((flat[first] >> np.uint64(16)) & np.uint64(255), np.uint64(1))
+        counts = np.bincount(doc * BINS + bins, minlength=len(sets) * BINS).reshape(-1, BINS)
+        sketch = np.minimum(counts, 255).astype(np.uint8)  # cut off, counts differ by less, never by more
     limit = _limit(1 / (threshold * np.maximum(sizes, 1)))[doc]
     keys: list[list[int]] = [[] for _ in sets]
     for run in range(runs):
@@ -203,8 +203,9 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def possible_pairs(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (left, right) of the pairs of one bucket that are to be compared in it.
 
-    Left out: pairs in another smaller bucket, pairs of one block in another pair of blocks, and pairs that sizes or
-    (where at least 40 ranges are filled) sketches rule out, these with four deviations to spare."""
+    Left out: pairs in another smaller bucket, pairs of one block in another pair of blocks, and pairs whose sizes or
+    sketches show a similarity below the threshold. At the threshold t two sets of a and b shingles differ in at most
+    (1 - t) / (1 + t) * (a + b) of them."""
     key, pair, block = (rows[c].to_numpy() for c in ("key", "pair", "block"))
     size, blocks = rows["size"].to_numpy(), np.maximum(rows["blocks"].to_numpy(), 1)
     sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(-1, BINS)
@@ -228,10 +229,8 @@ def possible_pairs(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np
             ok = ~same | inner | (pair[a] == block[a] * blocks[a] + block[a])
             a, b = a[ok], b[ok]
             x, y = sketch[a], sketch[b]
-            filled = ((x > 0) | (y > 0)).sum(axis=1)
-            alike = ((x == y) & (x > 0)).sum(axis=1)
-            share = alike / np.maximum(filled, 1)
-            ok = (filled < 40) | (share >= threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1)))
+            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            ok = apart <= (1 - threshold) / (1 + threshold) * (size[a] + size[b]) + 1e-6
             a, b = a[ok], b[ok]
             for first in range(0, len(a), 20_000):
                 p, q = a[first : first + 20_000], b[first : first + 20_000]
