@@ -139,3 +139,11 @@ def test_word_fixer():
     assert fix.fix("SQUAD- RON") == "SQUADRON" and fix.fix("TH- THEN") == "TH- THEN" and fix.fix("SO- CALLED") == "SO-CALLED"
     assert fix.fix("QUA- TOYNE") == "QUA-TOYNE" and fix.fix("LNIT ABOLT") == "UNIT ABOUT" and fix.fix("CUR- RENT- LY") == "CURRENTLY"
     assert fix.fix(None) == ""
+
+
+def test_ter_tries_shifts_of_every_length_without_a_cap():
+    spans = helpers._shifts("c d e a b".split(), "a b c d e".split(), 10, 50)
+    assert {(1, 3, 0), (2, 3, 0)} <= set(spans)
+    words = [f"w{k // 2}" for k in range(200)]
+    repeated = helpers._shifts(words[::-1], words, 10, 500)
+    assert len(repeated) > 200 and {f[0] for f in repeated} == {1, 2}

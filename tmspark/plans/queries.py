@@ -934,7 +934,7 @@ def replay_scores(spark, d):
 def paired_statistics(spark, d):
     """Means, intervals and signed-rank tests."""
     diffs = replay.differences(replay.replay_scores(_outputs(spark, d)))
-    return replay.bootstrap(diffs, rounds=200).join(replay.wilcoxon(diffs).drop("n"), replay.KEYS, "left")
+    return replay.bootstrap(diffs).join(replay.wilcoxon(diffs).drop("n"), replay.KEYS, "left")
 
 
 @query("SELECT event_type AS variant, count(*) AS requests, avg(length(props)) AS mean_chars FROM events WHERE user_id % 3 <> 0 AND event_id % 2 = 0 GROUP BY event_type")
