@@ -21,9 +21,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; only where that is unset (local tests) a temporary one is set."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset a local session gets a temporary folder, which
+    its one process sees; on a cluster it is an error, as executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -55,11 +58,14 @@ def fold_of(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def small_batches(spark: SparkSession, rows: int = 2_500) -> None:
-    """Lowers Spark's limit of rows an Arrow batch, for tasks that hold a batch of whole texts several times over."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the session's limit of bytes an Arrow batch (not of rows: texts differ in length), for tasks that hold a
+    batch of whole texts several times over. A lower limit of the caller stays; results don't depend on it. It can't be
+    put back here, as plans run after the call."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= most):
+        spark.conf.set(name, str(most))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

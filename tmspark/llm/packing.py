@@ -9,7 +9,6 @@ kind with a multiplicity. Pieces find their bin by their rank among the pieces o
 
 from __future__ import annotations
 
-import base64
 import bisect
 import zlib
 from collections import defaultdict
@@ -133,9 +132,8 @@ def token_pieces(
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and the document's number of ids.
 
-    A document longer than the capacity is cut so that all pieces but the first are full. The ids are those of the
-    public vocabulary file; it holds ranks for the same splits, and the byte-pair merges run in the faster of the two
-    libraries that read it (tests hold it against ``tokenizers`` itself)."""
+    A document longer than the capacity is cut so that all pieces but the first are full. The ids are those that
+    ``tokenizers`` gives for the vocabulary file; see ``encoder``."""
     path = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -158,28 +156,53 @@ def token_pieces(
     return docs.select(F.col(id_col), F.explode(pieces(F.col(text_col))).alias("_p")).select(id_col, "_p.*")
 
 
+def byte_pieces(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of each piece of a byte-level BPE file to its id; None unless ids are the 256 bytes and then the merges in
+    their order, for only then is the order of merges that of the ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "fuse_unk"))
+    if not plain or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    extra = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in piece): n for piece, n in model["vocab"].items() if piece not in extra}
+    pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
+    merged = (model["vocab"].get(a + b) for a, b in pairs)
+    return ranks if all(n == 256 + k for k, n in enumerate(merged)) else None
+
+
 def encoder(path: str):
-    """Text to ids. Special strings in a text are ordinary text."""
+    """Text to the ids that ``tokenizers`` gives for the file, without added special tokens.
+
+    A byte-level BPE file is read into the quicker of the two libraries that run its merges; texts that hold one of the
+    file's added tokens, and files of any other kind, go to ``tokenizers`` itself. Tests hold both against each other
+    over a whole table."""
     import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    merged = path.removesuffix(".json") + ".tiktoken"
-    if path.endswith(".json") and os.path.exists(merged):
-        import tiktoken
+    from tokenizers import Tokenizer
 
-        from tmspark.llm.token_counts import PRE_TOKEN
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    tokenizer = Tokenizer.from_file(path)
+    ranks = byte_pieces(spec)
+    if ranks is None:
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    import tiktoken
 
-        with open(merged, "rb") as lines:
-            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding(
-            os.path.basename(merged), pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
-    from tokenizers import Tokenizer
+    from tmspark.llm.token_counts import PRE_TOKEN
 
-    tokenizer = Tokenizer.from_str(json.dumps(json.load(open(path))))
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    plain = tiktoken.Encoding(os.path.basename(path), pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in added):
+            return tokenizer.encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return encode
 
 
 def pack(
@@ -189,51 +212,48 @@ def pack(
     vocabulary: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    salts: int = 64,
+    group_rows: int = 50_000,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty and is a piece of just the end id; repeated rows are packed each by itself; an empty table gives
-    an empty one; columns other than id and text aren't read. Pieces are ranked within (length, salt), so no length
-    gathers in one task, and the plan that is broadcast has some rows per length and never grows with the corpus."""
+    an empty one; columns other than id and text aren't read. A full piece is a sequence by itself (of a negative
+    number). The others are ranked within groups of their length of about ``group_rows``, so no length gathers in one
+    task; the plan that is broadcast has some rows per length and never grows with the corpus."""
     spark = docs.sparkSession
     small_batches(spark)
     pieces = materialize(
-        token_pieces(docs, capacity, end_id, vocabulary, id_col, text_col).withColumn(
-            "_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int")
-        )
+        token_pieces(docs, capacity, end_id, vocabulary, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    )
+    names = [id_col, "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity).select(
+        *names, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    counts = pieces.groupBy("length", "_salt").count().collect()  # at most capacity * salts rows
-    histogram: dict[int, int] = defaultdict(int)
-    before = []
-    for row in sorted(counts, key=lambda r: (r.length, r._salt)):
-        before.append((row.length, row._salt, histogram[row.length]))
-        histogram[row.length] += row["count"]
+    part = pieces.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}  # at most capacity rows
     plan = spark.createDataFrame(
         placements(plan_bins(histogram, capacity)), "length long, _from long, _to long, _bin long, offset long"
     )
-    bases = spark.createDataFrame(before, "length long, _salt int, _base long")
-    # A full piece is alone in its bin; every other one looks up the run of ranks that holds its own.
-    order = Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "ids_crc32")
-    ranked = (
-        pieces.withColumn("_n", F.row_number().over(order) - 1)
-        .join(F.broadcast(bases), ["length", "_salt"])
-        .withColumn("_rank", F.col("_base") + F.col("_n"))
-    )
     runs = plan.groupBy("length").agg(
         F.array_sort(F.collect_list(F.struct("_from", "_bin", "offset"))).alias("_runs")
     )
-    run = F.element_at(F.filter("_runs", lambda r: r["_from"] <= F.col("_rank")), -1)
-    return (
-        ranked.join(F.broadcast(runs), "length")
-        .withColumn("_run", run)
-        .select(
-            id_col,
-            "piece",
-            "start",
-            "length",
-            "ids_crc32",
-            (F.col("_run._bin") + F.col("_rank") - F.col("_run._from")).alias("sequence_id"),
-            F.col("_run.offset").alias("offset"),
+    sizes = spark.createDataFrame([(n, -(-c // group_rows)) for n, c in histogram.items()], "length long, _groups long")
+    dealt = part.join(F.broadcast(runs.join(sizes, "length")), "length").withColumn(
+        "_group", F.pmod(F.xxhash64("_row"), F.col("_groups"))
+    )
+    base = dealt.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    base = base.select(
+        "length", "_group", (F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")).alias("_base")
+    )
+    order = Window.partitionBy("length", "_group").orderBy(id_col, "piece", "ids_crc32", "_row")
+    ranked = (
+        dealt.withColumn("_n", F.row_number().over(order) - 1)
+        .join(base, ["length", "_group"])
+        .withColumn("_rank", F.col("_base") + F.col("_n"))
+        .withColumn("_run", F.element_at(F.filter("_runs", lambda r: r["_from"] <= F.col("_rank")), -1))
+    )
+    return full.unionByName(
+        ranked.select(
+            *names, (F.col("_run._bin") + F.col("_rank") - F.col("_run._from")).alias("sequence_id"), F.col("_run.offset").alias("offset")
         )
     )
