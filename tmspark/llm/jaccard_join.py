@@ -2,18 +2,21 @@
 
 A text is the set of its n-word shingles. Texts of equal sets are one node. In each run a set chooses each of its
 tokens with probability 1 / (threshold * size), by hashes that all sets share, and goes to the bucket of each token
-chosen; two sets at the threshold meet in a run with probability 1 - 1/e or more, so ``runs`` of them leave
-exp(-runs) unmet. Buckets above ``bucket_rows`` are split again by further chosen tokens, down to ``depth``. In the
+chosen; two sets at the threshold meet in a run with probability 1 - 1/e or more, so the number of runs follows from
+the target recall: ``runs`` leave exp(-runs) unmet. Buckets above ``bucket_rows`` are split again by further chosen tokens, down to ``depth``. In the
 last buckets all pairs are compared; one that stays large is compared in pairs of blocks, so nothing is dropped.
 
 A pair is compared only in the smallest bucket that holds both, and only if sizes and sketches (how many
-hashes lie in each of 64 ranges) allow it: sets differ by no less than their counts do, so no true pair is ruled out. First the buckets are scanned without shingles for sets that have such a
-pair; then those alone are sent there with their shingles, and pairs are verified exactly. What leaves a bucket is a
-row a set: the number of its links, and one link toward the set that stands for the bucket's component.
+hashes lie in each of 64 ranges) allow it: sets differ by no less than their counts do, so no true pair is ruled out.
+First the buckets are scanned without shingles for sets that have such a pair; then those alone are sent there with
+their shingles, and pairs are verified exactly. Shingles are never stored: where a set's are wanted they are made again
+from a text of it. What leaves a bucket is a row a set: the number of its links, and one link toward the set that
+stands for the bucket's component. Intermediate tables go as soon as nothing reads them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ _FULL = float(2**64)
 #: Shingles are told apart by 48 bits.
 _KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 _COMBINE = np.uint64(0x9E3779B97F4A7C15)
-SETS = "node long, size int, sketch binary, keys array<long>, shingles binary"
+SETS = "node long, size int, sketch binary, keys array<long>"
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -62,7 +65,7 @@ def _limit(share: np.ndarray) -> np.ndarray:
 
 
 def describe(sets: list[np.ndarray], threshold: float, runs: int) -> list[tuple]:
-    """(node, size, sketch, keys, shingles) of each set; an empty set has no node."""
+    """(node, size, sketch, keys) of each set; an empty set has no node."""
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.uint64)
     doc = np.repeat(np.arange(len(sets)), sizes)
@@ -79,7 +82,7 @@ def describe(sets: list[np.ndarray], threshold: float, runs: int) -> list[tuple]
         for d, key in zip(doc[chosen].tolist(), mix64(flat[chosen] * _COMBINE + seed).view(np.int64).tolist(), strict=True):
             keys[d].append(key)
     return [
-        (_signed(xxhash.xxh64_intdigest(s.tobytes())), len(s), k.tobytes(), sorted(set(own)), pack(s)) if len(s) else None
+        (node_of(s), len(s), k.tobytes(), sorted(set(own))) if len(s) else None
         for s, k, own in zip(sets, sketch, keys, strict=True)
     ]
 
@@ -88,31 +91,62 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def node_of(hashes: np.ndarray) -> int:
+    """The number of a set, by a hash of its sorted shingles."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
+
+
+def sets_in(batches: Iterator[pd.Series], n: int) -> Iterator[list[np.ndarray]]:
+    """The shingle sets of the texts of each batch, some texts at a time; an empty list ends a batch."""
+    memo: dict[bytes, int] = {}
+    for texts in batches:
+        texts = texts.tolist()
+        for a, b in chunks(texts, 500_000):
+            sets = []
+            for text in texts[a:b]:
+                words = words_of(text)
+                for w in set(words):
+                    if w not in memo:
+                        memo[w] = xxhash.xxh64_intdigest(w)
+                sets.append(shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), n))
+                if len(memo) > 60_000:
+                    memo.clear()
+            yield sets
+        yield []
+
+
 def set_column(text, n: int, threshold: float, runs: int):
     """struct of SETS for a text column; null where the text has no word."""
 
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
-        for texts in batches:
-            texts, rows = texts.tolist(), []
-            for a, b in chunks(texts, 500_000):
-                sets = []
-                for text in texts[a:b]:
-                    words = words_of(text)
-                    for w in set(words):
-                        if w not in memo:
-                            memo[w] = xxhash.xxh64_intdigest(w)
-                    sets.append(shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), n))
-                    if len(memo) > 60_000:
-                        memo.clear()
-                rows += [r or (None, 0, None, [], None) for r in describe(sets, threshold, runs)]
-            out = pd.DataFrame(rows, columns=["node", "size", "sketch", "keys", "shingles"])
+        rows: list = []
+        for sets in sets_in(batches, n):
+            if sets:
+                rows += [r or (None, 0, None, []) for r in describe(sets, threshold, runs)]
+                continue
+            out = pd.DataFrame(rows, columns=["node", "size", "sketch", "keys"])
             out["node"] = out["node"].astype("Int64")
+            rows = []
             yield out
 
     return F.pandas_udf(make, SETS)(text)
 
 
+def shingle_column(text, n: int):
+    """struct of a text's set and its shingles, packed."""
+
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rows: list = []
+        for sets in sets_in(batches, n):
+            if sets:
+                rows += [(node_of(s), pack(s)) for s in sets]
+                continue
+            yield pd.DataFrame(rows, columns=["node", "shingles"])
+            rows = []
+
+    return F.pandas_udf(make, "node long, shingles binary")(text)
+
+
 def _children(threshold: float, branch: float):
     """Keys of the next level for a bucket's key, from the tokens that the set offers."""
 
@@ -131,19 +165,29 @@ def _children(threshold: float, branch: float):
     return F.pandas_udf(make, "array<long>")
 
 
-def sets_of(stored: DataFrame, nodes: DataFrame, slots: int = 1 << 20) -> DataFrame:
-    """The stored row of each of the given nodes.
+class Texts:
+    """The texts of ``docs`` and which of them stands for each node."""
+
+    def __init__(self, docs: DataFrame, text_col: str, n: int, nodes: DataFrame):
+        self.texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key")).where("_text is not null")
+        self.n, self.nodes = n, nodes
+
+    def sets_of(self, nodes: DataFrame, slots: int = 1 << 20) -> DataFrame:
+        """(node, shingles) of each of the given nodes, made from its text.
 
-    Rows are first held against the nodes' residues, a table that is broadcast and has at most ``slots`` rows, so that
-    few but the wanted shingles are shuffled; where most residues occur this filters little and changes nothing."""
-    wanted = nodes.select("node").distinct()
-    residue = F.pmod("node", F.lit(slots))
-    some = F.broadcast(wanted.select(residue.alias("_slot")).distinct())
-    near = stored.withColumn("_slot", residue).join(some, "_slot", "left_semi").drop("_slot")
-    return near.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        Texts are first held against the wanted keys' residues, a table that is broadcast and has at most ``slots`` rows,
+        so that few but the wanted ones are shuffled; where most residues occur this filters little and changes nothing."""
+        wanted = self.nodes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "_key")
+        residue = F.pmod("_key", F.lit(slots))
+        some = F.broadcast(wanted.select(residue.alias("_slot")).distinct())
+        near = self.texts.withColumn("_slot", residue).join(some, "_slot", "left_semi").drop("_slot")
+        # One text a key in each map task, then one a key: copies of a text may be very many.
+        one = near.groupBy("_key").agg(F.first("_text").alias("_text")).join(wanted.select("_key"), "_key", "left_semi")
+        made = one.select("_key", shingle_column(F.col("_text"), self.n).alias("_s")).select("_key", "_s.*")
+        return made.join(wanted, ["_key", "node"], "left_semi").select("node", "shingles")
 
 
-def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket_rows: int, depth: int, branch: float, bag: list[str]) -> DataFrame:
+def leaf_buckets(nodes: DataFrame, texts: Texts, threshold: float, bucket_rows: int, depth: int, branch: float, bag: list[str]) -> DataFrame:
     """(key, node, members) of the buckets of 2 sets or more that aren't split further.
 
     A bucket whose largest child would hold half of it or more is one of near copies; no split parts those, so it is
@@ -158,9 +202,8 @@ def leaf_buckets(nodes: DataFrame, shingles: DataFrame, threshold: float, bucket
         large = rows.where(F.col("members") > bucket_rows)
         if level == depth or not large.limit(1).count():
             return leaves
-        # A set offers its lowest tokens only, and never near as many as twice the mean.
-        offered = shingles.withColumn("shingles", F.substring("shingles", 1, 12 * round(OFFERED / threshold)))
-        own = sets_of(offered, large)
+        # A set offers its tokens of the lowest hashes, by the limit that _children draws.
+        own = texts.sets_of(large).join(nodes.select("node", "size"), "node")
         child = large.join(own, "node").select(
             "node", "key", "members", F.explode(_children(threshold, branch)("key", "size", "shingles")).alias("child")
         )
@@ -318,29 +361,51 @@ def _verify(threshold: float):
     return verify
 
 
-def components(edges: DataFrame, bag: list[str]) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (node, toward): root is the smallest node reachable.
+def _with_least(pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """``pairs`` (u, v) with ``m``, the least of each u and its v.
+
+    A u of very many pairs isn't joined by a shuffle: such ones are broadcast, and as each has a ten-thousandth of all
+    pairs or more, there are at most some ten thousand."""
+    hub = max(1_000, n_pairs // 10_000)
+    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
+    marked = pairs.join(hubs, "u", "left")
+    rest = marked.where("hub_m is null").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest.select("u", "v", "m"))
+
+
+def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(node, root) for the nodes of ``edges`` (node, toward): root is the smallest node reachable; and its folder.
 
     Alternates two steps until no edge changes: each node's larger neighbours are tied to its smallest neighbour, then
-    its smaller ones are. Each step is a grouping and a join, so no neighbourhood is gathered in one place."""
+    its smaller ones are. Each step is a grouping and a join, so no neighbourhood is gathered in one place. A round's
+    table goes when the next is written."""
+    bag: list[str] = []
     now = materialize(edges.where("node <> toward").select(F.greatest("node", "toward").alias("u"), F.least("node", "toward").alias("v")).distinct(), bag)
-    before = None
+    marks = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40)))
+    mark = now.agg(*marks).first()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        turned = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(turned, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        old = list(bag)
+        bag.clear()
         now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), bag)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        discard(edges.sparkSession, old)
+        before, mark = mark, now.agg(*marks).first()
         if mark == before:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        before = mark
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), bag
+
+
+def runs_for(target_recall: float) -> int:
+    """Runs after which two sets at the threshold have met with this probability."""
+    return max(1, math.ceil(-math.log(1 - target_recall)))
 
 
 def join(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", runs: int = 14,
-    bucket_rows: int = 256, depth: int = 2, branch: float = 1.5,
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+    target_recall: float = 0.999999, runs: int | None = None, bucket_rows: int = 256, depth: int = 2, branch: float = 1.5,
 ) -> DataFrame:
     """One row per row of ``docs``: id, class_id, n_links.
 
@@ -348,42 +413,55 @@ def join(
     class_id: the smallest id of the rows that links connect. Texts of fewer than ``n`` words have one shingle of all
     their words; those without a word (null, empty) are in no class but their own and have no links. Repeated rows are
     copies of each other. Rows with a null id take part; a class of such rows alone has a null class_id. An empty table
-    gives an empty one; other columns aren't read."""
-    bag: list[str] = []
-    small_batches(docs.sparkSession)
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), set_column(F.col(text_col), n, threshold, runs).alias("_s")).select("_id", "_s.*"), bag)
-    ids = materialize(rows.select("_id", "node"))
+    gives an empty one; other columns aren't read. ``runs`` follow from ``target_recall`` unless given."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    runs = runs or runs_for(target_recall)
+    raw, scratch, kept = [], [], []
+    rows = materialize(
+        docs.select(
+            F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), set_column(F.col(text_col), n, threshold, runs).alias("_s")
+        ).select("_id", "_key", "_s.*"),
+        raw,
+    )
     nodes = materialize(
         rows.where("node is not null").groupBy("node").agg(
-            F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least"), F.first("size").alias("size"),
+            F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least"), F.min("_key").alias("_key"), F.first("size").alias("size"),
             F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
         ),
-        bag,
+        scratch,
     )
-    stored = rows.where("node is not null").select("node", "size", "shingles")
-    leaves = leaf_buckets(nodes, stored.select("node", "size", "shingles"), threshold, bucket_rows, depth, branch, bag)
+    ids = materialize(rows.select("_id", "node"), kept)
+    discard(spark, raw)
+    texts = Texts(docs, text_col, n, nodes.select("node", "_key"))
+    levels: list[str] = []
+    leaves = materialize(leaf_buckets(nodes, texts, threshold, bucket_rows, depth, branch, levels).distinct(), scratch)
+    discard(spark, levels)
+    blocks = F.when(F.col("members") > bucket_rows, F.ceil(F.col("members") / bucket_rows)).otherwise(0).cast("long")
+    placed = _in_blocks(leaves.withColumn("blocks", blocks), bucket_rows)
     own = leaves.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     about = nodes.select("node", "copies", "size", "sketch").join(own, "node")
-    blocks = F.when(F.col("members") > bucket_rows, F.ceil(F.col("members") / bucket_rows)).otherwise(0).cast("long")
-    placed = _in_blocks(leaves.distinct().withColumn("blocks", blocks), bucket_rows)
-    scanned = (
+    needed = materialize(
         placed.join(about, "node").select("key", "pair", "block", "blocks", "members", "node", "size", "sketch", "keys")
         .repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
-        .mapInPandas(_scan(threshold), "key long, pair long, block long, blocks long, members long, node long")
+        .mapInPandas(_scan(threshold), "key long, pair long, block long, blocks long, members long, node long"),
+        scratch,
     )
-    needed = materialize(scanned, bag)
-    sets = sets_of(stored, needed).select("node", "shingles")
+    found: list[str] = []
     verified = materialize(
-        needed.join(about, "node").join(sets, "node")
+        needed.join(about, "node").join(texts.sets_of(needed), "node")
         .repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
         .mapInPandas(_verify(threshold), "node long, links long, toward long"),
-        bag,
+        found,
+    )
+    about = materialize(nodes.select("node", "copies", "least"), kept)
+    discard(spark, scratch)
+    links = materialize(verified.groupBy("node").agg(F.sum("links").alias("links")), kept)
+    root, last = components(verified.select("node", "toward"))
+    known = materialize(
+        about.join(links, "node", "left").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), kept
     )
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    root = components(verified.select("node", "toward"), bag)
-    known = nodes.select("node", "copies", "least").join(links, "node", "left").join(root, "node", "left")
-    known = materialize(known.withColumn("root", F.coalesce("root", "node")))
-    discard(docs.sparkSession, bag)
+    discard(spark, last + found)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
     result = known.join(classes, "root").select(
         "node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
