@@ -11,7 +11,10 @@ from tmspark.llm.common import fold_of, materialize
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives 0.7 or more; it learns from the labelled ones outside the held-out fold."""
+    """Documents that the classifier gives 0.7 or more; it learns from the labelled ones outside the held-out fold.
+
+    Null and empty texts get the score of no evidence; repeated rows are judged alike and all stay or go; very long
+    texts are judged whole; an empty table gives an empty one. Other columns, whatever their names, pass through."""
     ship(spark)
     held_out = fold_of("doc_id", 4, 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
@@ -20,7 +23,10 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept; they learn from those with a language outside the held-out fold."""
+    """Documents whose language the models accept; they learn from those with a language outside the held-out fold.
+
+    Texts that are null or have no letter are of no language and go; repeated rows are judged alike; an empty table, or
+    one without any known language, gives an empty one. Other columns pass through."""
     ship(spark)
     model = langid.train(docs.where(~fold_of("doc_id", 4, 2)))
     return docs.where(langid.language_column(F.col("text"), model, spark)["accepted"])
@@ -29,24 +35,36 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word similarities of 0.8 or more connect, the one of the smallest id; one row of it.
 
-    A row without an id takes part under a number made of its text, above all ids."""
+    A row is told by its id and its text, so unrelated texts of one id are different documents; ids before none. Rows
+    without a word (null, empty) are in no group and stay, all of them. Other columns pass through, of repeated rows
+    those of one of them. An empty table gives an empty one."""
     ship(spark)
-    high = 1 << 62
-    number = F.coalesce("doc_id", F.lit(high) + F.pmod(F.xxhash64("text"), F.lit(high)))
-    numbered = docs.withColumn("_number", number)
-    found = jaccard_join.join(numbered.select("_number", "text"), n=5, threshold=0.8, id_col="_number")
-    gone = found.where("class_id <> _number").select("_number").distinct()
-    return numbered.join(gone, "_number", "left_anti").dropDuplicates(["_number"]).select(docs.columns)
+    name = "_document"
+    while name in docs.columns:
+        name += "_"
+    number = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    textless, numbered = docs.where("text is null"), docs.where("text is not null").withColumn(name, number)
+    found = jaccard_join.join(numbered.select(name, "text"), n=5, threshold=0.8, id_col=name).where("n_links > 0").distinct()
+    found = materialize(found.select(name, (F.col("class_id") == F.col(name)).alias("stays")))
+    alone = numbered.join(found, name, "left_anti")
+    first = numbered.join(found.where("stays"), name, "left_semi").dropDuplicates([name])
+    return alone.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(textless)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of ten words of a benchmark item."""
+    """Documents without any window of ten words of a benchmark item.
+
+    Null and empty texts have no window and stay; repeated rows stay or go together; long texts are scanned whole; an
+    empty table gives an empty one. Other columns pass through."""
     ship(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, remove="documents")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of 1024 tokens."""
+    """Where each piece of each document goes in sequences of 1024 tokens.
+
+    Null texts are empty and are packed as their end id; repeated rows are packed each by itself; longer documents are
+    cut; an empty table gives an empty one. Columns but the id aren't read."""
     ship(spark)
     return packing.pack(docs, capacity=1024, end_id=2)
 
