@@ -4,7 +4,8 @@ A text is the set of its n-word shingles. Texts of equal sets are one node. In e
 tokens with probability 1 / (threshold * size), by hashes that all sets share, and goes to the bucket of each token
 chosen; two sets at the threshold meet in a run with probability 1 - 1/e or more, so the number of runs follows from
 the target recall: ``runs`` leave exp(-runs) unmet. Buckets above ``bucket_rows`` are split again by further chosen tokens, down to ``depth``. In the
-last buckets all pairs are compared; one that stays large is compared in pairs of blocks, so nothing is dropped.
+last buckets all pairs are compared; one that stays large is compared in pairs of blocks, so nothing is dropped. Rows
+that have met in a smaller bucket aren't paired again.
 
 A pair is compared only in the smallest bucket that holds both, and only if sizes and sketches (how many
 hashes lie in each of 64 ranges) allow it: sets differ by no less than their counts do, so no true pair is ruled out.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmspark.llm.common import chunks, discard, materialize, mix64, small_batches, words_of
@@ -132,14 +133,24 @@ def set_column(text, n: int, threshold: float, runs: int):
     return F.pandas_udf(make, SETS)(text)
 
 
-def shingle_column(text, n: int):
-    """struct of a text's set and its shingles, packed."""
+def offered_share(size: int, threshold: float) -> float:
+    return min(1.0, OFFERED / (threshold * max(size, 1)))
+
+
+def offer(tokens: np.ndarray, threshold: float) -> np.ndarray:
+    """The tokens of the lowest hashes, ``OFFERED`` / threshold on average."""
+    return tokens[tokens <= _limit(np.array([offered_share(len(tokens), threshold)]))[0]]
+
+
+def shingle_column(text, n: int, offered: float | None = None):
+    """struct of a text's set and its shingles, packed; with ``offered`` (the threshold), only those that it offers for
+    deeper choices."""
 
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows: list = []
         for sets in sets_in(batches, n):
             if sets:
-                rows += [(node_of(s), pack(s)) for s in sets]
+                rows += [(node_of(s), pack(s if offered is None else offer(s, offered))) for s in sets]
                 continue
             yield pd.DataFrame(rows, columns=["node", "shingles"])
             rows = []
@@ -154,9 +165,7 @@ def _children(threshold: float, branch: float):
         out = []
         for key, size, data in zip(keys, sizes, shingles, strict=True):
             tokens = unpack(data)
-            offer = min(1.0, OFFERED / (threshold * size))
-            tokens = tokens[tokens <= _limit(np.array([offer]))[0]]
-            share = min(1.0, branch / (threshold * size) / offer)
+            share = min(1.0, branch / (threshold * size) / offered_share(size, threshold))
             path = mix64(np.array([key], dtype=np.int64).view(np.uint64))
             chosen = tokens[mix64(tokens ^ path) <= _limit(np.array([share]))[0]]
             out.append(mix64(chosen * _COMBINE + path).view(np.int64).tolist())
@@ -172,8 +181,8 @@ class Texts:
         self.texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key")).where("_text is not null")
         self.n, self.nodes = n, nodes
 
-    def sets_of(self, nodes: DataFrame, slots: int = 1 << 20) -> DataFrame:
-        """(node, shingles) of each of the given nodes, made from its text.
+    def sets_of(self, nodes: DataFrame, offered: float | None = None, slots: int = 1 << 20) -> DataFrame:
+        """(node, shingles) of each of the given nodes, made from its text; the offered ones only, if a threshold is given.
 
         Texts are first held against the wanted keys' residues, a table that is broadcast and has at most ``slots`` rows,
         so that few but the wanted ones are shuffled; where most residues occur this filters little and changes nothing."""
@@ -183,7 +192,7 @@ class Texts:
         near = self.texts.withColumn("_slot", residue).join(some, "_slot", "left_semi").drop("_slot")
         # One text a key in each map task, then one a key: copies of a text may be very many.
         one = near.groupBy("_key").agg(F.first("_text").alias("_text")).join(wanted.select("_key"), "_key", "left_semi")
-        made = one.select("_key", shingle_column(F.col("_text"), self.n).alias("_s")).select("_key", "_s.*")
+        made = one.select("_key", shingle_column(F.col("_text"), self.n, offered).alias("_s")).select("_key", "_s.*")
         return made.join(wanted, ["_key", "node"], "left_semi").select("node", "shingles")
 
 
@@ -202,8 +211,7 @@ def leaf_buckets(nodes: DataFrame, texts: Texts, threshold: float, bucket_rows:
         large = rows.where(F.col("members") > bucket_rows)
         if level == depth or not large.limit(1).count():
             return leaves
-        # A set offers its tokens of the lowest hashes, by the limit that _children draws.
-        own = texts.sets_of(large).join(nodes.select("node", "size"), "node")
+        own = texts.sets_of(large, threshold).join(nodes.select("node", "size"), "node")
         child = large.join(own, "node").select(
             "node", "key", "members", F.explode(_children(threshold, branch)("key", "size", "shingles")).alias("child")
         )
@@ -216,14 +224,33 @@ def leaf_buckets(nodes: DataFrame, texts: Texts, threshold: float, bucket_rows:
     return leaves
 
 
-def _in_blocks(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    """Adds ``pair``: the pairs of blocks that a row of a large bucket belongs to, 0 for the rest; and its block."""
-    blocks = F.ceil(F.col("members") / bucket_rows).cast("long")
-    own = F.pmod(F.xxhash64("node", "key"), blocks)
-    low = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))
-    split = rows.withColumn("block", F.when(F.col("members") > bucket_rows, own).otherwise(F.lit(0)))
-    pairs = F.when(F.col("members") > bucket_rows, low).otherwise(F.array(F.lit(0).cast("long")))
-    return split.withColumn("pair", F.explode(pairs))
+def _in_blocks(leaves: DataFrame, least: DataFrame, bucket_rows: int, block_rows: int) -> DataFrame:
+    """Rows (key, node, members) with ``blocks``, ``block`` and ``pair``: a large bucket's rows are dealt to blocks, and a
+    row goes to each pair of blocks that it is compared in; all 0 for the rest.
+
+    Rows that have a smaller bucket in common as their smallest (``least``: node, p) have met there. Where so many of a
+    bucket do that they fill a block, they are blocks by themselves and not paired with each other: of the many buckets
+    that a group of near copies shares, all its pairs are looked at in one."""
+    zero = F.lit(0).cast("long")
+    small = leaves.where(F.col("members") <= bucket_rows).select("key", "node", "members", zero.alias("blocks"), zero.alias("block"), zero.alias("pair"))
+    large = leaves.where(F.col("members") > bucket_rows).join(least, "node")
+    sizes = large.groupBy("key", "p").agg(F.count(F.lit(1)).alias("c"))
+    met = (F.col("p") < F.col("key")) & (F.col("c") >= block_rows)
+    own = sizes.where(met).select("key", "p", F.ceil(F.col("c") / block_rows).cast("long").alias("n"))
+    own = own.withColumn("first", F.sum("n").over(Window.partitionBy("key").orderBy("p")) - F.col("n"))
+    mixed = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(~met, F.col("c")).otherwise(0)) / block_rows).cast("long").alias("mixed"))
+    total = mixed.join(own.groupBy("key").agg(F.sum("n").alias("_own")), "key", "left").select(
+        "key", "mixed", (F.col("mixed") + F.coalesce("_own", F.lit(0))).alias("blocks")
+    )
+    rows = large.join(own, ["key", "p"], "left").join(total, "key")
+    dealt = F.xxhash64("node", "key")
+    first = F.col("mixed") + F.col("first")
+    block = F.when(F.col("n").isNull(), F.pmod(dealt, F.greatest("mixed", F.lit(1)))).otherwise(first + F.pmod(dealt, F.col("n")))
+    rows = rows.withColumn("block", block)
+    every = F.sequence(zero, F.col("blocks") - 1)
+    others = F.filter(every, lambda x: F.col("n").isNull() | (x < first) | (x >= first + F.col("n")))
+    pairs = F.transform(others, lambda x: F.least(x, F.col("block")) * F.col("blocks") + F.greatest(x, F.col("block")))
+    return small.unionByName(rows.select("key", "node", "members", "blocks", "block", F.explode(pairs).alias("pair")))
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -437,8 +464,7 @@ def join(
     levels: list[str] = []
     leaves = materialize(leaf_buckets(nodes, texts, threshold, bucket_rows, depth, branch, levels).distinct(), scratch)
     discard(spark, levels)
-    blocks = F.when(F.col("members") > bucket_rows, F.ceil(F.col("members") / bucket_rows)).otherwise(0).cast("long")
-    placed = _in_blocks(leaves.withColumn("blocks", blocks), bucket_rows)
+    placed = _in_blocks(leaves, leaves.groupBy("node").agg(F.min("key").alias("p")), bucket_rows, 4 * bucket_rows)
     own = leaves.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     about = nodes.select("node", "copies", "size", "sketch").join(own, "node")
     needed = materialize(
