@@ -185,15 +185,16 @@ class Texts:
         """(node, shingles) of each of the given nodes, made from its text; the offered ones only, if a threshold is given.
 
         Texts are first held against the wanted keys' residues, a table that is broadcast and has at most ``slots`` rows,
-        so that few but the wanted ones are shuffled; where most residues occur this filters little and changes nothing."""
+        so that the shingles of few but the wanted ones are made and shuffled; where most residues occur this filters
+        little and changes nothing. Texts themselves are never shuffled."""
         wanted = self.nodes.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "_key")
         residue = F.pmod("_key", F.lit(slots))
         some = F.broadcast(wanted.select(residue.alias("_slot")).distinct())
-        near = self.texts.withColumn("_slot", residue).join(some, "_slot", "left_semi").drop("_slot")
-        # One text a key in each map task, then one a key: copies of a text may be very many.
-        one = near.groupBy("_key").agg(F.first("_text").alias("_text")).join(wanted.select("_key"), "_key", "left_semi")
-        made = one.select("_key", shingle_column(F.col("_text"), self.n, offered).alias("_s")).select("_key", "_s.*")
-        return made.join(wanted, ["_key", "node"], "left_semi").select("node", "shingles")
+        near = self.texts.withColumn("_slot", residue).join(some, "_slot", "left_semi")
+        made = near.select(shingle_column(F.col("_text"), self.n, offered).alias("_s")).select("_s.*")
+        # Copies of a text may be very many: one a map task is shuffled.
+        one = made.groupBy("node").agg(F.first("shingles").alias("shingles"))
+        return one.join(wanted.select("node"), "node", "left_semi")
 
 
 def leaf_buckets(nodes: DataFrame, texts: Texts, threshold: float, bucket_rows: int, depth: int, branch: float, bag: list[str]) -> DataFrame:
@@ -432,7 +433,7 @@ def runs_for(target_recall: float) -> int:
 
 def join(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-    target_recall: float = 0.999999, runs: int | None = None, bucket_rows: int = 256, depth: int = 2, branch: float = 1.5,
+    target_recall: float = 0.999999, runs: int | None = None, bucket_rows: int = 1024, depth: int = 2, branch: float = 1.5,
 ) -> DataFrame:
     """One row per row of ``docs``: id, class_id, n_links.
 
@@ -464,7 +465,7 @@ def join(
     levels: list[str] = []
     leaves = materialize(leaf_buckets(nodes, texts, threshold, bucket_rows, depth, branch, levels).distinct(), scratch)
     discard(spark, levels)
-    placed = _in_blocks(leaves, leaves.groupBy("node").agg(F.min("key").alias("p")), bucket_rows, 4 * bucket_rows)
+    placed = _in_blocks(leaves, leaves.groupBy("node").agg(F.min("key").alias("p")), bucket_rows, 2 * bucket_rows)
     own = leaves.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     about = nodes.select("node", "copies", "size", "sketch").join(own, "node")
     needed = materialize(
