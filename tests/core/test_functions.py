@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tmspark.functions import geometry as geo
-from tmspark.functions import helpers, text
+from tmspark.functions import helpers, splitting, text
+from tmspark.operators import repair
 
 
 def one(spark, value, column):
@@ -126,19 +127,60 @@ def test_replacement_keeps_case_and_endings(spark):
     assert (got[0].p, got[0].w) == ("WYWERN, WYWERNY i Wywernami", "WYWERN, WIWERNY i Wiwernami") and got[1].p is None
 
 
-def test_split_translation():
-    parts, how = helpers.split_by_sources("Co? To jest? Nie wiem.", ["WHAT... IS THIS?!", "I DON'T KNOW."])
-    assert how == "sentences" and len(parts) == 2
-    assert helpers.split_by_sources("Jest dziewiąta, ALE mam czas", ["IT IS NINE", "BUT I HAVE TIME"]) == (["Jest dziewiąta", "ALE mam czas"], "clauses")
-    assert helpers.split_by_sources("Tak", ["YES", "NO"]) == (["Tak", ""], "unsplit")
+def test_letter_case_of_a_replacement():
+    cases = {"wiwern": "wywern", "Wiwern": "Wywern", "WIWERN": "WYWERN", "wiWern": "WYWern", "123": "WYWern"}
+    assert {k: helpers.with_case_of(k, "WYWern") for k in cases} == cases
 
 
-def test_word_fixer():
+def test_split_translation(spark):
+    cases = [
+        ("Co? To jest? Nie wiem.", ["WHAT... IS THIS?!", "I DON'T KNOW."], ["Co? To jest?", "Nie wiem."], "sentences"),
+        ("Jest dziewiąta, ALE mam czas", ["IT IS NINE", "BUT I HAVE TIME"], ["Jest dziewiąta", "ALE mam czas"], "clauses"),
+        ("Raz. Dwa dwa dwa dwa. Trzy. Cztery.", ["A LONG FIRST PIECE", "B"], ["Raz. Dwa dwa dwa dwa. Trzy.", "Cztery."], "proportional"),
+        ("aaa, bbb – ccc, ddd", ["xxx", "yyy", "zzz"], ["aaa, bbb", "– ccc", "ddd"], "clauses"),
+        ("Tak", ["YES", "NO"], ["Tak", ""], "unsplit"), (None, ["YES", "NO"], ["", ""], "unsplit"), ("Tak.", ["YES"], ["Tak."], "sentences"), ("Tak.", [], ["Tak."], "sentences"),
+    ]
+    rows = spark.createDataFrame([(k, c[0], c[1]) for k, c in enumerate(cases)], "id int, text string, sources array<string>")
+    got = {r.id: (r.parts, r.method) for r in splitting.split_translation(rows, "text", "sources").collect()}
+    assert [got[k] for k in range(len(cases))] == [(c[2], c[3]) for c in cases]
+
+
+def test_repair(spark):
     zipf = {"squadron": 4.0, "unit": 5.0, "about": 6.0, "currently": 5.0, "so": 6.0, "called": 5.5, "current": 5.2, "time": 6.0}
-    fix = helpers.WordFixer(zipf, ["QUA-TOYNE"])
-    assert fix.fix("SQUAD- RON") == "SQUADRON" and fix.fix("TH- THEN") == "TH- THEN" and fix.fix("SO- CALLED") == "SO-CALLED"
-    assert fix.fix("QUA- TOYNE") == "QUA-TOYNE" and fix.fix("LNIT ABOLT") == "UNIT ABOUT" and fix.fix("CUR- RENT- LY") == "CURRENTLY"
-    assert fix.fix(None) == ""
+    table = spark.createDataFrame(list(zipf.items()), "word string, zipf double")
+    want = {
+        "SQUAD- RON": "SQUADRON", "TH- THEN": "TH- THEN", "SO- CALLED": "SO-CALLED", "QUA- TOYNE": "QUA-TOYNE", "LNIT ABOLT": "UNIT ABOUT", "CUR- RENT- LY": "CURRENTLY",
+        "squad- \nron's 'lnit'": "squadron's 'unit'", "": "", "A- B": "A- B",
+    }
+    rows = spark.createDataFrame([(t,) for t in want] + [(None,), ("SQUAD- RON",)], "text string")
+    got = [(r.text, r.fixed) for r in repair.fix_ocr_text(rows, table, ["qua-toyne"]).collect()]
+    assert sorted(got, key=str) == sorted([*want.items(), (None, ""), ("SQUAD- RON", "SQUADRON")], key=str)
+    assert [r.memory_text for r in repair.memory_text(spark.createDataFrame([(" SQUAD-   RON  x ",)], "text string"), table).collect()] == ["SQUADRON x"]
+    assert repair.fix_ocr_text(rows.limit(0), table).count() == 0
+
+
+def test_bare_text_folds_compatibility_forms(spark):
+    rows = spark.createDataFrame([("\ufb01x \uff21!",), ("STRASSE",), ("stra\u00dfe",), (None,), ("A b-C",)], "x string")
+    assert [r.b for r in rows.select(text.bare_text(F.col("x")).alias("b")).collect()] == ["fixa", "strasse", "strasse", "", "abc"]
+
+
+def test_char_distance_against_the_table(spark):
+    import random
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("ab\u0107") for _ in range(rng.randrange(0, 90)))
+    pairs = [(word(), word()) for _ in range(60)] + [("", ""), ("", "abc"), ("same", "same"), ("abcX" * 30, "abcY" * 30)]
+    assert [helpers.char_edits(a, b) for a, b in pairs] == [table(a, b) for a, b in pairs]
+    got = spark.createDataFrame(pairs + [(None, "a")], "a string, b string").select(helpers.char_distance(F.col("a"), F.col("b"), most=50).alias("d")).collect()
+    assert [r.d for r in got] == [table(a, b) for a, b in pairs] + [None]
 
 
 def test_ter_tries_shifts_of_every_length_without_a_cap():

@@ -123,5 +123,14 @@ def page_filter(pages: DataFrame, hidden_groups: list[str], q: str | None = None
     return rows.where(F.lower("file_name").contains(q.lower())) if q else rows
 
 
-def chapter_sort(chapters: DataFrame) -> DataFrame:
-    return chapters.orderBy(text.chapter_sort_key(F.col("title")), "id")
+def chapter_sort(chapters: DataFrame, by: str = "number", descending: bool | None = None) -> DataFrame:
+    """Chapters (id, title, and for some orders done_score, reviewed_pages, last_activity) by number, progress, reviewed,
+    updated or name, each in its own direction unless one is given; ties by number."""
+    number = text.chapter_sort_key(F.col("title"))
+    sorts = {
+        "number": (lambda: number, False), "progress": (lambda: F.col("done_score"), True), "reviewed": (lambda: F.col("reviewed_pages"), True),
+        "updated": (lambda: F.coalesce("last_activity", F.lit(0).cast("timestamp")), True), "name": (lambda: text.natural_sort_key(F.col("title")), False),
+    }
+    column, own = sorts[by]
+    down = own if descending is None else descending
+    return chapters.orderBy(column().desc() if down else column().asc(), number, "id")

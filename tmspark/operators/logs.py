@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tmspark.functions import text
 
+EXAMPLE = "struct<en:string,pl:string,similarity:double,kind:string>"
 INJECTION = (
+    f"examples array<{EXAMPLE}>, exact string, glossary array<struct<source_term:string,target_term:string>>, "
     "lane string, model_output string, temperature double, terms struct<missing:array<string>,postedit:struct<applied:boolean>>, "
     "memory_probe struct<lane:string,candidates:int,best:double,size:long,threshold:double>, correction_ids array<long>"
 )
@@ -34,7 +36,7 @@ def logs_with_bubble_now(logs: DataFrame, bubbles: DataFrame) -> DataFrame:
 def pair_logs(logs: DataFrame) -> DataFrame:
     """One row for each (run_id, bubble_id) with a struct of either variant (the oldest log of it) and the lane."""
     parsed = logs.withColumn("injection", F.from_json("injection_json", INJECTION))
-    keep = ["id", "page_id", "source_text", "output_text", "similarity_score", "threshold_used", "glossary_terms_used", "hints_json", "memory_lane", "injection", "created_at"]
+    keep = ["id", "page_id", "source_text", "output_text", *[c for c in ("model_used", "key_label") if c in logs.columns], "similarity_score", "threshold_used", "glossary_terms_used", "hints_json", "memory_lane", "injection", "created_at"]
     row = F.struct(*keep)
     one = lambda v: F.min_by(F.when(F.col("variant") == v, row), F.when(F.col("variant") == v, F.struct("created_at", "id"))).alias(v)
     pairs = parsed.where(F.col("variant").isin(*VARIANTS)).groupBy("run_id", "bubble_id").agg(*[one(v) for v in VARIANTS])
@@ -148,8 +150,10 @@ def log_filters() -> dict[str, Column]:
     }
 
 
-def log_filter(rows: DataFrame, mode: str = "all", q: str | None = None) -> DataFrame:
+def log_filter(rows: DataFrame, mode: str = "all", q: str | None = None, chapter: str | None = None) -> DataFrame:
+    """Rows of a mode, of a chapter (column ``chapter``) if one is given, that hold ``q`` in source, output or bubble."""
     kept = rows.where(log_filters()[mode])
+    kept = kept if chapter is None else kept.where(F.col("chapter") == chapter)
     if q:
         hay = [F.lower(F.coalesce(c, F.lit(""))) for c in ("base.source_text", "shown.output_text", "current_translation")]
         kept = kept.where(text.any_of([h.contains(q.lower()) for h in hay]))
@@ -160,12 +164,27 @@ def filter_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(c).alias(name) for name, c in log_filters().items()])
 
 
-def history_sort(rows: DataFrame, key: str = "time", descending: bool = True, n: int = 200) -> DataFrame:
-    """The first n rows by time, source, status or hints, with the size of their day's group."""
-    by = {"time": F.col("base.created_at"), "source": F.lower("base.source_text"), "status": F.col("status_rank"), "hints": F.col("hint_rank")}[key]
-    days = rows.groupBy(F.to_date("base.created_at").alias("_day")).agg(F.count(F.lit(1)).alias("day_rows"))
-    top = rows.orderBy(by.desc() if descending else by.asc(), F.desc("base.id")).limit(n)
-    return top.withColumn("_day", F.to_date("base.created_at")).join(F.broadcast(days), "_day", "left").withColumnRenamed("_day", "day")
+def history_sort(rows: DataFrame, key: str = "time", descending: bool | None = None, n: int = 200) -> DataFrame:
+    """The first n rows by time, where (chapter, file_name, number), source, now, hints, model or temperature, each in its
+    own direction unless one is given. By time rows have ``group_label`` of their day, by where of their chapter; with it
+    goes the number of the group's rows, shown or not."""
+    natural = lambda c: text.natural_sort_key(F.coalesce(c, F.lit("")))
+    at, there = F.col("base.created_at"), set(rows.columns)
+    place = [natural(F.col(c)) if c in there else F.lit("") for c in ("chapter", "file_name")]
+    number = F.coalesce("number", F.lit(1_000_000_000)) if "number" in there else F.lit(0)
+    sorts = {
+        "time": ([at, F.col("base.id")], True), "where": ([*place, number], False), "source": ([natural(F.col("base.source_text"))], False),
+        "now": ([F.col("status_rank")], False), "hints": ([F.col("hint_rank"), -F.unix_micros(at)], False),
+        "model": ([natural(F.col("shown.model_used")), natural(F.col("shown.key_label"))] if key == "model" else [], False),
+        "temperature": ([F.coalesce("shown.injection.temperature", F.lit(99.0)), -F.unix_micros(at)], False),
+    }
+    by, natural_direction = sorts[key]
+    down = natural_direction if descending is None else descending
+    label = {"time": F.to_date(at).cast("string"), "where": F.coalesce("chapter", F.lit("No chapter")) if "chapter" in there else F.lit("No chapter")}.get(key, F.lit(None).cast("string"))
+    labelled = rows.withColumn("group_label", label)
+    sizes = labelled.groupBy("group_label").agg(F.count(F.lit(1)).alias("group_rows"))
+    top = labelled.orderBy(*[c.desc() if down else c.asc() for c in by], F.desc("base.id")).limit(n)
+    return top.join(sizes, top["group_label"].eqNullSafe(sizes["group_label"]), "left").drop(sizes["group_label"])
 
 
 def backfill_json_key(logs: DataFrame, key: str, value, stamp: str) -> DataFrame:
@@ -181,22 +200,47 @@ def backfill_json_key(logs: DataFrame, key: str, value, stamp: str) -> DataFrame
     return logs.withColumn("state", state).withColumn("injection_json", F.when(F.col("state") == "filled", new).otherwise(F.col("injection_json")))
 
 
-def memory_used(bubbles: DataFrame, logs: DataFrame) -> DataFrame:
-    """For each bubble the newest log with memory for its present text: of the same id first, else of any bubble of the
-    page with that text; ``stale`` where only other texts were logged."""
+def memory_used(bubbles: DataFrame, logs: DataFrame, corrections: DataFrame) -> DataFrame:
+    """What the memory gave to the present text of each bubble (page_id, bubble_id, project_id, text).
+
+    The newest run counts that was logged for that text: for the bubble itself, or else for any bubble of the page, as ids
+    move. ``stale``: other texts of the bubble were logged, this one wasn't. ``entries``: the examples shown, or the exact
+    phrase, each with the entry it came from (by the logged id, in old logs by an equal phrase key) and its text now."""
     upper = lambda c: F.upper(text.collapse(F.col(c)))
-    b = bubbles.select("page_id", "bubble_id", upper("text").alias("_t"))
-    used = logs.where("variant = 'memory_injected'").select(
-        "page_id", F.col("bubble_id").alias("_lb"), F.col("id").alias("log_id"), upper("source_text").alias("_t"), "matched_correction_id"
+    b = bubbles.select("page_id", "bubble_id", "project_id", upper("text").alias("_t"))
+    log = F.struct("id", "run_id", "variant", "source_text", "injection_json", "hints_json", "memory_lane", "matched_correction_id").alias("_log")
+    of_text = logs.select("page_id", F.col("bubble_id").alias("_lb"), upper("source_text").alias("_t"), log)
+    same = b.join(of_text, ["page_id", "_t"]).withColumn("_own", F.col("_lb") == F.col("bubble_id"))
+    newest = F.max_by(F.col("_log.run_id"), F.struct("_own", "_log.id")).alias("_run")
+    own = same.groupBy("page_id", "bubble_id").agg(newest, F.max("_own").alias("_is_own"))
+    rows = same.join(own, ["page_id", "bubble_id"]).where((F.col("_log.run_id") == F.col("_run")) & (F.col("_own") == F.col("_is_own")) & (F.col("_log.variant") == "memory_injected"))
+    used = rows.groupBy("page_id", "bubble_id", "project_id").agg(F.max_by("_log", "_log.id").alias("_log"))
+    hints, said = F.from_json("_log.hints_json", INJECTION), F.from_json("_log.injection_json", INJECTION)
+    bare = (F.size(F.coalesce(said["examples"], F.array().cast(f"array<{EXAMPLE}>"))) == 0) & said["exact"].isNull()
+    used = used.withColumns({"_x": F.when(bare, hints["examples"]).otherwise(said["examples"]), "_e": F.when(bare, hints["exact"]).otherwise(said["exact"]), "_ids": said["correction_ids"]})
+    exact = F.struct(F.col("_log.source_text").alias("en"), F.col("_e").alias("pl"), F.lit(1.0).alias("similarity"), F.lit(None).cast("string").alias("kind"))
+    none = F.array().cast(f"array<{EXAMPLE}>")
+    first = F.coalesce(F.get("_ids", F.lit(0)), F.col("_log.matched_correction_id"))
+    shown = F.concat(
+        F.when(F.col("_e").isNotNull(), F.array(F.struct(F.lit(-1).alias("n"), exact.alias("x"), first.alias("id")))).otherwise(F.array()),
+        F.transform(F.coalesce("_x", none), lambda x, k: F.struct(k.alias("n"), x.alias("x"), F.get("_ids", k).alias("id"))),
     )
-    same = b.join(used, ["page_id", "_t"]).withColumn("_own", (F.col("_lb") == F.col("bubble_id")).cast("int"))
-    order = Window.partitionBy("page_id", "bubble_id").orderBy(F.desc("_own"), F.desc("log_id"))
-    best = same.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("page_id", "bubble_id", "log_id", "matched_correction_id")
-    ever = used.select("page_id", F.col("_lb").alias("bubble_id")).distinct().withColumn("_ever", F.lit(True))
-    out = b.join(best, ["page_id", "bubble_id"], "left").join(ever, ["page_id", "bubble_id"], "left")
-    return out.select("page_id", "bubble_id", "log_id", "matched_correction_id", (F.col("log_id").isNull() & F.coalesce("_ever", F.lit(False))).alias("stale")).where(
-        "log_id is not null or stale"
+    each = used.select("page_id", "bubble_id", "project_id", F.explode(shown).alias("_s")).select("page_id", "bubble_id", "project_id", "_s.*")
+    key = lambda c: text.normalize_phrase(c)
+    latest = corrections.select("project_id", key(F.col("source_text")).alias("_k"), F.col("id").alias("_found")).groupBy("project_id", "_k").agg(F.max("_found").alias("_found"))
+    each = each.withColumn("_k", F.when(F.col("id").isNull(), key(F.col("x.en")))).join(latest, ["project_id", "_k"], "left").withColumn("id", F.coalesce("id", "_found"))
+    now = corrections.select("project_id", F.col("id"), F.col("source_text").alias("_src"), F.col("final_translation").alias("pl_now"), F.coalesce("kind", F.lit("corrected")).alias("_kind"))
+    each = each.join(now, ["project_id", "id"], "left")
+    entry = F.struct(
+        "n", F.when(F.col("pl_now").isNotNull(), F.col("id")).alias("correction_id"), F.coalesce("x.en", "_src").alias("en"), F.col("x.pl").alias("pl_shown"), "pl_now",
+        F.col("x.similarity").alias("similarity"), F.coalesce("x.kind", "_kind").alias("kind"),
     )
+    entries = each.groupBy("page_id", "bubble_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    ever = logs.select("page_id", "bubble_id").distinct().withColumn("_ever", F.lit(True))
+    met = own.select("page_id", "bubble_id", F.lit(True).alias("_met"))
+    out = b.join(ever, ["page_id", "bubble_id"], "left").join(met, ["page_id", "bubble_id"], "left").join(used.select("page_id", "bubble_id", F.col("_log.id").alias("log_id"), F.coalesce("_log.memory_lane", said["lane"]).alias("lane")), ["page_id", "bubble_id"], "left")
+    stale = F.coalesce("_ever", F.lit(False)) & F.col("_met").isNull()
+    return out.withColumn("stale", stale).where("log_id is not null or stale").join(entries, ["page_id", "bubble_id"], "left").select("page_id", "bubble_id", "log_id", "lane", "stale", "entries")
 
 
 def reuse_counts(logs: DataFrame) -> DataFrame:
@@ -215,10 +259,14 @@ def key_days(events: DataFrame, days: int = 8) -> DataFrame:
 
 
 def last_minute(events: DataFrame) -> DataFrame:
-    """Each request with the number of the key's requests in the minute before it (60 seconds aside), itself included."""
-    micros = F.unix_micros("at")
-    window = Window.partitionBy("key_id", "model").orderBy(micros).rangeBetween(-59_999_999, 0)
-    return events.where("kind = 'success'").withColumn("in_minute", F.count(F.lit(1)).over(window))
+    """Each request with the number of the key's requests in the minute before it (60 seconds aside), itself included.
+
+    Requests are looked at by minute, together with those of the minute before, so a key's history is many groups."""
+    micros, minute = F.unix_micros("at"), 60_000_000
+    rows = events.where("kind = 'success'").withColumn("_m", F.floor(micros / minute))
+    both = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_later")).withColumn("_m", F.col("_m") + F.col("_later"))
+    window = Window.partitionBy("key_id", "model", "_m").orderBy(micros).rangeBetween(1 - minute, 0)
+    return both.withColumn("in_minute", F.count(F.lit(1)).over(window)).where("_later = 0").drop("_m", "_later")
 
 
 def key_usage(events: DataFrame, now) -> DataFrame:

@@ -34,45 +34,92 @@ def tm_exact(queries: DataFrame, corrections: DataFrame, max_words: int = 2) ->
     ).select("query_id", "project_id", "correction_id", "final_translation", F.lit(1.0).alias("similarity"))
 
 
-def candidate_pairs(queries: DataFrame, memory: DataFrame, threshold: float, block_rows: int = 20_000, query_rows: int = 2_000) -> DataFrame:
-    """Pairs (query_id, correction_id, similarity) of one project with a cosine of the threshold or more, and for each
-    query and block its best pair whatever its cosine.
+def by_blocks(queries: DataFrame, memory: DataFrame, asked: list[str], held: list[str], multiply: Callable, schema: str, block_rows: int = 20_000, query_rows: int = 20_000) -> DataFrame:
+    """``multiply`` over each block of a project's queries (query_id, embedding, and ``asked``) with each block of its
+    memory (id, embedding, and ``held``).
 
-    Unit vectors are multiplied block by block: the memory of a project is dealt to blocks by a hash, so that a large
-    project is many tasks; queries go to each of their project's blocks in blocks of their own."""
+    The memory of a project is dealt to blocks by a hash, so that a large project is many tasks; queries go to each of
+    their project's blocks in blocks of their own."""
     sizes = memory.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    m = memory.join(sizes, "project_id").select(
-        "project_id", F.col("id").alias("_id"), F.col("embedding").alias("_e"), F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("_b")
-    )
     amounts = queries.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_parts"))
-    m = m.join(amounts, "project_id").select(
-        "project_id", "_id", "_e", "_b", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p")
+    both = sizes.join(amounts, "project_id")
+    m = memory.join(both, "project_id").select(
+        "project_id", F.col("id").alias("_id"), F.col("embedding").alias("_e"), *held, F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int").alias("_b"),
+        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"),
     )
-    q = queries.join(sizes, "project_id").join(amounts, "project_id").select(
-        "project_id", F.col("query_id").alias("_id"), F.col("embedding").alias("_e"),
+    q = queries.join(both, "project_id").select(
+        "project_id", F.col("query_id").alias("_id"), F.col("embedding").alias("_e"), *asked,
         F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int").alias("_p"),
     )
-    schema = "query_id long, correction_id long, similarity double, passed boolean"
-
-    def multiply(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "correction_id": [], "similarity": [], "passed": []})
-        a = np.array(asked["_e"].tolist(), dtype=np.float64)
-        b = np.array(held["_e"].tolist(), dtype=np.float64)
-        product = a @ b.T
-        ids = held["_id"].to_numpy()
-        hit_q, hit_m = np.nonzero(product >= threshold)
-        best = np.array([min(np.flatnonzero(row == row.max()), key=lambda k: ids[k]) for row in product])
-        rows = pd.DataFrame(
-            {"query_id": asked["_id"].to_numpy()[hit_q], "correction_id": ids[hit_m], "similarity": product[hit_q, hit_m], "passed": True}
-        )
-        tops = pd.DataFrame(
-            {"query_id": asked["_id"].to_numpy(), "correction_id": ids[best], "similarity": product[np.arange(len(a)), best], "passed": False}
-        )
-        return pd.concat([rows, tops])
+
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            b = np.array(right["_e"].tolist(), dtype=np.float64).T
+            for a in range(0, len(left), 256):
+                part = left.iloc[a : a + 256]
+                out.append(multiply(part, right, np.array(part["_e"].tolist(), dtype=np.float64) @ b))
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
 
     by = ["project_id", "_b", "_p"]
-    return q.groupBy(*by).cogroup(m.groupBy(*by)).applyInPandas(multiply, schema)
+    return q.groupBy(*by).cogroup(m.groupBy(*by)).applyInPandas(run, schema)
+
+
+def candidate_pairs(queries: DataFrame, memory: DataFrame, threshold: float, **sizes) -> DataFrame:
+    """Every pair (query_id, correction_id, similarity) of one project with a cosine of the threshold or more."""
+
+    def multiply(asked: pd.DataFrame, held: pd.DataFrame, product: np.ndarray) -> pd.DataFrame:
+        q, m = np.nonzero(product >= threshold)
+        return pd.DataFrame({"query_id": asked["_id"].to_numpy()[q], "correction_id": held["_id"].to_numpy()[m], "similarity": product[q, m]})
+
+    return by_blocks(queries, memory, [], [], multiply, "query_id long, correction_id long, similarity double", **sizes)
+
+
+def best_similarities(queries: DataFrame, memory: DataFrame, **sizes) -> DataFrame:
+    """(query_id, best): the highest cosine of each query in its project, whatever it is."""
+
+    def multiply(asked: pd.DataFrame, held: pd.DataFrame, product: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": asked["_id"].to_numpy(), "best": product.max(axis=1)})
+
+    return by_blocks(queries, memory, [], [], multiply, "query_id long, best double", **sizes).groupBy("query_id").agg(F.max("best").alias("best"))
+
+
+def block_examples(queries: DataFrame, memory: DataFrame, threshold: float, k: int, lexical_min: float = 0.0, strong: float = 0.0, **sizes) -> DataFrame:
+    """(query_id, correction_id, similarity, overlap, score): of each query and block of the memory (id, first_id,
+    final_translation, kind, source_text, embedding) the k best examples of different final texts.
+
+    The best k of all blocks together are among these, so no more than k pairs a query leave a block. Entries are gone
+    through from the best, and the gate is asked only of those that come up."""
+    m = memory.select(
+        "project_id", "id", "embedding", "first_id", (F.coalesce("kind", F.lit("corrected")) == "corrected").alias("_edited"),
+        F.xxhash64(F.lower(F.trim("final_translation"))).alias("_final"), F.transform(text.content_words(F.col("source_text")), lambda w: F.xxhash64(w)).alias("_mw"),
+    )
+    q = queries.withColumn("_qw", F.transform(text.content_words(F.col("text")), lambda w: F.xxhash64(w)))
+
+    def multiply(asked: pd.DataFrame, held: pd.DataFrame, product: np.ndarray) -> pd.DataFrame:
+        ids, first, final = (held[c].to_numpy() for c in ("_id", "first_id", "_final"))
+        score = product + np.where(held["_edited"].to_numpy(), 0.02, 0.0)
+        words, rows = held["_mw"].tolist(), []
+        for n, (query, own) in enumerate(zip(asked["_id"], asked["_qw"], strict=True)):
+            at = np.flatnonzero(product[n] >= threshold)
+            own, seen = set(own), set()
+            for j in at[np.lexsort((first[at], -score[n, at]))]:
+                if final[j] in seen:
+                    continue
+                other = set(words[j])
+                overlap = 100.0 * len(own & other) / len(own | other) if own and other else 0.0
+                if product[n, j] < strong and lexical_min > 0 and overlap < lexical_min:
+                    continue
+                seen.add(final[j])
+                rows.append((query, ids[j], product[n, j], overlap, score[n, j]))
+                if len(seen) == k:
+                    break
+        return pd.DataFrame(rows, columns=["query_id", "correction_id", "similarity", "overlap", "score"])
+
+    schema = "query_id long, correction_id long, similarity double, overlap double, score double"
+    return by_blocks(q, m, ["_qw"], ["first_id", "_edited", "_final", "_mw"], multiply, schema, **sizes)
 
 
 def top_examples(scored: DataFrame, k: int = 3) -> DataFrame:
@@ -92,20 +139,11 @@ def tm_fuzzy(
 
     Below ``strong`` an example also needs ``lexical_min`` percent of shared content words; edited entries rank .02
     above accepted ones."""
-    asked = queries.where(~text.is_short_phrase(F.col("text"), max_words)).withColumn("_cw", text.content_words(F.col("text")))
+    asked = queries.where(~text.is_short_phrase(F.col("text"), max_words))
     held = latest_per_source(corrections.where(~text.is_short_phrase(F.col("source_text"), max_words)))
-    pairs = candidate_pairs(asked, held, threshold).where("passed").drop("passed")
-    entries = held.select(
-        F.col("id").alias("correction_id"), "first_id", "final_translation", "kind", text.content_words(F.col("source_text")).alias("_mw")
-    )
-    scored = (
-        pairs.join(entries, "correction_id")
-        .join(asked.select("query_id", "_cw"), "query_id")
-        .withColumn("overlap", text.jaccard_percent(F.col("_cw"), F.col("_mw")))
-        .where((F.col("similarity") >= strong) | F.lit(lexical_min <= 0) | (F.col("overlap") >= lexical_min))
-        .withColumn("score", F.col("similarity") + F.when(F.coalesce("kind", F.lit("corrected")) == "corrected", 0.02).otherwise(0.0))
-    )
-    return top_examples(scored, k).select("query_id", "rank", "correction_id", "similarity", "overlap", "final_translation")
+    found = block_examples(asked, held, threshold, k, lexical_min, strong)
+    entries = held.select(F.col("id").alias("correction_id"), "first_id", "final_translation")
+    return top_examples(found.join(entries, "correction_id"), k).select("query_id", "rank", "correction_id", "similarity", "overlap", "final_translation")
 
 
 def tm_probe(queries: DataFrame, corrections: DataFrame, max_words: int = 2) -> DataFrame:
@@ -113,7 +151,7 @@ def tm_probe(queries: DataFrame, corrections: DataFrame, max_words: int = 2) ->
     asked = queries.where(~text.is_short_phrase(F.col("text"), max_words))
     held = latest_per_source(corrections.where(~text.is_short_phrase(F.col("source_text"), max_words)))
     sizes = held.groupBy("project_id").agg(F.count(F.lit(1)).alias("candidates"))
-    best = candidate_pairs(asked, held, 2.0).groupBy("query_id").agg(F.max("similarity").alias("best"))
+    best = best_similarities(asked, held)
     return asked.select("query_id", "project_id", F.lit("fuzzy").alias("lane")).join(sizes, "project_id", "left").join(best, "query_id", "left").select(
         "query_id", "lane", F.coalesce("candidates", F.lit(0)).alias("candidates"), "best"
     )

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmspark.functions import geometry as geo
-from tmspark.functions import helpers, text
+from tmspark.functions import helpers, layout, text
 
 #: Default limits of the steps below (pixels, shares and ratios).
 SCORE, TOLERANCE = 0.85, 0.15
-STREAM_WINDOW, STREAM_GAP, STREAM_OVERLAP = 14, 150.0, 0.35
-BUBBLE_GAP, BUBBLE_HEIGHTS, BUBBLE_SCORE, TILT = 120.0, 1.5, 0.7, 12.0
+BUBBLE_SCORE = 0.7
 
 
 def zipf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -98,156 +97,6 @@ def slice_boundary_dedup(items: DataFrame, **settings) -> DataFrame:
     return items.join(drop, ["page_id", "pos"], "left_anti")
 
 
-def _geometry(box) -> dict:
-    xs, ys = [float(p[0]) for p in box], [float(p[1]) for p in box]
-    x1, x2, y1, y2 = min(xs), max(xs), min(ys), max(ys)
-    return {"x1": x1, "x2": x2, "y1": y1, "y2": y2, "cx": (x1 + x2) / 2, "cy": (y1 + y2) / 2, "w": max(1.0, x2 - x1), "h": max(1.0, y2 - y1)}
-
-
-def _x_share(a, b) -> float:
-    return max(0.0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) / max(1.0, min(a["w"], b["w"]))
-
-
-def _tilt(box) -> float:
-    (x1, y1), (x2, y2) = box[0][:2], box[1][:2]
-    return float(np.degrees(np.arctan2(y2 - y1, x2 - x1)))
-
-
-class Groups:
-    """Disjoint sets of numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def tie(self, a: int, b: int) -> None:
-        a, b = sorted((self.top(a), self.top(b)))
-        self.up[b] = a
-
-
-def streams_of(boxes: list[dict]) -> list[int]:
-    """The column of each box: boxes under one another join; columns whose rows interlock are one; -1 for a box alone."""
-    order = sorted(range(len(boxes)), key=lambda k: (boxes[k]["cy"], boxes[k]["cx"]))
-    sets = Groups(len(boxes))
-    for at, i in enumerate(order):
-        for j in order[at + 1 : at + 1 + STREAM_WINDOW]:
-            a, b = boxes[i], boxes[j]
-            below = b["y1"] - a["y2"]
-            if b["cy"] - a["cy"] <= 0.5 * min(a["h"], b["h"]) or below > STREAM_GAP:
-                continue
-            if _x_share(a, b) >= STREAM_OVERLAP or abs(a["cx"] - b["cx"]) <= 0.6 * max(a["w"], b["w"]) and _x_share(a, b) > 0:
-                sets.tie(i, j)
-                break
-    members: dict[int, list[int]] = {}
-    for k in range(len(boxes)):
-        members.setdefault(sets.top(k), []).append(k)
-    spans = {t: (min(boxes[k]["x1"] for k in m), max(boxes[k]["x2"] for k in m), min(boxes[k]["y1"] for k in m), max(boxes[k]["y2"] for k in m)) for t, m in members.items() if len(m) > 1}
-    tops = sorted(spans)
-    for n, s in enumerate(tops):
-        for t in tops[n + 1 :]:
-            a, b = spans[s], spans[t]
-            width = min(a[1] - a[0], b[1] - b[0])
-            shared_x, shared_y = min(a[1], b[1]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[2], b[2])
-            if shared_x > 0.5 * width and shared_y > 0:
-                sets.tie(s, t)
-    sizes: dict[int, int] = {}
-    for k in range(len(boxes)):
-        sizes[sets.top(k)] = sizes.get(sets.top(k), 0) + 1
-    return [sets.top(k) if sizes[sets.top(k)] > 1 else -1 for k in range(len(boxes))]
-
-
-def lines_of(page: list[dict], image_width: float) -> list[dict]:
-    """Words of a page joined to lines: rows by centre, cut at wide gaps and between columns."""
-    page = sorted(page, key=lambda r: r["pos"])
-    boxes = [_geometry(r["box"]) for r in page]
-    stream = streams_of(boxes)
-    tilt = [_tilt(r["box"]) for r in page]
-    texts, scores, ids = ([r[c] for r in page] for c in ("text", "score", "id"))
-    rows: list[list[int]] = []
-    for k in sorted(range(len(boxes)), key=lambda k: (boxes[k]["cy"], boxes[k]["x1"])):
-        b = boxes[k]
-        for row in reversed(rows[-6:]):
-            last = boxes[row[-1]]
-            if abs(b["cy"] - last["cy"]) <= max(5.0, 0.3 * min(b["h"], last["h"])) and abs(tilt[k] - tilt[row[-1]]) <= TILT:
-                row.append(k)
-                break
-        else:
-            rows.append([k])
-    out = []
-    for row in rows:
-        row.sort(key=lambda k: (boxes[k]["x1"], k))
-        limit = min(3 * sum(boxes[k]["w"] for k in row) / len(row), 0.05 * image_width)
-        parts = [[row[0]]]
-        for a, b in zip(row, row[1:], strict=False):
-            apart = stream[a] != stream[b] and stream[a] >= 0 and stream[b] >= 0
-            if boxes[b]["x1"] - boxes[a]["x2"] > limit or apart:
-                parts.append([])
-            parts[-1].append(b)
-        for part in parts:
-            x1, x2 = min(boxes[k]["x1"] for k in part), max(boxes[k]["x2"] for k in part)
-            y1, y2 = min(boxes[k]["y1"] for k in part), max(boxes[k]["y2"] for k in part)
-            known = [stream[k] for k in part if stream[k] >= 0]
-            out.append(
-                {"text": " ".join(texts[k] for k in part), "score": float(np.mean([scores[k] for k in part])), "word_ids": [str(ids[k]) for k in part],
-                 "box": [[x1, y1], [x2, y1], [x2, y2], [x1, y2]], "angle": float(np.median([tilt[k] for k in part])), "stream": max(set(known), key=known.count) if known else -1}
-            )
-    return sorted(out, key=lambda line: (line["box"][0][1], line["box"][0][0]))
-
-
-def bubbles_of(lines: list[dict], min_score: float = BUBBLE_SCORE) -> list[dict]:
-    """Lines joined to bubbles: each line goes to the bubble that suits it best, by distance and centre, within limits.
-    Lines of digits far from all text leave their bubble."""
-    groups: list[list[int]] = []
-    boxes = [_geometry(line["box"]) for line in lines]
-    for k, b in enumerate(boxes):
-        best, place = None, None
-        for n, group in enumerate(groups):
-            near = boxes[group[-1]]
-            gap = max(0.0, b["y1"] - near["y2"])
-            height = float(np.mean([boxes[g]["h"] for g in group]))
-            apart = abs(b["cx"] - near["cx"])
-            if gap > min(BUBBLE_GAP, BUBBLE_HEIGHTS * height, 3 * b["h"]) or abs(lines[k]["angle"] - lines[group[-1]]["angle"]) > TILT:
-                continue
-            if _x_share(b, near) <= STREAM_OVERLAP or apart >= 0.45 * (b["w"] + near["w"]):
-                continue
-            a, c = lines[k]["stream"], lines[group[-1]]["stream"]
-            if a >= 0 and c >= 0 and a != c:
-                continue
-            score = 0.6 * gap / BUBBLE_GAP + 0.4 * apart / max(1.0, b["w"] + near["w"])
-            if best is None or score < best:
-                best, place = score, n
-        if place is None:
-            groups.append([k])
-        else:
-            groups[place].append(k)
-    split: list[list[int]] = []
-    for group in groups:
-        words = [k for k in group if not lines[k]["text"].strip().isdigit()]
-        far = []
-        for k in group:
-            if lines[k]["text"].strip().isdigit() and words:
-                heights = sorted(boxes[w]["h"] for w in words)
-                gap = min(max(0.0, boxes[k]["y1"] - boxes[w]["y2"], boxes[w]["y1"] - boxes[k]["y2"]) for w in words)
-                if gap > 1.5 * heights[len(heights) // 2]:
-                    far.append(k)
-        split += [[k for k in group if k not in far], *[[k] for k in far]]
-    out = []
-    for group in split:
-        score = float(np.mean([lines[k]["score"] for k in group]))
-        if score < min_score:
-            continue
-        own = [boxes[k] for k in group]
-        x1, x2, y1, y2 = min(b["x1"] for b in own), max(b["x2"] for b in own), min(b["y1"] for b in own), max(b["y2"] for b in own)
-        out.append({"text": " ".join(lines[k]["text"] for k in group), "line_count": len(group), "score": score, "line_ids": [int(k) for k in group],
-                    "word_ids": [w for k in group for w in lines[k]["word_ids"]], "box": [[x1, y1], [x2, y1], [x2, y2], [x1, y2]]})
-    out.sort(key=lambda r: ((r["box"][0][1] + r["box"][2][1]) / 2, r["box"][0][0]))
-    return out
-
-
 BOX = "box array<array<double>>"
 
 
@@ -272,34 +121,89 @@ def per_page(rows: DataFrame, build: Callable[[list[dict]], list[dict]], schema:
     return rows.repartition("page_id").sortWithinPartitions("page_id").mapInPandas(pages, schema)
 
 
+WORD = ("x1", "y1", "x2", "y2", "score", "tilt")
+
+
+def whole_pages(items: DataFrame, build: Callable[[layout.Boxes, np.ndarray, pd.DataFrame], list[dict]], schema: str) -> DataFrame:
+    """``build`` over each page's words: their boxes, columns and rows, by vertical centre. A page is in one task; columns
+    are found for all pages of a batch at a time."""
+    box = geo.bbox(F.col("box"))
+    rows = items.select(
+        "page_id", "pos", F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"),
+        F.flatten("box").alias("points"), box.alias("_b"), F.degrees(F.atan2(F.expr("box[1][1] - box[0][1]"), F.expr("box[1][0] - box[0][0]"))).alias("tilt"),
+    ).where("_b.x1 is not null and _b.y1 is not null")
+    rows = rows.select("*", "_b.*").drop("_b").repartition("page_id").sortWithinPartitions("page_id", F.expr("y1 + y2"), "pos")
+    names = [field.split()[0] for field in re.split(r", (?=\w+ \w)", schema)]
+
+    def laid_out(batch: pd.DataFrame) -> pd.DataFrame:
+        page = batch["page_id"].to_numpy()
+        boxes = layout.Boxes(*(batch[c].to_numpy() for c in ("x1", "y1", "x2", "y2")))
+        column, out = layout.columns_of(page, boxes), []
+        edges = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1], [True])))
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = column[a:b]
+            out += build(boxes.take(slice(a, b)), np.where(own >= 0, own - a, -1), batch.iloc[a:b])
+        return pd.DataFrame(out, columns=names)
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for batch in batches:
+            page = batch["page_id"].to_numpy()
+            cut = int(np.searchsorted(page, page[-1])) if len(page) else 0
+            if cut or rest and len(page) and rest[0]["page_id"].iloc[0] != page[-1]:
+                yield laid_out(pd.concat([*rest, batch.iloc[:cut]], ignore_index=True))
+                rest = []
+            rest.append(batch.iloc[cut:])
+        if sum(map(len, rest)):
+            yield laid_out(pd.concat(rest, ignore_index=True))
+
+    return rows.mapInPandas(pages, schema)
+
+
+def _with_box(rows: DataFrame) -> DataFrame:
+    corners = F.array(*[F.array(F.col("flat")[2 * k], F.col("flat")[2 * k + 1]) for k in range(4)])
+    return rows.withColumn("flat", corners).withColumnRenamed("flat", "box")
+
+
+def _lines(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame, image_width: float) -> list[dict]:
+    texts, scores, ids, points = (page[c].tolist() for c in ("text", "score", "id", "points"))
+    return layout.lines_of(boxes, column, page["tilt"].to_numpy(), points, texts, scores, ids, image_width)
+
+
 def vertical_streams(items: DataFrame) -> DataFrame:
-    """Each item's column on its page (the smallest position in it), -1 for one alone."""
+    """Each item's column on its page (the smallest position in it), -1 for one alone. Items without a box are left out."""
 
-    def find(page: list[dict]) -> list[dict]:
-        page = sorted(page, key=lambda r: r["pos"])
-        streams = streams_of([_geometry(r["box"]) for r in page])
-        return [{"page_id": r["page_id"], "pos": r["pos"], "stream": page[s]["pos"] if s >= 0 else -1} for r, s in zip(page, streams, strict=True)]
+    def find(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame) -> list[dict]:
+        pos = page["pos"].to_numpy()
+        least = np.full(len(pos), np.iinfo(np.int64).max)
+        np.minimum.at(least, column[column >= 0], pos[column >= 0])
+        number = page["page_id"].iloc[0]
+        return [{"page_id": number, "pos": p, "stream": least[c] if c >= 0 else -1} for p, c in zip(pos, column, strict=True)]
 
-    return per_page(items.select("page_id", "pos", "box"), find, "page_id long, pos int, stream int")
+    return whole_pages(items, find, "page_id long, pos int, stream int")
 
 
 def build_text_lines(items: DataFrame, image_width: float = 1000.0) -> DataFrame:
-    def build(page: list[dict]) -> list[dict]:
-        return [{"page_id": page[0]["page_id"], "line_no": k, **r} for k, r in enumerate(lines_of(page, image_width))]
+    """Lines of each page; a tilted one has an angle and a slanted box."""
+
+    def build(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame) -> list[dict]:
+        number = page["page_id"].iloc[0]
+        return [{"page_id": number, "line_no": k, **r} for k, r in enumerate(_lines(boxes, column, page, image_width))]
 
-    schema = f"page_id long, line_no int, text string, score double, word_ids array<string>, {BOX}, angle double, stream int"
-    return per_page(items.select("page_id", "pos", "id", "text", "score", "box"), build, schema)
+    schema = "page_id long, line_no int, text string, score double, word_ids array<string>, flat array<double>, angle double, stream int"
+    return _with_box(whole_pages(items, build, schema))
 
 
 def group_bubbles(items: DataFrame, image_width: float = 1000.0, min_score: float = BUBBLE_SCORE) -> DataFrame:
     """Bubbles of each page from its words: one pass over a page, all pages side by side."""
 
-    def build(page: list[dict]) -> list[dict]:
-        rows = bubbles_of(lines_of(page, image_width), min_score)
-        return [{"page_id": page[0]["page_id"], "bubble_no": k, **r} for k, r in enumerate(rows)]
+    def build(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame) -> list[dict]:
+        number = page["page_id"].iloc[0]
+        rows = layout.bubbles_of(_lines(boxes, column, page, image_width), min_score)
+        return [{"page_id": number, "bubble_no": k, **r} for k, r in enumerate(rows)]
 
-    schema = f"page_id long, bubble_no int, text string, line_count int, score double, line_ids array<int>, word_ids array<string>, {BOX}"
-    return per_page(items.select("page_id", "pos", "id", "text", "score", "box"), build, schema)
+    schema = "page_id long, bubble_no int, text string, line_count int, score double, line_ids array<int>, word_ids array<string>, flat array<double>"
+    return _with_box(whole_pages(items, build, schema))
 
 
 def line_dedup(lines: DataFrame, word_share: float = 0.1, geo_share: float = 0.1, min_px: float = 5.0) -> DataFrame:
@@ -312,28 +216,32 @@ def line_dedup(lines: DataFrame, word_share: float = 0.1, geo_share: float = 0.1
     def clean(page: list[dict]) -> list[dict]:
         kept: list[dict] = []
         for r in sorted(page, key=lambda r: (-r["score"], r["line_id"])):
-            b, words = _geometry(r["box"]), r["text"].split()
+            words = r["text"].split()
             for k in kept:
-                o = _geometry(k["box"])
-                if abs(b["cy"] - o["cy"]) > max(min_px, 0.3 * min(b["h"], o["h"])):
+                if abs(r["y1"] + r["y2"] - k["y1"] - k["y2"]) / 2 > max(min_px, 0.3 * min(_height(r), _height(k))):
                     continue
-                inter = int(max(0.0, min(b["x2"], o["x2"]) - max(b["x1"], o["x1"]))) * int(max(0.0, min(b["y2"], o["y2"]) - max(b["y1"], o["y1"])))
+                inter = int(max(0.0, min(r["x2"], k["x2"]) - max(r["x1"], k["x1"]))) * int(max(0.0, min(r["y2"], k["y2"]) - max(r["y1"], k["y1"])))
                 mine, theirs = set(bare(r["text"])), set(bare(k["text"]))
-                if inter < min_px or inter / min(b["w"] * b["h"], o["w"] * o["h"]) <= geo_share or not mine or not theirs or len(mine & theirs) / min(len(mine), len(theirs)) <= word_share:
+                least = min(_height(o) * max(1.0, o["x2"] - o["x1"]) for o in (r, k))
+                if inter < min_px or inter / least <= geo_share or not mine or not theirs or len(mine & theirs) / min(len(mine), len(theirs)) <= word_share:
                     continue
                 left, right = bare(k["text"]), bare(r["text"])
                 seam = max((n for n in range(1, min(len(left), len(right)) + 1) if left[-n:] == right[:n]), default=0)
                 if not seam or seam == len(words):
                     break
                 cut = sum(map(len, words[:seam])) / max(1, sum(map(len, words)))
-                x = b["x1"] + cut * (b["x2"] - b["x1"])
-                kept.append(r | {"text": " ".join(words[seam:]), "box": [[x, b["y1"]], [b["x2"], b["y1"]], [b["x2"], b["y2"]], [x, b["y2"]]], "trimmed": True})
+                kept.append(r | {"text": " ".join(words[seam:]), "x1": r["x1"] + cut * (r["x2"] - r["x1"]), "trimmed": True})
                 break
             else:
                 kept.append(r | {"trimmed": False})
-        return kept
+        return [r | {"flat": layout.level(r["x1"], r["y1"], r["x2"], r["y2"])} for r in kept]
+
+    rows = lines.select("page_id", "line_id", "text", "score", geo.bbox(F.col("box")).alias("_b")).select("*", "_b.*").drop("_b")
+    return _with_box(per_page(rows, clean, "page_id long, line_id string, text string, score double, flat array<double>, trimmed boolean"))
+
 
-    return per_page(lines.select("page_id", "line_id", "text", "score", "box"), clean, f"page_id long, line_id string, text string, score double, {BOX}, trimmed boolean")
+def _height(row: dict) -> float:
+    return max(1.0, row["y2"] - row["y1"])
 
 
 def reading_order(bubbles: DataFrame, mode: str = "ttb") -> DataFrame:
@@ -343,20 +251,21 @@ def reading_order(bubbles: DataFrame, mode: str = "ttb") -> DataFrame:
         return bubbles.withColumn("order_no", F.row_number().over(Window.partitionBy("page_id").orderBy(c["y"], c["x"], "bubble_id")))
 
     def order(page: list[dict]) -> list[dict]:
-        boxes = [_geometry(r["box"]) for r in page]
-        heights = sorted(b["y2"] - b["y1"] for b in boxes)
+        middles = [(r["y1"] + r["y2"]) / 2 for r in page]
+        heights = sorted(r["y2"] - r["y1"] for r in page)
         near = 0.8 * heights[len(heights) // 2]
         rows: list[list[int]] = []
-        for k in sorted(range(len(boxes)), key=lambda k: boxes[k]["cy"]):
-            if rows and abs(boxes[k]["cy"] - np.mean([boxes[j]["cy"] for j in rows[-1]])) <= near:
+        for k in sorted(range(len(page)), key=middles.__getitem__):
+            if rows and abs(middles[k] - np.mean([middles[j] for j in rows[-1]])) <= near:
                 rows[-1].append(k)
             else:
                 rows.append([k])
         side = -1 if mode == "rtl" else 1
-        flat = [k for row in rows for k in sorted(row, key=lambda k: side * boxes[k]["cx"])]
+        flat = [k for row in rows for k in sorted(row, key=lambda k: side * (page[k]["x1"] + page[k]["x2"]))]
         return [{"page_id": page[k]["page_id"], "bubble_id": page[k]["bubble_id"], "order_no": n} for n, k in enumerate(flat, 1)]
 
-    placed = per_page(bubbles.select("page_id", "bubble_id", "box"), order, "page_id long, bubble_id string, order_no int")
+    rows = bubbles.select("page_id", "bubble_id", geo.bbox(F.col("box")).alias("_b")).select("*", "_b.*").drop("_b")
+    placed = per_page(rows, order, "page_id long, bubble_id string, order_no int")
     return bubbles.join(placed, ["page_id", "bubble_id"])
 
 
@@ -366,19 +275,28 @@ def renumber(bubbles: DataFrame) -> DataFrame:
     return bubbles.withColumn("new_id", F.concat(F.lit("bubble_"), F.row_number().over(order)))
 
 
+#: Signs that part a bubble, and readings of an upright equals sign that do where there is a sure one.
+SURE_SIGNS = "+=＋＝‖↓↑→←⇒⇓⇑⇐⬇⬆➡⬅"
+WEAK_SIGNS = ["||", "|", "II", "ll", "Il", "lI"]
+
+
 def split_operator_blocks(lines: DataFrame) -> DataFrame:
-    """Lines (page_id, bubble_id, line_no, text) with ``block``: lines of operators alone part a bubble of three or more
-    lines; weak operators count once there is a sure one."""
-    t = F.regexp_replace("text", r"\s", "")
-    sure, weak = t.rlike(r"^[+=→⇒↓⇓]+$"), t.rlike(r"^[|\-–—/\\<>v]+$")
+    """Lines (page_id, bubble_id, line_no, text) with ``block``: lines of signs alone part a bubble of three or more lines,
+    each sign being a block; weak signs count once there is a sure one, and are written as ||. A bubble of signs alone
+    stays whole."""
+    bare = F.replace("text", F.lit(" "), F.lit(""))
+    sure = (bare != "") & (F.translate(bare, SURE_SIGNS, "") == "")
     whole = Window.partitionBy("page_id", "bubble_id")
     order = whole.orderBy("line_no")
-    rows = lines.withColumns({"_sure": F.max(sure.cast("int")).over(whole), "_n": F.count(F.lit(1)).over(whole)})
-    mark = (F.col("_n") >= 3) & (F.col("_sure") == 1) & (sure | weak)
-    rows = rows.withColumn("_m", mark)
-    start = F.col("_m") != F.coalesce(F.lag("_m").over(order), F.col("_m"))
-    start = start | (F.col("_m") & F.coalesce(F.lag("_m").over(order), F.lit(False)))
-    return rows.withColumn("_s", start.cast("int")).withColumn("block", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_sure", "_n", "_m", "_s")
+    rows = lines.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    rows = rows.withColumns({"_signs": F.sum(F.col("_sure").cast("int")).over(whole), "_n": F.count(F.lit(1)).over(whole)})
+    parted = (F.col("_n") >= 3) & (F.col("_signs") > 0) & (F.col("_signs") < F.col("_n"))
+    weak = parted & ~F.col("_sure") & F.coalesce(bare.isin(WEAK_SIGNS), F.lit(False))
+    rows = rows.withColumn("_weak", weak).withColumn("_m", parted & (F.col("_sure") | F.col("_weak")))
+    before = F.lag("_m").over(order)
+    start = before.isNotNull() & (F.col("_m") | before)
+    rows = rows.withColumn("_s", start.cast("int")).withColumn("block", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("text", F.when(F.col("_weak"), "||").otherwise(F.col("text"))).drop("_sure", "_signs", "_n", "_weak", "_m", "_s")
 
 
 def merge_sets(bubbles: DataFrame, sets: DataFrame) -> DataFrame:
@@ -406,27 +324,85 @@ def dropped_report(before: DataFrame, after: DataFrame, why: str, share: float =
     return gone.join(left, covered, "left_anti").drop("_b").withColumn("why", F.lit(why))
 
 
+#: Boxes at least so tall, and so many times their width, are stacked letters; lower ones are specks.
+TALL_PX, TALL_RATIO, SPECK_PX = 36.0, 2.5, 8.0
+
+
 def rescue_candidates(readings: DataFrame, accepted: DataFrame, least: float = 0.3, share: float = 0.5, most: int = 12) -> DataFrame:
-    """Rejected readings of ``least`` or more that no accepted box covers by half: the best twelve of a page."""
-    rows = readings.where(F.col("score") >= least).withColumn("_b", geo.bbox(F.col("box")))
+    """Rejected readings of a height of 8 pixels or more that no accepted box covers by half, with ``kind``: stacked
+    columns, all of them, and lines of the score ``least`` or more, the best twelve of a page (``rank``)."""
+    rows = readings.withColumn("_b", geo.bbox(F.col("box"))).where(F.col("_b.y2") - F.col("_b.y1") >= SPECK_PX)
     a = accepted.select(F.col("page_id").alias("_p"), geo.bbox(F.col("box")).alias("_a"))
     free = rows.join(a, (rows["page_id"] == a["_p"]) & (geo.cover_share(F.col("_b"), F.col("_a")) > share), "left_anti")
-    return free.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= most).drop("_b")
+    w, h = F.col("_b.x2") - F.col("_b.x1"), F.col("_b.y2") - F.col("_b.y1")
+    kind = F.when((h >= TALL_PX) & (h >= TALL_RATIO * F.greatest(w, F.lit(1.0))), "stacked").otherwise("line")
+    free = free.withColumn("kind", kind).where((F.col("kind") == "stacked") | (F.col("score") >= least))
+    rank = F.row_number().over(Window.partitionBy("page_id", "kind").orderBy(F.desc("score"), "id"))
+    return free.withColumn("rank", rank).where((F.col("kind") == "stacked") | (F.col("rank") <= most)).drop("_b")
+
+
+def carried_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(page_id, pos, old_pos): for each new bubble of a page, in order, the first old one not yet taken that has a key in
+    common; a bubble's keys are those of its text and of its text before corrections (text_raw)."""
+    keys = lambda rows: F.array_distinct(F.filter(F.array(*[text.normalize_phrase(F.col(c)) for c in ("text", "text_raw") if c in rows.columns]), lambda k: k != ""))
+    both = old.select("page_id", "pos", keys(old).alias("keys"), F.lit(True).alias("old")).unionByName(
+        new.select("page_id", "pos", keys(new).alias("keys"), F.lit(False).alias("old"))
+    )
+
+    def match(page: list[dict]) -> list[dict]:
+        pool: dict[str, list[int]] = {}
+        for r in sorted((r for r in page if r["old"]), key=lambda r: -r["pos"]):
+            for k in r["keys"]:
+                pool.setdefault(k, []).append(r["pos"])
+        taken, out = set(), []
+        for r in sorted((r for r in page if not r["old"]), key=lambda r: r["pos"]):
+            for k in r["keys"]:
+                while pool.get(k) and pool[k][-1] in taken:
+                    pool[k].pop()
+            free = [pool[k][-1] for k in r["keys"] if pool.get(k)]
+            if free:
+                taken.add(min(free))
+                out.append({"page_id": r["page_id"], "pos": r["pos"], "old_pos": min(free)})
+        return out
+
+    return per_page(both, match, "page_id long, pos int, old_pos int")
 
 
 def carry_over(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New bubbles of re-read pages (page_id, pos, text) with the translation and stamp of the first unused old one of an
-    equal text; a stamp goes along only if it belongs to that translation."""
-    worth = (F.trim(F.coalesce("translation", F.lit(""))) != "") | (F.coalesce("skip", F.lit(False)) & (F.coalesce("skip_reason", F.lit("")) == "manual"))
-    key = text.normalize_phrase(F.col("text"))
-    o = old.where(worth).select("page_id", key.alias("_k"), F.col("pos").alias("old_pos"), "translation", "confirmed_translation", "skip")
-    o = o.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "_k").orderBy("old_pos")))
-    n = new.withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "_k").orderBy("pos")))
-    out = n.join(o.where("_k <> ''"), ["page_id", "_k", "_n"], "left")
-    return out.withColumn("confirmed_translation", F.when(F.col("confirmed_translation") == F.col("translation"), F.col("confirmed_translation"))).drop("_k", "_n")
+    """New bubbles of re-read pages (page_id, pos, text, ..) with ``old_pos`` and what the old bubble of the same text had:
+    a corrected source (text and text_raw), a manual skip, translation and draft, the review stamp where it belongs to that
+    translation (and how it came about), layout, the mark against erasing, and the bulk edits. Old bubbles without a
+    translation or a manual skip carry nothing."""
+    said = F.trim(F.coalesce("translation", F.lit(""))) != ""
+    manual = F.coalesce(F.col("skip_reason") == "manual", F.lit(False))
+    worth = old.where(said | manual)
+    have = [c for c in old.columns if c not in ("page_id", "pos")]
+    pairs = carried_pairs(worth, new)
+    o = worth.select("page_id", F.col("pos").alias("old_pos"), F.struct(*have).alias("_o"))
+    rows = new.join(pairs, ["page_id", "pos"], "left").join(o, ["page_id", "old_pos"], "left")
+    was = lambda c, kind="string": F.col(f"_o.{c}") if c in have else F.lit(None).cast(kind)
+    mine = lambda c, kind="string": F.col(c) if c in new.columns else F.lit(None).cast(kind)
+    translated = F.trim(F.coalesce(was("translation"), F.lit(""))) != ""
+    stamped = translated & (was("confirmed_translation") == was("translation"))
+    stamped = stamped & was("confirmed_at").isNotNull() if "confirmed_at" in have else stamped
+    corrected = F.trim(F.coalesce(was("text_raw"), F.lit(""))) != ""
+    skipped = F.coalesce(was("skip_reason") == "manual", F.lit(False))
+    out = {
+        "text": F.when(corrected, was("text")).otherwise(F.col("text")), "text_raw": F.when(corrected, was("text_raw")).otherwise(mine("text_raw")),
+        "skip": skipped | F.coalesce(mine("skip", "boolean"), F.lit(False)), "skip_reason": F.when(skipped, "manual").otherwise(mine("skip_reason")),
+        "translation": F.when(translated, was("translation")).otherwise(mine("translation")),
+        "ai_translation": F.when(translated, F.coalesce(was("ai_translation"), was("translation"))).otherwise(mine("ai_translation")),
+    }
+    out |= {c: F.when(stamped, was(c)).otherwise(mine(c)) for c in ("confirmed_translation", "confirmed_at", "confirmed_via") if c in have}
+    out |= {c: F.coalesce(was(c), new[c] if c in new.columns else was(c)) for c in ("layout", "no_auto_erase") if c in have}
+    if "bulk_edits" in have:
+        out["bulk_edits"] = F.when(translated, was("bulk_edits"))
+    return rows.withColumns(out).drop("_o")
 
 
 def more_complete(old: str = "old_text", new: str = "new_text"):
-    """A condition: the new reading has more words, and three fifths of the old ones are still there as they were."""
-    a, b = text.words(F.lower(F.col(old))), text.words(F.lower(F.col(new)))
-    return (F.size(b) > F.size(a)) & (F.size(F.filter(a, lambda w: F.array_contains(b, w))) >= 0.6 * F.size(a))
+    """A condition: the new reading has more words, and three fifths of the old ones are still there, or ones like them."""
+    bare = lambda c: F.filter(F.transform(text.words(F.lower(F.col(c))), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
+    a, b = bare(old), bare(new)
+    more = F.size(b) > F.size(a)
+    return more & ((F.size(a) == 0) | (helpers.kept_words(a, F.when(more, b).otherwise(F.array().cast("array<string>"))) >= 0.6 * F.size(a)))

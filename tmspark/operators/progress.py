@@ -63,9 +63,30 @@ def project_progress(progress: DataFrame) -> DataFrame:
     return out.withColumn("done_score", weighted / (5 * F.col("total")))
 
 
-def project_sort(projects: DataFrame, by: str = "updated") -> DataFrame:
-    order = {"updated": [F.desc_nulls_last("last_activity")], "progress": [F.desc("done_score")], "created": [F.desc("created_at")], "name": [F.lower("name").asc()]}[by]
-    return projects.orderBy(*order, F.asc("project_id"))
+def stage_groups(counts: DataFrame, track_exported: bool = False) -> DataFrame:
+    """Rows of ``project_progress`` with their stages as shown in groups: unless exports are tracked, exported pages are
+    folded back into reviewed, or checked where they were fully reviewed. ``reviewed_pages``: pages whose text is."""
+    done = F.col("reviewed") + F.col("checked") + F.col("exported")
+    if track_exported:
+        return counts.withColumn("reviewed_pages", done)
+    return counts.withColumns(
+        {
+            "reviewed": F.col("reviewed") + F.col("exported") - F.col("exported_checked"), "checked": F.col("checked") + F.col("exported_checked"),
+            "exported": F.lit(0).cast("long"), "reviewed_pages": done,
+        }
+    )
+
+
+def project_sort(projects: DataFrame, by: str = "updated", descending: bool | None = None) -> DataFrame:
+    """Projects (project_id, name, created_at, last_activity, done_score) by updated, progress, created or name, each in
+    its own direction unless one is given; never active ones count as oldest."""
+    sorts = {
+        "updated": ([F.coalesce("last_activity", F.lit(0).cast("timestamp"))], True), "progress": ([F.col("done_score")], True),
+        "created": ([F.coalesce("created_at", F.lit(0).cast("timestamp"))], True), "name": ([text.natural_sort_key(F.col("name"))], False),
+    }
+    columns, own = sorts[by]
+    down = own if descending is None else descending
+    return projects.orderBy(*[c.desc() if down else c.asc() for c in columns], F.asc("project_id"))
 
 
 def first_translation(logs: DataFrame) -> DataFrame:
@@ -81,7 +102,7 @@ def bubble_effort(bubbles: DataFrame) -> DataFrame:
         "page_id", "bubble_id", (F.coalesce("confirmed_via", F.lit("")) == "page").alias("via_page"),
         text.edit_status(F.col("ai_translation"), F.col("translation")).alias("status"),
         F.length(final).alias("final_chars"), F.size(text.words(final)).alias("final_words"),
-        F.when(draft, F.levenshtein(ai, final)).alias("char_dist"), F.when(draft, helpers.token_levenshtein(ai, final)).alias("word_dist"),
+        F.when(draft, helpers.char_distance(F.when(draft, ai), F.when(draft, final))).alias("char_dist"), F.when(draft, helpers.token_levenshtein(ai, final)).alias("word_dist"),
     ).withColumn("chars_saved", F.col("final_chars") - F.col("char_dist"))
 
 

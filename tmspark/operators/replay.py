@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmspark.functions import helpers
+from tmspark.functions import helpers, text
 from tmspark.operators import memory
 
 #: Pairs of variants that are compared, and bins of the nearest example's similarity.
@@ -39,7 +39,7 @@ def eligible_examples(pages: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def biggest_corrections(corrections: DataFrame, k: int = 3) -> DataFrame:
     """A project's entries that were edited most (characters between draft and final), newer first on ties."""
-    size = F.levenshtein(F.coalesce("ai_translation", F.lit("")), F.col("final_translation"))
+    size = helpers.char_distance(F.coalesce("ai_translation", F.lit("")), F.col("final_translation"))
     rows = corrections.where(F.coalesce("kind", F.lit("corrected")) == "corrected").withColumn("size", size).where("size > 0")
     order = Window.partitionBy("project_id").orderBy(F.desc("size"), F.desc("id"))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -68,14 +68,36 @@ def spread_sample(pages: DataFrame, n: int) -> DataFrame:
     return placed.join(F.broadcast(steps), "_at").select("page_id", "first_at", F.col("_at").alias("position"))
 
 
-def build_payload(bubbles: DataFrame, examples: DataFrame, exact: DataFrame, glossary: DataFrame, memory_fields: bool = True) -> DataFrame:
-    """One JSON document a page: its bubbles in order with their examples, exact phrase and glossary terms."""
-    shown = examples.groupBy("page_id", "bubble_id").agg(F.array_sort(F.collect_list(F.struct("rank", "en", "pl", F.round("similarity", 2).alias("similarity"), "kind"))).alias("examples"))
-    rows = bubbles.where(~F.coalesce("skip", F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("page_id", "bubble_id", "pos", "text")
+def example_fields(examples: DataFrame) -> DataFrame:
+    """Examples (page_id, bubble_id, rank, en, pl, similarity, kind, draft) as a payload shows them: in capitals where the
+    source is, and with the draft that was rejected where an entry was corrected."""
+    caps = text.is_caps_line(F.col("en"))
+    draft = F.trim(F.coalesce("draft", F.lit("")))
+    rejected = (F.coalesce("kind", F.lit("corrected")) == "corrected") & (draft != "") & (F.lower(draft) != F.lower(F.trim("pl")))
+    return examples.withColumns(
+        {"pl": F.when(caps, F.upper("pl")).otherwise(F.col("pl")), "rejected": F.when(rejected, F.when(caps, F.upper(draft)).otherwise(draft))}
+    )
+
+
+def build_payload(
+    bubbles: DataFrame, examples: DataFrame, exact: DataFrame, glossary: DataFrame, memory_fields: bool = True, context: DataFrame | None = None
+) -> DataFrame:
+    """One JSON document a page: first the bubbles of ``context`` (page_id, pos, bubble_id, text, skip), marked
+    context_only, then its bubbles in order with their examples, exact phrase and glossary terms. Without
+    ``memory_fields`` it is the counterfactual."""
+    seen = lambda rows: rows.where(~F.coalesce("skip", F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    row = F.struct("rank", "en", "pl", F.round("similarity", 2).alias("similarity"), "kind", "rejected")
+    shown = example_fields(examples).groupBy("page_id", "bubble_id").agg(F.array_sort(F.collect_list(row)).alias("examples"))
+    rows = seen(bubbles).select("page_id", F.lit(1).alias("part"), "pos", "bubble_id", "text")
     rows = rows.join(shown, ["page_id", "bubble_id"], "left").join(exact.select("page_id", "bubble_id", "exact"), ["page_id", "bubble_id"], "left")
-    rows = rows.join(glossary.select("page_id", "bubble_id", "glossary"), ["page_id", "bubble_id"], "left")
-    fields = ["pos", "bubble_id", "text", "glossary"] + (["examples", "exact"] if memory_fields else [])
-    return rows.groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("payload"))
+    rows = rows.withColumn("exact", F.when(text.is_caps_line(F.col("text")), F.upper("exact")).otherwise(F.col("exact")))
+    rows = rows.join(glossary.select("page_id", "bubble_id", "glossary"), ["page_id", "bubble_id"], "left").withColumn("context_only", F.lit(None).cast("boolean"))
+    if context is not None:
+        around = seen(context).select("page_id", F.lit(0).alias("part"), "pos", "bubble_id", "text", F.lit(True).alias("context_only"))
+        rows = rows.unionByName(around, allowMissingColumns=True)
+    fields = ["part", "pos", "bubble_id", "text", "context_only", "glossary"] + (["examples", "exact"] if memory_fields else [])
+    items = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when((a["part"] < b["part"]) | (a["part"] == b["part"]) & (a["pos"] < b["pos"]), -1).otherwise(1))
+    return rows.groupBy("page_id").agg(F.to_json(F.transform(items, lambda r: r.dropFields("part"))).alias("payload"))
 
 
 def latest_outputs(outputs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tmspark.functions import geometry as geo
-from tmspark.functions import helpers, text
-from tmspark.operators import catalog, glossary, logs, memory, ocr, progress, replay
+from tmspark.functions import helpers, splitting, text
+from tmspark.operators import catalog, glossary, logs, memory, ocr, progress, repair, replay
 from tmspark.plans.views import view, with_views
 from tmspark.streaming import jobs
 
@@ -18,7 +18,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: SQL of the phrase key, of words, and of "reviewed", for use in the texts below.
 KEY = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+CONTENT = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")))"
 WORDS = r"len(list_filter(regexp_split_to_array(coalesce({0}, ''), '\s+'), lambda w: w <> ''))"
+WHOLE = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}_]){1}($|[^\p{{L}}\p{{N}}_])', '\1{2}\2', 'g')"
 SEEN = "(trim(translation) <> '' AND (trim(translation) <> trim(coalesce(ai_translation, '')) OR coalesce(confirmed_translation = translation, false)))"
 
 
@@ -51,59 +53,82 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3""
     "query_vectors", "memory_vectors",
 )
 def tm_retrieve(spark, d):
-    """No lexical gate, so that rank and members compare."""
+    """No lexical gate; tm_fuzzy has it."""
     m = view(spark, d, "memory_vectors").withColumn("first_id", F.col("id"))
-    pairs = memory.candidate_pairs(view(spark, d, "query_vectors"), m, 0.25).where("passed").drop("passed")
-    entries = m.select(F.col("id").alias("correction_id"), "first_id", "final_translation", "kind")
-    scored = pairs.join(entries, "correction_id").withColumn("score", F.col("similarity") + F.when(F.col("kind") == "corrected", 0.02).otherwise(0.0))
-    return memory.top_examples(scored, 3).select("query_id", "rank", "correction_id", "final_translation")
+    found = memory.block_examples(view(spark, d, "query_vectors"), m, 0.25, 3)
+    entries = m.select(F.col("id").alias("correction_id"), "first_id", "final_translation")
+    return memory.top_examples(found.join(entries, "correction_id"), 3).select("query_id", "rank", "correction_id", "final_translation")
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT *, {CONTENT.format(KEY.format('text'))} AS cw FROM query_vectors WHERE {WORDS.format('text')} > 2),
+m AS (SELECT *, CASE WHEN {KEY.format('source_text')} = '' THEN source_text ELSE {KEY.format('source_text')} END AS k, {CONTENT.format(KEY.format('source_text'))} AS cw FROM memory_vectors WHERE {WORDS.format('source_text')} > 2),
+held AS (SELECT *, min(id) OVER (PARTITION BY project_id, k) AS first_id FROM m QUALIFY row_number() OVER (PARTITION BY project_id, k ORDER BY id DESC) = 1),
+p AS (SELECT q.query_id, held.id, held.first_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(held.embedding AS DOUBLE[])) AS sim, final_translation, kind, q.cw AS a, held.cw AS b FROM q JOIN held ON q.project_id = held.project_id),
+s AS (SELECT *, sim + CASE WHEN kind = 'corrected' THEN 0.02 ELSE 0 END AS score, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 100.0 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS overlap FROM p WHERE sim >= 0.25),
+g AS (SELECT * FROM s WHERE sim >= 0.35 OR overlap >= 2),
+once AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(final_translation)) ORDER BY score DESC, first_id) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_id) AS rank, id AS correction_id, round(overlap, 6) AS overlap FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_id) <= 3""",
+    "query_vectors", "memory_vectors",
+)
 def tm_fuzzy(spark, d):
-    return memory.tm_fuzzy(view(spark, d, "query_vectors"), view(spark, d, "memory_vectors"), threshold=0.25, lexical_min=2, strong=0.35)
+    """J4 with both gates."""
+    found = memory.tm_fuzzy(view(spark, d, "query_vectors"), view(spark, d, "memory_vectors"), threshold=0.25, lexical_min=2, strong=0.35)
+    return found.select("query_id", "rank", "correction_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT * FROM query_vectors WHERE {WORDS.format('text')} > 2), m AS (SELECT *, CASE WHEN {KEY.format('source_text')} = '' THEN source_text ELSE {KEY.format('source_text')} END AS k FROM memory_vectors WHERE {WORDS.format('source_text')} > 2),
+held AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY project_id, k ORDER BY id DESC) = 1)
+SELECT q.query_id, 'fuzzy' AS lane, count(held.id) AS candidates, round(max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(held.embedding AS DOUBLE[]))), 6) AS best FROM q LEFT JOIN held ON q.project_id = held.project_id GROUP BY q.query_id""",
+    "query_vectors", "memory_vectors",
+)
 def tm_probe(spark, d):
-    return memory.tm_probe(view(spark, d, "query_vectors"), view(spark, d, "memory_vectors"))
+    """J4's probe columns."""
+    return memory.tm_probe(view(spark, d, "query_vectors"), view(spark, d, "memory_vectors")).withColumn("best", F.round("best", 6))
 
 
 @query(
-    f"SELECT project_id, {KEY.format('text')} AS phrase_key, max(pos + page_id * 100000) AS id, count(*) AS n FROM bubbles WHERE {WORDS.format('text')} <= 2 AND {KEY.format('text')} <> '' GROUP BY ALL",
+    f"""WITH b AS (SELECT *, pos + page_id * 100000 AS id, CASE WHEN {KEY.format('text')} = '' THEN text ELSE {KEY.format('text')} END AS k FROM bubbles WHERE {WORDS.format('text')} <= 2)
+SELECT project_id, k AS phrase_key, max(id) AS id, min(id) AS first_id FROM b GROUP BY ALL""",
     "bubbles",
 )
 def latest_short_lines(spark, d):
     """J5 over short lines."""
-    b = view(spark, d, "bubbles").where(text.is_short_phrase(F.col("text"))).withColumn("id", F.col("pos") + F.col("page_id") * 100000)
-    keyed = b.withColumn("phrase_key", text.normalize_phrase(F.col("text"))).where("phrase_key <> ''")
-    return keyed.groupBy("project_id", "phrase_key").agg(F.max_by("id", "id").alias("id"), F.count(F.lit(1)).alias("n"))
+    b = view(spark, d, "bubbles").where(text.is_short_phrase(F.col("text")))
+    return memory.latest_per_source(b.select("project_id", F.col("text").alias("source_text"), (F.col("pos") + F.col("page_id") * 100000).alias("id"))).select("project_id", "phrase_key", "id", "first_id")
 
 
 @query(
-    f"""WITH b AS (SELECT *, pos + page_id * 100000 AS id, {KEY.format('text')} AS k FROM bubbles WHERE {WORDS.format('text')} <= 2),
-m AS (SELECT project_id, k, max(id) AS correction_id FROM b WHERE page_id % 2 = 0 AND k <> '' GROUP BY ALL)
-SELECT b.id AS query_id, b.project_id, m.correction_id, CAST(1.0 AS DOUBLE) AS similarity FROM b JOIN m USING (project_id, k) WHERE b.page_id % 2 = 1""",
+    f"""WITH b AS (SELECT *, pos + page_id * 100000 AS id, {KEY.format('text')} AS k FROM bubbles WHERE {WORDS.format('text')} <= 2), m AS (SELECT project_id, k, max(id) AS correction_id FROM b WHERE k <> '' GROUP BY ALL)
+SELECT b.id AS query_id, b.project_id, m.correction_id, CAST(1.0 AS DOUBLE) AS similarity FROM b JOIN m USING (project_id, k)""",
     "bubbles",
 )
 def tm_exact(spark, d):
-    """Odd pages ask, even ones are the memory."""
+    """Every line asks, and all lines are the memory."""
     b = view(spark, d, "bubbles").withColumn("id", F.col("pos") + F.col("page_id") * 100000)
-    m = b.where("page_id % 2 = 0").select("id", "project_id", F.col("text").alias("source_text"), F.col("translation").alias("final_translation"))
-    q = b.where("page_id % 2 = 1").select(F.col("id").alias("query_id"), "project_id", "text")
-    return memory.tm_exact(q, m.where(text.is_short_phrase(F.col("source_text")))).drop("final_translation")
+    m = b.select("id", "project_id", F.col("text").alias("source_text"), F.col("translation").alias("final_translation"))
+    return memory.tm_exact(b.select(F.col("id").alias("query_id"), "project_id", "text"), m.where(text.is_short_phrase(F.col("source_text")))).drop("final_translation")
 
 
-@query("SELECT id, replace(final_translation, ' the ', ' THE ') AS after FROM corrections WHERE final_translation LIKE '% the %'", "corrections")
+@query(
+    f"""WITH r AS (SELECT id, final_translation AS before, {WHOLE.format(WHOLE.format(WHOLE.format(WHOLE.format(WHOLE.format(WHOLE.format('final_translation', 'the', 'ten'), 'the', 'ten'), 'The', 'Ten'), 'The', 'Ten'), 'THE', 'TEN'), 'THE', 'TEN')} AS after FROM corrections)
+SELECT id, after FROM r WHERE before <> after""",
+    "corrections",
+)
 def replace_words(spark, d):
-    """U5, P15 on a phrase whose case and place make a plain replacement the same."""
-    m = view(spark, d, "corrections").where(F.col("final_translation").contains(" the "))
-    return m.select("id", F.replace("final_translation", F.lit(" the "), F.lit(" THE ")).alias("after"))
+    """Whole words, in the case of what they replace."""
+    return memory.replace_in_memory(view(spark, d, "corrections"), "the", "ten").select("id", "after")
 
 
-@query()
+@query(
+    """WITH r AS (SELECT id, final_translation AS before, regexp_replace(regexp_replace(regexp_replace(final_translation, '(^|[^\\p{L}\\p{N}_])th', '\\1dr', 'g'), '(^|[^\\p{L}\\p{N}_])Th', '\\1Dr', 'g'), '(^|[^\\p{L}\\p{N}_])TH', '\\1DR', 'g') AS after FROM corrections)
+SELECT id, before, after FROM r WHERE before <> after""".replace("\\\\", "\\"),
+    "corrections",
+)
 def replace_in_memory(spark, d):
-    return memory.replace_in_memory(view(spark, d, "corrections"), "tion", "cja", "prefix")
+    """Beginnings of words; each keeps its own ending."""
+    return memory.replace_in_memory(view(spark, d, "corrections"), "th", "dr", "prefix").drop("source_text")
 
 
 @query(
@@ -118,13 +143,18 @@ def import_corrections(spark, d):
 
 
 @query(
-    """SELECT l.matched_correction_id, l.id AS log_id, l.run_id, l.bubble_id, l.output_text, z.without_memory FROM logs l JOIN corrections c ON l.matched_correction_id = c.id
+    """SELECT l.matched_correction_id, l.id AS log_id, l.run_id, l.bubble_id, l.output_text, z.without_memory, f.latest_final FROM lines l JOIN corrections c ON l.matched_correction_id = c.id
 LEFT JOIN (SELECT run_id, bubble_id, arg_min(output_text, id) AS without_memory FROM logs WHERE variant = 'zero_shot' GROUP BY ALL) z ON z.run_id = l.run_id AND z.bubble_id = l.bubble_id
-WHERE l.variant = 'memory_injected'""",
+LEFT JOIN (SELECT project_id, source_text, arg_max(final_translation, created_at) AS latest_final FROM corrections GROUP BY ALL) f ON f.project_id = c.project_id AND f.source_text = l.source_text
+WHERE l.variant = 'memory_injected'""".replace("lines l", "(SELECT g.* EXCLUDE (source_text), coalesce(s.source_text, g.source_text) AS source_text FROM logs g LEFT JOIN corrections s ON s.id = g.matched_correction_id) l"),
     "logs", "corrections",
 )
 def correction_usage(spark, d):
-    return memory.correction_usage(view(spark, d, "corrections"), view(spark, d, "logs")).drop("latest_final")
+    """Logs that an entry was injected in, with its source as theirs."""
+    c, l = view(spark, d, "corrections"), view(spark, d, "logs")
+    source = c.select(F.col("id").alias("matched_correction_id"), F.col("source_text").alias("_s"))
+    l = l.join(source, "matched_correction_id", "left").withColumn("source_text", F.coalesce("_s", "source_text")).drop("_s")
+    return memory.correction_usage(c, l)
 
 
 @query("SELECT matched_correction_id AS correction_id, count(*) AS reuse_count FROM logs WHERE variant = 'memory_injected' GROUP BY ALL", "logs")
@@ -193,56 +223,57 @@ def lexical_overlap(spark, d):
 
 
 @query(
-    r"""SELECT page_id, CASE WHEN regexp_extract(u, '(?i)(?:^|[^a-z])(?:chapter|chap|ch|episode|ep)[\s._\-]*(\d+(?:[._]\d{1,2})?)(?:[^\d]|$)', 1) <> ''
-  THEN 'Chapter_' || ltrim(replace(regexp_extract(u, '(?i)(?:^|[^a-z])(?:chapter|chap|ch|episode|ep)[\s._\-]*(\d+(?:[._]\d{1,2})?)(?:[^\d]|$)', 1), '_', '.'), '0')
-  WHEN regexp_full_match(u, '#?\s*\d+') THEN 'Chapter_' || ltrim(regexp_extract(u, '(\d+)', 1), '0') ELSE u END AS label
-FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'ch_' || (page_id + 1) || '_5' WHEN 1 THEN '00' || (page_id + 1) ELSE 'Extra ' || page_id END AS u FROM pages)"""
+    r"""SELECT page_id, CASE WHEN n <> '' THEN 'Chapter_' || CASE WHEN ltrim(n, '0') = '' THEN '0' ELSE ltrim(n, '0') END ELSE CASE WHEN p = '' THEN 'Chapter' ELSE p END END AS label
+FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/[a-z]+/([^/?#]*)', 1) AS p, regexp_extract(regexp_extract(url, '^https?://[^/]+/[a-z]+/([^/?#]*)', 1), '^(\d+)$', 1) AS n FROM pages)"""
 )
 def chapter_labels(spark, d):
-    """F15, T4."""
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id")
-    n = F.col("page_id")
-    u = F.when(n % 3 == 0, F.concat(F.lit("ch_"), n + 1, F.lit("_5"))).when(n % 3 == 1, F.concat(F.lit("00"), n + 1)).otherwise(F.concat(F.lit("Extra "), n))
-    return p.select("page_id", text.chapter_label(u).alias("label"))
+    """The last part of a page's address as its folder."""
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", text.chapter_label(F.regexp_extract("url", r"^https?://[^/]+/[a-z]+/([^/?#]*)", 1)).alias("label"))
 
 
 @query(
-    """SELECT page_id, bubble_id, CASE WHEN a = '' THEN 'no_draft' WHEN a = f THEN 'unchanged' WHEN ba = bf THEN 'minor' ELSE 'edited' END AS status, CASE WHEN a <> '' AND strlen(a || f) = length(a || f) THEN levenshtein(a, f) END AS char_dist, length(f) AS final_chars
-FROM (SELECT *, trim(ai_translation) AS a, trim(translation) AS f, regexp_replace(lower(ai_translation), '[\\p{P}\\p{Z}\\p{S}\\s]', '', 'g') AS ba, regexp_replace(lower(translation), '[\\p{P}\\p{Z}\\p{S}\\s]', '', 'g') AS bf FROM bubbles
-WHERE NOT skip AND """.replace("\\\\", "\\") + SEEN + ")",
+    """SELECT page_id, bubble_id, CASE WHEN a = '' THEN 'no_draft' WHEN a = f THEN 'unchanged' WHEN ba = bf THEN 'minor' ELSE 'edited' END AS status, CASE WHEN a <> '' THEN length(f) - length(a) END AS char_dist, length(f) AS final_chars
+FROM (SELECT *, trim(ai_translation) AS a, trim(translation) AS f, regexp_replace(lower(nfkc(ai_translation)), '[\\p{P}\\p{Z}\\p{S}\\s]', '', 'g') AS ba, regexp_replace(lower(nfkc(translation)), '[\\p{P}\\p{Z}\\p{S}\\s]', '', 'g') AS bf FROM bubbles
+WHERE NOT skip AND """.replace("\\\\", "\\").replace("nfkc(", "(") + SEEN + ")",
     "bubbles",
 )
 def edit_effort(spark, d):
-    """F8, F9; distances are shown for ASCII lines, as the other engine counts bytes."""
-    b = view(spark, d, "bubbles")
-    ascii_ = b.select("page_id", "bubble_id", (F.octet_length(F.concat("ai_translation", "translation")) == F.length(F.concat("ai_translation", "translation"))).alias("_a"))
-    out = progress.bubble_effort(b).join(ascii_, ["page_id", "bubble_id"])
-    return out.select("page_id", "bubble_id", "status", F.when(F.col("_a"), F.col("char_dist")).alias("char_dist"), "final_chars")
+    """Drafts are final texts with letters left out, so the distance is the number of these."""
+    return progress.bubble_effort(view(spark, d, "bubbles")).select("page_id", "bubble_id", "status", "char_dist", "final_chars")
 
 
 @query(
-    """SELECT id, has_level, message FROM (SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'INFO' WHEN 'click' THEN 'WARNING' WHEN 'signup' THEN 'INFO' ELSE 'ERROR' END AS has_level,
-CASE event_type WHEN 'view' THEN 'hello' WHEN 'click' THEN 'x.py:1: UserWarning: bad' WHEN 'signup' THEN 'Loading: 10%|##| 1/9' WHEN 'error' THEN 'boom' ELSE 'plain' END AS message FROM events)"""
+    """SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'INFO' WHEN 'click' THEN 'WARNING' WHEN 'signup' THEN 'INFO' ELSE 'ERROR' END AS has_level,
+CASE event_type WHEN 'view' THEN 'user ' || user_id || ' ' || props WHEN 'click' THEN 'x.py:' || user_id || ': UserWarning: ' || props WHEN 'signup' THEN 'Loading: ' || user_id || '%|##| 1/9' WHEN 'error' THEN props ELSE props || ' ' || user_id END AS message FROM events"""
 )
 def log_levels(spark, d):
-    """F17."""
+    """lines put together from the events."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    kind = F.col("event_type")
-    line = F.when(kind == "view", "INFO: hello").when(kind == "click", "x.py:1: UserWarning: bad").when(kind == "signup", "Loading: 10%|##| 1/9").when(kind == "error", "\x1b[31mboom\x1b[0m").otherwise("plain")
+    kind, user, props = F.col("event_type"), F.col("user_id").cast("string"), F.col("props")
+    lines = {
+        "view": F.concat(F.lit("INFO: user "), user, F.lit(" "), props), "click": F.concat(F.lit("x.py:"), user, F.lit(": UserWarning: "), props),
+        "signup": F.concat(F.lit("Loading: "), user, F.lit("%|##| 1/9")), "error": F.concat(F.lit("\x1b[31m"), props, F.lit("\x1b[0m")),
+    }
+    line = F.coalesce(*[F.when(kind == k, v) for k, v in lines.items()], F.concat(props, F.lit(" "), user))
     return e.select(F.col("event_id").alias("id"), text.log_level(line).alias("_l")).select("id", F.col("_l.level").alias("has_level"), F.col("_l.message").alias("message"))
 
 
 @query(
-    """SELECT event_id AS id, event_type IN ('error', 'view') AS daily, CASE WHEN event_type = 'view' THEN CAST(46.6 AS DOUBLE) END AS retry_seconds,
-CASE event_type WHEN 'error' THEN 1000 WHEN 'view' THEN 20 END AS limit_value, CASE event_type WHEN 'error' THEN 'requests per day' WHEN 'view' THEN 'requests' WHEN 'click' THEN 'tokens per minute' END AS metric FROM events"""
+    """SELECT event_id AS id, CASE WHEN event_type = 'view' THEN user_id % 2 = 0 WHEN event_type = 'error' THEN user_id % 3 = 0 ELSE false END AS daily, CASE WHEN event_type = 'view' THEN round(value, 2) END AS retry_seconds,
+CASE WHEN event_type IN ('view', 'error') THEN CAST(user_id AS INT) END AS limit_value, CASE WHEN event_type = 'view' THEN 'requests_' || user_id % 5 WHEN event_type = 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'requests per day' ELSE 'requests per minute' END WHEN event_type = 'click' THEN 'tokens per minute' END AS metric FROM events"""
 )
 def rate_limits(spark, d):
-    """F16."""
+    """F16: refusals put together from the events."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    kind = F.col("event_type")
-    a = text.rate_limit_info(F.lit("Quota exceeded for metric: api/x/requests, limit: 20, quotaId: PerDayPerModel. Please retry in 46.6s"), "status")
-    plain = F.when(kind == "error", "Rate limit on requests per day (RPD): Limit 1000, Used 1000").when(kind == "click", "on tokens per minute (TPM): Limit 6000").otherwise("busy")
-    return e.select(F.col("event_id").alias("id"), F.when(kind == "view", a).otherwise(text.rate_limit_info(plain, "plain")).alias("_r")).select("id", "_r.*")
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    span = F.when(F.col("user_id") % 2 == 0, "PerDay").otherwise("PerMinute")
+    wait = F.format_string("%.2f", F.col("value"))
+    status = F.concat(F.lit("Quota exceeded for metric: api/x/requests_"), F.col("user_id") % 5, F.lit(", limit: "), user, F.lit(", quotaId: Requests"), span, F.lit("PerModel. Please retry in "), wait, F.lit("s"))
+    per = F.when(F.col("user_id") % 3 == 0, "day (RPD)").otherwise("minute (RPM)")
+    plain = F.when(kind == "error", F.concat(F.lit("Rate limit reached on requests per "), per, F.lit(": Limit "), user, F.lit(", Used 9"))).when(kind == "click", F.concat(F.lit("on tokens per minute (TPM): Limit "), user)).otherwise(F.col("props"))
+    found = F.when(kind == "view", text.rate_limit_info(status, "status")).otherwise(text.rate_limit_info(plain, "plain"))
+    return e.select(F.col("event_id").alias("id"), found.alias("_r")).select("id", "_r.*")
 
 
 @query("SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) ELSE CAST(ts AS DATE) END AS day FROM events")
@@ -281,7 +312,7 @@ def page_stage(spark, d):
 @query(
     f"""WITH {STAGES_SQL}, p AS (SELECT *, CASE WHEN stage IN ('reviewed', 'checked') AND page_id % 4 = 0 THEN 'exported' ELSE stage END AS shown FROM st WHERE status <> 'excluded')
 SELECT project_id, count(*) AS total, {', '.join(f"count(*) FILTER (shown = '{s}') AS {s}" for s in progress.STAGE_WEIGHT)},
-count(*) FILTER (shown = 'exported' AND stage = 'checked') AS exported_checked, count(*) FILTER (shown = 'exported' AND stage <> 'checked') AS exported_draft,
+count(*) FILTER (shown = 'exported' AND stage = 'checked') AS exported_checked, count(*) FILTER (shown = 'exported' AND stage <> 'checked') AS exported_draft, CAST(floor(epoch(max(updated_at))) AS BIGINT) AS last_activity,
 CAST(sum(CASE shown {' '.join(f"WHEN '{s}' THEN {w}" for s, w in progress.STAGE_WEIGHT.items())} END) AS DOUBLE) / (5 * count(*)) AS done_score FROM p GROUP BY project_id""",
     "bubbles", "page_meta",
 )
@@ -290,7 +321,7 @@ def project_progress(spark, d):
     m = view(spark, d, "page_meta")
     exports = m.where("page_id % 4 = 0").select("page_id", F.col("updated_at").alias("at"))
     stages = progress.page_stage(m, view(spark, d, "bubbles"))
-    return progress.project_progress(progress.page_progress(stages, exports)).drop("last_activity")
+    return progress.project_progress(progress.page_progress(stages, exports)).withColumn("last_activity", secs("last_activity"))
 
 
 @query("SELECT page_id, CAST(floor(epoch(min(created_at))) AS BIGINT) AS first_at FROM logs GROUP BY page_id", "logs")
@@ -299,31 +330,48 @@ def first_translation(spark, d):
     return progress.first_translation(view(spark, d, "logs")).select("page_id", secs("first_at").alias("first_at"))
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT *, trim(ai_translation) AS a, trim(translation) AS f, coalesce(confirmed_via = 'page', false) AS via FROM bubbles WHERE NOT skip AND {SEEN}),
+x AS (SELECT *, unnest(CASE WHEN via THEN ['all'] ELSE ['all', 'one_by_one'] END) AS subset FROM e)
+SELECT subset, count(*) AS bubbles, count(*) FILTER (a = '') AS no_draft, count(*) FILTER (a <> '' AND a = f) AS unchanged, CAST(sum(length(f)) FILTER (a <> '') AS BIGINT) AS chars_final, CAST(sum(length(f) - length(a)) FILTER (a <> '') AS BIGINT) AS chars_edited,
+CAST(sum(length(a)) FILTER (a <> '') AS BIGINT) AS chars_saved, round(avg((length(f) - length(a)) / greatest(1, length(f))) FILTER (a <> ''), 9) AS mean_edit_rate, round(100.0 * sum(length(f) - length(a)) FILTER (a <> '') / sum(length(f)) FILTER (a <> ''), 9) AS char_edit_pct FROM x GROUP BY subset""",
+    "bubbles",
+)
 def translation_effort(spark, d):
-    return progress.translation_effort(progress.bubble_effort(view(spark, d, "bubbles")))
+    """A15."""
+    out = progress.translation_effort(progress.bubble_effort(view(spark, d, "bubbles")))
+    return out.select("subset", "bubbles", "no_draft", "unchanged", "chars_final", "chars_edited", "chars_saved", F.round("mean_edit_rate", 9).alias("mean_edit_rate"), F.round("char_edit_pct", 9).alias("char_edit_pct"))
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT page_id, count(*) AS reviewed, count(*) FILTER (trim(ai_translation) = '') AS no_draft, count(*) FILTER (trim(ai_translation) <> '' AND trim(ai_translation) = trim(translation)) AS unchanged,
+  CAST(coalesce(sum(length(trim(translation)) - length(trim(ai_translation))) FILTER (trim(ai_translation) <> ''), 0) AS BIGINT) AS char_dist FROM bubbles WHERE NOT skip AND {SEEN} GROUP BY page_id),
+o AS (SELECT page_id, count(*) FILTER (op = 'merge') AS b, count(*) FILTER (op = 'layout') AS l, count(*) AS n FROM manual_ops GROUP BY page_id), f AS (SELECT page_id, min(created_at) AS first_at FROM logs GROUP BY page_id)
+SELECT page_id, coalesce(reviewed, 0) AS reviewed, coalesce(no_draft, 0) AS no_draft, coalesce(unchanged, 0) AS unchanged, coalesce(char_dist, 0) AS char_dist, coalesce(least(ocr_at, first_at) >= TIMESTAMP '2024-01-05', false) AS tracked,
+CASE WHEN least(ocr_at, first_at) >= TIMESTAMP '2024-01-05' THEN coalesce(b, 0) END AS ops_bubbles, CASE WHEN least(ocr_at, first_at) >= TIMESTAMP '2024-01-05' THEN coalesce(l, 0) END AS ops_lettering, CASE WHEN least(ocr_at, first_at) >= TIMESTAMP '2024-01-05' THEN coalesce(n, 0) END AS ops_total,
+CASE WHEN ocr_at IS NULL THEN '' WHEN ocr_at >= TIMESTAMP '2024-01-20' THEN 'new' ELSE 'old' END AS "grouping" FROM page_meta LEFT JOIN e USING (page_id) LEFT JOIN o USING (page_id) LEFT JOIN f USING (page_id)""",
+    "bubbles", "manual_ops", "logs", "page_meta",
+)
 def page_work(spark, d):
+    """A14."""
     b, m = view(spark, d, "bubbles"), view(spark, d, "page_meta")
     work = progress.page_work(m.select("page_id", "ocr_at"), progress.bubble_effort(b), view(spark, d, "manual_ops"), progress.first_translation(view(spark, d, "logs")), "2024-01-05", "2024-01-20")
-    return work.drop("ocr_at", "first_at")
+    return work.select("page_id", "reviewed", "no_draft", "unchanged", "char_dist", "tracked", "ops_bubbles", "ops_lettering", "ops_total", "grouping")
 
 
 @query(
     """WITH o AS (SELECT page_id, count(*) FILTER (op = 'merge') AS b, count(*) FILTER (op = 'edit_source') AS t, count(*) FILTER (op = 'layout') AS l, count(*) FILTER (op = 'unknown_op') AS x, count(*) AS n FROM manual_ops GROUP BY page_id),
-r AS (SELECT coalesce(b, 0) AS b, coalesce(t, 0) AS t, coalesce(l, 0) AS l, coalesce(x, 0) AS x, coalesce(n, 0) AS n FROM page_meta LEFT JOIN o USING (page_id) WHERE ocr_at >= TIMESTAMP '2024-01-01'),
+f AS (SELECT page_id, min(created_at) AS first_at FROM logs GROUP BY page_id),
+r AS (SELECT coalesce(b, 0) AS b, coalesce(t, 0) AS t, coalesce(l, 0) AS l, coalesce(x, 0) AS x, coalesce(n, 0) AS n FROM page_meta LEFT JOIN o USING (page_id) LEFT JOIN f USING (page_id) WHERE least(ocr_at, first_at) >= TIMESTAMP '2024-01-01 12:00:00'),
 g AS (SELECT unnest(['bubbles', 'ocr_text', 'translation', 'cleaning', 'lettering', 'other', 'total']) AS "group", unnest([b, t, 0, 0, l, x, n]) AS v FROM r)
 SELECT "group", count(*) AS pages, CAST(sum(v) AS BIGINT) AS total, CAST(avg(v) AS DOUBLE) AS mean, CAST(median(v) AS DOUBLE) AS median, 100.0 * count(*) FILTER (v > 0) / count(*) AS with_pct FROM g GROUP BY "group" """,
-    "manual_ops", "page_meta",
+    "manual_ops", "page_meta", "logs",
 )
 def ops_effort(spark, d):
     """A14, A16."""
-    m = view(spark, d, "page_meta").select("page_id", "ocr_at")
-    none = view(spark, d, "bubbles").where("false")
-    first = m.where("false").select("page_id", F.col("ocr_at").alias("first_at"))
-    return progress.ops_effort(progress.page_work(m, progress.bubble_effort(none), view(spark, d, "manual_ops"), first, "2024-01-01", "2024-01-20"))
+    m, b = view(spark, d, "page_meta").select("page_id", "ocr_at"), view(spark, d, "bubbles")
+    work = progress.page_work(m, progress.bubble_effort(b), view(spark, d, "manual_ops"), progress.first_translation(view(spark, d, "logs")), "2024-01-01 12:00:00", "2024-01-20")
+    return progress.ops_effort(work)
 
 
 @query(
@@ -364,10 +412,15 @@ def retranslate_targets(spark, d):
     return progress.retranslate_targets(view(spark, d, "bubbles")).select("page_id", "bubble_id")
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT page_id, bubble_id, translation AS before, {WHOLE.format(WHOLE.format(WHOLE.format(WHOLE.format('translation', 'the', 'ten'), 'the', 'ten'), 'The', 'Ten'), 'THE', 'TEN')} AS translation, confirmed_translation FROM bubbles)
+SELECT page_id, bubble_id, translation, 1 AS n_edits, CASE WHEN confirmed_translation = before THEN translation ELSE confirmed_translation END AS confirmed_translation FROM r WHERE before <> translation""",
+    "bubbles",
+)
 def replace_in_translations(spark, d):
+    """The review stamp follows."""
     b = view(spark, d, "bubbles").withColumn("bulk_edits", F.lit(None).cast("array<struct<at:string,find:string,replace:string>>"))
-    return progress.replace_in_translations(b, "the", "ten", "word", "2024-02-01").where("changed").select("page_id", "bubble_id", "translation", F.size("bulk_edits").alias("n_edits"))
+    return progress.replace_in_translations(b, "the", "ten", "word", "2024-02-01").where("changed").select("page_id", "bubble_id", "translation", F.size("bulk_edits").alias("n_edits"), "confirmed_translation")
 
 
 # --- glossary
@@ -385,18 +438,23 @@ def term_usage_counts(spark, d):
 
 @query(
     """WITH f AS (SELECT * FROM logs WHERE glossary_terms_used LIKE '[{%'), p AS (SELECT 'wyvern' AS term, run_id, page_id, bubble_id, arg_min(output_text, id) FILTER (variant = 'zero_shot') AS zero_shot,
-  arg_min(output_text, id) FILTER (variant = 'memory_injected') AS memory_injected FROM f GROUP BY run_id, page_id, bubble_id)
-SELECT p.*, b.translation AS now FROM p LEFT JOIN bubbles b USING (page_id, bubble_id)""",
+  arg_min(output_text, id) FILTER (variant = 'memory_injected') AS memory_injected, arg_min({'p': project_id, 's': source_text}, id) AS s FROM f GROUP BY run_id, page_id, bubble_id),
+l AS (SELECT CAST(page_id % 5 AS INT) AS p, 'line ' || pos AS s, arg_max(translation, page_id) AS latest_final FROM bubbles GROUP BY ALL)
+SELECT p.* EXCLUDE (s), b.translation AS now, l.latest_final FROM p LEFT JOIN bubbles b USING (page_id, bubble_id) LEFT JOIN l ON l.p = p.s.p AND l.s = p.s.s""",
     "logs", "bubbles",
 )
 def term_usage(spark, d):
-    """J7."""
-    return glossary.term_usage(view(spark, d, "logs"), view(spark, d, "bubbles"))
+    """With the latest final text of each source (here: of lines by their place)."""
+    b = view(spark, d, "bubbles")
+    c = b.select((F.col("page_id") % 5).cast("int").alias("project_id"), F.concat(F.lit("line "), "pos").alias("source_text"), F.col("translation").alias("final_translation"), F.timestamp_seconds("page_id").alias("created_at"), F.col("page_id").alias("id"))
+    return glossary.term_usage(view(spark, d, "logs"), b, c)
 
 
 @query(
-    r"""SELECT DISTINCT b.page_id, b.pos, g.source_term FROM bubbles b JOIN (SELECT DISTINCT project_id, source_term FROM glossary) g USING (project_id)
-WHERE regexp_matches(b.text, '(?i)(^|[^\p{L}\p{N}_])' || CASE WHEN length(source_term) > 3 AND regexp_matches(source_term, '[^sS][sS]$') THEN left(source_term, -1) ELSE source_term END || '(?:[''’]?s|es)?([^\p{L}\p{N}_]|$)')""",
+    r"""WITH g AS (SELECT DISTINCT project_id, source_term, CASE WHEN regexp_matches(source_term, '[^sS][sS]$') THEN lower(left(source_term, -1)) ELSE lower(source_term) END AS stem FROM glossary),
+k AS (SELECT project_id, source_term, unnest([stem, stem || 's', stem || 'es']) AS word FROM g),
+w AS (SELECT page_id, pos, project_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM bubbles)
+SELECT DISTINCT page_id, pos, source_term FROM w JOIN k USING (project_id, word)""",
     "bubbles", "glossary",
 )
 def match_glossary(spark, d):
@@ -408,8 +466,17 @@ def match_glossary(spark, d):
 
 @query()
 def suggest_terms(spark, d):
-    c = view(spark, d, "corrections").withColumns({c: F.substring(c, 1, 400) for c in ()})
-    return glossary.suggest_terms(c.withColumn("source_text", F.col("final_translation")), view(spark, d, "glossary"), min_occurrences=2)
+    """Names that the draft and the final text spell otherwise; the source has them as the final text does."""
+    c = view(spark, d, "corrections").withColumn("source_text", F.col("final_translation"))
+    return glossary.suggest_terms(c, view(spark, d, "glossary"), min_occurrences=2)
+
+
+@query()
+def suggestions_for_saved(spark, d):
+    """The suggestions that a saved line of the first project's pages would raise."""
+    c = view(spark, d, "corrections").withColumn("source_text", F.col("final_translation"))
+    found = glossary.suggest_terms(c, view(spark, d, "glossary"), min_occurrences=2)
+    return glossary.suggestions_for(found, c.select("project_id", "source_text")).select("project_id", "term", "wrong", "right")
 
 
 @query(
@@ -421,10 +488,18 @@ def edits_for_extraction(spark, d):
     return glossary.edits_for_extraction(view(spark, d, "corrections")).select("id")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT min(id) AS id, project_id, regexp_extract(source_text, '([A-Za-z]{5,})', 1) AS source_term, min(regexp_extract(final_translation, '([A-Za-z]{5,})', 1)) AS target_term FROM corrections WHERE regexp_extract(source_text, '([A-Za-z]{5,})', 1) <> '' GROUP BY project_id, source_term),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, lower(source_term) ORDER BY id) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM p k WHERE k.id % 3 = 0 AND k.project_id = p.project_id AND lower(k.source_term) = lower(p.source_term))) WHERE n = 1)
+SELECT f.project_id, lower(f.source_term) AS term, count(*) AS support FROM f JOIN corrections c ON c.project_id = f.project_id AND contains(lower(c.source_text), lower(f.source_term)) AND contains(lower(c.final_translation), lower(f.target_term)) GROUP BY ALL""",
+    "corrections",
+)
 def rank_extracted_terms(spark, d):
-    g = view(spark, d, "glossary")
-    return glossary.rank_extracted_terms(g.where("id % 2 = 0"), view(spark, d, "corrections"), g.where("id % 4 = 0")).select("id", "project_id", "source_term", "support")
+    """Each entry's first long words as proposals, some of them known."""
+    c = view(spark, d, "corrections")
+    first = lambda col: F.regexp_extract(col, "([A-Za-z]{5,})", 1)
+    p = c.where(first("source_text") != "").groupBy("project_id", first("source_text").alias("source_term")).agg(F.min("id").alias("id"), F.min(first("final_translation")).alias("target_term"))
+    return glossary.rank_extracted_terms(p, c, p.where("id % 3 = 0")).select("project_id", F.lower("source_term").alias("term"), "support")
 
 
 @query("SELECT min(id) AS id, 'import' AS origin FROM glossary g WHERE source_term <> '' AND target_term <> '' AND NOT EXISTS (SELECT 1 FROM glossary h WHERE h.project_id = 0 AND lower(h.source_term) = lower(g.source_term) AND lower(h.target_term) = lower(g.target_term)) GROUP BY lower(source_term), lower(target_term)", "glossary")
@@ -434,13 +509,20 @@ def import_glossary(spark, d):
     return glossary.import_glossary(g.where("project_id = 0"), g.withColumns({"seq": F.col("id"), "origin": F.lit("elsewhere")})).select("id", "origin")
 
 
-@query()
+@query(
+    r"""WITH g AS (SELECT DISTINCT ON (project_id, lower(source_term)) project_id, lower(source_term) AS stem FROM glossary WHERE NOT regexp_matches(source_term, '[sS]$') ORDER BY project_id, lower(source_term), id),
+k AS (SELECT project_id, stem, unnest([stem, stem || 's', stem || 'es']) AS word FROM g), w AS (SELECT page_id, pos, project_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM bubbles),
+m AS (SELECT page_id, pos, count(DISTINCT stem) AS n FROM w JOIN k USING (project_id, word) GROUP BY ALL)
+SELECT page_id, pos, CAST(coalesce(n, 0) AS INT) AS n, CAST(CASE WHEN trim(translation) = '' THEN 0 ELSE coalesce(n, 0) END AS INT) AS still FROM bubbles LEFT JOIN m USING (page_id, pos)""",
+    "bubbles", "glossary",
+)
 def check_terms(spark, d):
-    """F11, F12."""
-    g = view(spark, d, "glossary").dropDuplicates(["project_id", "source_term"])
+    """terms whose translation no line holds, so all that occur are missing from a line with a translation."""
+    g = view(spark, d, "glossary").where("not source_term rlike '[sS]$'").withColumns({"source_term": F.lower("source_term"), "target_term": F.lit("Zyzzyxa")})
+    g = g.groupBy("project_id", "source_term", "target_term").agg(F.min("id").alias("id"))
     rows = glossary.match_glossary(view(spark, d, "bubbles").select("page_id", "pos", "project_id", "text", "ai_translation", "translation"), g)
     out = glossary.check_terms(rows.withColumns({"draft": F.col("ai_translation"), "edited": F.col("translation")}))
-    return out.select("page_id", "pos", F.size("matches").alias("n"), F.size("missing").alias("missing"), F.size("still").alias("still"), "taken")
+    return out.select("page_id", "pos", F.size("matches").alias("n"), F.size("still").alias("still"))
 
 
 # --- logs
@@ -544,23 +626,32 @@ def filter_counts(spark, d):
 @query()
 def history_sort(spark, d):
     """T5: the newest 200 rows are the feature."""
-    return logs.history_sort(_history(spark, d)).select("run_id", "bubble_id", "now_status", "day_rows")
+    return logs.history_sort(_history(spark, d)).select("run_id", "bubble_id", "now_status", F.col("group_label").alias("day"), F.col("group_rows").alias("day_rows"))
 
 
 @query(
-    "SELECT id, CASE WHEN k % 3 = 2 THEN 'broken' ELSE 'filled' END AS state FROM logs", "logs",
+    """SELECT id, CASE WHEN k % 3 = 2 THEN 'broken' ELSE 'filled' END AS state, CASE WHEN k % 3 = 2 THEN injection_json ELSE left(injection_json, -1) || ',"temperature":0.3,"backfilled":"2024"}' END AS injection_json FROM logs""", "logs",
 )
 def backfill_json_key(spark, d):
     """P7."""
-    return logs.backfill_json_key(view(spark, d, "logs"), "temperature", 0.3, "2024").select("id", "state")
+    return logs.backfill_json_key(view(spark, d, "logs"), "temperature", 0.3, "2024").select("id", "state", "injection_json")
 
 
-@query()
+@query(
+    """WITH b AS (SELECT page_id, 'bubble_' || (k % 7) AS bubble_id, min('LINE ' || (k % 50)) AS t, any_value(project_id) AS project_id FROM logs GROUP BY 1, 2),
+s AS (SELECT b.*, l.id, l.run_id, l.variant, l.matched_correction_id AS m, l.bubble_id = b.bubble_id AS own FROM b JOIN logs l ON l.page_id = b.page_id AND upper(l.source_text) = b.t),
+n AS (SELECT page_id, bubble_id, arg_max(run_id, {'o': own, 'i': id}) AS run, max(own) AS o FROM s GROUP BY ALL),
+u AS (SELECT page_id, bubble_id, max(id) AS log_id FROM s JOIN n USING (page_id, bubble_id) WHERE s.run_id = n.run AND own = o AND variant = 'memory_injected' GROUP BY ALL)
+SELECT b.page_id, b.bubble_id, u.log_id, n.run IS NULL AND EXISTS (SELECT 1 FROM logs l WHERE l.page_id = b.page_id AND l.bubble_id = b.bubble_id) AS stale, CASE WHEN u.log_id IS NOT NULL AND l.hints_json IS NOT NULL THEN 'x' END AS shown
+FROM b LEFT JOIN n USING (page_id, bubble_id) LEFT JOIN u USING (page_id, bubble_id) LEFT JOIN logs l ON l.id = u.log_id WHERE u.log_id IS NOT NULL OR (n.run IS NULL AND EXISTS (SELECT 1 FROM logs l WHERE l.page_id = b.page_id AND l.bubble_id = b.bubble_id))""",
+    "logs",
+)
 def memory_used(spark, d):
     """J8."""
     l = view(spark, d, "logs")
-    b = l.select("page_id", F.concat(F.lit("bubble_"), F.col("k") % 7).alias("bubble_id"), F.concat(F.lit(" LINE  "), F.col("k") % 50).alias("text")).dropDuplicates(["page_id", "bubble_id"])
-    return logs.memory_used(b.groupBy("page_id", "bubble_id").agg(F.min("text").alias("text")), l)
+    b = l.select("page_id", F.concat(F.lit("bubble_"), F.col("k") % 7).alias("bubble_id"), F.concat(F.lit(" LINE  "), F.col("k") % 50).alias("text"), "project_id")
+    b = b.groupBy("page_id", "bubble_id").agg(F.min("text").alias("text"), F.min("project_id").alias("project_id"))
+    return logs.memory_used(b, l, view(spark, d, "corrections")).select("page_id", "bubble_id", "log_id", "stale", F.get("entries.pl_shown", F.lit(0)).alias("shown"))
 
 
 @query(
@@ -578,8 +669,15 @@ def last_minute(spark, d):
     return logs.last_minute(view(spark, d, "key_events")).select("event_id", "in_minute")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT *, CASE WHEN provider = 'gemini' THEN CAST(timezone('America/Los_Angeles', timezone('UTC', key_events.at)) AS DATE) ELSE CAST(key_events.at AS DATE) END AS day, CASE WHEN provider = 'gemini' THEN DATE '2024-01-30' ELSE DATE '2024-01-30' END AS now FROM key_events WHERE key_events.at <= TIMESTAMP '2024-01-30 12:00:00'),
+u AS (SELECT provider, key_id, model, count(*) FILTER (kind = 'success' AND day = now) AS today, count(*) FILTER (kind = 'success' AND day > now - 7) AS week, count(*) FILTER (kind = 'success' AND e.at > TIMESTAMP '2024-01-30 11:59:00') AS last_minute,
+  arg_max(limit_value, e.at) FILTER (limit_value IS NOT NULL) AS limit_value, coalesce(bool_or(kind = 'limit' AND daily AND day = now), false) AS exhausted FROM e GROUP BY ALL)
+SELECT *, CASE WHEN exhausted THEN 0 WHEN limit_value IS NOT NULL THEN CAST(greatest(0, limit_value - today) AS INT) END AS "left" FROM u""",
+    "key_events",
+)
 def key_usage(spark, d):
+    """A24."""
     return logs.key_usage(view(spark, d, "key_events"), "2024-01-30 12:00:00")
 
 
@@ -670,7 +768,7 @@ def reconcile(spark, d):
 
 
 @query(
-    """SELECT p AS project_id, (SELECT count(DISTINCT folder) FROM files WHERE doc_id % 5 = p) AS chapters, (SELECT count(*) FROM corrections c WHERE c.project_id = p) AS corrections, (SELECT count(*) FROM glossary g WHERE g.project_id = p) AS terms FROM range(5) t(p)""",
+    """SELECT p AS project_id, (SELECT count(DISTINCT folder) FROM files WHERE doc_id % 5 = p) AS chapters, (SELECT count(*) FROM files WHERE doc_id % 5 = p) AS pages, (SELECT count(*) FROM corrections c WHERE c.project_id = p) AS corrections, (SELECT count(*) FROM glossary g WHERE g.project_id = p) AS terms FROM range(5) t(p)""",
     "files", "corrections", "glossary",
 )
 def project_summary(spark, d):
@@ -679,7 +777,7 @@ def project_summary(spark, d):
     chapters = f.select((F.col("doc_id") % 5).alias("project_id"), "folder").distinct().withColumn("id", F.xxhash64("folder", "project_id"))
     pages = f.select(F.xxhash64("folder", F.col("doc_id") % 5).alias("chapter_id"))
     projects = spark.range(5).select("id", F.concat(F.lit("p"), "id").alias("name"))
-    return catalog.project_summary(projects, chapters, pages, view(spark, d, "corrections"), view(spark, d, "glossary")).select("project_id", "chapters", "corrections", "terms")
+    return catalog.project_summary(projects, chapters, pages, view(spark, d, "corrections"), view(spark, d, "glossary")).select("project_id", "chapters", "pages", "corrections", "terms")
 
 
 @query("SELECT DISTINCT sha1, 'new' AS found FROM files WHERE doc_id % 2 = 0 AND sha1 NOT IN (SELECT sha1 FROM files WHERE doc_id % 3 = 0) UNION ALL SELECT DISTINCT sha1, 'missing' FROM files WHERE doc_id % 3 = 0 AND sha1 NOT IN (SELECT sha1 FROM files WHERE doc_id % 2 = 0)", "files")
@@ -700,12 +798,18 @@ def zipf_table(spark, d):
     return ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet")).select("word", F.round("zipf", 6).alias("zipf"))
 
 
-@query("SELECT page_id, pos FROM boxes WHERE score >= 0.85", "boxes")
+@query(
+    r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}'']+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), z AS (SELECT word FROM c WHERE log10(n * 1e9 / (SELECT sum(n) FROM c)) >= 5),
+t AS (SELECT page_id, pos, text || ' ' || left(text, 1) || ' sol' AS text, score FROM boxes), near AS (SELECT *, unnest(regexp_extract_all(lower(text), '[\p{L}'']+')) AS word FROM t WHERE score < 0.85 AND score >= 0.70),
+k AS (SELECT page_id, pos FROM near LEFT JOIN z USING (word) GROUP BY ALL HAVING 2 * count(z.word) >= count(*))
+SELECT page_id, pos FROM t WHERE score >= 0.85 UNION ALL SELECT page_id, pos FROM k""".replace("z AS (SELECT word FROM", "z AS (SELECT word, word AS known FROM").replace("count(z.word)", "count(z.known)"),
+    "boxes",
+)
 def text_threshold(spark, d):
-    """P2 with no known words: what is within the tolerance goes."""
-    b = view(spark, d, "boxes").withColumn("id", F.concat_ws("-", "page_id", "pos"))
-    none = spark.createDataFrame([], "word string, zipf double")
-    return ocr.text_threshold(b, none).select("page_id", "pos")
+    """Words count as known by their frequency in the documents."""
+    t = view(spark, d, "boxes").select("page_id", "pos", F.concat("text", F.lit(" "), F.substring("text", 1, 1), F.lit(" sol")).alias("text"), "score", F.concat_ws("-", "page_id", "pos").alias("id"))
+    zipf = ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet"))
+    return ocr.text_threshold(t, zipf, known=5.0).select("page_id", "pos")
 
 
 @query(r"SELECT page_id, pos FROM bubbles WHERE NOT (length(regexp_replace(trim(text), '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')) = 1 AND regexp_replace(trim(text), '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g') NOT IN ('I', '?', '!'))", "bubbles")
@@ -741,11 +845,24 @@ def slice_boundary_dedup(spark, d):
     return ocr.slice_boundary_dedup(view(spark, d, "boxes")).select("page_id", "pos")
 
 
+@query()
+def vertical_streams(spark, d):
+    """A26."""
+    return ocr.vertical_streams(view(spark, d, "boxes").withColumn("id", F.col("pos")))
+
+
+@query()
+def build_text_lines(spark, d):
+    """A27."""
+    lines = ocr.build_text_lines(view(spark, d, "boxes").withColumn("id", F.col("pos").cast("string")))
+    return lines.select("page_id", "line_no", "text", F.concat_ws(",", "word_ids").alias("words"), "stream", "angle")
+
+
 @query()
 def group_bubbles(spark, d):
     """A26 to A28, U8."""
     items = view(spark, d, "boxes").withColumn("id", F.col("pos").cast("string"))
-    return ocr.group_bubbles(items, image_width=1000.0, min_score=0.0).select("page_id", "bubble_no", "text", "line_count", F.concat_ws(",", "word_ids").alias("words"))
+    return ocr.group_bubbles(items, image_width=1000.0).select("page_id", "bubble_no", "text", "line_count", F.concat_ws(",", "word_ids").alias("words"))
 
 
 @query()
@@ -766,26 +883,29 @@ def reading_order_rtl(spark, d):
     return ocr.reading_order(b, "rtl").select("page_id", "pos", "order_no")
 
 
+def _bubbles_of_boxes(spark, d):
+    return view(spark, d, "boxes").withColumns({"bubble_id": F.col("pos").cast("string"), "translation": F.upper("text"), "line_count": F.lit(1)}).select("page_id", "pos", "bubble_id", "text", "translation", "box", "line_count")
+
+
 @query(
-    """WITH r AS (SELECT *, pos % 2 AS set_id FROM boxes WHERE pos < 4) SELECT page_id, set_id, string_agg(text, ' ' ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, CAST(pos AS VARCHAR)) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS line_count FROM r GROUP BY ALL""",
+    """SELECT page_id, pos // 3 AS set_id, string_agg(text, ' ' ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, CAST(pos AS VARCHAR)) AS text, string_agg(upper(text), ' ' ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, CAST(pos AS VARCHAR)) AS translation, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS line_count FROM boxes GROUP BY ALL""",
     "boxes",
 )
 def merge_sets(spark, d):
-    """A29."""
-    b = view(spark, d, "boxes").withColumns({"bubble_id": F.col("pos").cast("string"), "translation": F.lit(""), "line_count": F.lit(1)}).select("page_id", "pos", "bubble_id", "text", "translation", "box", "line_count")
-    sets = b.where("pos < 4").select("page_id", "bubble_id", (F.col("pos") % 2).alias("set_id"))
-    return ocr.merge_sets(b, sets).select("page_id", "set_id", "text", "x1", "y1", "x2", "y2", "line_count")
+    """All bubbles of a page, three and three."""
+    b = _bubbles_of_boxes(spark, d)
+    return ocr.merge_sets(b, b.select("page_id", "bubble_id", F.expr("pos div 3").cast("int").alias("set_id"))).select("page_id", "set_id", "text", "translation", "x1", "y1", "x2", "y2", "line_count")
 
 
 @query(
-    """WITH m AS (SELECT page_id, pos % 2 AS set_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes WHERE pos < 4 GROUP BY ALL)
-SELECT b.page_id, CAST(b.pos AS VARCHAR) AS bubble_id, m.set_id FROM boxes b JOIN m USING (page_id) WHERE b.pos >= 4 AND (b.x1 + b.x2) / 2 BETWEEN m.x1 AND m.x2 AND (b.y1 + b.y2) / 2 BETWEEN m.y1 AND m.y2""",
+    """WITH m AS (SELECT page_id, pos // 3 AS set_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes WHERE text < 'm' GROUP BY ALL)
+SELECT b.page_id, CAST(b.pos AS VARCHAR) AS bubble_id, m.set_id FROM boxes b JOIN m USING (page_id) WHERE b.text >= 'm' AND (b.x1 + b.x2) / 2 BETWEEN m.x1 AND m.x2 AND (b.y1 + b.y2) / 2 BETWEEN m.y1 AND m.y2""",
     "boxes",
 )
 def covered_bubbles(spark, d):
-    """J16."""
-    b = view(spark, d, "boxes").withColumns({"bubble_id": F.col("pos").cast("string"), "translation": F.lit(""), "line_count": F.lit(1)}).select("page_id", "pos", "bubble_id", "text", "translation", "box", "line_count")
-    sets = b.where("pos < 4").select("page_id", "bubble_id", (F.col("pos") % 2).alias("set_id"))
+    """Bubbles of early words are merged, those of later ones are free."""
+    b = _bubbles_of_boxes(spark, d)
+    sets = b.where("text < 'm'").select("page_id", "bubble_id", F.expr("pos div 3").cast("int").alias("set_id"))
     return ocr.covered_bubbles(b, ocr.merge_sets(b, sets), sets)
 
 
@@ -800,11 +920,17 @@ def dropped_report(spark, d):
     return ocr.dropped_report(b.select("page_id", "id", "pos", "box"), b.where("pos % 3 <> 0").select("page_id", "id", "box"), "score").select("page_id", "pos")
 
 
-@query()
+@query(
+    """WITH r AS (SELECT page_id, pos, score, CASE WHEN pos % 2 = 0 THEN x1 + 8 ELSE x2 END AS x2, x1, y1, y1 + 20 + pos * 6 AS y2 FROM boxes WHERE score < 0.85), a AS (SELECT page_id AS p, x1 AS ax1, y1 AS ay1, x2 AS ax2, y2 AS ay2 FROM boxes WHERE score >= 0.85),
+f AS (SELECT *, CASE WHEN y2 - y1 >= 36 AND y2 - y1 >= 2.5 * greatest(x2 - x1, 1) THEN 'stacked' ELSE 'line' END AS kind FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE p = page_id AND floor(greatest(least(x2, ax2) - greatest(x1, ax1), 0)) * floor(greatest(least(y2, ay2) - greatest(y1, ay1), 0)) / ((x2 - x1) * (y2 - y1)) > 0.5)),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY score DESC, pos) AS rank FROM f WHERE kind = 'stacked' OR score >= 0.3) SELECT page_id, pos, kind, rank FROM k WHERE kind = 'stacked' OR rank <= 12""",
+    "boxes",
+)
 def rescue_candidates(spark, d):
-    """The best twelve of a page are the feature."""
+    """Stacked columns, and the best twelve lines of a page, which are the feature."""
     b = view(spark, d, "boxes").withColumn("id", F.col("pos"))
-    return ocr.rescue_candidates(b.where("score < 0.85"), b.where("score >= 0.85")).select("page_id", "pos", "rank")
+    shape = F.expr("array(array(x1, y1), array(if(pos % 2 = 0, x1 + 8, x2), y1), array(if(pos % 2 = 0, x1 + 8, x2), y1 + 20 + pos * 6), array(x1, y1 + 20 + pos * 6))")
+    return ocr.rescue_candidates(b.where("score < 0.85").withColumn("box", shape), b.where("score >= 0.85")).select("page_id", "pos", "kind", "rank")
 
 
 @query(
@@ -821,31 +947,34 @@ def cut_by_slice(spark, d):
 
 @query(
     f"""WITH b AS (SELECT *, {KEY.format('text')} AS k FROM bubbles), o AS (SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY pos) AS n FROM b WHERE trim(translation) <> ''), x AS (SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY pos) AS n FROM b)
-SELECT x.page_id, x.pos, o.pos AS old_pos FROM x LEFT JOIN o ON o.page_id = x.page_id AND o.k = x.k AND o.n = x.n AND x.k <> ''""",
+SELECT x.page_id, x.pos, o.pos AS old_pos, o.translation, CASE WHEN o.confirmed_translation = o.translation THEN o.confirmed_translation END AS confirmed_translation, CASE WHEN o.confirmed_translation = o.translation THEN o.confirmed_via END AS confirmed_via FROM x LEFT JOIN o ON o.page_id = x.page_id AND o.k = x.k AND o.n = x.n AND x.k <> ''""",
     "bubbles",
 )
 def carry_over(spark, d):
-    """Pages read again in upper case."""
+    """Pages read again, in upper case."""
     b = view(spark, d, "bubbles").withColumn("skip_reason", F.lit(None).cast("string"))
-    return ocr.carry_over(b, b.select("page_id", "pos", "text")).select("page_id", "pos", "old_pos")
+    return ocr.carry_over(b, b.select("page_id", "pos", F.upper("text").alias("text"))).select("page_id", "pos", "old_pos", "translation", "confirmed_translation", "confirmed_via")
 
 
-@query()
+@query(
+    """WITH l AS (SELECT page_id, pos, CASE WHEN pos % 4 = 3 THEN '+' WHEN pos % 8 = 6 THEN 'll' ELSE text END AS text FROM bubbles), n AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (text = '+') OVER w AS s FROM l WINDOW w AS (PARTITION BY page_id)),
+m AS (SELECT *, n >= 3 AND s > 0 AND s < n AND text IN ('+', 'll') AS m FROM n), b AS (SELECT *, lag(m) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM m)
+SELECT page_id, pos AS line_no, CASE WHEN m AND text = 'll' THEN '||' ELSE text END AS text, CAST(sum(CASE WHEN before IS NOT NULL AND (m OR before) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS block FROM b""",
+    "bubbles",
+)
 def split_operator_blocks(spark, d):
-    """W9."""
-    lines = view(spark, d, "bubbles").select("page_id", F.lit("b").alias("bubble_id"), F.col("pos").alias("line_no"), F.when(F.col("pos") % 4 == 3, "+").otherwise(F.col("text")).alias("text"))
-    return ocr.split_operator_blocks(lines).select("page_id", "line_no", "block")
+    """Lines with signs put between them."""
+    mark = F.when(F.col("pos") % 4 == 3, "+").when(F.col("pos") % 8 == 6, "ll").otherwise(F.col("text"))
+    lines = view(spark, d, "bubbles").select("page_id", F.lit("b").alias("bubble_id"), F.col("pos").alias("line_no"), mark.alias("text"))
+    return ocr.split_operator_blocks(lines).select("page_id", "line_no", "text", "block")
 
 
 @query()
 def fixed_text(spark, d):
-    """lines with a wrapped word, against the corpus's own words of a zipf of 2.5 or more, of which there
-    can be no more than 3.2 million."""
-    zipf = ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet")).where("zipf >= 2.5")
-    table = {r.word: r.zipf for r in zipf.collect()}
-    b = view(spark, d, "bubbles")
-    torn = F.regexp_replace("text", r"(\p{L}{3})(\p{L}{3})", "$1- $2")
-    return b.select("page_id", "pos", helpers.fix_text(table)(torn).alias("fixed"))
+    """lines with words torn by a line break, against the words of the documents."""
+    zipf = ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet"))
+    b = view(spark, d, "bubbles").select("page_id", "pos", F.regexp_replace("text", r"\b([a-z]{3})([a-z]{3,})\b", "$1- $2").alias("text"))
+    return repair.memory_text(b, zipf).select("page_id", "pos", "memory_text")
 
 
 @query()
@@ -857,10 +986,11 @@ def word_diffs(spark, d):
 
 @query()
 def split_translations(spark, d):
-    """A document's second line dealt to its first three."""
+    """An entry's final text dealt to its source's first sentence and the rest."""
     c = view(spark, d, "corrections")
     pieces = F.array(F.regexp_extract("source_text", r"^([^.]*\.)", 1), F.regexp_replace("source_text", r"^[^.]*\.", ""))
-    return c.select("id", helpers.split_translation("final_translation", pieces).alias("_s")).select("id", F.col("_s.method").alias("method"), F.size("_s.parts").alias("n_parts"))
+    found = splitting.split_translation(c.select("id", "final_translation", pieces.alias("pieces")), "final_translation", "pieces")
+    return found.select("id", "method", F.concat_ws("|", "parts").alias("parts"))
 
 
 # --- replay
@@ -878,25 +1008,29 @@ def eligible_examples(spark, d):
 
 
 @query(
-    """SELECT id, rank FROM (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY levenshtein(ai_translation, final_translation) DESC, id DESC) AS rank FROM corrections WHERE coalesce(kind, 'corrected') = 'corrected' AND levenshtein(ai_translation, final_translation) > 0
-AND ai_translation IS NOT NULL AND strlen(final_translation) = length(final_translation)) WHERE rank <= 3""",
+    """WITH c AS (SELECT *, (length(final_translation) - length(replace(final_translation, 'tion', ''))) // 4 + (length(final_translation) - length(replace(final_translation, 'er', ''))) // 2 AS size FROM corrections WHERE ai_translation IS NOT NULL AND ai_translation <> final_translation AND coalesce(kind, 'corrected') = 'corrected'
+UNION ALL SELECT *, length(final_translation) FROM corrections WHERE ai_translation IS NULL AND coalesce(kind, 'corrected') = 'corrected')
+SELECT id, rank, CAST(size AS INT) AS size FROM (SELECT id, size, row_number() OVER (PARTITION BY project_id ORDER BY size DESC, id DESC) AS rank FROM c WHERE size > 0) WHERE rank <= 3""",
     "corrections",
 )
 def biggest_corrections(spark, d):
-    """ASCII entries, the largest three."""
-    c = view(spark, d, "corrections").where("ai_translation is not null and octet_length(final_translation) = length(final_translation)")  # the other engine counts bytes
-    return replay.biggest_corrections(c).select("id", "rank")
+    """The largest three of a project are the feature. Drafts differ from final texts by one letter at known places."""
+    return replay.biggest_corrections(view(spark, d, "corrections")).select("id", "rank", "size")
 
 
 @query()
 def random_examples(spark, d):
-    """T3."""
+    """Of all pairs of a cosine of .2 or more."""
     m = view(spark, d, "memory_vectors")
-    pairs = memory.candidate_pairs(view(spark, d, "query_vectors"), m, 0.2).where("passed")
+    pairs = memory.candidate_pairs(view(spark, d, "query_vectors"), m, 0.2)
     return replay.random_examples(pairs.join(m.select(F.col("id").alias("correction_id"), "final_translation"), "correction_id")).select("query_id", "rank", "correction_id")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT page_id, min(created_at) AS first_at FROM logs GROUP BY page_id), r AS (SELECT *, row_number() OVER (ORDER BY first_at, page_id) - 1 AS position, count(*) OVER () AS n FROM f)
+SELECT DISTINCT page_id, position FROM r, range(20) t(i) WHERE position = CAST(round_even(i * (n - 1) / 19, 0) AS BIGINT)""",
+    "logs",
+)
 def spread_sample(spark, d):
     """20 pages are the feature."""
     first = progress.first_translation(view(spark, d, "logs"))
@@ -908,7 +1042,7 @@ def payloads(spark, d):
     """F13."""
     b = view(spark, d, "bubbles")
     g = glossary.match_glossary(b.select("page_id", "bubble_id", "project_id", "text"), view(spark, d, "glossary")).select("page_id", "bubble_id", F.col("matches").alias("glossary"))
-    examples = b.where("pos % 3 = 0").select("page_id", "bubble_id", F.lit(1).alias("rank"), F.col("text").alias("en"), F.col("translation").alias("pl"), F.lit(0.7).alias("similarity"), F.lit("corrected").alias("kind"))
+    examples = b.where("pos % 3 = 0").select("page_id", "bubble_id", F.lit(1).alias("rank"), F.col("text").alias("en"), F.col("translation").alias("pl"), F.lit(0.7).alias("similarity"), F.lit("corrected").alias("kind"), F.col("ai_translation").alias("draft"))
     exact = b.where("pos % 3 = 1").select("page_id", "bubble_id", F.col("translation").alias("exact"))
     return replay.build_payload(b, examples, exact, g).select("page_id", F.length("payload").alias("chars"))
 
@@ -947,10 +1081,10 @@ def request_stats(spark, d):
 # --- batch twins of the streams
 
 
-@query("SELECT key_id, model, CAST(floor((epoch(key_events.at) - 28800) / 86400) AS BIGINT) * 86400 + 28800 AS start, count(*) AS requests FROM key_events WHERE kind = 'success' GROUP BY ALL", "key_events")
+@query("SELECT provider, key_id, model, CAST(CASE WHEN provider = 'gemini' THEN timezone('America/Los_Angeles', timezone('UTC', key_events.at)) ELSE key_events.at END AS DATE) AS day, count(*) AS requests FROM key_events WHERE kind = 'success' GROUP BY ALL", "key_events")
 def key_usage_by_day(spark, d):
     """ST2: quota days as tumbling windows."""
-    return jobs.key_usage_by_day(view(spark, d, "key_events")).select("key_id", "model", secs("window.start").alias("start"), "requests")
+    return jobs.key_usage_by_day(view(spark, d, "key_events")).select("provider", "key_id", "model", F.to_date("window.start").alias("day"), "requests")
 
 
 @query("SELECT coalesce(key_label, 'unknown') AS key_label, coalesce(model_used, 'unknown') AS model, variant, CAST(floor(epoch(created_at) / 3600) AS BIGINT) * 3600 AS start, count(*) AS requests FROM logs GROUP BY ALL", "logs")

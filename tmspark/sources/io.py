@@ -67,12 +67,18 @@ def read_page_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def write_page_json(bubbles: DataFrame, path: str) -> None:
-    """One document a page: bubbles in order; drafts start as the translation, skipped ones have none."""
+def write_page_json(bubbles: DataFrame, path: str, items: DataFrame | None = None, lines: DataFrame | None = None) -> None:
+    """One document a page (chapter, page): its bubbles in order, and its items and lines where these are given. Drafts
+    start as the translation, skipped bubbles have none. Every column but chapter, page and pos is written."""
     translation = F.when(F.coalesce("skip", F.lit(False)), "").otherwise(F.coalesce("translation", F.lit("")))
     rows = bubbles.withColumns({"translation": translation, "ai_translation": F.coalesce("ai_translation", translation)})
-    fields = ["pos", "bubble_id", "text", "translation", "ai_translation", "skip"]
-    pages = rows.groupBy("chapter", "page").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("bubbles"))
+    pages = None
+    for name, table in (("bubbles", rows), ("items", items), ("lines", lines)):
+        if table is not None:
+            fields = [c for c in table.columns if c not in ("chapter", "page", "pos")]
+            ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r"))), lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1))
+            part = table.groupBy("chapter", "page").agg(F.transform(ordered, lambda x: x["r"]).alias(name))
+            pages = part if pages is None else pages.join(part, ["chapter", "page"], "full")
     pages.write.mode("overwrite").partitionBy("chapter").json(path)
 
 

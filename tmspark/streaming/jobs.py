@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tmspark.functions import text
-from tmspark.operators import memory
+from tmspark.operators import glossary, memory
+from tmspark.operators import logs as batch_logs
 
 
 def fold_corrections_stream(saves: DataFrame, **settings) -> DataFrame:
@@ -42,9 +43,11 @@ def _loads(text_: str) -> list[dict]:
     return [r | {"created_at": pd.Timestamp(r["created_at"]) if r["created_at"] else None} for r in json.loads(text_)]
 
 
-def key_usage_by_day(events: DataFrame, watermark: str = "1 hour", offset: str = "8 hours") -> DataFrame:
-    """Requests of each key and model by day, days beginning at the offset."""
-    return events.withWatermark("at", watermark).where("kind = 'success'").groupBy("key_id", "model", F.window("at", "1 day", None, offset)).agg(F.count(F.lit(1)).alias("requests"))
+def key_usage_by_day(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Requests of each key and model by quota day: windows of a day over the provider's own clock, Pacific for one
+    provider (summer time included), UTC for the others. The watermark must exceed the clocks' distance of 8 hours."""
+    local = events.withColumn("local", text.quota_time(F.col("at"), F.col("provider"))).withWatermark("local", watermark)
+    return local.where("kind = 'success'").groupBy("provider", "key_id", "model", F.window("local", "1 day")).agg(F.count(F.lit(1)).alias("requests"))
 
 
 def key_usage_by_minute(events: DataFrame, watermark: str = "2 minutes") -> DataFrame:
@@ -62,17 +65,28 @@ def translation_stats(logs: DataFrame, watermark: str = "1 hour", width: str = "
     return logs.withWatermark("created_at", watermark).groupBy(F.window("created_at", width), F.coalesce("key_label", F.lit("unknown")).alias("key_label"), F.coalesce("model_used", F.lit("unknown")).alias("model"), "variant").agg(F.count(F.lit(1)).alias("requests"))
 
 
-def enrich(bubbles: DataFrame, corrections: DataFrame) -> DataFrame:
-    """New bubbles with the exact hit of the memory as it stands (a stream joined with a table)."""
+def enrich(bubbles: DataFrame, corrections: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """New bubbles with the exact hit of the memory as it stands (a stream joined with a table), and, where a glossary is
+    given, the ``terms`` that occur. Those are joined by words, so a stream takes them a batch at a time: see
+    ``enrich_batches``."""
     held = memory.latest_per_source(corrections).select("project_id", "phrase_key", F.col("id").alias("correction_id"), "final_translation")
     keyed = bubbles.withColumn("phrase_key", F.when(text.is_short_phrase(F.col("text")), text.normalize_phrase(F.col("text"))))
-    return keyed.join(held, ["project_id", "phrase_key"], "left").drop("phrase_key")
+    out = keyed.join(held, ["project_id", "phrase_key"], "left").drop("phrase_key")
+    return out if terms is None else glossary.match_glossary(out, terms).withColumnRenamed("matches", "terms")
+
+
+def enrich_batches(bubbles: DataFrame, corrections: DataFrame, terms: DataFrame, path: str, checkpoint: str):
+    """A stream of bubbles with exact hits and glossary terms, each batch appended to a folder; returns the writer."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        enrich(batch, corrections, terms).write.mode("append").parquet(path)
+
+    return bubbles.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
 def reuse_counts(logs: DataFrame) -> DataFrame:
-    """Times each entry was injected (update or complete mode)."""
-    used = logs.where("variant = 'memory_injected' and matched_correction_id is not null")
-    return used.groupBy("matched_correction_id").agg(F.count(F.lit(1)).alias("reuse_count"))
+    """Times each entry was injected, over all entries that a log names (update or complete mode)."""
+    return batch_logs.reuse_counts(logs)
 
 
 def run_available(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
