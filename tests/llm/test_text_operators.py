@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -59,6 +60,28 @@ def test_trie_on_small_vocabularies(words):
         assert trie.count(w.encode()) == brute_count(w.encode(), scores)
 
 
+def test_token_counts_of_whole_texts_against_plain_scores(spark, sf_dir):
+    """Each pre-token of each text by itself, scored from the vocabulary without a trie or a memo."""
+    scores = token_counts.unigram_scores(token_counts.default_vocabulary())
+    longest, split = max(map(len, scores)), regex.compile(token_counts.PRE_TOKEN).findall
+
+    def pieces(word):
+        best = [(0.0, 0)] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            ways = [(best[a][0] + scores[word[a:end]], -best[a][1] - 1) for a in range(max(0, end - longest), end) if word[a:end] in scores]
+            top = max(ways)
+            best[end] = (top[0], -top[1])
+        return best[-1][1]
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id % 5 = 0").collect()}
+    got = {r.doc_id: r for r in queries.op1_token_counts(spark, sf_dir).collect()}
+    assert len(got) == docs.count()
+    for k, text in texts.items():
+        tokens = split(text)
+        assert (got[k].n_pretokens, got[k].n_tokens) == (len(tokens), sum(pieces(t.encode()) for t in tokens)), k
+
+
 def test_count_tokens_on_odd_rows(spark):
     got = token_counts.count_tokens(odd_docs(spark)).collect()
     assert len(got) == 8
@@ -225,13 +248,26 @@ def test_hits_by_either_way(spark, limit):
     assert {r.doc_id for r in clean.collect()} == {k for k, v in want.items() if not v[1]}
 
 
-def test_spans_are_cut_until_none_occurs(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_spans_are_cut_until_none_occurs(spark, limit):
     docs, bench = contaminated(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
-    cut = decontaminate.decontaminate(docs, bench, n=3, remove="spans")
-    assert cut.count() == docs.count()
+    docs = docs.unionByName(docs.where("doc_id = 7")).withColumnRenamed("items", "_now")
+    cut = decontaminate.decontaminate(docs, bench, n=3, remove="spans", broadcast_bytes=limit)
+    assert cut.count() == docs.count() and cut.columns == docs.columns
     assert decontaminate.find_contamination(cut, bench, n=3).agg(F.sum("n_hit")).first()[0] == 0
     texts = {r.doc_id: r.text for r in cut.collect()}
     assert texts[2] == "nothing here" and texts[3] is None and texts[7].split() == ["a", "b"]
+    again = spark.createDataFrame([(1, "one one two three two three four x")], "doc_id long, text string")
+    left = decontaminate.decontaminate(again, bench, n=3, remove="spans", broadcast_bytes=limit).first().text.split()
+    assert brute_hits(" ".join(left), ITEMS, 3)[1] == 0 and left[-1] == "x"
+    assert decontaminate.decontaminate(docs.limit(0), bench, n=3, remove="spans", broadcast_bytes=limit).count() == 0
+
+
+def test_window_index_holds_a_repeated_window_once():
+    index = decontaminate.WindowIndex([(1, "a b a b a b"), (2, "a b"), (None, "b a")], 2)
+    hashes, places = index.windows[2]
+    assert len(hashes) == len(places) == 4
+    assert {(at, tuple(sorted(map(str, items)))) for at, _, items in index.find(index.ids([b"a", b"b", b"a", b"c"]))} == {(0, ("1", "2")), (1, ("1", "None"))}
 
 
 def test_empty_benchmark_and_table(spark):
