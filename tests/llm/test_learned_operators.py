@@ -70,6 +70,47 @@ def test_quality_on_held_out_rows(spark):
     assert got.count() == spark.read.parquet(f"{SF01}/documents.parquet").count()
 
 
+def test_quality_scores_against_plain_arithmetic(spark, sf_dir):
+    """The whole query: features text by text, ratios by counting, and the score from the fitted weights; ties and repeats alike."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), fold_of("doc_id", 4, 2)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs.where(~held), labels.where(~held))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op6_quality_classifier(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for k, text in texts.items():
+        at = set(quality.features_of(text, model.bits, {}).tolist())
+        margin = sum(model.weights[b] for b in at) / math.sqrt(len(at)) + model.bias
+        want = 1 / (1 + math.exp(-(model.slope * margin + model.offset)))
+        assert abs(got[k].score - want) < 1e-9 and got[k].predicted == int(want >= 0.7) and got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
+    plain = docs.where(~held).join(labels, "doc_id").collect()
+    marked = [(r.doc_id, r.quality, set(quality.features_of(r.text, model.bits, {}).tolist())) for r in plain]
+    fitting = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) > 0).select("doc_id").collect()}
+    kept = [(y, f) for i, y, f in marked if i in fitting]
+    ones, zeros = Counter(b for y, f in kept if y == 1 for b in f), Counter(b for y, f in kept if y == 0 for b in f)
+    size = 1 << model.bits
+    ratio = lambda b: math.log((1 + ones[b]) / (size + sum(ones.values()))) - math.log((1 + zeros[b]) / (size + sum(zeros.values())))
+    rows, y = [np.array(sorted(f), dtype=np.int32) for _, f in kept], np.array([1 if v else -1 for v, _ in kept])
+    scale = np.array([ratio(b) for b in range(size)])
+    w, b = quality.descend(rows, y, scale, 1.0, 200, 1)
+    cost = {v: len(y) / (2 * max(int((y == v).sum()), 1)) for v in (-1, 1)}
+
+    def objective(w, b):
+        margins = [(w * scale)[f].sum() / math.sqrt(len(f)) + b for f in rows]
+        return (w @ w + b * b) / 2 + sum(cost[int(v)] * max(0, 1 - v * m) for v, m in zip(y, margins))
+
+    fitted = np.divide(model.weights, scale, out=np.zeros(size), where=np.abs(scale) > 1e-12)
+    assert objective(fitted, model.bias) <= 1.03 * objective(w, b)  # the optimum of the whole sample, not of its parts
+
+
+def test_scores_at_the_threshold_and_repeated_rows(spark):
+    docs = docs_of(spark, ["same words"] * 3)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    score = quality.classify(docs, docs, labels).first().score
+    got = quality.classify(docs, docs, labels, threshold=score).collect()
+    assert {(r.score, r.predicted) for r in got} == {(score, 1)} and len(got) == 3
+
+
 def test_quality_without_labels_and_odd_rows(spark):
     odd = docs_of(spark, [None, "", "words here", "!!! " * 50_000])
     none = spark.createDataFrame([], "doc_id long, quality int")

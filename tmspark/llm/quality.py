@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, materialize, small_batches
+from tmspark.llm.common import broadcast_value, discard, materialize, small_batches
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -126,7 +126,7 @@ def _features(bits: int):
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    bits: int = 18, rows_per_class: int = 4_000, shards: int = 4, cost: float = 1.0, epochs: int = 20,
+    bits: int = 18, rows_per_class: int = 4_000, cost: float = 1.0, epochs: int = 20,
 ) -> QualityModel:
     """Learns from the rows of ``docs`` that ``labels`` (id, label 0 or 1) marks. Ids that are null, or marked 0 and 1,
     teach nothing. Without rows of both classes every score is the share of label 1 (0.5 without any)."""
@@ -147,8 +147,9 @@ def train(
     # The chosen marks are broadcast: their number is bounded by rows_per_class.
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     sample = sample.join(F.broadcast(chosen), "_id").select("_id", "_y", _features(bits)("_text").alias("_f"))
-    sample = materialize(sample.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(5 * shards)).cast("int")))
-    fit = sample.where(F.col("_part") >= shards)
+    bag: list[str] = []
+    sample = materialize(sample.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(5)).cast("int")), bag)
+    fit = sample.where("_part > 0")
     counts = fit.select("_y", F.explode("_f").alias("_b")).groupBy("_b").agg(
         F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("q")
     ).toPandas()  # at most 2**bits rows
@@ -158,19 +159,17 @@ def train(
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     shared = broadcast_value(spark, ratio)
 
-    def fit_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit_all(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_id", kind="stable")
         y = np.where(rows["_y"].to_numpy() == 1, 1, -1)
-        w, b = descend([np.asarray(f) for f in rows["_f"]], y, shared.value, cost, epochs, int(key[0]))
-        return pd.DataFrame({"weights": [w], "bias": [b], "both": [len(set(y)) == 2]})
-
-    parts = fit.withColumn("_shard", F.col("_part") % shards).groupBy("_shard").applyInPandas(
-        fit_shard, "weights array<double>, bias double, both boolean"
-    ).toPandas()  # one row a shard
-    parts = parts[parts["both"]] if parts["both"].any() else parts
-    weights = np.mean(np.vstack(parts["weights"].to_numpy()), axis=0) * ratio if len(parts) else np.zeros(1 << bits)
-    model = QualityModel(bits, weights.astype(np.float64), float(parts["bias"].mean()) if len(parts) else 0.0, 1.0, 0.0)
-    held = sample.where(F.col("_part") < shards).select("_y", "_f").toPandas()  # a fifth of the sample
+        w, b = descend([np.asarray(f) for f in rows["_f"]], y, shared.value, cost, epochs, 0)
+        return pd.DataFrame({"weights": [w], "bias": [b]})
+
+    found = fit.withColumn("_whole", F.col("_part") > 0).groupBy("_whole").applyInPandas(fit_all, "weights array<double>, bias double").collect()  # one row
+    weights = np.array(found[0]["weights"]) * ratio if found else np.zeros(1 << bits)
+    model = QualityModel(bits, weights, found[0]["bias"] if found else 0.0, 1.0, 0.0)
+    held = sample.where("_part = 0").select("_y", "_f").toPandas()  # a fifth of the sample
+    discard(spark, bag)
     if len(held):
         margins = np.array([(weights[f].sum() / np.sqrt(len(f)) if len(f) else 0.0) + model.bias for f in map(np.asarray, held["_f"])])
         y = held["_y"].to_numpy()
@@ -192,8 +191,9 @@ def score_column(text: Column, model: QualityModel, spark) -> Column:
 
 
 def classify(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **settings) -> DataFrame:
-    """One row per row of ``docs``: id, score, predicted (1 where score >= threshold). Repeated rows stay, an empty
-    table gives an empty one, other columns aren't read."""
+    """One row per row of ``docs``: id, score, predicted (1 where score >= threshold, so also at a tie with it). Null and
+    empty texts have the score of a text without tokens, very long ones are read whole. Repeated rows stay and score
+    alike, an empty table gives an empty one, other columns aren't read."""
     model = train(learn_from, labels, id_col, text_col, **settings)
     scored = docs.select(F.col(id_col), score_column(F.col(text_col), model, docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
