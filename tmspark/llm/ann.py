@@ -3,11 +3,12 @@
 A tree gives every vector a long string of hash bits: the signs of orthogonal projections against their medians, which
 are fitted on a bounded sample. The strings of a tree are kept as one sorted array, so all vectors that share a prefix
 with a query lie together. A query descends in every tree to its longest matching prefix, then all trees ascend
-together, one bit at a time, until the vectors below the reached nodes number ``candidates``; all of those are measured
+together, one bit at a time, until the vectors below the reached nodes are as many as wanted; all of those are measured
 exactly. There is no cap: what a node holds is taken whole.
 
-Rows are dealt to blocks of about ``block_rows`` by a hash of the id, queries to blocks of ``query_rows``; each pair of
-blocks is one task's work, and the nearest of each are merged by a grouping on the query.
+Rows are dealt to blocks of about ``block_rows`` by a hash of the id, queries to blocks of ``query_rows``, so that the
+index goes to one task a block and some thousands of queries share the sorting of its trees. Each pair of blocks is one
+task's work, and the nearest of each are merged by a grouping on the query.
 """
 
 from __future__ import annotations
@@ -81,14 +82,15 @@ class SortedTrees:
             level = (low + high + 1) // 2
             start, stop = self.reach(query, level)
             low, high = (level, high) if (stop - start).sum() >= wanted else (low, level - 1)
-        for level in range(low, -1, -1):
+        seen, found = np.zeros(self.n, dtype=bool), 0
+        for level in range(low, -1, -1):  # all trees together, a bit at a time; within a level tree by tree
             start, stop = self.reach(query, level)
-            seen = np.zeros(self.n, dtype=bool)
             for rows, a, b in zip(self.rows, start, stop, strict=True):
-                seen[rows[a:b]] = True
-            found = np.flatnonzero(seen)
-            if len(found) >= wanted:
-                return found
+                below = rows[a:b]
+                found += int((~seen[below]).sum())
+                seen[below] = True
+                if found >= wanted:
+                    return np.flatnonzero(seen)
         return np.arange(self.n)
 
 
@@ -99,8 +101,8 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(
-    rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 32,
-    bits: int = 48, share: float = 0.5, least: int = 512, block_rows: int = 20_000, query_rows: int = 2_000,
+    rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64,
+    bits: int = 48, share: float = 0.4, least: int = 512, block_rows: int = 20_000, query_rows: int = 20_000,
     sample_rows: int = 8_192, seed: int = 7,
 ) -> DataFrame:
     """For each row where ``queries`` is true, the ``k`` nearest other rows by Euclidean distance: query_id, rank (from
