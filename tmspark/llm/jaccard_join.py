@@ -155,7 +155,8 @@ def shingle_column(text, n: int, offered: float | None = None):
             yield pd.DataFrame(rows, columns=["node", "shingles"])
             rows = []
 
-    return F.pandas_udf(make, "node long, shingles binary")(text)
+    # Not deterministic to the optimiser, or it would test the result for null below the join that leaves most texts out.
+    return F.pandas_udf(make, "node long, shingles binary").asNondeterministic()(text)
 
 
 def _children(threshold: float, branch: float):
