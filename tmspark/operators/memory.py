@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -282,14 +283,24 @@ def fold_phrase(events: list[dict], state: list[dict], store_approved: bool = Fa
 def fold_corrections(saves: DataFrame, **settings) -> DataFrame:
     """The memory that ordered saves and uses leave (see ``fold_phrase``); ids are the saves' numbers.
 
-    A phrase's events are one group; groups are as small as a phrase is rare."""
+    Events are sorted by phrase and number and gone through in batches. Only a phrase's latest entry can still change, so
+    the others are given out at once, and a phrase of very many saves needs no more memory than a rare one."""
+    columns = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
     keyed = saves.withColumn("phrase_key", text.normalize_phrase(F.col("source_text")))
 
-    def fold(events: pd.DataFrame) -> pd.DataFrame:
-        ordered = events.sort_values("seq").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        return pd.DataFrame(fold_phrase(ordered, [], **settings), columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
-
-    return keyed.groupBy("project_id", "phrase_key").applyInPandas(fold, FOLD_SCHEMA)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrase, held = None, []
+        for batch in batches:
+            rows, done = batch.astype(object).where(lambda x: x.notna(), None).to_dict("records"), []
+            for key, events in groupby(rows, key=lambda e: (e["project_id"], e["phrase_key"])):
+                if key != phrase:
+                    done, phrase, held = done + held, key, []
+                *closed, last = fold_phrase(list(events), held, **settings) or [None]
+                done, held = done + closed, [last] if last is not None else []
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame(held, columns=columns)
+
+    return keyed.repartition("project_id", "phrase_key").sortWithinPartitions("project_id", "phrase_key", "seq").mapInPandas(fold, FOLD_SCHEMA)
 
 
 def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], text_col: str = "source_text", out_col: str = "embedding") -> DataFrame:

@@ -138,12 +138,30 @@ def differences(scored: DataFrame) -> DataFrame:
 KEYS = ["subset", "pair", "metric"]
 
 
+def ranked_sizes(diffs: DataFrame, ranges: int = 64) -> DataFrame:
+    """The distinct absolute differences of each key: ``size``, how many differences have it (``ties``; ``plus``, ``minus``
+    and ``zero`` of them), and their average rank.
+
+    Equal sizes are counted before they are ranked, and ranks are counted up within ranges of sizes, so a key with very
+    many differences is many groups."""
+    size, d = F.abs("difference"), F.col("difference")
+    counted = diffs.groupBy(*KEYS, size.alias("size")).agg(
+        F.count(F.lit(1)).alias("ties"), F.count_if(d > 0).alias("plus"), F.count_if(d < 0).alias("minus"), F.count_if(d == 0).alias("zero")
+    )
+    cuts = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    bounds = diffs.groupBy(*KEYS).agg(F.percentile_approx(size, cuts, 1_000).alias("_cuts"))
+    placed = counted.join(F.broadcast(bounds), KEYS).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("size")))).drop("_cuts")
+    before = placed.groupBy(*KEYS, "_range").agg(F.sum("ties").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy(*KEYS).orderBy("_range")) - F.col("_n")).drop("_n")
+    up_to = F.sum("ties").over(Window.partitionBy(*KEYS, "_range").orderBy("size")) - F.col("ties")
+    ranked = placed.withColumn("_up_to", up_to).join(F.broadcast(before), [*KEYS, "_range"])
+    return ranked.withColumn("rank", F.col("_before") + F.col("_up_to") + (F.col("ties") + 1) / 2).drop("_range", "_before", "_up_to")
+
+
 def signed_ranks(diffs: DataFrame) -> DataFrame:
     """Average ranks of the absolute differences of each key, with the number of its ties."""
-    size = F.abs("difference")
-    tie = Window.partitionBy(*KEYS, size)
-    ranked = diffs.withColumn("_r", F.rank().over(Window.partitionBy(*KEYS).orderBy(size))).withColumn("ties", F.count(F.lit(1)).over(tie))
-    return ranked.withColumn("rank", F.col("_r") + (F.col("ties") - 1) / 2).drop("_r")
+    ranks = ranked_sizes(diffs).select(*KEYS, "size", "ties", "rank")
+    return diffs.withColumn("size", F.abs("difference")).join(ranks, [*KEYS, "size"]).drop("size")
 
 
 def _two_sided(n: int, plus: float, minus: float, variance: float, plain: bool) -> float:
@@ -162,11 +180,11 @@ def _two_sided(n: int, plus: float, minus: float, variance: float, plain: bool)
 def wilcoxon(diffs: DataFrame) -> DataFrame:
     """subset, pair, metric, n, p of the signed-rank test; zeros are split between the signs; null below six differences
     or if all are zero."""
-    r, d = F.col("rank"), F.col("difference")
-    sums = signed_ranks(diffs).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(d > 0, r).when(d == 0, r / 2).otherwise(0.0)).alias("plus"),
-        F.sum(F.when(d < 0, r).when(d == 0, r / 2).otherwise(0.0)).alias("minus"),
-        F.count_if(d == 0).alias("zeros"), F.max("ties").alias("most_ties"), F.sum((F.col("ties") * F.col("ties") - 1) / 48).alias("tied"),
+    t = F.col("ties")
+    sums = ranked_sizes(diffs).groupBy(*KEYS).agg(
+        F.sum(t).alias("n"), F.sum(F.col("rank") * (F.col("plus") + F.col("zero") / 2)).alias("plus"),
+        F.sum(F.col("rank") * (F.col("minus") + F.col("zero") / 2)).alias("minus"), F.sum("zero").alias("zeros"),
+        F.max(t).alias("most_ties"), F.sum(t * (t * t - 1) / 48).alias("tied"),
     )
 
     @F.pandas_udf("double")
@@ -183,21 +201,30 @@ def wilcoxon(diffs: DataFrame) -> DataFrame:
 def bootstrap(diffs: DataFrame, rounds: int = 2000, seed: int = 7) -> DataFrame:
     """subset, pair, metric, mean and the middle 95 percent of resampled means.
 
-    Each difference gets a Poisson(1) weight in each round, seeded by its bubble; tasks send a sum and a weight for each
-    round and key, never their rows."""
+    Each difference gets a Poisson(1) weight in each round, drawn by a hash of its bubble and the round, so weights don't
+    depend on tasks; these send a sum and a weight for each round and key, never their rows."""
+    law = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    step = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def weights(rows: np.ndarray) -> np.ndarray:
+        x = rows[:, None] ^ step
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        return np.searchsorted(law, (x >> np.uint64(11)) / 2.0**53, "right")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                draw = np.random.default_rng([seed, row.page_id & 0xFFFFFFFF, row.h & 0xFFFFFFFF]).poisson(1, rounds)
-                own = totals.setdefault((row.subset, row.pair, row.metric), np.zeros((2, rounds)))
-                own[0] += draw * row.difference
-                own[1] += draw
+            for key, rows in batch.groupby(KEYS, sort=False):
+                own = totals.setdefault(key, np.zeros((2, rounds)))
+                seeds, values = rows["h"].to_numpy().view(np.uint64), rows["difference"].to_numpy()
+                for a in range(0, len(rows), 256):
+                    draw = weights(seeds[a : a + 256])
+                    own += np.stack((values[a : a + 256] @ draw, draw.sum(axis=0)))
         for key, own in totals.items():
             yield pd.DataFrame({"subset": key[0], "pair": key[1], "metric": key[2], "round": np.arange(rounds), "s": own[0], "w": own[1]})
 
-    sums = diffs.select(*KEYS, "page_id", "difference", F.crc32("bubble_id").alias("h")).mapInPandas(weigh, "subset string, pair string, metric string, round int, s double, w double")
+    sums = diffs.select(*KEYS, "difference", F.xxhash64(F.lit(seed), "page_id", "bubble_id").alias("h")).mapInPandas(weigh, "subset string, pair string, metric string, round int, s double, w double")
     means = sums.groupBy(*KEYS, "round").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     spread = means.groupBy(*KEYS).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     n = diffs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("difference").alias("mean"))

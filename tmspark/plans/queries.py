@@ -527,7 +527,7 @@ def check_terms(spark, d):
 
 # --- logs
 
-PAIRS_SQL = """o AS (SELECT run_id, bubble_id, variant, arg_min({'i': id, 'o': output_text, 't': threshold_used, 'h': hints_json, 'j': injection_json, 's': similarity_score, 'g': glossary_terms_used, 'k': k, 'c': created_at, 'p': project_id}, (created_at, id)) AS r FROM logs GROUP BY ALL),
+PAIRS_SQL = """o AS (SELECT run_id, bubble_id, variant, arg_min({'i': id, 'o': output_text, 't': threshold_used, 'h': hints_json, 'j': injection_json, 's': similarity_score, 'g': glossary_terms_used, 'k': k, 'c': created_at, 'p': project_id, 'q': page_id}, (created_at, id)) AS r FROM logs GROUP BY ALL),
 p AS (SELECT coalesce(z.run_id, m.run_id) AS run_id, coalesce(z.bubble_id, m.bubble_id) AS bubble_id, z.r AS z, m.r AS m FROM (SELECT * FROM o WHERE variant = 'zero_shot') z FULL JOIN (SELECT * FROM o WHERE variant = 'memory_injected') m ON z.run_id = m.run_id AND z.bubble_id = m.bubble_id),
 l AS (SELECT *, CASE WHEN m IS NULL THEN NULL WHEN m.k % 3 = 0 THEN 'fuzzy' WHEN m.h IS NOT NULL THEN 'exact' WHEN m.t IS NULL THEN 'exact' ELSE 'fuzzy' END AS lane FROM p)"""
 
@@ -606,24 +606,37 @@ def logs_for_project(spark, d):
     return logs.logs_for_project(l, pages, chapters, 2).select("id")
 
 
+HISTORY_SQL = PAIRS_SQL + f""", b AS (SELECT page_id, bubble_id, coalesce(translation, '') AS now, {SEEN} AS reviewed, coalesce(confirmed_via, '') = 'page' AS paged FROM bubbles),
+h AS (SELECT l.*, b.reviewed, CASE WHEN b.now IS NULL THEN 'gone' WHEN NOT b.reviewed THEN 'open' WHEN trim(b.now) <> trim(coalesce(coalesce(m, z).o, '')) THEN 'edited' WHEN b.paged THEN 'page' ELSE 'accepted' END AS now_status,
+  CASE WHEN m IS NOT NULL AND coalesce(m, z).g LIKE '[{{%' THEN 0 WHEN m IS NOT NULL THEN 1 WHEN coalesce(m, z).g LIKE '[{{%' THEN 2 ELSE 3 END AS hint_rank FROM l LEFT JOIN b ON b.page_id = coalesce(z, m).q AND b.bubble_id = l.bubble_id)"""
+
+
 def _history(spark, d):
     b = view(spark, d, "bubbles").select("page_id", "bubble_id", F.col("translation").alias("current_translation"), text.reviewed(F.col("translation"), F.col("ai_translation"), F.col("confirmed_translation")).alias("reviewed"), (F.coalesce("confirmed_via", F.lit("")) == "page").alias("page_accepted"))
     pairs = logs.pair_logs(view(spark, d, "logs")).withColumn("page_id", F.col("base.page_id"))
     return logs.history(pairs.join(b, ["page_id", "bubble_id"], "left"))
 
 
-@query()
+@query(f"WITH {HISTORY_SQL} SELECT now_status, hint_rank, count(*) AS n FROM h GROUP BY ALL", "logs", "bubbles")
 def history_counts(spark, d):
     """As many rows under each status and hint rank."""
     return _history(spark, d).groupBy("now_status", "hint_rank").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {HISTORY_SQL} SELECT count(*) AS "all", count(*) FILTER (now_status = 'edited') AS changed, count(*) FILTER (NOT reviewed) AS unreviewed, count(*) FILTER (m IS NOT NULL) AS memory, count(*) FILTER (lane = 'fuzzy') AS fuzzy,
+count(*) FILTER (lane = 'exact') AS exact, count(*) FILTER (m IS NOT NULL AND z IS NOT NULL) AS ab, count(*) FILTER (coalesce(m, z).g LIKE '[{{%') AS glossary, 0 AS postedit FROM h""",
+    "logs", "bubbles",
+)
 def filter_counts(spark, d):
+    """P10."""
     return logs.filter_counts(_history(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {HISTORY_SQL} SELECT run_id, bubble_id, now_status, CAST(CAST(coalesce(z, m).c AS DATE) AS VARCHAR) AS day, count(*) OVER (PARTITION BY CAST(coalesce(z, m).c AS DATE)) AS day_rows FROM h ORDER BY coalesce(z, m).c DESC, coalesce(z, m).i DESC LIMIT 200""",
+    "logs", "bubbles",
+)
 def history_sort(spark, d):
     """T5: the newest 200 rows are the feature."""
     return logs.history_sort(_history(spark, d)).select("run_id", "bubble_id", "now_status", F.col("group_label").alias("day"), F.col("group_rows").alias("day_rows"))
@@ -1093,7 +1106,11 @@ def translation_stats(spark, d):
     return jobs.translation_stats(view(spark, d, "logs")).select("key_label", "model", "variant", secs("window.start").alias("start"), "requests")
 
 
-@query()
+@query(
+    """WITH o AS (SELECT page_id, op, bubble, manual_ops.at AS t, CASE WHEN manual_ops.at - lag(manual_ops.at) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM manual_ops WHERE op = 'layout' WINDOW w AS (PARTITION BY page_id, op, bubble ORDER BY manual_ops.at)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY page_id, op, bubble ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT page_id, op, bubble, CAST(floor(epoch(min(t))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY page_id, op, bubble, k""",
+    "manual_ops",
+)
 def layout_sessions(spark, d):
     """ST3."""
     return jobs.layout_sessions(view(spark, d, "manual_ops"), gap="6 hours").select("page_id", "op", "bubble", secs("session_window.start").alias("start"), "n")
