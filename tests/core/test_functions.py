@@ -121,6 +121,12 @@ def test_word_diff():
     assert [(x["t"], x["type"]) for x in helpers.diff_tokens("a b c", "a x c")] == [("a", "same"), (" ", "same"), ("b", "del"), ("x", "ins"), (" ", "same"), ("c", "same")]
 
 
+def test_word_diff_as_a_table_function(spark):
+    spark.udtf.register("word_diff_rows", helpers.word_diff_table())
+    got = spark.sql("select d.t, d.type from values ('a b', 'a x'), (null, 'y') as v(a, b), lateral word_diff_rows(v.a, v.b) d where type <> 'same'").collect()
+    assert sorted(map(tuple, got)) == [("b", "del"), ("x", "ins"), ("y", "ins")]
+
+
 def test_replacement_keeps_case_and_endings(spark):
     rows = spark.createDataFrame([("WIWERN, WIWERNY i Wiwernami",), (None,)], "x string")
     got = rows.select(helpers.replace_terms("wiwern", "wywern", "prefix")(F.col("x")).alias("p"), helpers.replace_terms("wiwern", "wywern")(F.col("x")).alias("w")).collect()

