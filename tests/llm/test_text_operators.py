@@ -320,6 +320,13 @@ def test_loss_spans_point_at_assistant_texts(spark):
         assert joined == text[conv].loss_text
 
 
+def test_chat_very_long_texts(spark):
+    long = "word \\ </turn> ### x: </turn\n" * 20_000
+    row = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "a" * 500_000), (1, 2, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(row).first()
+    assert [(t.role, t.text) for t in got.turns] == [("user", long), ("assistant", "a" * 500_000), ("assistant", long)] and got.loss_text == "a" * 500_000 + long
+
+
 def test_chat_plain_texts_stay_plain_and_empty_tables(spark):
     row = spark.createDataFrame([(1, 0, "user", "hello: there")], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(row).first().formatted == "### user: hello: there </turn>\n"

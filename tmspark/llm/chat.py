@@ -50,18 +50,22 @@ def parse(formatted: Column) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Adds ``rendered`` to rows with role and text: plain where it parses back to the same turn, escaped elsewhere.
-    Null role or text counts as empty."""
+    """Adds ``rendered`` to rows with role and text: plain where it parses back to the same turn, escaped elsewhere; what
+    is escaped is parsed back and compared again, and a turn that still differed would be an error. Null role or text
+    counts as empty."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    plain = render_turn(role, text)
-    back = parse(plain)
-    same = (F.size(back) == 1) & F.coalesce(
-        (F.get(back, F.lit(0))["role"] == role) & (F.get(back, F.lit(0))["text"] == text), F.lit(False)
-    )
+
+    def reads_back(rendered: Column) -> Column:
+        back = parse(rendered)
+        turn = F.get(back, F.lit(0))
+        return (F.size(back) == 1) & F.coalesce((turn["role"] == role) & (turn["text"] == text), F.lit(False))
+
+    plain, escaped = render_turn(role, text), render_turn(_escape_role(role), _escape(text))
     # Only texts that hold a control character can differ, so the parser runs on those alone.
     doubtful = text.contains("\\") | text.contains("</turn>") | text.contains("### ") | ~role.rlike("^[A-Za-z0-9_]*$")
-    escaped = render_turn(_escape_role(role), _escape(text))
-    return turns.withColumn("rendered", F.when(~doubtful, plain).when(same, plain).otherwise(escaped))
+    failed = F.raise_error(F.concat(F.lit("a turn doesn't read back: "), F.substring(text, 1, 100))).cast("string")
+    rendered = F.when(~doubtful, plain).when(reads_back(plain), plain).when(reads_back(escaped), escaped).otherwise(failed)
+    return turns.withColumn("rendered", rendered)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -77,9 +81,11 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     whole = (
         format_turns(source)
         .groupBy("conv_id")
-        .agg(F.concat_ws("", F.transform(ordered, lambda t: t["rendered"])).alias("formatted"))
+        .agg(F.concat_ws("", F.transform(ordered, lambda t: t["rendered"])).alias("formatted"), F.count(F.lit(1)).alias("_n"))
     )
     parsed = whole.withColumn("turns", parse(F.col("formatted")))
+    lost = F.raise_error(F.lit("a conversation reads back as another number of turns")).cast(parsed.schema["turns"].dataType)
+    parsed = parsed.withColumn("turns", F.when(F.size("turns") == F.col("_n"), F.col("turns")).otherwise(lost)).drop("_n")
     spoken = F.filter("turns", lambda t: t["role"] == "assistant")
     return parsed.withColumn("loss_text", F.concat_ws("", F.transform(spoken, lambda t: t["text"])))
 
