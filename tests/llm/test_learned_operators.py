@@ -58,6 +58,66 @@ def test_kneser_ney_sums_to_one():
         assert 0.5 < p <= 1.0001  # what is left goes to letters never seen
 
 
+def plain_kneser_ney(grams, order, letters):
+    """p(character | history) of one language by the formula, from counts of the full order."""
+    counts = {order: dict(grams)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, own in counts.items():
+        once, twice = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(history, letter, n=order):
+        if n == 0:
+            return 1 / (letters + 1000)
+        history = history[len(history) - n + 1 :]
+        follow = {g: v for g, v in counts[n].items() if g[:-1] == history}
+        if not follow:
+            return p(history, letter, n - 1)
+        total = sum(follow.values())
+        return max(follow.get(history + letter, 0) - discount[n], 0) / total + discount[n] * len(follow) / total * p(history, letter, n - 1)
+
+    return p
+
+
+def test_kneser_ney_against_the_formula(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    texts = {x: "  " + "".join(rng.choice(list(chars), 300)) + " " for x, chars in (("aa", "abc de"), ("bb", "bcdf g"), ("cc", "xyz"))}
+    grams = {x: Counter(t[k : k + 4] for k in range(len(t) - 3)) for x, t in texts.items()}
+    counts = pd.DataFrame([(x, g, n) for x, own in grams.items() for g, n in own.items()], columns=["lang", "gram", "n"])
+    names = sorted(texts)
+    model = langid.kneser_ney(counts, names, 4)
+    letters = len({c for own in grams.values() for g in own for c in g[-1:]})
+    plain = {x: plain_kneser_ney(grams[x], 4, len(set().union(*({g[-1] for g in own} | {g[2] for g in own} for own in grams.values())))) for x in names}
+    for _ in range(200):
+        word = "".join(rng.choice(list("abcdefgxyz q"), 4))
+        got = model.log_probabilities(np.array([ord(c) for c in word], dtype=np.uint64))[-1]
+        for k, x in enumerate(names):
+            assert abs(float(got[k]) - math.log(plain[x](word[:3], word[3]))) < 1e-3, (word, x, letters)
+
+
+def test_language_query_against_the_plain_model(spark, sf_dir):
+    """The whole query: each text's language is the one of the highest probability, added up character by character; ties go to the first."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), fold_of("doc_id", 4, 2)
+    model = langid.train(docs.where(~held))
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows[::3]:
+        codes = langid.code_points(r.text, model.order)
+        if codes is None:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        total = model.log_probabilities(codes).astype(float).sum(axis=0) / (len(codes) - model.order + 1)
+        assert got[r.doc_id].lang_pred == model.languages[int(np.argmax(total))]
+    twin = langid.kneser_ney(pd.DataFrame([(x, g, 1) for x in ("aa", "bb") for g in ("abcd", "bcde")], columns=["lang", "gram", "n"]), ["aa", "bb"], 4)
+    h = twin.entropies(["abcde"])[0]
+    assert h[0] == h[1] and int(np.argmin(h)) == 0
+
+
 # --- quality
 
 
