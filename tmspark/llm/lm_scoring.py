@@ -68,7 +68,7 @@ class Slices:
     """Hashes of slices of a byte array, from running sums of scrambled bytes times powers of an odd number."""
 
     def __init__(self, data: np.ndarray):
-        up, self.back = powers(max(len(data) + 1, 1 << 22))
+        up, self.back = powers(max(len(data) + 1, 1 << 21))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_SCRAMBLED[data] * up[: len(data)], out=self.sums[1:])
 
@@ -192,7 +192,7 @@ def read_piece(texts: list[bytes], first: int) -> Piece:
     )
 
 
-def pieces_of(texts: list, most: int = 3_000_000) -> Iterator[Piece]:
+def pieces_of(texts: list, most: int = 2_000_000) -> Iterator[Piece]:
     """Some texts at a time, or one longer one."""
     raw, size, first = [], 0, 0
     for k, text in enumerate(texts):
