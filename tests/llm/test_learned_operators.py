@@ -444,6 +444,25 @@ def test_join_equals_brute_force(spark, settings):
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute_join(rows, 5, 0.8)
 
 
+def test_join_of_very_long_texts_and_clashing_columns(spark):
+    words = [f"w{k}" for k in range(150_000)]
+    long, near = " ".join(words), " ".join(["x", *words[5_000:]])
+    docs = spark.createDataFrame([(1, long), (2, near), (3, "short one"), (4, long)], "doc_id long, text string")
+    docs = docs.select("*", F.lit("c").alias("node"), F.lit(1).alias("_key"), F.lit(2).alias("class_id"), F.lit(3).alias("_text"))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(docs).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (1, 2)}
+
+
+def test_runs_follow_from_the_target_recall():
+    assert jaccard_join.runs_for(0.999999) == 14 and jaccard_join.runs_for(0.9) == 3
+    rng, met = np.random.default_rng(11), Counter()
+    for trial in range(300):  # sets of 90 and 90 tokens, 80 of them common: a similarity of 0.8
+        tokens = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFFF0000))
+        a, b = (set(r[3]) for r in jaccard_join.describe([tokens[:90], tokens[10:]], 0.8, 14))
+        met[bool(a & b)] += 1
+    assert met[False] == 0
+
+
 def test_sketches_never_rule_out_a_pair_at_the_threshold():
     """Two sets that share 512 of 640 shingles, and in each range differ in the lowest ones."""
     tokens = (np.arange(64, dtype=np.uint64)[:, None] << np.uint64(58)) + (np.arange(1, 11, dtype=np.uint64) << np.uint64(16))
