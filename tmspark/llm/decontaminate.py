@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, chunks, materialize, small_batches, words_of
+from tmspark.llm.common import broadcast_value, chunks, give_back, materialize, small_batches, words_of
 
 HITS = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,stop:int>>"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -145,6 +145,7 @@ def hit_column(text: Column, benchmark: DataFrame, n: int = 10, item_col: str =
             texts = texts.tolist()
             rows = [row for a, b in chunks(texts) for row in hits_in(texts[a:b], shared.value)]
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
+            give_back()
 
     return F.pandas_udf(scan, HITS)(text)
 

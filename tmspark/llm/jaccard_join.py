@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import chunks, discard, materialize, mix64, small_batches, words_of
+from tmspark.llm.common import chunks, discard, give_back, materialize, mix64, small_batches, words_of
 
 BINS = 64
 #: Tokens that a set offers for deeper choices: those of the lowest hashes, so many on average (times 1 / threshold).
@@ -114,6 +114,7 @@ def sets_in(batches: Iterator[pd.Series], n: int) -> Iterator[list[np.ndarray]]:
                     memo.clear()
             yield sets
         yield []
+        give_back()
 
 
 def set_column(text, n: int, threshold: float, runs: int):
@@ -326,6 +327,7 @@ def _scan(threshold: float):
             left, right = possible_pairs(rows, threshold)
             some = np.unique(np.concatenate((left, right)))
             yield rows.loc[some, ["key", "pair", "block", "blocks", "members", "node"]]
+            give_back()
 
     return scan
 
@@ -344,7 +346,7 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     order = np.argsort(token, kind="stable")
     token, row = token[order], row[order]
     total = np.zeros((len(used), len(used)), dtype=np.float32)
-    width = 4096
+    width = max(64, (2 << 20) // len(used))  # 8 MB of a block of tokens
     for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         part = slice(*np.searchsorted(token, (low, low + width)))
         inside = np.zeros((len(used), width), dtype=np.float32)
@@ -386,6 +388,8 @@ def _verify(threshold: float):
                         break
             some = links > 0
             yield pd.DataFrame({"node": node[some], "links": links[some], "toward": node[root[some]]})
+            del data, rows, left, right
+            give_back()
 
     return verify
 
@@ -466,7 +470,7 @@ def join(
     levels: list[str] = []
     leaves = materialize(leaf_buckets(nodes, texts, threshold, bucket_rows, depth, branch, levels).distinct(), scratch)
     discard(spark, levels)
-    placed = _in_blocks(leaves, leaves.groupBy("node").agg(F.min("key").alias("p")), bucket_rows, 2 * bucket_rows)
+    placed = _in_blocks(leaves, leaves.groupBy("node").agg(F.min("key").alias("p")), bucket_rows, bucket_rows)
     own = leaves.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     about = nodes.select("node", "copies", "size", "sketch").join(own, "node")
     needed = materialize(

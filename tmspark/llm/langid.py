@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, chunks, small_batches
+from tmspark.llm.common import broadcast_value, chunks, give_back, small_batches
 
 RESULT = "lang_pred string, score double, entropy double, accepted boolean"
 UNDETERMINED = "und"
@@ -275,6 +275,7 @@ def language_column(text: Column, model: KneserNey | None, spark, reject_sigmas:
                 limit = middle + max(apart, reject_sigmas * np.sqrt(spread**2 + noise**2 / n))
                 rows.append((model.languages[best], float(1 / weight.sum()), float(h[best]), bool(h[best] <= limit)))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "entropy", "accepted"])
+            give_back()
 
     return F.pandas_udf(identify, RESULT)(text)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, discard, materialize, mix64
+from tmspark.llm.common import broadcast_value, discard, give_back, materialize, mix64
 
 #: Lengths of the contexts in bytes; those of more than ``LOW`` are counted within a part.
 ORDERS = (0, 1, 2, 3, 4, 5)
@@ -300,6 +300,7 @@ def _arrow(rows: list[tuple], ddl: str) -> pa.Table:
 
 def _ask(parts: int):
     def ask(rows: pa.Table) -> pa.Table:
+        give_back()
         held, block = rows["_held"][0].as_py(), rows["_block"][0].as_py()
         asked, out = ask_of(rows["_text"].to_pylist()), []
         counts = lambda n: pack_counts(n * 0 if held else n)  # noqa: E731  held-out texts aren't counted
@@ -689,6 +690,7 @@ def _scan(parts: int, ends: int):
     end = np.log10(ends + 0.5)
 
     def scan(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         texts = rows["_text"].to_pylist()
         asked, n = ask_of(texts), len(texts)
         found = list(zip(*(answers[c].to_pylist() for c in ("kind", "part", "answer")), strict=True))

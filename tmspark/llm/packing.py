@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import materialize, small_batches
+from tmspark.llm.common import give_back, materialize, small_batches
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
@@ -151,6 +151,7 @@ def token_pieces(
                     ]
                 )
             yield pd.Series(rows)
+            give_back()
 
     pieces = F.pandas_udf(cut, f"array<struct<{PIECE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
     return docs.select(F.col(id_col), F.explode(pieces(F.col(text_col))).alias("_p")).select(id_col, "_p.*")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmspark.llm.common import broadcast_value, discard, materialize, small_batches
+from tmspark.llm.common import broadcast_value, discard, give_back, materialize, small_batches
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -120,6 +120,7 @@ def _features(bits: int):
         memo: dict[str, tuple[str, int]] = {}
         for texts in batches:
             yield pd.Series([features_of(t, bits, memo) for t in texts], dtype=object)
+            give_back()
 
     return F.pandas_udf(make, "array<int>")
 
@@ -186,6 +187,7 @@ def score_column(text: Column, model: QualityModel, spark) -> Column:
         model, memo = shared.value, {}
         for texts in batches:
             yield pd.Series([model.probability(features_of(t, model.bits, memo)) for t in texts], dtype="float64")
+            give_back()
 
     return F.pandas_udf(score, "double")(text)
 
