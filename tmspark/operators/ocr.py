@@ -121,12 +121,9 @@ def per_page(rows: DataFrame, build: Callable[[list[dict]], list[dict]], schema:
     return rows.repartition("page_id").sortWithinPartitions("page_id").mapInPandas(pages, schema)
 
 
-WORD = ("x1", "y1", "x2", "y2", "score", "tilt")
-
-
-def whole_pages(items: DataFrame, build: Callable[[layout.Boxes, np.ndarray, pd.DataFrame], list[dict]], schema: str) -> DataFrame:
-    """``build`` over each page's words: their boxes, columns and rows, by vertical centre. A page is in one task; columns
-    are found for all pages of a batch at a time."""
+def whole_pages(items: DataFrame, build: Callable[[layout.Boxes, np.ndarray, dict], list[dict]], schema: str) -> DataFrame:
+    """``build`` over each page's words: their boxes, columns and other fields (arrays by name), by vertical centre. A page
+    is in one task; columns are found for all pages of a batch at a time."""
     box = geo.bbox(F.col("box"))
     rows = items.select(
         "page_id", "pos", F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"),
@@ -136,13 +133,13 @@ def whole_pages(items: DataFrame, build: Callable[[layout.Boxes, np.ndarray, pd.
     names = [field.split()[0] for field in re.split(r", (?=\w+ \w)", schema)]
 
     def laid_out(batch: pd.DataFrame) -> pd.DataFrame:
-        page = batch["page_id"].to_numpy()
-        boxes = layout.Boxes(*(batch[c].to_numpy() for c in ("x1", "y1", "x2", "y2")))
+        fields = {c: batch[c].to_numpy() for c in ("page_id", "pos", "id", "text", "score", "tilt", "points")}
+        page, boxes = fields["page_id"], layout.Boxes(*(batch[c].to_numpy() for c in ("x1", "y1", "x2", "y2")))
         column, out = layout.columns_of(page, boxes), []
         edges = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1], [True])))
         for a, b in zip(edges, edges[1:], strict=False):
             own = column[a:b]
-            out += build(boxes.take(slice(a, b)), np.where(own >= 0, own - a, -1), batch.iloc[a:b])
+            out += build(boxes.take(slice(a, b)), np.where(own >= 0, own - a, -1), {c: v[a:b] for c, v in fields.items()})
         return pd.DataFrame(out, columns=names)
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,19 +162,19 @@ def _with_box(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flat", corners).withColumnRenamed("flat", "box")
 
 
-def _lines(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame, image_width: float) -> list[dict]:
-    texts, scores, ids, points = (page[c].tolist() for c in ("text", "score", "id", "points"))
-    return layout.lines_of(boxes, column, page["tilt"].to_numpy(), points, texts, scores, ids, image_width)
+def _lines(boxes: layout.Boxes, column: np.ndarray, page: dict, image_width: float) -> list[dict]:
+    texts, scores, ids = (page[c].tolist() for c in ("text", "score", "id"))
+    return layout.lines_of(boxes, column, page["tilt"], page["points"], texts, scores, ids, image_width)
 
 
 def vertical_streams(items: DataFrame) -> DataFrame:
     """Each item's column on its page (the smallest position in it), -1 for one alone. Items without a box are left out."""
 
-    def find(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame) -> list[dict]:
-        pos = page["pos"].to_numpy()
+    def find(boxes: layout.Boxes, column: np.ndarray, page: dict) -> list[dict]:
+        pos = page["pos"]
         least = np.full(len(pos), np.iinfo(np.int64).max)
         np.minimum.at(least, column[column >= 0], pos[column >= 0])
-        number = page["page_id"].iloc[0]
+        number = page["page_id"][0]
         return [{"page_id": number, "pos": p, "stream": least[c] if c >= 0 else -1} for p, c in zip(pos, column, strict=True)]
 
     return whole_pages(items, find, "page_id long, pos int, stream int")
@@ -186,8 +183,8 @@ def vertical_streams(items: DataFrame) -> DataFrame:
 def build_text_lines(items: DataFrame, image_width: float = 1000.0) -> DataFrame:
     """Lines of each page; a tilted one has an angle and a slanted box."""
 
-    def build(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame) -> list[dict]:
-        number = page["page_id"].iloc[0]
+    def build(boxes: layout.Boxes, column: np.ndarray, page: dict) -> list[dict]:
+        number = page["page_id"][0]
         return [{"page_id": number, "line_no": k, **r} for k, r in enumerate(_lines(boxes, column, page, image_width))]
 
     schema = "page_id long, line_no int, text string, score double, word_ids array<string>, flat array<double>, angle double, stream int"
@@ -197,8 +194,8 @@ def build_text_lines(items: DataFrame, image_width: float = 1000.0) -> DataFrame
 def group_bubbles(items: DataFrame, image_width: float = 1000.0, min_score: float = BUBBLE_SCORE) -> DataFrame:
     """Bubbles of each page from its words: one pass over a page, all pages side by side."""
 
-    def build(boxes: layout.Boxes, column: np.ndarray, page: pd.DataFrame) -> list[dict]:
-        number = page["page_id"].iloc[0]
+    def build(boxes: layout.Boxes, column: np.ndarray, page: dict) -> list[dict]:
+        number = page["page_id"][0]
         rows = layout.bubbles_of(_lines(boxes, column, page, image_width), min_score)
         return [{"page_id": number, "bubble_no": k, **r} for k, r in enumerate(rows)]
 
