@@ -45,10 +45,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     number = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     textless, numbered = docs.where("text is null"), docs.where("text is not null").withColumn(name, number)
     found = jaccard_join.join(numbered.select(name, "text"), n=5, threshold=0.8, id_col=name).where("n_links > 0").distinct()
-    found = materialize(found.select(name, (F.col("class_id") == F.col(name)).alias("stays")))
-    alone = numbered.join(found, name, "left_anti")
-    first = numbered.join(found.where("stays"), name, "left_semi").dropDuplicates([name])
-    return alone.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(textless)
+    found = materialize(found.select(name, (F.col("class_id") == F.col(name)).alias("_stays")))
+    # Texts that can't be among the linked ones, by a residue of their number, aren't shuffled.
+    residue = F.pmod(F.xxhash64(name), F.lit(1 << 20))
+    some = F.broadcast(found.select(residue.alias("_residue")).distinct())
+    near, others = (numbered.join(some, residue == F.col("_residue"), kind) for kind in ("left_semi", "left_anti"))
+    met = near.select(F.struct(*docs.columns).alias("_row"), name).join(found.hint("merge"), name, "left")
+    alone, first = met.where("_stays is null"), met.where("_stays").dropDuplicates([name])
+    return textless.unionByName(others.select(docs.columns)).unionByName(alone.select("_row.*")).unionByName(first.select("_row.*"))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
