@@ -96,12 +96,13 @@ def give_back() -> None:
 
 
 def chunks(texts: list, most: int = 2_000_000):
-    """(start, stop) of runs of texts of at most ``most`` characters in all, or of one longer text."""
+    """(start, stop) of runs of texts (or of their lengths) of at most ``most`` characters in all, or of one longer text."""
     start = size = 0
     for k, text in enumerate(texts):
-        size += len(text or "")
+        length = int(text) if isinstance(text, (int, np.integer)) else len(text or "")
+        size += length
         if size > most and k > start:
             yield start, k
-            start, size = k, len(text or "")
+            start, size = k, length
     if start < len(texts):
         yield start, len(texts)

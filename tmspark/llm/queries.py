@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tmspark.llm import ann, chat, common, decontaminate, jaccard_join, langid, lm_scoring, packing, quality, sharding, token_counts
+from tmspark.llm import ann, chat, common, decontaminate, jaccard_join, langid, lm_scoring, packing, periodic_runs, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), common.fold_of("doc_id", 5, 1))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("_m"), listed.alias("_l"), "collapsed")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("_m.col2")).alias("start"),
+        F.col("_m.length").alias("length"),
+        (-F.col("_m.col3")).alias("period"),
+        F.expr("1000 * _m.length div -_m.col3").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join("_l", "\n"), F.when(F.size("_l") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -102,6 +120,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {
