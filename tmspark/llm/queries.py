@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tmspark.llm import ann, byte_bpe, chat, common, decontaminate, jaccard_join, langid, lm_scoring, packing, periodic_runs, quality, sharding, token_counts
+from tmspark.llm import alignment, ann, byte_bpe, chat, common, decontaminate, jaccard_join, langid, lm_scoring, packing, periodic_runs, quality, sharding, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), common.fold_of("doc_id", 5, 1))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    found = alignment.with_counts(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "_block", "_links", "_pairs"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text")))
@@ -130,6 +137,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_token_alignment": op11_token_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
