@@ -65,7 +65,7 @@ def test_pairs_that_come_first_after_a_contraction():
 
 
 def test_memo_of_two_generations_forgets_and_stays_right(library):
-    small = byte_bpe.Codec(byte_bpe.default_vocabulary(), parts=5, matches=5)
+    small = byte_bpe.Codec(byte_bpe.default_vocabulary(), memo=5)
     texts = [f"word{k % 7} other{k % 11} xyz{k}" for k in range(60)]
     for k in range(0, 60, 6):
         same(small, library, texts[k : k + 6])

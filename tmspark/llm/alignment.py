@@ -11,6 +11,7 @@ of which names a pair once: so a pair that every document holds is one row a blo
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tmspark.llm.byte_bpe import Memo, cut_at_spaces
+from tmspark.llm.byte_bpe import Memo
 from tmspark.llm.common import chunks, give_back, materialize, small_batches
 from tmspark.llm.packing import byte_pieces
 from tmspark.llm.token_counts import PRE_TOKEN
@@ -31,6 +32,18 @@ ROW_SCHEMA = f"n_a long, n_b long, n_groups long, n_links long, groups string, _
 
 
 NO_TOKENS = (b"", b"")
+#: A text may be cut before a space that follows no white space: no token of either side spans such a place,
+#: nor does the pattern look past it.
+CUT, GLUED = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+
+
+def cut_at_spaces(text: str) -> tuple[str, list[str]]:
+    """The text's first part, and its other ones without the space that each begins with; see CUT."""
+    if GLUED.search(text) is None:
+        first, *rest = text.split(" ")
+        return first, rest
+    first, *rest = CUT.split(text)
+    return first, [part[1:] for part in rest]
 
 
 class Tokenizers:

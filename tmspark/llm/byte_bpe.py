@@ -14,7 +14,6 @@ Only matches not met before in a worker are encoded; a bounded memo holds the ot
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,10 +38,11 @@ WITH RECURSIVE step AS (
                     lag(tok) OVER w AS before, row_number() OVER w AS nth FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)),
    ranked AS (SELECT p.word, p.pos, p.tok, p.bound, p.nth, m.made::BIGINT << 32 | p.pos AS made,
                 m.made < p.bound AND m.made < coalesce(p.far, 2147483647) AS alone,
-                m.twin OR coalesce(l.made < m.made, false) OR coalesce(r.made < m.made, false) AS early
+                l.made < m.made OR r.made < m.made OR t.made < m.made AS early
               FROM pairs p LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 32 | p.after)
-              LEFT JOIN merges l ON l.pair = CASE WHEN m.held THEN p.before::BIGINT << 32 | m.made END
-              LEFT JOIN merges r ON r.pair = CASE WHEN m.held THEN m.made::BIGINT << 32 | p.beyond END),
+              LEFT JOIN lower l ON l.pair = (p.before::BIGINT << 32 | m.made)
+              LEFT JOIN lower r ON r.pair = (m.made::BIGINT << 32 | p.beyond)
+              LEFT JOIN lower t ON t.pair = (m.made::BIGINT << 32 | m.made)),
    least AS (SELECT word, min(made) AS least, coalesce(min(CASE WHEN early THEN made END), 9223372036854775807) AS before
              FROM ranked GROUP BY word),
    marked AS (SELECT r.word, r.pos, r.tok, r.bound, r.nth, r.made, l.least,
@@ -59,12 +59,6 @@ DECODE = """
 SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS shown FROM given JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
 """
 
-#: A text may be cut before a space that follows no white space: no match of the pattern spans such a place, nor looks past it.
-#: FIRST marks a text's first part, which has no space before it; it is no character of any text.
-FIRST = "\ud800"
-CUT, GLUED = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -81,8 +75,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """Each way to put an entry together from two others: pair (left << 32 | right) and made; whether a pair that holds
-    ``made`` has a lower rank (held), and whether made with itself has (twin)."""
+    """Each way to put an entry together from two others: pair (left << 32 | right), made, and whether it is of a lower
+    rank than one of the two (lower)."""
     rows = []
     for piece, made in ranks.items():
         for cut in range(1, len(piece)):
@@ -90,9 +84,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
             if left is not None and right is not None:
                 rows.append((left, right, made))
     left, right, made = np.array(rows, dtype=np.int64).reshape(-1, 3).T
-    held = np.union1d(left[made < left], right[made < right])
-    twin = left[(left == right) & (made < left)]
-    return pa.table({"pair": left << 32 | right, "made": made.astype(np.int32), "held": np.isin(made, held), "twin": np.isin(made, twin)})
+    return pa.table({"pair": left << 32 | right, "made": made.astype(np.int32), "lower": (made < left) | (made < right)})
 
 
 class Bounds:
@@ -128,15 +120,6 @@ class Bounds:
         return out
 
 
-def cut_at_spaces(text: str) -> tuple[str, list[str]]:
-    """The text's first part, and its other ones without the space that each begins with; see CUT."""
-    if GLUED.search(text) is None:
-        first, *rest = text.split(" ")
-        return first, rest
-    first, *rest = CUT.split(text)
-    return first, [part[1:] for part in rest]
-
-
 class Memo:
     """Strings to values, in two generations: when the newer is full it becomes the older one, which is let go."""
 
@@ -161,12 +144,12 @@ class Memo:
 class Codec:
     """A vocabulary in a DuckDB connection of its own, on one thread."""
 
-    def __init__(self, path: str, most_bytes: int = 400_000, parts: int = 100_000, matches: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 400_000, memo: int = 400_000):
         import duckdb
 
         self.ranks, self.most_bytes = read_ranks(path), most_bytes
         self.split = regex.compile(PRE_TOKEN).findall
-        self.parts, self.matches = Memo(parts), Memo(matches)
+        self.matches = Memo(memo)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.bounds = Bounds(self.ranks)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
@@ -180,6 +163,8 @@ class Codec:
             self.db.register("rows", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
+            if name == "merges":
+                self.db.execute("CREATE TABLE lower AS SELECT pair, made FROM merges WHERE lower")
             self.made.add(name)
 
     def _query(self, sql: str, **columns: np.ndarray) -> pa.Table:
@@ -219,17 +204,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        cut = [cut_at_spaces(text) for text in texts]
-        wanted = set()
-        for first, rest in cut:
-            wanted.update(rest)
-            wanted.add(FIRST + first)
-        found = {p: self.split(p[1:] if p[:1] == FIRST else " " + p) for p in self.parts.missing(wanted)} if wanted else {}
-        self._learn(self.matches.missing({m for ms in found.values() for m in ms}), self.matches.new)
-        of_part, of_match = self.parts.new, self.matches.new
-        for part, matches in found.items():
-            of_part[part] = b"".join([of_match[m] for m in matches])
-        return [of_part[FIRST + first] + b"".join([of_part[p] for p in rest]) for first, rest in cut]
+        found = [self.split(text) for text in texts]
+        self._learn(self.matches.missing(set().union(*found)), self.matches.new)
+        of_match = self.matches.new
+        return [b"".join([of_match[m] for m in matches]) for matches in found]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each run of ``sizes`` ids. An id that the vocabulary doesn't have is an error."""
@@ -264,7 +242,7 @@ def encode_column(text: Column, vocabulary: str | None = None, packed: bool = Fa
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             strings, out = pc.fill_null(texts, "").to_pylist(), []
-            for a, b in chunks(strings):
+            for a, b in chunks(strings, 4_000_000):
                 out += codec(path).encode(strings[a:b])
             if packed:
                 yield pa.array(out, pa.binary())
@@ -276,7 +254,7 @@ def encode_column(text: Column, vocabulary: str | None = None, packed: bool = Fa
     return encode(text)
 
 
-def decode_column(packed: Column, vocabulary: str | None = None, most: int = 8_000_000) -> Column:
+def decode_column(packed: Column, vocabulary: str | None = None, most: int = 2_000_000) -> Column:
     """The bytes (binary) that packed ids stand for; null and none have none. An id that the vocabulary doesn't have is an
     error."""
     path = vocabulary or default_vocabulary()
