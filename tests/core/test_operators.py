@@ -64,18 +64,6 @@ def test_fold(spark):
     assert sorted((r.id, r.final_translation, r.reuse_count) for r in got) == WANT
 
 
-def test_fold_as_a_stream(spark, tmp_path):
-    rows = saves(spark)
-    for k in range(3):
-        rows.where(F.col("seq").between(3 * k + 1, 3 * k + 3)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-        out = jobs.fold_corrections_stream(stream).select("id", "phrase_key", "final_translation", "reuse_count")
-        query = out.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-        query.awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/out/2").where("phrase_key = 'where are we now'").collect()
-    assert [(r.id, r.final_translation, r.reuse_count) for r in last] == WANT[:1]
-
-
 def test_streams_equal_their_batch_twins(spark, sf_dir, tmp_path):
     events = view(spark, sf_dir, "key_events")
     events.write.parquet(f"{tmp_path}/in")

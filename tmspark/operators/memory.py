@@ -240,51 +240,65 @@ FOLD_SCHEMA = (
 )
 
 
-def fold_phrase(events: list[dict], state: list[dict], store_approved: bool = False, min_words: int = 3, max_words: int = 2) -> list[dict]:
-    """The entries of one (project, phrase key) after its events, in order; ``state`` are the entries before.
+def fold_step(last: dict | None, e: dict, store_approved: bool = False, min_words: int = 3, max_words: int = 2) -> tuple[str | None, dict | None]:
+    """What an event does to a phrase's entries, of which only the latest matters: (add, entry), (change, the latest's
+    new form), (remove, None), or (None, None).
 
     A save adds an entry, changes the latest one if that is the same bubble's and unused, removes it if the new text
     isn't worth storing, or does nothing. A use counts on the entry that is the latest then."""
-    rows = [dict(r) for r in state]
+    if e["event"] == "use":
+        return (None, None) if last is None else ("change", last | {"reuse_count": last["reuse_count"] + 1})
+    final, draft = (e["final_translation"] or "").strip(), (e["ai_translation"] or "").strip()
+    same = final.lower() == draft.lower()
+    storable = bool(final) and (not same or bool(e["approve"]) and store_approved)
+    if final and len((e["source_text"] or "").split()) <= max_words:
+        if not e["phrase_key"]:
+            return None, None
+    elif len(final.split()) < min_words:
+        storable = False
+    if last is not None and last["final_translation"].strip().lower() == final.lower():
+        return None, None
+    mine = (
+        last is not None and e["page_id"] is not None and bool(e["bubble_id"]) and not last["reuse_count"]
+        and (last["page_id"], last["bubble_id"]) == (e["page_id"], e["bubble_id"])
+    )
+    if not storable:
+        return ("remove", None) if mine else (None, None)
+    entry = {
+        "id": last["id"] if mine else e["seq"], "project_id": e["project_id"], "phrase_key": e["phrase_key"], "source_text": e["source_text"],
+        "ai_translation": e["ai_translation"], "final_translation": final, "kind": "approved" if same else "corrected", "page_id": e["page_id"],
+        "bubble_id": e["bubble_id"], "reuse_count": 0, "created_at": e["at"],
+    }
+    return "change" if mine else "add", entry
+
+
+def fold_phrase(events: list[dict], state: list[dict], **settings) -> list[dict]:
+    """The entries of one (project, phrase key) after its events, in order; ``state`` are the entries before."""
+    rows = list(state)
     for e in events:
-        last = rows[-1] if rows else None
-        if e["event"] == "use":
-            if last is not None:
-                last["reuse_count"] += 1
-            continue
-        final, draft = (e["final_translation"] or "").strip(), (e["ai_translation"] or "").strip()
-        same = final.lower() == draft.lower()
-        kind = "approved" if same else "corrected"
-        storable = bool(final) and (not same or bool(e["approve"]) and store_approved)
-        if final and len((e["source_text"] or "").split()) <= max_words:
-            if not e["phrase_key"]:
-                continue
-        elif len(final.split()) < min_words:
-            storable = False
-        if last is not None and last["final_translation"].strip().lower() == final.lower():
-            continue
-        mine = (
-            last is not None and e["page_id"] is not None and bool(e["bubble_id"]) and not last["reuse_count"]
-            and (last["page_id"], last["bubble_id"]) == (e["page_id"], e["bubble_id"])
-        )
-        entry = {
-            "project_id": e["project_id"], "phrase_key": e["phrase_key"], "source_text": e["source_text"], "ai_translation": e["ai_translation"],
-            "final_translation": final, "kind": kind, "page_id": e["page_id"], "bubble_id": e["bubble_id"], "reuse_count": 0, "created_at": e["at"],
-        }
-        if storable and mine:
-            rows[-1] = entry | {"id": last["id"]}
-        elif storable:
-            rows.append(entry | {"id": e["seq"]})
-        elif mine:
+        action, entry = fold_step(rows[-1] if rows else None, e, **settings)
+        if action == "add":
+            rows.append(entry)
+        elif action == "change":
+            rows[-1] = entry
+        elif action == "remove":
             rows.pop()
     return rows
 
 
+def closed_entries(rows: list[dict]) -> int:
+    """How many of a phrase's first entries no later event can change. Taking the latest away opens the one before it
+    again, so all behind the last entry that can't be taken away (used, or of no bubble) must be kept, and that one."""
+    lasting = (k for k in range(len(rows) - 1, -1, -1) if rows[k]["reuse_count"] or rows[k]["page_id"] is None or not rows[k]["bubble_id"])
+    return next(lasting, 0)
+
+
 def fold_corrections(saves: DataFrame, **settings) -> DataFrame:
-    """The memory that ordered saves and uses leave (see ``fold_phrase``); ids are the saves' numbers.
+    """The memory that ordered saves and uses leave (see ``fold_step``); ids are the saves' numbers.
 
-    Events are sorted by phrase and number and gone through in batches. Only a phrase's latest entry can still change, so
-    the others are given out at once, and a phrase of very many saves needs no more memory than a rare one."""
+    Events are sorted by phrase and number and gone through in batches, whose sizes change no result. Entries that no
+    later event can change are given out at once, so what is held of a phrase are its unused entries since the last used
+    one."""
     columns = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
     keyed = saves.withColumn("phrase_key", text.normalize_phrase(F.col("source_text")))
 
@@ -295,8 +309,9 @@ def fold_corrections(saves: DataFrame, **settings) -> DataFrame:
             for key, events in groupby(rows, key=lambda e: (e["project_id"], e["phrase_key"])):
                 if key != phrase:
                     done, phrase, held = done + held, key, []
-                *closed, last = fold_phrase(list(events), held, **settings) or [None]
-                done, held = done + closed, [last] if last is not None else []
+                held = fold_phrase(list(events), held, **settings)
+                closed = closed_entries(held)
+                done, held = done + held[:closed], held[closed:]
             yield pd.DataFrame(done, columns=columns)
         yield pd.DataFrame(held, columns=columns)
 

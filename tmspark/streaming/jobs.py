@@ -1,48 +1,20 @@
-"""Streams: the memory's fold, key usage, layout sessions, log statistics, enrichment, reuse counts.
+"""Streams: key usage, layout sessions, log statistics, enrichment, reuse counts. The memory's fold and exact bursts of
+layout changes are in ``stateful``.
 
-Each takes a streaming DataFrame (or a batch one, for its twin) and returns one. Rows older than the watermark are
-dropped by Spark; every job takes it as a parameter.
+Each takes a streaming DataFrame (or a batch one, for its twin) and returns one. Jobs over windows of time take the
+watermark as a parameter, and Spark drops rows older than it; enrichment and reuse counts have no window and drop none.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tmspark.functions import text
 from tmspark.operators import glossary, memory
 from tmspark.operators import logs as batch_logs
 
 
-def fold_corrections_stream(saves: DataFrame, **settings) -> DataFrame:
-    """The entries of each phrase after each batch that touched it (update mode); state is the phrase's entries."""
-    columns = [c.split()[0] for c in memory.FOLD_SCHEMA.split(", ")]
-    keyed = saves.withColumn("phrase_key", text.normalize_phrase(F.col("source_text")))
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(batches)).sort_values("seq").astype(object)
-        events = events.where(events.notna(), None).to_dict("records")
-        held = _loads(state.get[0]) if state.exists else []
-        rows = memory.fold_phrase(events, held, **settings)
-        state.update((_dumps(rows),))
-        yield pd.DataFrame(rows, columns=columns)
-
-    return keyed.groupBy("project_id", "phrase_key").applyInPandasWithState(fold, memory.FOLD_SCHEMA, "entries string", "update", GroupStateTimeout.NoTimeout)
-
-
-def _dumps(rows: list[dict]) -> str:
-    return json.dumps([r | {"created_at": r["created_at"].isoformat() if r["created_at"] is not None else None} for r in rows])
-
-
-def _loads(text_: str) -> list[dict]:
-    return [r | {"created_at": pd.Timestamp(r["created_at"]) if r["created_at"] else None} for r in json.loads(text_)]
-
-
 def key_usage_by_day(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Requests of each key and model by quota day: windows of a day over the provider's own clock, Pacific for one
     provider (summer time included), UTC for the others. The watermark must exceed the clocks' distance of 8 hours."""
@@ -75,11 +47,21 @@ def enrich(bubbles: DataFrame, corrections: DataFrame, terms: DataFrame | None =
     return out if terms is None else glossary.match_glossary(out, terms).withColumnRenamed("matches", "terms")
 
 
-def enrich_batches(bubbles: DataFrame, corrections: DataFrame, terms: DataFrame, path: str, checkpoint: str):
-    """A stream of bubbles with exact hits and glossary terms, each batch appended to a folder; returns the writer."""
+def enrich_batches(bubbles: DataFrame, corrections: DataFrame, terms: DataFrame, path: str, checkpoint: str, **fuzzy):
+    """A stream of bubbles with exact hits and glossary terms; returns the writer. Bubbles that come with a ``query_id``
+    and an ``embedding`` also get ``examples``, what ``tm_fuzzy`` finds for longer lines (rank, correction_id, similarity,
+    overlap, final_translation; settings are passed on).
+
+    A batch is written to a folder of its own number and replaces what is there, so a batch that is run again after a
+    failure isn't doubled: reading ``path`` gives the rows of each batch once."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        enrich(batch, corrections, terms).write.mode("append").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        out = enrich(batch, corrections, terms)
+        if {"query_id", "embedding"} <= set(batch.columns):
+            found = memory.tm_fuzzy(batch, corrections, **fuzzy)
+            row = F.struct("rank", "correction_id", "similarity", "overlap", "final_translation")
+            out = out.join(found.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("examples")), "query_id", "left")
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return bubbles.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
