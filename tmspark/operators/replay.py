@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmspark.functions import helpers, text
@@ -18,20 +18,47 @@ PAIRS = [("A0b", "A0"), ("A1", "A0"), ("A2", "A0"), ("A3", "A0"), ("A2", "A1"),
 BINS = [(0.0, 0.3), (0.3, 0.5), (0.5, 0.67), (0.67, 1.01)]
 
 
+#: Levels of time ranges: a range of level k is 2^k seconds from a multiple of that; so many hold all of 31 bits.
+LEVELS = 32
+LAST_SECOND = 2**31 - 1
+
+
+def time_ranges(first: Column, last: Column) -> Column:
+    """Structs (level, number) of the fewest time ranges that hold the seconds from ``first`` to ``last``: two of a level
+    at most, so some 60 however long the time."""
+
+    def ends(level):
+        low = F.floor((first + F.pow(F.lit(2.0), level) - 1) / F.pow(F.lit(2.0), level)).cast("long")
+        high = (F.floor((last + 1) / F.pow(F.lit(2.0), level)) - 1).cast("long")
+        left = F.when((low <= high) & (low % 2 == 1), F.struct(level.alias("level"), low.alias("number")))
+        right = F.when((low <= high) & (high % 2 == 0), F.struct(level.alias("level"), high.alias("number")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), ends))
+
+
 def eligible_examples(pages: DataFrame, corrections: DataFrame) -> DataFrame:
     """(page_id, id) of the newest entries of each phrase among those made before a page's first translation (pages:
     page_id, project_id, first_at) and not on that page.
 
-    An entry stands from its time until a newer one of its phrase; where the newer one is the page's own it still
-    stands. So each page looks up intervals, and only phrases with an entry of the page are worked out by themselves."""
+    An entry stands from its time until that of any newer one of its phrase (a changed entry keeps its id and gets a new
+    time, so the times needn't ascend); where the newer one is the page's own it still stands. The times entries stand are kept as time ranges, and a page looks up the range of each level that holds its
+    time, so pages meet the entries that stand then and no others. Only phrases with an entry of the page are worked out
+    by themselves."""
     c = corrections.withColumn("phrase_key", memory.phrase_key(F.col("source_text"))).select("id", "project_id", "phrase_key", "page_id", "created_at")
-    order = Window.partitionBy("project_id", "phrase_key").orderBy("id")
-    spans = c.withColumn("_until", F.lead("created_at").over(order))
-    own = c.select("project_id", "phrase_key", F.col("page_id").alias("_own")).where("_own is not null").distinct()
+    newer = Window.partitionBy("project_id", "phrase_key").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = c.withColumn("_until", F.min("created_at").over(newer)).where("_until is null or _until > created_at")
+    second = lambda c: F.least(F.greatest(F.unix_seconds(c), F.lit(0)), F.lit(LAST_SECOND))
+    last = F.when(F.col("_until").isNull(), F.lit(LAST_SECOND).cast("long")).otherwise(second(F.col("_until")))
+    ranges = time_ranges(second(F.col("created_at")), last)
+    spans = spans.withColumn("_r", F.explode(ranges)).select("*", F.col("_r.level").alias("_level"), F.col("_r.number").alias("_number")).drop("_r")
+    own = c.where("page_id is not null").select("project_id", "phrase_key", F.col("page_id").alias("_page")).distinct()
     p = pages.select(F.col("page_id").alias("_page"), "project_id", "first_at")
-    plain = p.join(spans, "project_id").where("created_at < first_at and (_until is null or _until >= first_at)")
-    plain = plain.join(own, (plain["_page"] == own["_own"]) & (plain["project_id"] == own["project_id"]) & (plain["phrase_key"] == own["phrase_key"]), "left_anti")
-    special = p.join(own, (p["_page"] == own["_own"]) & (p["project_id"] == own["project_id"])).select(p["_page"], p["project_id"], "first_at", "phrase_key")
+    asked = p.where("first_at is not null").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    asked = asked.withColumn("_number", F.floor(second(F.col("first_at")) / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    plain = asked.join(spans, ["project_id", "_level", "_number"]).where("created_at < first_at and (_until is null or _until >= first_at)")
+    plain = plain.select("_page", "project_id", "phrase_key", "id").join(own, ["_page", "project_id", "phrase_key"], "left_anti")
+    special = p.join(own, ["_page", "project_id"])
     rest = special.join(c, ["project_id", "phrase_key"]).where("created_at < first_at and (page_id is null or page_id <> _page)")
     rest = rest.groupBy("_page", "project_id", "phrase_key").agg(F.max("id").alias("id"))
     return plain.select(F.col("_page").alias("page_id"), "id").unionByName(rest.select(F.col("_page").alias("page_id"), "id"))
@@ -101,10 +128,10 @@ def build_payload(
 
 
 def latest_outputs(outputs: DataFrame) -> DataFrame:
-    """The last row of each page, bubble and variant, blank finals aside."""
-    rows = outputs.where(F.trim(F.coalesce("final", F.lit(""))) != "")
-    row = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), "seq").alias("_r")
-    return rows.groupBy("page_id", "bubble_id", "variant").agg(row).select("_r.*")
+    """The last row of each page, bubble and variant; those whose final text is blank are then left out."""
+    row = F.max_by(F.struct(*[F.col(c) for c in outputs.columns]), "seq").alias("_r")
+    latest = outputs.groupBy("page_id", "bubble_id", "variant").agg(row).select("_r.*")
+    return latest.where(F.trim(F.coalesce("final", F.lit(""))) != "")
 
 
 def subsets(outputs: DataFrame) -> DataFrame:

@@ -488,17 +488,30 @@ def edits_for_extraction(spark, d):
     return glossary.edits_for_extraction(view(spark, d, "corrections")).select("id")
 
 
+#: SQL of a term's inflected presence, from the rules of the term check: words of letters, a stem, at most four letters more.
+LETTERS_SQL = r"regexp_extract_all(lower({0}), '\p{{L}}+(?:[-'']\p{{L}}+)*')"
+STEM_SQL = "CASE WHEN length(regexp_replace({0}, '[aeiouyąęó]+$', '')) >= 3 THEN regexp_replace({0}, '[aeiouyąęó]+$', '') WHEN length({0}) > 3 THEN left({0}, 3) ELSE {0} END"
+PRESENT_SQL = f"""len(list_filter(want, lambda w: len(list_filter(said, lambda t: starts_with(t, {STEM_SQL.format('w')}) AND length(t) - length({STEM_SQL.format('w')}) <= 4
+  AND (list_contains(want, t) OR NOT list_contains(foreign_words, t)))) = 0)) = 0"""
+
+
 @query(
-    """WITH p AS (SELECT min(id) AS id, project_id, regexp_extract(source_text, '([A-Za-z]{5,})', 1) AS source_term, min(regexp_extract(final_translation, '([A-Za-z]{5,})', 1)) AS target_term FROM corrections WHERE regexp_extract(source_text, '([A-Za-z]{5,})', 1) <> '' GROUP BY project_id, source_term),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, lower(source_term) ORDER BY id) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM p k WHERE k.id % 3 = 0 AND k.project_id = p.project_id AND lower(k.source_term) = lower(p.source_term))) WHERE n = 1)
-SELECT f.project_id, lower(f.source_term) AS term, count(*) AS support FROM f JOIN corrections c ON c.project_id = f.project_id AND contains(lower(c.source_text), lower(f.source_term)) AND contains(lower(c.final_translation), lower(f.target_term)) GROUP BY ALL""",
+    f"""WITH g AS (SELECT min(id) AS id, project_id, regexp_extract(source_text, '([A-Za-z]{{5,}})', 1) AS word, min(regexp_extract(final_translation, '([A-Za-z]{{5,}})', 1)) AS target_term FROM corrections WHERE regexp_extract(source_text, '([A-Za-z]{{5,}})', 1) <> '' GROUP BY project_id, word),
+p AS (SELECT id, project_id, CASE WHEN id % 7 = 0 THEN word || 'zq' ELSE word END AS source_term, target_term FROM g),
+k AS (SELECT p.* FROM p JOIN corrections c ON c.id = p.id AND c.project_id = p.project_id WHERE target_term <> '' AND contains(lower(c.source_text), lower(source_term))
+  AND NOT EXISTS (SELECT 1 FROM p k WHERE k.id % 3 = 0 AND k.project_id = p.project_id AND upper(k.source_term) = upper(p.source_term))),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY project_id, upper(source_term) ORDER BY id, source_term) = 1),
+w AS (SELECT f.*, {LETTERS_SQL.format('c.final_translation')} AS said, {LETTERS_SQL.format('source_term')} AS foreign_words, {LETTERS_SQL.format('target_term')} AS tokens FROM f JOIN corrections c ON c.project_id = f.project_id AND contains(lower(c.source_text), lower(source_term))),
+v AS (SELECT * EXCLUDE (tokens), CASE WHEN len(list_filter(tokens, lambda x: length(x) >= 3)) > 0 THEN list_filter(tokens, lambda x: length(x) >= 3) ELSE tokens END AS want FROM w)
+SELECT project_id, lower(source_term) AS term, CAST(greatest(1, count_if({PRESENT_SQL})) AS BIGINT) AS support FROM v GROUP BY ALL""",
     "corrections",
 )
 def rank_extracted_terms(spark, d):
-    """Each entry's first long words as proposals, some of them known."""
+    """Each entry's first long words as proposals, some of them known, some that their entry doesn't hold."""
     c = view(spark, d, "corrections")
     first = lambda col: F.regexp_extract(col, "([A-Za-z]{5,})", 1)
     p = c.where(first("source_text") != "").groupBy("project_id", first("source_text").alias("source_term")).agg(F.min("id").alias("id"), F.min(first("final_translation")).alias("target_term"))
+    p = p.withColumn("source_term", F.when(F.col("id") % 7 == 0, F.concat("source_term", F.lit("zq"))).otherwise(F.col("source_term")))
     return glossary.rank_extracted_terms(p, c, p.where("id % 3 = 0")).select("project_id", F.lower("source_term").alias("term"), "support")
 
 
