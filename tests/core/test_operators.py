@@ -186,7 +186,7 @@ def test_page_documents_round_trip(spark, tmp_path):
     rows = [("c1", "p1", k, f"bubble_{k}", f"T{k}", "x" if k else None, None, k == 2) for k in range(3)]
     df = spark.createDataFrame(rows, "chapter string, page string, pos int, bubble_id string, text string, translation string, ai_translation string, skip boolean")
     io.write_page_json(df, f"{tmp_path}/out")
-    back = io.read_page_json(spark, f"{tmp_path}/out/*/*.json")["bubbles"].orderBy("pos").collect()
+    back = io.read_page_json(spark, f"{tmp_path}/out", folders=True)["bubbles"].orderBy("pos").collect()
     assert [(r.pos, r.text, r.translation) for r in back] == [(0, "T0", ""), (1, "T1", "x"), (2, "T2", "")]
 
 

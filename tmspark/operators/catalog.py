@@ -82,25 +82,33 @@ def duplicate_chapters(rows: DataFrame) -> DataFrame:
     return rows.withColumn("keep", F.row_number().over(order) == 1)
 
 
-def reconcile(catalog: DataFrame, listing: DataFrame) -> DataFrame:
-    """What to do about each page (chapter, name), from the catalog (with status) and the disk (raw, processed): add,
-    remove, to_pending, to_processed, warn or keep.
-
-    Nothing is removed where the disk shows nothing at all of the chapter, nor where a processed page is left."""
-    shown = listing.groupBy("chapter").agg(F.count_if("raw").alias("_seen"))
-    both = catalog.join(listing, ["chapter", "name"], "full_outer").join(shown, "chapter", "left")
+def reconcile(catalog: DataFrame, listing: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What to do about each page (``by``, such as a project, chapter, name), from the catalog (with status) and the disk
+    (raw, processed): add, remove, to_pending, to_processed, warn or keep. ``new_status`` is what an added or mended page
+    gets.
+
+    A page whose file is missing in a chapter that is there is only warned of. The pages of a chapter that is gone are
+    removed, unless any of its output is left (warn) or nothing at all is on the disk, which might be offline (keep)."""
+    keys = list(by)
+    shown = listing.groupBy(*keys, "chapter").agg(F.count_if("raw").alias("_seen"), F.count_if("processed").alias("_left"))
+    every = listing.groupBy(*keys).agg(F.count_if("raw").alias("_any"))
+    both = catalog.join(listing, [*keys, "chapter", "name"], "full_outer").join(shown, [*keys, "chapter"], "left")
+    both = both.join(every, keys, "left") if keys else both.crossJoin(F.broadcast(every))
     raw, processed = F.coalesce("raw", F.lit(False)), F.coalesce("processed", F.lit(False))
+    gone = F.coalesce("_seen", F.lit(0)) == 0
     action = (
         F.when(F.col("status").isNull(), F.when(raw, "add").otherwise("keep"))
+        .when(gone & (F.coalesce("_any", F.lit(0)) == 0), "keep")
+        .when(gone, F.when(F.coalesce("_left", F.lit(0)) > 0, "warn").otherwise("remove"))
         .when(F.col("status") == "excluded", "keep")
-        .when(~raw & (F.coalesce("_seen", F.lit(0)) == 0), "warn")
-        .when(~raw & processed, "warn")
-        .when(~raw, "remove")
+        .when(~raw, "warn")
         .when((F.col("status") == "processed") & ~processed, "to_pending")
         .when(F.col("status").isin("pending", "failed") & processed, "to_processed")
         .otherwise("keep")
     )
-    return both.select("chapter", "name", "status", raw.alias("raw"), processed.alias("processed"), action.alias("action"))
+    out = both.select(*keys, "chapter", "name", "status", raw.alias("raw"), processed.alias("processed"), action.alias("action"))
+    ready = F.when(F.col("processed"), "processed").otherwise("pending")
+    return out.withColumn("new_status", F.when(F.col("action").isin("add", "to_pending", "to_processed"), ready))
 
 
 def project_summary(projects: DataFrame, chapters: DataFrame, pages: DataFrame, corrections: DataFrame, terms: DataFrame) -> DataFrame:

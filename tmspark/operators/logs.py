@@ -142,8 +142,9 @@ def history(rows: DataFrame) -> DataFrame:
 def log_filters() -> dict[str, Column]:
     """Conditions of the history's filters over rows of ``history``."""
     memory = F.col("memory_injected").isNotNull()
+    differs = F.trim("current_translation") != F.trim(F.coalesce("shown.output_text", F.lit("")))
     return {
-        "all": F.lit(True), "changed": F.col("now_status") == "edited", "unreviewed": F.coalesce(~F.col("reviewed"), F.lit(False)), "memory": memory,
+        "all": F.lit(True), "changed": F.coalesce(differs, F.lit(False)), "unreviewed": F.coalesce(~F.col("reviewed"), F.lit(False)), "memory": memory,
         "fuzzy": F.coalesce(F.col("lane") == "fuzzy", F.lit(False)), "exact": F.coalesce(F.col("lane") == "exact", F.lit(False)),
         "ab": memory & F.col("zero_shot").isNotNull(), "glossary": F.coalesce(glossary_fired(F.col("shown")), F.lit(False)),
         "postedit": F.coalesce(F.col("shown.injection.terms.postedit.applied"), F.lit(False)),
@@ -151,12 +152,14 @@ def log_filters() -> dict[str, Column]:
 
 
 def log_filter(rows: DataFrame, mode: str = "all", q: str | None = None, chapter: str | None = None) -> DataFrame:
-    """Rows of a mode, of a chapter (column ``chapter``) if one is given, that hold ``q`` in source, output or bubble."""
+    """Rows of a mode, of a chapter (column ``chapter``) if one is given, that hold ``q`` in source, output, bubble or, where
+    there is such a column, the file's name."""
     kept = rows.where(log_filters()[mode])
     kept = kept if chapter is None else kept.where(F.col("chapter") == chapter)
-    if q:
-        hay = [F.lower(F.coalesce(c, F.lit(""))) for c in ("base.source_text", "shown.output_text", "current_translation")]
-        kept = kept.where(text.any_of([h.contains(q.lower()) for h in hay]))
+    if q and q.strip():
+        names = ["base.source_text", "shown.output_text", "current_translation", *(["file_name"] if "file_name" in rows.columns else [])]
+        hay = [F.lower(F.coalesce(c, F.lit(""))) for c in names]
+        kept = kept.where(text.any_of([h.contains(q.strip().lower()) for h in hay]))
     return kept
 
 
@@ -270,20 +273,37 @@ def last_minute(events: DataFrame) -> DataFrame:
 
 
 def key_usage(events: DataFrame, now) -> DataFrame:
-    """Each key and model: requests today and in a week, the known limit, what is left, and whether it is exhausted.
+    """Each key and model: requests today and in a week, the day's limit and where it is from, what is left, whether it is
+    exhausted, and the minute's limit.
 
-    A number the server gave today wins; otherwise the limit less today's requests, 0 if a daily limit was hit today."""
+    The day's limit is the last number a server named for a day; as long as none did, it is the requests that were made
+    on a day when a refusal without a number came. Refusals of a minute say nothing about the day. What a server said
+    today is left wins over the limit less today's requests; a day's refusal today leaves 0."""
     at = F.lit(now).cast("timestamp")
+    key = ["provider", "key_id", "model"]
     e = events.where(F.col("at") <= at).withColumns({"_day": text.quota_day(F.col("at"), F.col("provider")), "_now": text.quota_day(at, F.col("provider"))})
     today = F.col("_day") == F.col("_now")
-    count = lambda c: F.count_if((F.col("kind") == "success") & c)
-    out = e.groupBy("provider", "key_id", "model").agg(
-        count(today).alias("today"),
-        count(F.col("_day") > F.date_sub("_now", 7)).alias("week"),
-        count(F.col("at") > at - F.expr("interval 60 seconds")).alias("last_minute"),
-        F.max_by("limit_value", F.when(F.col("limit_value").isNotNull(), F.col("at"))).alias("limit_value"),
-        F.max_by("left_value", F.when((F.col("kind") == "server_counts") & today, F.col("at"))).alias("server_left"),
-        F.coalesce(F.bool_or((F.col("kind") == "limit") & F.col("daily") & today), F.lit(False)).alias("exhausted"),
+    done, refused = F.col("kind") == "success", F.col("kind") == "limit"
+    daily, number = F.coalesce("daily", F.lit(False)), F.coalesce("limit_value", F.lit(0)) != 0
+    named = (F.col("kind") == "server_counts") & F.col("limit_value").isNotNull() | refused & daily & number
+    latest = lambda column, condition: F.max_by(column, F.when(condition, F.col("at")))
+    out = e.groupBy(*key).agg(
+        F.count_if(done & today).alias("today"),
+        F.count_if(done & (F.col("_day") > F.date_sub("_now", 7))).alias("week"),
+        F.count_if(done & (F.col("at") > at - F.expr("interval 60 seconds"))).alias("last_minute"),
+        latest("limit_value", named).alias("_named"),
+        latest("limit_value", refused & ~daily & number).alias("limit_minute"),
+        latest("left_value", (F.col("kind") == "server_counts") & F.col("left_value").isNotNull() & today).alias("_left"),
+        F.coalesce(F.bool_or(refused & daily & today), F.lit(False)).alias("exhausted"),
     )
-    left = F.when(F.col("exhausted"), 0).otherwise(F.coalesce("server_left", F.greatest(F.lit(0), F.col("limit_value") - F.col("today"))))
-    return out.withColumn("left", left.cast("int")).drop("server_left")
+    bare = e.where(refused & daily & ~number).groupBy(*key).agg(F.max(F.struct("at", "_day")).alias("_r"))
+    bare = bare.select(*key, F.col("_r._day").alias("_day"), F.col("_r.at").alias("_refused"))
+    reached = bare.join(e.where(done).select(*key, "_day", "at"), [*key, "_day"], "left").groupBy(*key).agg(
+        F.greatest(F.lit(1), F.count_if(F.col("at") <= F.col("_refused"))).cast("int").alias("_reached")
+    )
+    out = out.join(reached, key, "left")
+    limit = F.coalesce("_named", "_reached")
+    source = F.when(F.col("_named").isNotNull(), "server").when(F.col("_reached").isNotNull(), "estimate")
+    left = F.when(F.col("exhausted"), 0).otherwise(F.coalesce("_left", F.when(F.col("limit_day") != 0, F.greatest(F.lit(0), F.col("limit_day") - F.col("today")))))
+    out = out.withColumns({"limit_day": limit, "limit_source": source}).withColumn("left", left.cast("int"))
+    return out.drop("_named", "_reached", "_left")

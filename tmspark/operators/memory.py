@@ -205,18 +205,23 @@ def export_corrections(corrections: DataFrame, project_id: int) -> DataFrame:
     return corrections.where(F.col("project_id") == project_id).drop("embedding")
 
 
-def memory_view(corrections: DataFrame, kind: str | None = None, q: str | None = None, sort: str = "newest") -> DataFrame:
-    """Entries of a kind that hold a text in source or final, sorted: newest, oldest, most, least, text or kind."""
+def memory_view(corrections: DataFrame, kind: str | None = None, q: str | None = None, sort: str = "newest", locale: str = "pl") -> DataFrame:
+    """Entries of a kind that hold a text in source or final, sorted: newest, oldest, most_used, least_used, text_asc,
+    text_desc, kind_asc or kind_desc (corrected ones first or last, then by text). Texts are final ones in the order of a
+    language, whatever their case; ties go by id, newest first."""
     rows = corrections.withColumn("kind", F.coalesce("kind", F.lit("corrected")))
     if kind:
         rows = rows.where(F.col("kind") == kind)
-    if q:
-        rows = rows.where(F.lower("source_text").contains(q.lower()) | F.lower("final_translation").contains(q.lower()))
+    if q and q.strip():
+        found = [F.lower(c).contains(q.strip().lower()) for c in ("source_text", "final_translation")]
+        rows = rows.where(found[0] | found[1])
+    final, used = F.collate(F.col("final_translation"), f"{locale}_CI_AI"), F.coalesce("reuse_count", F.lit(0))
+    accepted = F.col("kind") != "corrected"
     orders = {
-        "newest": [F.desc("id")], "oldest": [F.asc("id")], "most": [F.desc("reuse_count"), F.desc("id")],
-        "least": [F.asc("reuse_count"), F.desc("id")], "text": [F.lower("source_text"), F.asc("id")], "kind": [F.asc("kind"), F.desc("id")],
+        "newest": [F.desc("created_at")], "oldest": [F.asc("created_at")], "most_used": [used.desc()], "least_used": [used.asc()],
+        "text_asc": [final.asc()], "text_desc": [final.desc()], "kind_asc": [accepted.asc(), final.asc()], "kind_desc": [accepted.desc(), final.asc()],
     }
-    return rows.orderBy(*orders[sort])
+    return rows.orderBy(*orders[sort], F.desc("id"))
 
 
 def correction_usage(corrections: DataFrame, logs: DataFrame) -> DataFrame:

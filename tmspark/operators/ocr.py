@@ -16,6 +16,8 @@ from tmspark.functions import helpers, layout, text
 #: Default limits of the steps below (pixels, shares and ratios).
 SCORE, TOLERANCE = 0.85, 0.15
 BUBBLE_SCORE = 0.7
+#: From where on a word is known, the marks that may end a bubble, and characters that stand alone.
+KNOWN, ENDING, ALONE = 2.0, "^[?!？！‽]{1,4}$", ["I"]
 
 
 def zipf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -25,15 +27,17 @@ def zipf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select("word", F.log10(F.col("n") * 1e9 / F.col("_all")).alias("zipf"))
 
 
-def text_threshold(items: DataFrame, zipf: DataFrame, threshold: float = SCORE, tolerance: float = TOLERANCE, known: float = 2.5) -> DataFrame:
+def text_threshold(items: DataFrame, zipf: DataFrame, threshold: float = SCORE, tolerance: float = TOLERANCE, known: float = KNOWN) -> DataFrame:
     """Items (id, text, score) of the threshold or more, and those within the tolerance whose text is plausible: at least
-    half of its words are known; marks of ? and ! pass, a single letter only as I."""
+    half of its white-space words are known without the ASCII marks around them; marks that end a bubble pass, a single
+    character only if it is one of the few that stand alone."""
     near = items.where((F.col("score") < threshold) & (F.col("score") >= threshold - tolerance))
-    words = near.select("id", "text", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}']+"), F.lit(0))).alias("word"))
+    core = lambda w: F.regexp_replace(F.lower(w), r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")
+    words = near.select("id", "text", F.explode_outer(F.transform(text.words(F.col("text")), core)).alias("word"))
     held = words.join(zipf.where(F.col("zipf") >= known).select("word", F.lit(1).alias("_k")), "word", "left")
     share = held.groupBy("id", "text").agg(F.count("word").alias("n"), F.coalesce(F.sum("_k"), F.lit(0)).alias("k"))
-    bare = F.regexp_replace("text", r"[\s\p{P}\p{S}]", "")
-    plausible = F.col("text").rlike(r"^[?!\s]+$") | F.when(F.length(bare) == 1, F.upper(bare) == "I").otherwise((F.col("n") > 0) & (2 * F.col("k") >= F.col("n")))
+    clean = F.regexp_replace("text", r"^\s+|\s+$", "")
+    plausible = F.when(clean.rlike(ENDING), True).when(F.length(clean) == 1, F.upper(clean).isin(ALONE)).otherwise((F.col("n") > 0) & (2 * F.col("k") >= F.col("n")))
     kept = share.where(plausible).select("id")
     return items.where(F.col("score") >= threshold).unionByName(near.join(kept, "id", "left_semi"))
 

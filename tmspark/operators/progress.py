@@ -42,22 +42,37 @@ def page_stage(pages: DataFrame, bubbles: DataFrame) -> DataFrame:
     return pages.join(counts, "page_id", "left").na.fill(0, ["bubbles", "translated", "reviewed", "page_accepted"]).withColumn("stage", stage)
 
 
+#: Stages of pages that were read, and those whose text is reviewed.
+DONE_STAGES = list(STAGE_WEIGHT)
+REVIEWED_STAGES = ["reviewed", "checked", "exported"]
+
+
 def page_progress(stages: DataFrame, exports: DataFrame) -> DataFrame:
-    """Adds export (current or outdated, null for none) and folds it into the stage of finished pages."""
+    """Adds export (current or outdated, null for none) and ``shown_stage``: exported for finished pages whose export is
+    current. A page that isn't processed has its status as its stage, and no export."""
     last = exports.groupBy("page_id").agg(F.max("at").alias("exported_at"))
-    export = F.when(F.col("exported_at").isNull(), None).when(F.col("exported_at") >= F.coalesce("updated_at", F.col("exported_at")), "current").otherwise("outdated")
+    ready = F.coalesce("status", F.lit("processed")) == "processed"
+    export = F.when(~ready | F.col("exported_at").isNull(), None).when(F.col("exported_at") >= F.coalesce("updated_at", F.col("exported_at")), "current").otherwise("outdated")
     done = F.col("stage").isin("reviewed", "checked") & (F.col("export") == "current")
-    return stages.join(last, "page_id", "left").withColumn("export", export).withColumn("shown_stage", F.when(F.coalesce(done, F.lit(False)), "exported").otherwise(F.col("stage")))
+    rows = stages.join(last, "page_id", "left").withColumn("export", export).withColumn("stage", F.when(ready, F.col("stage")).otherwise(F.col("status")))
+    return rows.withColumn("shown_stage", F.when(F.coalesce(done, F.lit(False)), "exported").otherwise(F.col("stage")))
 
 
 def project_progress(progress: DataFrame) -> DataFrame:
-    """Counts of a project's pages by stage, its weighted score (0 to 1), and its last activity. Excluded pages don't count."""
+    """Counts of a project's pages by stage (``other``: not read yet, by whatever status), how many are processed, how many
+    have their text reviewed, the weighted score (0 to 1), and the last activity. Excluded pages don't count.
+
+    exported_checked are exported pages that were fully reviewed; exported_draft those whose export is current although
+    their text isn't reviewed."""
     rows = progress.where(F.coalesce("status", F.lit("")) != "excluded")
     shown, full = F.col("shown_stage"), F.col("stage")
+    draft = (F.col("export") == "current") & ~shown.isin(REVIEWED_STAGES)
+    active = F.when(full.isin(DONE_STAGES), F.col("updated_at"))
     out = rows.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(shown == s).alias(s) for s in STAGE_WEIGHT],
+        F.count(F.lit(1)).alias("total"), *[F.count_if(shown == s).alias(s) for s in STAGE_WEIGHT], F.count_if(~shown.isin(DONE_STAGES)).alias("other"),
+        F.count_if(shown.isin(DONE_STAGES)).alias("processed"), F.count_if(shown.isin(REVIEWED_STAGES)).alias("text_reviewed"),
         F.count_if((shown == "exported") & (full == "checked")).alias("exported_checked"),
-        F.count_if((shown == "exported") & (full != "checked")).alias("exported_draft"), F.max("updated_at").alias("last_activity"),
+        F.count_if(draft).alias("exported_draft"), F.max(active).alias("last_activity"),
     )
     weighted = sum((F.col(s) * w for s, w in STAGE_WEIGHT.items()), F.lit(0))
     return out.withColumn("done_score", weighted / (5 * F.col("total")))
@@ -93,8 +108,10 @@ def first_translation(logs: DataFrame) -> DataFrame:
     return logs.groupBy("page_id").agg(F.min("created_at").alias("first_at"))
 
 
-def bubble_effort(bubbles: DataFrame) -> DataFrame:
-    """Reviewed bubbles with status and distances between draft and final; those without a draft have none."""
+def bubble_effort(bubbles: DataFrame, shifts: bool = False) -> DataFrame:
+    """Reviewed bubbles with status and distances between draft and final; those without a draft have none. With
+    ``shifts`` also ``ter_edits``, the word edits and block shifts from draft to final; ``bulk_edited`` marks bubbles that a
+    bulk replacement changed, where the bubbles have such a list."""
     ai, final = (F.trim(F.coalesce(c, F.lit(""))) for c in ("ai_translation", "translation"))
     rows = bubbles.where(~F.coalesce("skip", F.lit(False)) & text.reviewed(F.col("translation"), F.col("ai_translation"), F.col("confirmed_translation")))
     draft = ai != ""
@@ -103,6 +120,8 @@ def bubble_effort(bubbles: DataFrame) -> DataFrame:
         text.edit_status(F.col("ai_translation"), F.col("translation")).alias("status"),
         F.length(final).alias("final_chars"), F.size(text.words(final)).alias("final_words"),
         F.when(draft, helpers.char_distance(F.when(draft, ai), F.when(draft, final))).alias("char_dist"), F.when(draft, helpers.token_levenshtein(ai, final)).alias("word_dist"),
+        (F.size(F.coalesce("bulk_edits", F.array())) > 0 if "bulk_edits" in bubbles.columns else F.lit(False)).alias("bulk_edited"),
+        *([F.when(draft, helpers.ter_edit_count(ai, final)).alias("ter_edits")] if shifts else []),
     ).withColumn("chars_saved", F.col("final_chars") - F.col("char_dist"))
 
 
@@ -111,7 +130,8 @@ def percent(part, whole):
 
 
 def translation_effort(effort: DataFrame) -> DataFrame:
-    """Rates over all reviewed bubbles and over those reviewed one by one (``subset``)."""
+    """Rates over all reviewed bubbles and over those reviewed one by one (``subset``). ``hter_pct``, the drafts' edit rate
+    over the final words, is null unless ``bubble_effort`` counted shifts."""
     both = F.explode(F.array(F.lit("all"), F.when(~F.col("via_page"), "one_by_one"))).alias("subset")
     rows = effort.select("*", both).where("subset is not null")
     drafted = F.col("status") != "no_draft"
@@ -122,14 +142,16 @@ def translation_effort(effort: DataFrame) -> DataFrame:
         s("final_chars").alias("chars_final"), s("char_dist").alias("chars_edited"), s("final_words").alias("words_final"), s("word_dist").alias("words_edited"),
         s("chars_saved").alias("chars_saved"), F.avg(F.when(drafted, F.col("char_dist") / F.greatest(F.lit(1), F.col("final_chars")))).alias("mean_edit_rate"),
         F.count_if(drafted & (F.col("chars_saved") < 0)).alias("worse_than_typing"),
-        s("char_dist", edited).alias("_ed"), s("final_chars", edited).alias("_ef"),
+        s("char_dist", edited).alias("_ed"), s("final_chars", edited).alias("_ef"), F.count_if("bulk_edited").alias("bulk_edited"),
+        *([s("ter_edits").alias("_te")] if "ter_edits" in effort.columns else [F.lit(None).cast("long").alias("_te")]),
     )
     return out.withColumns(
         {
             "char_edit_pct": percent(F.col("chars_edited"), F.col("chars_final")), "word_edit_pct": percent(F.col("words_edited"), F.col("words_final")),
             "saved_pct": percent(F.col("chars_saved"), F.col("chars_final")), "edited_only_pct": percent(F.col("_ed"), F.col("_ef")),
+            "hter_pct": percent(F.col("_te"), F.col("words_final")),
         }
-    ).drop("_ed", "_ef")
+    ).drop("_ed", "_ef", "_te")
 
 
 def page_work(pages: DataFrame, effort: DataFrame, ops: DataFrame, first: DataFrame, ops_since, grouping_change) -> DataFrame:

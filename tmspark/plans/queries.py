@@ -171,7 +171,7 @@ def fold_corrections(spark, d):
 
 @query("SELECT id, coalesce(kind, 'corrected') AS kind, reuse_count FROM corrections WHERE coalesce(kind, 'corrected') = 'corrected' AND (contains(lower(source_text), 'the') OR contains(lower(final_translation), 'the'))", "corrections")
 def memory_view(spark, d):
-    return memory.memory_view(view(spark, d, "corrections"), "corrected", "the", "most").select("id", "kind", "reuse_count")
+    return memory.memory_view(view(spark, d, "corrections"), "corrected", "the", "most_used").select("id", "kind", "reuse_count")
 
 
 @query(
@@ -310,16 +310,20 @@ def page_stage(spark, d):
 
 
 @query(
-    f"""WITH {STAGES_SQL}, p AS (SELECT *, CASE WHEN stage IN ('reviewed', 'checked') AND page_id % 4 = 0 THEN 'exported' ELSE stage END AS shown FROM st WHERE status <> 'excluded')
-SELECT project_id, count(*) AS total, {', '.join(f"count(*) FILTER (shown = '{s}') AS {s}" for s in progress.STAGE_WEIGHT)},
-count(*) FILTER (shown = 'exported' AND stage = 'checked') AS exported_checked, count(*) FILTER (shown = 'exported' AND stage <> 'checked') AS exported_draft, CAST(floor(epoch(max(updated_at))) AS BIGINT) AS last_activity,
-CAST(sum(CASE shown {' '.join(f"WHEN '{s}' THEN {w}" for s, w in progress.STAGE_WEIGHT.items())} END) AS DOUBLE) / (5 * count(*)) AS done_score FROM p GROUP BY project_id""",
+    f"""WITH {STAGES_SQL}, p AS (SELECT project_id, updated_at, status, CASE WHEN status = 'processed' THEN stage ELSE status END AS base, CASE WHEN status = 'processed' AND page_id % 4 = 0 THEN CASE WHEN page_id % 8 = 0 THEN 'current' ELSE 'outdated' END END AS export FROM st WHERE status <> 'excluded'),
+i AS (SELECT *, CASE WHEN base IN ('reviewed', 'checked') AND export = 'current' THEN 'exported' ELSE base END AS stage FROM p)
+SELECT project_id, count(*) AS total, {', '.join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in progress.STAGE_WEIGHT)}, count(*) FILTER (stage IN ('pending', 'failed')) AS other,
+count(*) FILTER (stage NOT IN ('pending', 'failed')) AS processed, count(*) FILTER (stage IN ('reviewed', 'checked', 'exported')) AS text_reviewed,
+count(*) FILTER (stage = 'exported' AND base = 'checked') AS exported_checked, count(*) FILTER (export = 'current' AND stage NOT IN ('reviewed', 'checked', 'exported')) AS exported_draft,
+CAST(floor(epoch(max(updated_at) FILTER (status = 'processed'))) AS BIGINT) AS last_activity,
+CAST(sum(CASE stage {' '.join(f"WHEN '{s}' THEN {w}" for s, w in progress.STAGE_WEIGHT.items())} ELSE 0 END) AS DOUBLE) / (5 * count(*)) AS done_score FROM i GROUP BY project_id""",
     "bubbles", "page_meta",
 )
 def project_progress(spark, d):
-    """A2, A3, A4."""
+    """A2, A3, A4: some pages aren't read yet, some exports are older than their page."""
     m = view(spark, d, "page_meta")
-    exports = m.where("page_id % 4 = 0").select("page_id", F.col("updated_at").alias("at"))
+    late = F.when(F.col("page_id") % 8 == 0, F.col("updated_at")).otherwise(F.col("updated_at") - F.expr("interval 1 second"))
+    exports = m.where("page_id % 4 = 0").select("page_id", late.alias("at"))
     stages = progress.page_stage(m, view(spark, d, "bubbles"))
     return progress.project_progress(progress.page_progress(stages, exports)).withColumn("last_activity", secs("last_activity"))
 
@@ -620,7 +624,7 @@ def logs_for_project(spark, d):
 
 
 HISTORY_SQL = PAIRS_SQL + f""", b AS (SELECT page_id, bubble_id, coalesce(translation, '') AS now, {SEEN} AS reviewed, coalesce(confirmed_via, '') = 'page' AS paged FROM bubbles),
-h AS (SELECT l.*, b.reviewed, CASE WHEN b.now IS NULL THEN 'gone' WHEN NOT b.reviewed THEN 'open' WHEN trim(b.now) <> trim(coalesce(coalesce(m, z).o, '')) THEN 'edited' WHEN b.paged THEN 'page' ELSE 'accepted' END AS now_status,
+h AS (SELECT l.*, b.reviewed, b.now, CASE WHEN b.now IS NULL THEN 'gone' WHEN NOT b.reviewed THEN 'open' WHEN trim(b.now) <> trim(coalesce(coalesce(m, z).o, '')) THEN 'edited' WHEN b.paged THEN 'page' ELSE 'accepted' END AS now_status,
   CASE WHEN m IS NOT NULL AND coalesce(m, z).g LIKE '[{{%' THEN 0 WHEN m IS NOT NULL THEN 1 WHEN coalesce(m, z).g LIKE '[{{%' THEN 2 ELSE 3 END AS hint_rank FROM l LEFT JOIN b ON b.page_id = coalesce(z, m).q AND b.bubble_id = l.bubble_id)"""
 
 
@@ -637,7 +641,7 @@ def history_counts(spark, d):
 
 
 @query(
-    f"""WITH {HISTORY_SQL} SELECT count(*) AS "all", count(*) FILTER (now_status = 'edited') AS changed, count(*) FILTER (NOT reviewed) AS unreviewed, count(*) FILTER (m IS NOT NULL) AS memory, count(*) FILTER (lane = 'fuzzy') AS fuzzy,
+    f"""WITH {HISTORY_SQL} SELECT count(*) AS "all", count(*) FILTER (now IS NOT NULL AND trim(now) <> trim(coalesce(coalesce(m, z).o, ''))) AS changed, count(*) FILTER (NOT reviewed) AS unreviewed, count(*) FILTER (m IS NOT NULL) AS memory, count(*) FILTER (lane = 'fuzzy') AS fuzzy,
 count(*) FILTER (lane = 'exact') AS exact, count(*) FILTER (m IS NOT NULL AND z IS NOT NULL) AS ab, count(*) FILTER (coalesce(m, z).g LIKE '[{{%') AS glossary, 0 AS postedit FROM h""",
     "logs", "bubbles",
 )
@@ -696,14 +700,20 @@ def last_minute(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT *, CASE WHEN provider = 'gemini' THEN CAST(timezone('America/Los_Angeles', timezone('UTC', key_events.at)) AS DATE) ELSE CAST(key_events.at AS DATE) END AS day, CASE WHEN provider = 'gemini' THEN DATE '2024-01-30' ELSE DATE '2024-01-30' END AS now FROM key_events WHERE key_events.at <= TIMESTAMP '2024-01-30 12:00:00'),
+    """WITH e AS (SELECT *, CASE WHEN provider = 'gemini' THEN CAST(timezone('America/Los_Angeles', timezone('UTC', key_events.at)) AS DATE) ELSE CAST(key_events.at AS DATE) END AS day, DATE '2024-01-30' AS now FROM key_events WHERE key_events.at <= TIMESTAMP '2024-01-30 12:00:00'),
+r AS (SELECT x.*, (SELECT count(*) FROM e y WHERE y.provider = x.provider AND y.key_id = x.key_id AND y.model = x.model AND y.kind = 'success' AND y.day = x.day AND y.at <= x.at) AS so_far FROM e x WHERE kind <> 'success'),
+server AS (SELECT provider, key_id, model, arg_max(limit_value, r.at) AS n FROM r WHERE limit_value IS NOT NULL AND (kind = 'server_counts' OR daily AND limit_value <> 0) GROUP BY ALL),
+guess AS (SELECT provider, key_id, model, arg_max(greatest(1, so_far), r.at) AS n FROM r WHERE kind = 'limit' AND daily AND coalesce(limit_value, 0) = 0 GROUP BY ALL),
 u AS (SELECT provider, key_id, model, count(*) FILTER (kind = 'success' AND day = now) AS today, count(*) FILTER (kind = 'success' AND day > now - 7) AS week, count(*) FILTER (kind = 'success' AND e.at > TIMESTAMP '2024-01-30 11:59:00') AS last_minute,
-  arg_max(limit_value, e.at) FILTER (limit_value IS NOT NULL) AS limit_value, coalesce(bool_or(kind = 'limit' AND daily AND day = now), false) AS exhausted FROM e GROUP BY ALL)
-SELECT *, CASE WHEN exhausted THEN 0 WHEN limit_value IS NOT NULL THEN CAST(greatest(0, limit_value - today) AS INT) END AS "left" FROM u""",
+  arg_max(limit_value, e.at) FILTER (kind = 'limit' AND NOT daily AND coalesce(limit_value, 0) <> 0) AS limit_minute, arg_max(left_value, e.at) FILTER (kind = 'server_counts' AND left_value IS NOT NULL AND day = now) AS said,
+  coalesce(bool_or(kind = 'limit' AND daily AND day = now), false) AS exhausted FROM e GROUP BY ALL)
+SELECT u.* EXCLUDE (said), CAST(coalesce(s.n, g.n) AS INT) AS limit_day, CASE WHEN s.n IS NOT NULL THEN 'server' WHEN g.n IS NOT NULL THEN 'estimate' END AS limit_source,
+CAST(CASE WHEN exhausted THEN 0 WHEN said IS NOT NULL THEN said WHEN coalesce(s.n, g.n, 0) <> 0 THEN greatest(0, coalesce(s.n, g.n) - today) END AS INT) AS "left"
+FROM u LEFT JOIN server s USING (provider, key_id, model) LEFT JOIN guess g USING (provider, key_id, model)""",
     "key_events",
 )
 def key_usage(spark, d):
-    """A24."""
+    """Limits of days and minutes, with and without numbers, and what servers say."""
     return logs.key_usage(view(spark, d, "key_events"), "2024-01-30 12:00:00")
 
 
@@ -776,21 +786,25 @@ def duplicate_chapters(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT folder, name, CASE WHEN doc_id % 11 = 0 THEN 'excluded' WHEN doc_id % 2 = 0 THEN 'processed' ELSE 'pending' END AS status, doc_id FROM files WHERE doc_id % 5 <> 0),
-l AS (SELECT folder, name, doc_id % 7 <> 0 AS raw, doc_id % 3 = 0 AS processed FROM files WHERE doc_id % 4 <> 0)
-SELECT coalesce(c.folder, l.folder) AS chapter, coalesce(c.name, l.name) AS name, CASE WHEN status IS NULL THEN CASE WHEN coalesce(raw, false) THEN 'add' ELSE 'keep' END WHEN status = 'excluded' THEN 'keep'
-WHEN NOT coalesce(raw, false) AND coalesce((SELECT count(*) FROM l x WHERE x.folder = coalesce(c.folder, l.folder) AND x.raw), 0) = 0 THEN 'warn' WHEN NOT coalesce(raw, false) AND coalesce(processed, false) THEN 'warn' WHEN NOT coalesce(raw, false) THEN 'remove'
-WHEN status = 'processed' AND NOT coalesce(processed, false) THEN 'to_pending' WHEN status = 'pending' AND coalesce(processed, false) THEN 'to_processed' ELSE 'keep' END AS action
-FROM c FULL JOIN l ON c.folder = l.folder AND c.name = l.name""",
+    """WITH c AS (SELECT folder, name, CASE WHEN doc_id % 11 = 0 THEN 'excluded' WHEN doc_id % 2 = 0 THEN 'processed' ELSE 'pending' END AS status FROM files WHERE doc_id % 5 <> 0),
+l AS (SELECT folder, name, doc_id % 7 <> 0 AND right(folder, 1) <> '3' AS raw, doc_id % 3 = 0 AS processed FROM files WHERE doc_id % 4 <> 0 AND right(folder, 1) <> '5'),
+dirs AS (SELECT DISTINCT folder FROM l WHERE raw), outputs AS (SELECT DISTINCT folder FROM l WHERE processed),
+j AS (SELECT coalesce(c.folder, l.folder) AS chapter, coalesce(c.name, l.name) AS name, status, coalesce(raw, false) AS raw, coalesce(processed, false) AS processed FROM c FULL JOIN l ON c.folder = l.folder AND c.name = l.name)
+SELECT chapter, name, 'add' AS action, CASE WHEN processed THEN 'processed' ELSE 'pending' END AS new_status FROM j WHERE status IS NULL AND raw
+UNION ALL SELECT chapter, name, 'keep', NULL FROM j WHERE status IS NULL AND NOT raw
+UNION ALL SELECT chapter, name, CASE WHEN chapter IN (SELECT folder FROM outputs) THEN 'warn' ELSE 'remove' END, NULL FROM j WHERE status IS NOT NULL AND chapter NOT IN (SELECT folder FROM dirs)
+UNION ALL SELECT chapter, name, CASE WHEN status = 'excluded' THEN 'keep' WHEN NOT raw THEN 'warn' WHEN status = 'processed' AND NOT processed THEN 'to_pending' WHEN status = 'pending' AND processed THEN 'to_processed' ELSE 'keep' END,
+  CASE WHEN status = 'processed' AND raw AND NOT processed THEN 'pending' WHEN status = 'pending' AND raw AND processed THEN 'processed' END FROM j WHERE status IS NOT NULL AND chapter IN (SELECT folder FROM dirs)""",
     "files",
 )
 def reconcile(spark, d):
-    """J14, O1."""
+    """Some chapters have no file left, some only outputs."""
     f = view(spark, d, "files").withColumnRenamed("folder", "chapter")
     status = F.when(F.col("doc_id") % 11 == 0, "excluded").when(F.col("doc_id") % 2 == 0, "processed").otherwise("pending")
     c = f.where("doc_id % 5 <> 0").select("chapter", "name", status.alias("status"))
-    listing = f.where("doc_id % 4 <> 0").select("chapter", "name", (F.col("doc_id") % 7 != 0).alias("raw"), (F.col("doc_id") % 3 == 0).alias("processed"))
-    return catalog.reconcile(c, listing).select("chapter", "name", "action")
+    there = (F.col("doc_id") % 7 != 0) & (F.substring("chapter", -1, 1) != "3")
+    listing = f.where("doc_id % 4 <> 0 and right(chapter, 1) <> '5'").select("chapter", "name", there.alias("raw"), (F.col("doc_id") % 3 == 0).alias("processed"))
+    return catalog.reconcile(c, listing).select("chapter", "name", "action", "new_status")
 
 
 @query(
@@ -825,15 +839,17 @@ def zipf_table(spark, d):
 
 
 @query(
-    r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}'']+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), z AS (SELECT word FROM c WHERE log10(n * 1e9 / (SELECT sum(n) FROM c)) >= 5),
-t AS (SELECT page_id, pos, text || ' ' || left(text, 1) || ' sol' AS text, score FROM boxes), near AS (SELECT *, unnest(regexp_extract_all(lower(text), '[\p{L}'']+')) AS word FROM t WHERE score < 0.85 AND score >= 0.70),
-k AS (SELECT page_id, pos FROM near LEFT JOIN z USING (word) GROUP BY ALL HAVING 2 * count(z.word) >= count(*))
-SELECT page_id, pos FROM t WHERE score >= 0.85 UNION ALL SELECT page_id, pos FROM k""".replace("z AS (SELECT word FROM", "z AS (SELECT word, word AS known FROM").replace("count(z.word)", "count(z.known)"),
+    r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}'']+')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), z AS (SELECT word, word AS known FROM c WHERE log10(n * 1e9 / (SELECT sum(n) FROM c)) >= 5),
+t AS (SELECT page_id, pos, CASE WHEN pos % 5 = 0 THEN '?！' WHEN pos % 5 = 1 THEN '(' || text || '), sol 12' ELSE text || ' ' || left(text, 1) || ' sol' END AS text, score FROM boxes),
+near AS (SELECT *, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS raw FROM t WHERE score < 0.85 AND score >= 0.70 AND NOT regexp_matches(text, '^[?!？！‽]{1,4}$')),
+k AS (SELECT page_id, pos FROM (SELECT *, regexp_replace(lower(raw), '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g') AS word FROM near) LEFT JOIN z USING (word) GROUP BY ALL HAVING 2 * count(known) >= count(*))
+SELECT page_id, pos FROM t WHERE score >= 0.85 UNION ALL SELECT page_id, pos FROM t WHERE score < 0.85 AND score >= 0.70 AND regexp_matches(text, '^[?!？！‽]{1,4}$') UNION ALL SELECT page_id, pos FROM k""",
     "boxes",
 )
 def text_threshold(spark, d):
-    """Words count as known by their frequency in the documents."""
-    t = view(spark, d, "boxes").select("page_id", "pos", F.concat("text", F.lit(" "), F.substring("text", 1, 1), F.lit(" sol")).alias("text"), "score", F.concat_ws("-", "page_id", "pos").alias("id"))
+    """Words count as known by their frequency in the documents; some texts are marks, some have marks and numbers."""
+    own = F.when(F.col("pos") % 5 == 0, "?！").when(F.col("pos") % 5 == 1, F.concat(F.lit("("), "text", F.lit("), sol 12"))).otherwise(F.concat("text", F.lit(" "), F.substring("text", 1, 1), F.lit(" sol")))
+    t = view(spark, d, "boxes").select("page_id", "pos", own.alias("text"), "score", F.concat_ws("-", "page_id", "pos").alias("id"))
     zipf = ocr.zipf_table(spark.read.parquet(f"{d}/documents.parquet"))
     return ocr.text_threshold(t, zipf, known=5.0).select("page_id", "pos")
 

@@ -55,8 +55,9 @@ FROM benchmark WHERE regexp_extract(text, '([A-Za-z]{5,})', 1) <> ''""",
     "key_events": (
         ["events"],
         """SELECT CAST(ts AS TIMESTAMP) AS at, CASE WHEN user_id % 2 = 0 THEN 'gemini' ELSE 'other' END AS provider, concat('key', user_id % 6) AS key_id, event_type AS model,
-  CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 'limit' ELSE 'success' END AS kind, k % 3 = 0 AS daily, CASE WHEN k % 4 = 0 THEN k END AS limit_value,
-  CAST(NULL AS INT) AS left_value, event_id FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""",
+  CASE WHEN k % 8 = 0 THEN 'limit' WHEN k % 10 = 7 AND user_id % 3 = 0 THEN 'server_counts' ELSE 'success' END AS kind, k % 16 = 0 AS daily,
+  CASE WHEN (k % 8 = 0 AND k % 3 <> 0) OR (k % 10 = 7 AND user_id % 3 = 0 AND k % 4 = 1) THEN k END AS limit_value,
+  CASE WHEN k % 10 = 7 AND user_id % 3 = 0 AND k % 3 = 0 THEN k END AS left_value, event_id FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)""",
     ),
     "manual_ops": (
         ["events"],
@@ -85,7 +86,7 @@ FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id %
     ),
     "page_meta": (
         ["documents"],
-        """SELECT doc_id AS page_id, CAST(doc_id % 4 AS INT) AS project_id, CASE WHEN doc_id % 17 = 0 THEN 'excluded' ELSE 'processed' END AS status, concat(source, '_', doc_id, '.png') AS file_name,
+        """SELECT doc_id AS page_id, CAST(doc_id % 4 AS INT) AS project_id, CASE WHEN doc_id % 17 = 0 THEN 'excluded' WHEN doc_id % 13 = 0 THEN 'pending' WHEN doc_id % 29 = 0 THEN 'failed' ELSE 'processed' END AS status, concat(source, '_', doc_id, '.png') AS file_name,
   CASE WHEN doc_id % 3 = 0 THEN {ts(1704100000 + doc_id)} END AS layout_checked_at, {ts(1704067200 + doc_id * 60)} AS updated_at,
   CASE WHEN doc_id % 5 <> 0 THEN {ts(1704067200 + doc_id * 3600)} END AS ocr_at FROM documents""",
     ),

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from tmspark.functions import text
 
 BOX = "array<array<double>>"
+#: ``layout``, ``merged_from`` and ``interior_box`` are kept as they are, whatever they hold.
 BUBBLE = (
     f"bubble_id string, text string, text_raw string, translation string, ai_translation string, box {BOX}, line_count int, avg_score double, "
     "skip boolean, skip_reason string, confirmed_translation string, confirmed_at string, confirmed_via string, "
-    "bulk_edits array<struct<at:string,find:string,replace:string>>"
+    "bulk_edits array<struct<at:string,find:string,replace:string>>, layout variant, merged_from variant, interior_box variant, missed_text boolean, refined boolean"
 )
-ITEM = f"id string, text string, score double, slice_id int, box {BOX}"
+ITEM = f"id string, text string, score double, slice_id int, box {BOX}, rescued boolean"
 LINE = f"line_id string, bubble_id string, text string, score double, box {BOX}, angle double, word_ids array<string>"
-OP = "op string, at string, bubble string, detail map<string,string>"
-DEBUG = "at string, threshold double, dropped array<struct<text:string,why:string>>"
-_struct = lambda s: f"array<struct<{', '.join(f'{f.split()[0]}:{f.split(None, 1)[1]}' for f in s.split(', '))}>>"
-PAGE = (
-    f"items {_struct(ITEM)}, lines {_struct(LINE)}, bubbles {_struct(BUBBLE)}, manual_ops {_struct(OP)}, "
-    f"ocr_debug struct<at:string,threshold:double,dropped:array<struct<text:string,why:string>>>, layout_checked_at string, updated_at string"
-)
+OP = "op string, at string, last_at string, n long, bubble string, detail map<string,string>"
+_fields = lambda s: ",".join(f"{f.split()[0]}:{f.split(None, 1)[1]}" for f in s.split(", "))
+_struct = lambda s: f"array<struct<{_fields(s)}>>"
+DEBUG = f"at string, threshold double, slices array<array<long>>, rejected {_struct(f'text string, score double, box {BOX}')}, dropped {_struct(f'text string, score double, box {BOX}, why string')}"
+META = "layout_checked_at string, updated_at string, bubble_order string, pending_translation boolean, detect_rotation boolean"
+PAGE = f"items {_struct(ITEM)}, lines {_struct(LINE)}, bubbles {_struct(BUBBLE)}, manual_ops {_struct(OP)}, ocr_debug struct<{_fields(DEBUG)}>, {META}"
 TABLES = {
     "projects": "id int, name string, source_lang string, target_lang string, status string, created_at timestamp",
     "chapters": "id int, project_id int, number string, title string",
@@ -51,35 +51,67 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def read_page_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Page documents as flat tables: items, lines, bubbles (with pos), manual_ops (with seq), debug and meta.
-
-    Chapter and page names come from the path; a document that can't be read gives no rows."""
-    name = F.col("_metadata.file_path")
-    docs = spark.read.schema(PAGE).json(path, multiLine=True).withColumns(
-        {"chapter": F.element_at(F.split(name, "/"), -2), "page": F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.json$", "")}
-    )
+def read_page_json(spark: SparkSession, path: str, folders: bool = False) -> dict[str, DataFrame]:
+    """Page documents as flat tables: items, lines, bubbles (with pos), manual_ops (with seq), debug (what steps dropped),
+    rejected and slices (with pos), meta, and ``unreadable``: the documents that aren't JSON of this form, with their text.
+
+    Documents are files ``<chapter>/<page>.json``, or with ``folders`` what ``write_page_json`` writes; an unreadable one has
+    no rows in the other tables."""
+    schema, name = f"{PAGE}, _broken string", F.col("_metadata.file_path")
+    if folders:
+        docs = spark.read.schema(f"{schema}, chapter string, page string").option("basePath", path).json(path, multiLine=True, columnNameOfCorruptRecord="_broken")
+    else:
+        docs = spark.read.schema(schema).json(path, multiLine=True, columnNameOfCorruptRecord="_broken").withColumns(
+            {"chapter": F.element_at(F.split(name, "/"), -2), "page": F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.json$", "")}
+        )
+    # Spark doesn't read the text of broken documents alone, so another column is asked for too.
+    broken = docs.select("chapter", "page", name.alias("path"), "_broken", "bubble_order").where("_broken is not null and length(coalesce(bubble_order, '')) >= 0")
+    docs = docs.where("_broken is null")
     flat = lambda c, at: docs.select("chapter", "page", F.posexplode(c).alias(at, "_x")).select("chapter", "page", at, "_x.*")
     return {
         "items": flat("items", "pos"), "lines": flat("lines", "pos"), "bubbles": flat("bubbles", "pos"), "manual_ops": flat("manual_ops", "seq"),
-        "debug": docs.select("chapter", "page", F.explode("ocr_debug.dropped").alias("_d")).select("chapter", "page", "_d.*"),
-        "meta": docs.select("chapter", "page", text.parse_utc(F.col("ocr_debug.at")).alias("ocr_at"), "layout_checked_at", "updated_at"),
+        "debug": flat("ocr_debug.dropped", "pos"), "rejected": flat("ocr_debug.rejected", "pos"),
+        "slices": docs.select("chapter", "page", F.posexplode("ocr_debug.slices").alias("pos", "_x")).select("chapter", "page", "pos", F.get("_x", F.lit(0)).alias("top"), F.get("_x", F.lit(1)).alias("bottom")),
+        "meta": docs.select("chapter", "page", text.parse_utc(F.col("ocr_debug.at")).alias("ocr_at"), F.col("ocr_debug.threshold").alias("threshold"), *[f.split()[0] for f in META.split(", ")]),
+        "unreadable": broken.select("chapter", "page", "path", F.col("_broken").alias("content")),
     }
 
 
-def write_page_json(bubbles: DataFrame, path: str, items: DataFrame | None = None, lines: DataFrame | None = None) -> None:
-    """One document a page (chapter, page): its bubbles in order, and its items and lines where these are given. Drafts
-    start as the translation, skipped bubbles have none. Every column but chapter, page and pos is written."""
+def _ordered(table: DataFrame, at: str, name: str) -> DataFrame:
+    """(chapter, page, name): the rows of each page as one array in order, without the columns that place them."""
+    fields = [c for c in table.columns if c not in ("chapter", "page", at)]
+    rows = F.array_sort(F.collect_list(F.struct(at, F.struct(*fields).alias("r"))), lambda a, b: F.when(a[at] < b[at], -1).when(a[at] > b[at], 1).otherwise(0))
+    return table.groupBy("chapter", "page").agg(F.transform(rows, lambda x: x["r"]).alias(name))
+
+
+def write_page_json(
+    bubbles: DataFrame, path: str, items: DataFrame | None = None, lines: DataFrame | None = None, manual_ops: DataFrame | None = None,
+    debug: DataFrame | None = None, rejected: DataFrame | None = None, slices: DataFrame | None = None, meta: DataFrame | None = None,
+) -> None:
+    """One document a page, in ``<path>/chapter=<chapter>/page=<page>/``, from the tables that ``read_page_json`` gives: its
+    bubbles in order, and what else is given. Drafts start as the translation, skipped bubbles have none. Columns of a
+    bubble that aren't known are written too. A page that is in any of the tables has its document."""
     translation = F.when(F.coalesce("skip", F.lit(False)), "").otherwise(F.coalesce("translation", F.lit("")))
-    rows = bubbles.withColumns({"translation": translation, "ai_translation": F.coalesce("ai_translation", translation)})
-    pages = None
-    for name, table in (("bubbles", rows), ("items", items), ("lines", lines)):
+    rows = bubbles.withColumns({"translation": translation, "ai_translation": F.when(F.coalesce("skip", F.lit(False)), "").otherwise(F.coalesce("ai_translation", translation))})
+    pages = _ordered(rows, "pos", "bubbles")
+    for name, table, at in (("items", items, "pos"), ("lines", lines, "pos"), ("manual_ops", manual_ops, "seq"), ("_dropped", debug, "pos"), ("_rejected", rejected, "pos")):
         if table is not None:
-            fields = [c for c in table.columns if c not in ("chapter", "page", "pos")]
-            ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r"))), lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1))
-            part = table.groupBy("chapter", "page").agg(F.transform(ordered, lambda x: x["r"]).alias(name))
-            pages = part if pages is None else pages.join(part, ["chapter", "page"], "full")
-    pages.write.mode("overwrite").partitionBy("chapter").json(path)
+            pages = pages.join(_ordered(table, at, name), ["chapter", "page"], "full")
+    if slices is not None:
+        one = _ordered(slices.select("chapter", "page", "pos", F.array("top", "bottom").alias("ends")), "pos", "_slices")
+        pages = pages.join(one.withColumn("_slices", F.transform("_slices", lambda x: x["ends"])), ["chapter", "page"], "full")
+    if meta is not None:
+        pages = pages.join(meta, ["chapter", "page"], "full")
+    there = set(pages.columns)
+    parts = {"at": F.date_format("ocr_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'") if "ocr_at" in there else None} | {
+        name: F.col(column) if column in there else None for name, column in (("threshold", "threshold"), ("slices", "_slices"), ("rejected", "_rejected"), ("dropped", "_dropped"))
+    }
+    parts = {name: column for name, column in parts.items() if column is not None}
+    if parts:
+        some = text.any_of([column.isNotNull() for column in parts.values()])
+        pages = pages.withColumn("ocr_debug", F.when(some, F.struct(*[column.alias(name) for name, column in parts.items()])))
+    gone = [c for c in ("ocr_at", "threshold", "_slices", "_rejected", "_dropped") if c in there]
+    pages.drop(*gone).write.mode("overwrite").partitionBy("chapter", "page").json(path)
 
 
 def export_json(rows: DataFrame, path: str) -> None:
