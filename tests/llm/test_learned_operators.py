@@ -145,7 +145,7 @@ def test_quality_scores_against_plain_arithmetic(spark, sf_dir):
         assert abs(got[k].score - want) < 1e-9 and got[k].predicted == int(want >= 0.7) and got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
     plain = docs.where(~held).join(labels, "doc_id").collect()
     marked = [(r.doc_id, r.quality, set(quality.features_of(r.text, model.bits, {}).tolist())) for r in plain]
-    fitting = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) > 0).select("doc_id").collect()}
+    fitting = {r.doc_id for r in docs.where(quality.part_of("doc_id", "text") > 0).select("doc_id").collect()}
     kept = [(y, f) for i, y, f in marked if i in fitting]
     ones, zeros = Counter(b for y, f in kept if y == 1 for b in f), Counter(b for y, f in kept if y == 0 for b in f)
     size = 1 << model.bits
@@ -516,3 +516,47 @@ def test_dedup_stage_keeps_unrelated_texts_of_one_id(spark):
     assert kept.columns == docs.columns
     got = sorted(r._number for r in kept.collect())
     assert got in (list("bcdefgh"), list("bcdefgi"))
+
+
+def test_repeated_ids_are_drawn_text_by_text(spark):
+    """One id for all rows: languages above the bound are still learned, and the classifier's sample stays bounded."""
+    from tmspark.llm import quality
+
+    words = {"en": "the house and garden of this", "de": "das haus und der garten", "fr": "la maison et le jardin"}
+    rows = [(7, f"{w} {k} {w.upper()} {k * k}", lang) for lang, w in words.items() for k in range(400 if lang == "en" else 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, train_docs_per_lang=100)
+    assert set(model.languages) == set(words)
+    texts = [(1, f"good words here {k}") for k in range(500)] + [(k, f"bad words there {k}") for k in range(2, 200)]
+    labelled = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 200)], "doc_id long, quality int")
+    seen = []
+
+    def watched(rows, *rest):
+        seen.append(len(rows))
+        return real(rows, *rest)
+
+    real, frame = quality.calibrate, spark.createDataFrame(texts, "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "calibrate", watched)
+        found = quality.train(frame, labelled, rows_per_class=50)
+    assert seen and seen[0] <= 50  # the fifth kept out of some hundred rows, not of the 500 texts of one id
+    assert found.probability(quality.features_of("good words here", found.bits, {})) > found.probability(quality.features_of("bad words there", found.bits, {}))
+
+
+def test_recall_of_the_forest_at_its_defaults(spark):
+    """A few thousand vectors without structure, and clustered ones; every query against brute force, through the trees."""
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(3_000, 64))
+    clustered = rng.normal(size=(60, 64))[rng.integers(0, 60, 3_000)] + 0.3 * rng.normal(size=(3_000, 64))
+    for vectors in (plain, clustered):
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(rows, F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            distance = np.linalg.norm(vectors - vectors[q], axis=1)
+            distance[q] = np.inf
+            hits += len(found & set(np.argsort(distance, kind="stable")[:10].tolist()))
+        assert len(got) == 60 and hits / 600 >= 0.9

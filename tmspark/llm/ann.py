@@ -102,18 +102,18 @@ def usable(vector: Column) -> Column:
 
 def nearest(
     rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 64,
-    bits: int = 48, share: float = 0.4, least: int = 512, block_rows: int = 20_000, query_rows: int = 20_000,
+    bits: int = 48, share: float = 0.45, least: int | None = None, block_rows: int = 20_000, query_rows: int = 20_000,
     sample_rows: int = 8_192, seed: int = 7,
 ) -> DataFrame:
     """For each row where ``queries`` is true, the ``k`` nearest other rows by Euclidean distance: query_id, rank (from
     1), vec_id, score (that distance, in double precision on the original vectors).
 
-    A block gives a query at least ``share`` of its rows, or ``least``, as candidates (all, if it has fewer). The
+    A block gives a query at least ``share`` of its rows, or ``least`` (30 times ``k`` by default), as candidates. The
     default share is for vectors without much structure, where near and far differ little; clustered ones need less.
     Ties go to the smaller id. Vectors that are null, zero, of another length than most, or hold null or non-finite
     components take no part, nor do null ids; a repeated id is a row of its own, except that a query is never its own
     neighbour. An empty table gives an empty one. Other columns aren't read."""
-    spark = rows.sparkSession
+    spark, least = rows.sparkSession, 30 * k if least is None else least
     schema = "query_id long, vec_id long, score double"
     wide = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.coalesce(queries, F.lit(False)).alias("_q"))
     good = wide.where(F.col("_id").isNotNull() & usable(F.col("_v")))
@@ -122,7 +122,7 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     most = max(sizes, key=lambda r: (r["n"], r["d"]))
     good = good.where(F.size("_v") == most["d"])
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(1 << 20))
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "_id", "_v"), F.lit(1 << 20))
     chosen = good.where(hashed < max(1, round(min(1.0, sample_rows / most["n"]) * (1 << 20)))).select("_v").toPandas()
     sample = np.array(chosen["_v"].tolist()) if len(chosen) else np.zeros((1, most["d"]))
     forest = broadcast_value(spark, fit_forest(sample, trees, bits, seed))

@@ -206,8 +206,9 @@ def train(
 ) -> KneserNey | None:
     """The model of the languages of ``labelled``; None if no row has both a language and a letter.
 
-    About ``train_docs_per_lang`` rows of each language, chosen by a hash of the id, are used whole; a tenth of them
-    measures the usual cross-entropy and is not counted. So the model's size is bounded whatever the corpus."""
+    About ``train_docs_per_lang`` rows of each language, chosen by a hash of id and text (so repeated ids are drawn text by
+    text), are used whole; a tenth of them measures the usual cross-entropy and is not counted. So the model's size is
+    bounded by that number and the number of languages, whatever the corpus."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
@@ -216,7 +217,7 @@ def train(
         return None
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, train_docs_per_lang / sizes[lang]))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.coalesce(F.col("id").cast("string"), F.col("text"))), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("id").cast("string"), "text"), F.lit(1_000_000)) / 1_000_000
     sample = rows.withColumn("_draw", draw).where(F.col("_draw") < F.element_at(share, F.col("lang")))
     kept_out = F.pmod(F.xxhash64(F.lit("calibrate"), "id", "text"), F.lit(10)) == 0
     counted = sample.where(~kept_out).select("lang", "text").mapInPandas(_counts(order), "lang string, gram string, n long")

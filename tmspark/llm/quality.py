@@ -3,8 +3,8 @@
 Features are indicators of hashed n-grams: words, and runs of up to three token shapes (case, digits, punctuation,
 repetition of the word before). Each is scaled by the log ratio of its smoothed share in the two classes; on these a
 hinge-loss model is fitted. The fit uses a sample of labelled rows, ``rows_per_class`` of each class (all where there
-are fewer): shares are counted by Spark; descent runs in parallel on ``shards`` parts of the sample, whose weights are
-averaged; a fifth of the sample, kept out of both, calibrates the margin to a probability at the classes' true shares.
+are fewer): shares are counted by Spark; one descent goes over the sample; a fifth of it, kept out of both, calibrates the
+margin to a probability at the classes' true shares.
 """
 
 from __future__ import annotations
@@ -125,31 +125,38 @@ def _features(bits: int):
     return F.pandas_udf(make, "array<int>")
 
 
+def part_of(id_col: str, text_col: str) -> Column:
+    """Which fifth of the sample a row is in; the first one is kept out of the fit."""
+    return F.pmod(F.xxhash64(F.lit("part"), id_col, text_col), F.lit(5)).cast("int")
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     bits: int = 18, rows_per_class: int = 4_000, cost: float = 1.0, epochs: int = 20,
 ) -> QualityModel:
-    """Learns from the rows of ``docs`` that ``labels`` (id, label 0 or 1) marks. Ids that are null, or marked 0 and 1,
+    """Learns from the rows of ``docs`` that ``labels`` (id, label 0 or 1) marks: about ``rows_per_class`` of each class,
+    drawn by a hash of id and text, so that an id of many texts is not drawn whole. Ids that are null, or marked 0 and 1,
     teach nothing. Without rows of both classes every score is the share of label 1 (0.5 without any)."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("_id")).distinct()
     marks = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-        .where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top"))
-        .where("_y = _top").drop("_top").join(ids, "_id", "left_semi")
+        .where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).where("_y = _top").drop("_top")
     )
-    sizes = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_draw", F.pmod(F.xxhash64(F.lit("quality"), "_id", "_text"), F.lit(1_000_000)) / 1_000_000)
+    marked = rows.select("_id", "_draw").join(marks, "_id")
+    sizes = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         share = 0.5 if not sizes else float(next(iter(sizes)))
         return QualityModel(bits, np.zeros(1 << bits), 0.0, 1.0, float(np.log((share + 0.01) / (1.01 - share))))
     share = {y: min(1.0, rows_per_class / n) for y, n in sizes.items()}
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = marks.where(draw < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
-    # The chosen marks are broadcast: their number is bounded by rows_per_class.
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sample = sample.join(F.broadcast(chosen), "_id").select("_id", "_y", _features(bits)("_text").alias("_f"))
+    drawn = F.col("_draw") < F.when(F.col("_y") == 1, share[1]).otherwise(share[0])
+    # The ids that are broadcast have a drawn row each, so there are no more of them than drawn rows.
+    chosen = F.broadcast(marked.where(drawn).select("_id", "_y").distinct())
+    sample = rows.join(chosen, "_id").where(drawn).withColumn("_part", part_of("_id", "_text"))
+    sample = sample.select("_id", "_draw", "_y", "_part", _features(bits)("_text").alias("_f"))
     bag: list[str] = []
-    sample = materialize(sample.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(5)).cast("int")), bag)
+    sample = materialize(sample, bag)
     fit = sample.where("_part > 0")
     counts = fit.select("_y", F.explode("_f").alias("_b")).groupBy("_b").agg(
         F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("q")
@@ -161,7 +168,7 @@ def train(
     shared = broadcast_value(spark, ratio)
 
     def fit_all(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_id", kind="stable")
+        rows = rows.sort_values(["_id", "_draw"], kind="stable")
         y = np.where(rows["_y"].to_numpy() == 1, 1, -1)
         w, b = descend([np.asarray(f) for f in rows["_f"]], y, shared.value, cost, epochs, 0)
         return pd.DataFrame({"weights": [w], "bias": [b]})
