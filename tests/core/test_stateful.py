@@ -158,3 +158,24 @@ def test_enriched_stream_killed_and_started_again_equals_the_batch(spark, tmp_pa
     for k, r in got.items():
         assert [(e.rank, e.correction_id) for e in r.examples or []] == best.get(k, [])
         assert r.correction_id == exact[k] and [t.source_term for t in r.terms] == plain_[k]
+
+
+def test_limits_in_the_stream_equal_the_batch(spark, tmp_path):
+    from tmspark.operators import logs
+
+    rng, rows, at = random.Random(21), [], T0
+    for seq in range(150):
+        at += timedelta(minutes=rng.choice([1, 30, 200]))
+        kind = rng.choice(["success"] * 5 + ["limit", "server_counts"])
+        number = rng.choice([None, None, 0, 5, 50]) if kind != "success" else None
+        rows.append((seq, rng.choice(["gemini", "other"]), rng.choice(["k1", "k2"]), "m", kind, rng.random() < 0.4, number, rng.choice([None, 3]) if kind == "server_counts" else None, at))
+    schema = "seq long, provider string, key_id string, model string, kind string, daily boolean, limit_value int, left_value int, at timestamp"
+    frame = spark.createDataFrame(rows, schema)
+    got = {}
+    for r in run_stream(spark, tmp_path, frame, [(0, 20), (21, 90), (91, 149)], stateful.key_limits, "update"):
+        got[r.provider, r.key_id] = r
+    assert len(got) == 4
+    for (provider, key), r in got.items():
+        own = frame.where((F.col("provider") == provider) & (F.col("key_id") == key))
+        want = logs.key_usage(own, r.at).first()
+        assert (r.today, r.limit_day, r.limit_source, r.limit_minute, r.left, r.exhausted) == (want.today, want.limit_day, want.limit_source, want.limit_minute, want.left, want.exhausted)

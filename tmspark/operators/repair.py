@@ -1,7 +1,8 @@
 """Repair of scanned text against word frequencies: torn words are joined, confused letters put right.
 
 Texts aren't judged word by word in Python. Each step takes the distinct torn pairs or doubtful words of all texts, looks
-their frequencies up by joins, decides once for each, and puts the decisions back into the texts that hold them."""
+their frequencies up by joins, decides once for each, and puts the decisions back into the texts that hold them. Texts go
+by a 64-bit key; no join or group is by a text, and only texts that hold a torn pair go through the steps for these."""
 
 from __future__ import annotations
 
@@ -23,10 +24,10 @@ def _frequency(rows: DataFrame, zipf: DataFrame, word: str, name: str) -> DataFr
 
 
 def _apply(rows: DataFrame, found: DataFrame, decided: DataFrame) -> DataFrame:
-    """Texts (_text, _now) with the decisions (_old, _pattern, _new) about what each holds (_text, _old) put in."""
-    held = found.join(decided, "_old").groupBy("_text").agg(F.array_sort(F.collect_set(F.struct("_old", "_pattern", "_new"))).alias("_d"))
+    """Texts (_key, _now) with the decisions (_old, _pattern, _new) about what each holds (_key, _old) put in."""
+    held = found.join(decided, "_old").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("_old", "_pattern", "_new"))).alias("_d"))
     put = F.aggregate("_d", F.col("_now"), lambda t, d: F.regexp_replace(t, d["_pattern"], d["_new"]))
-    return rows.join(held, "_text", "left").select("_text", F.when(F.col("_d").isNull(), F.col("_now")).otherwise(put).alias("_now"))
+    return rows.join(held, "_key", "left").select("_key", F.when(F.col("_d").isNull(), F.col("_now")).otherwise(put).alias("_now"))
 
 
 def _protected(column: Column, protected: list[str]) -> Column:
@@ -38,8 +39,8 @@ def join_torn(rows: DataFrame, zipf: DataFrame, protected: list[str]) -> DataFra
     one part isn't common, or if it occurs at all and neither part is a word; else only the space goes. Stutters stay."""
     parts = [F.regexp_extract_all("_now", F.lit(TORN_PAIR), F.lit(k)) for k in (1, 2)]
     pair = F.struct(F.col("_p.0").alias("a"), F.col("_p.1").alias("b"))
-    found = rows.select("_text", F.explode(F.arrays_zip(*[p.alias(str(k)) for k, p in enumerate(parts)])).alias("_p"))
-    found = found.select("_text", pair.alias("_old")).distinct()
+    found = rows.select("_key", F.explode(F.arrays_zip(*[p.alias(str(k)) for k, p in enumerate(parts)])).alias("_p"))
+    found = found.select("_key", pair.alias("_old")).distinct()
     pairs = found.select("_old").distinct().where(~F.lower("_old.b").startswith(F.lower("_old.a")))
     pairs = pairs.withColumns({"_a": F.col("_old.a"), "_b": F.col("_old.b")}).withColumn("_whole", F.concat("_a", "_b"))
     for word, name in (("_a", "_fa"), ("_b", "_fb"), ("_whole", "_fw")):
@@ -59,10 +60,12 @@ def join_torn(rows: DataFrame, zipf: DataFrame, protected: list[str]) -> DataFra
 
 def right_letters(rows: DataFrame, zipf: DataFrame, protected: list[str], wrong: str = "L", right: str = "U") -> DataFrame:
     """Words of three letters or more that are none get the one letter changed that makes the most common word of them."""
-    tokens = rows.select("_text", F.explode(F.array_distinct(F.regexp_extract_all("_now", F.lit(LETTERS), F.lit(0)))).alias("_old"))
-    core = F.regexp_replace("_old", "^'+|'+$", "")
-    doubtful = tokens.select("_old").distinct().withColumn("_core", core)
-    doubtful = doubtful.where((F.length("_core") >= 3) & F.upper("_core").contains(wrong) & ~_protected(F.col("_core"), protected))
+    core = lambda w: F.regexp_replace(w, "^'+|'+$", "")
+    words = F.array_distinct(F.regexp_extract_all("_now", F.lit(LETTERS), F.lit(0)))
+    words = F.filter(words, lambda w: F.upper(w).contains(wrong) & (F.length(core(w)) >= 3))
+    tokens = rows.select("_key", F.explode(words).alias("_old"))
+    doubtful = tokens.select("_old").distinct().withColumn("_core", core(F.col("_old")))
+    doubtful = doubtful.where(F.upper("_core").contains(wrong) & ~_protected(F.col("_core"), protected))
     doubtful = _frequency(doubtful, zipf, "_core", "_f").where(F.col("_f") < WORD)
     letter = F.substring("_core", F.col("_at"), F.lit(1))
     tried = doubtful.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_core")))).where(F.upper(letter) == wrong)
@@ -71,18 +74,20 @@ def right_letters(rows: DataFrame, zipf: DataFrame, protected: list[str], wrong:
     decided = best.select(
         "_old", F.concat(F.lit("(?<![A-Za-z'])"), "_old", F.lit("(?![A-Za-z'])")).alias("_pattern"), F.replace(F.col("_old"), F.col("_core"), F.col("_try")).alias("_new")
     )
-    return _apply(rows, tokens.join(decided.select("_old"), "_old", "left_semi"), decided)
+    return _apply(rows, tokens, decided)
 
 
 def fix_ocr_text(rows: DataFrame, zipf: DataFrame, protected: list[str] = (), text_col: str = "text", out: str = "fixed") -> DataFrame:
     """``rows`` with ``out``: the text with torn words joined (two passes, as a word may be torn twice) and letters right.
     Each distinct text is worked on once; null texts come out empty."""
     own = F.coalesce(F.col(text_col), F.lit(""))
-    texts = rows.select(own.alias("_text")).distinct().withColumn("_now", F.col("_text"))
+    keyed = rows.withColumn("_key", F.xxhash64(own))
+    texts = keyed.groupBy("_key").agg(F.first(own).alias("_now"))
+    torn, whole = (texts.where(c) for c in (F.col("_now").rlike(TORN_PAIR), ~F.col("_now").rlike(TORN_PAIR)))
     for _ in range(2):
-        texts = join_torn(texts, zipf, list(protected))
-    texts = right_letters(texts, zipf, list(protected)).select("_text", F.col("_now").alias(out))
-    return rows.withColumn("_text", own).join(texts, "_text").drop("_text")
+        torn = join_torn(torn, zipf, list(protected))
+    fixed = right_letters(whole.unionByName(torn), zipf, list(protected)).select("_key", F.col("_now").alias(out))
+    return keyed.join(fixed, "_key").drop("_key")
 
 
 def memory_text(rows: DataFrame, zipf: DataFrame, text_col: str = "text", out: str = "memory_text") -> DataFrame:

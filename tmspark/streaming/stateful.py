@@ -163,3 +163,71 @@ def layout_bursts(ops: DataFrame, gap_seconds: int = 60, watermark: str = "10 mi
     mode). A burst is given out when the watermark shows that nothing can join it; later rows are dropped."""
     rows = ops.select("page_id", F.col("seq").cast("long").alias("seq"), "op", "bubble", "detail", "at").withWatermark("at", watermark)
     return rows.groupBy("page_id").transformWithStateInPandas(Bursts(gap_seconds * 1000), BURST_SCHEMA, "Append", "eventTime")
+
+
+USAGE_SCHEMA = (
+    "provider string, key_id string, model string, at timestamp, day string, today long, limit_day int, limit_source string, limit_minute int, left int, exhausted boolean"
+)
+
+
+class Usage(StatefulProcessor):
+    """A key and model: requests by quota day, the day's and the minute's limit, what the server said is left, and the day
+    that is used up. Limits are kept with their time, so one that arrives late doesn't replace a newer one."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.requests = handle.getMapState("requests", "day string", "n long")
+        self.slot = handle.getValueState(
+            "slot", "at timestamp, day string, named int, named_at timestamp, guess int, guess_at timestamp, minute int, minute_at timestamp, left int, left_day string, left_at timestamp, spent string"
+        )
+        self.names = "at day named named_at guess guess_at minute minute_at left left_day left_at spent".split()
+
+    def _count(self, day: str) -> int:
+        return self.requests.getValue((day,))[0] if self.requests.containsKey((day,)) else 0
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        slot = dict(zip(self.names, self.slot.get())) if self.slot.exists() else dict.fromkeys(self.names)
+        newer = lambda at, name: slot[name] is None or pd.Timestamp(at) >= pd.Timestamp(slot[name])
+        for event in _records(rows, ["at", "turn"]):
+            at, day, number = _plain(event["at"]), event["day"], int(event["limit_value"] or 0)
+            if newer(at, "at"):
+                slot |= {"at": at, "day": day}
+            if event["kind"] == "success":
+                self.requests.updateValue((day,), (self._count(day) + 1,))
+            elif event["kind"] == "server_counts":
+                if event["limit_value"] is not None and newer(at, "named_at"):
+                    slot |= {"named": number, "named_at": at}
+                if event["left_value"] is not None and newer(at, "left_at"):
+                    slot |= {"left": int(event["left_value"]), "left_day": day, "left_at": at}
+            elif event["daily"]:
+                slot["spent"] = max(slot["spent"] or day, day)
+                if number and newer(at, "named_at"):
+                    slot |= {"named": number, "named_at": at}
+                elif not number and newer(at, "guess_at"):
+                    slot |= {"guess": max(1, self._count(day)), "guess_at": at}
+            elif number and newer(at, "minute_at"):
+                slot |= {"minute": number, "minute_at": at}
+        for day in sorted((d for (d,) in self.requests.keys()), reverse=True)[self.days :]:
+            self.requests.removeKey((day,))
+        self.slot.update(tuple(slot[name] for name in self.names))
+        today, day = self._count(slot["day"]), slot["day"]
+        limit = slot["guess"] if slot["named"] is None else slot["named"]
+        source = "server" if slot["named"] is not None else "estimate" if slot["guess"] is not None else None
+        left = slot["left"] if slot["left_day"] == day else max(0, limit - today) if limit else None
+        spent = slot["spent"] == day
+        row = (*key, slot["at"], day, today, limit, source, slot["minute"], 0 if spent else left, spent)
+        yield pd.DataFrame([row], columns=[field.split()[0] for field in USAGE_SCHEMA.split(", ")]).astype({"limit_day": "Int32", "limit_minute": "Int32", "left": "Int32"})
+
+
+def key_limits(events: DataFrame, days: int = 8) -> DataFrame:
+    """What ``logs.key_usage`` says of each key and model as of its last event, after each batch that has any (update mode):
+    requests of that quota day, limits of days and minutes apart, and what is left. An estimate never replaces a number that
+    a server named. State is some numbers a key and model, and the counts of its last ``days`` days."""
+    turn = F.when(F.col("kind") == "success", 0).when(F.col("kind") == "server_counts", 1).otherwise(2)
+    rows = events.select(
+        "provider", "key_id", "model", "kind", F.coalesce("daily", F.lit(False)).alias("daily"), "limit_value", "left_value", "at",
+        text.quota_day(F.col("at"), F.col("provider")).cast("string").alias("day"), turn.alias("turn"),
+    )
+    return rows.groupBy("provider", "key_id", "model").transformWithStateInPandas(Usage(days), USAGE_SCHEMA, "Update", "none")
