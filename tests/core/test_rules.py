@@ -126,3 +126,21 @@ def test_page_documents_round_trip_and_unreadable_ones(spark, tmp_path):
             want = want.withColumns({c: F.when(F.coalesce("skip", F.lit(False)), "").otherwise(F.col(c)) for c in ("translation", "ai_translation")})
         assert plain(again[name].select(want.columns)) == plain(want), name
     assert {r.page for r in again["meta"].collect()} == {f"{n:03}" for n in range(6)}
+
+
+def test_duplicates_within_a_line(spark):
+    box = lambda x1, x2, y=0.0: [[x1, y], [x2, y], [x2, y + 20.0], [x1, y + 20.0]]
+    rows = [
+        (1, 0, "a", "hello world", 0.9, box(0.0, 110.0)), (1, 1, "b", "world bye", 0.8, box(60.0, 140.0)),  # the beginning goes
+        (1, 2, "c", "say hello", 0.7, box(-60.0, 50.0)),  # the end goes
+        (1, 3, "d", "hello", 0.6, box(0.0, 50.0)),  # nothing would be left
+        (1, 4, "e", "hello", 0.5, box(500.0, 550.0)),  # far away: stays
+        (1, 5, "f", "hello world", 0.4, box(0.0, 110.0, 5.0)),  # another line
+        (2, 0, "a", "one two three four five six seven eight nine ten", 0.9, box(0.0, 100.0)), (2, 1, "b", "ten x1 x2 x3 x4 x5 x6 x7 x8 x9", 0.8, box(80.0, 180.0)),  # a tenth is shared
+    ]
+    items = spark.createDataFrame(rows, "page_id long, pos int, id string, text string, score double, box array<array<double>>")
+    lines = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"]), (1, ["f"]), (2, ["a", "b"])], "page_id long, word_ids array<string>")
+    got = {(r.page_id, r.id): (r.text, r.trimmed, round(r.box[0][0], 3), round(r.box[1][0], 3)) for r in ocr.line_dedup(items, lines).collect()}
+    assert got[1, "b"] == ("bye", True, 60 + 80 * 5 / 8, 140.0) and got[1, "c"] == ("say", True, -60.0, round(50 - 110 * 5 / 8, 3))
+    assert (1, "d") not in got and got[1, "e"][:2] == ("hello", False) and got[1, "f"][:2] == ("hello world", False)
+    assert got[2, "b"][:2] == ("x1 x2 x3 x4 x5 x6 x7 x8 x9", True)

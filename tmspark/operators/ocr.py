@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -207,42 +208,55 @@ def group_bubbles(items: DataFrame, image_width: float = 1000.0, min_score: floa
     return _with_box(whole_pages(items, build, schema))
 
 
-def line_dedup(lines: DataFrame, word_share: float = 0.1, geo_share: float = 0.1, min_px: float = 5.0) -> DataFrame:
-    """Lines of a page (page_id, line_id, text, score, box), best scores first; one that shares words and area with a kept
-    one loses the words they share at the seam, and goes if they share none there."""
+def _seam(first: list[str], second: list[str]) -> int:
+    """The most words that end the first and begin the second."""
+    return max((n for n in range(1, min(len(first), len(second)) + 1) if first[-n:] == second[:n]), default=0)
 
-    def bare(t: str) -> list[str]:
-        return ["".join(c for c in w.lower() if c.isalnum() or c == "_") for w in t.split()]
 
-    def clean(page: list[dict]) -> list[dict]:
+def _trimmed(better: dict, worse: dict) -> dict | None:
+    """The worse reading without the words that it shares with the better one at their seam, its box cut by their share of
+    its characters: at its beginning, or else at its end. None if neither leaves a text without any of these words."""
+    words = worse["text"].split()
+    for left in (True, False):
+        n = _seam(better["bare"], worse["bare"]) if left else _seam(worse["bare"], better["bare"])
+        gone, rest = (slice(0, n), slice(n, None)) if left else (slice(len(words) - n, None), slice(0, len(words) - n))
+        if n and n < len(words) and not set(worse["bare"][gone]) & set(worse["bare"][rest]):
+            cut = (worse["x2"] - worse["x1"]) * sum(map(len, words[gone])) / max(1, sum(map(len, words)))
+            return worse | {"text": " ".join(words[rest]), "bare": worse["bare"][rest], "trimmed": True} | ({"x1": worse["x1"] + cut} if left else {"x2": worse["x2"] - cut})
+    return None
+
+
+def line_dedup(items: DataFrame, lines: DataFrame, word_share: float = 0.1, geo_share: float = 0.1, min_px: float = 5.0) -> DataFrame:
+    """Items (page_id, pos, id, text, score, box) of the text lines (page_id, word_ids, and any number of the line's own)
+    without duplicates: page_id, id, text, score, box, trimmed. Items of no line aren't among them.
+
+    Of a line's items the best scores come first. One that shares enough words and area with a kept one loses the words at
+    their seam; where none is left that way, it goes. Only items of one line are compared."""
+    within = lines.select("page_id", F.col("word_ids"), F.xxhash64("page_id", "word_ids").alias("_line")).distinct()
+    within = within.select("page_id", "_line", F.explode("word_ids").alias("id"))
+    b = geo.bbox(F.col("box"))
+    rows = items.select("page_id", "pos", "id", "text", "score", b.alias("_b")).join(within, ["page_id", "id"]).select("page_id", "_line", "pos", "id", "text", "score", "_b.*")
+
+    def clean(line: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for r in sorted(page, key=lambda r: (-r["score"], r["line_id"])):
-            words = r["text"].split()
+        for r in sorted(line, key=lambda r: (-r["score"], r["pos"])):
+            r = r | {"trimmed": False, "bare": [re.sub(r"\W", "", w.lower()) for w in (r["text"] or "").split()]}
             for k in kept:
-                if abs(r["y1"] + r["y2"] - k["y1"] - k["y2"]) / 2 > max(min_px, 0.3 * min(_height(r), _height(k))):
-                    continue
+                mine, theirs = set(r["bare"]), set(k["bare"])
                 inter = int(max(0.0, min(r["x2"], k["x2"]) - max(r["x1"], k["x1"]))) * int(max(0.0, min(r["y2"], k["y2"]) - max(r["y1"], k["y1"])))
-                mine, theirs = set(bare(r["text"])), set(bare(k["text"]))
-                least = min(_height(o) * max(1.0, o["x2"] - o["x1"]) for o in (r, k))
-                if inter < min_px or inter / least <= geo_share or not mine or not theirs or len(mine & theirs) / min(len(mine), len(theirs)) <= word_share:
-                    continue
-                left, right = bare(k["text"]), bare(r["text"])
-                seam = max((n for n in range(1, min(len(left), len(right)) + 1) if left[-n:] == right[:n]), default=0)
-                if not seam or seam == len(words):
+                smaller = min((o["x2"] - o["x1"]) * (o["y2"] - o["y1"]) for o in (r, k))
+                alike = mine and theirs and len(mine & theirs) / min(len(mine), len(theirs)) >= word_share
+                if alike and inter >= min_px and smaller > 0 and inter / smaller > geo_share:
+                    r = _trimmed(k, r)
                     break
-                cut = sum(map(len, words[:seam])) / max(1, sum(map(len, words)))
-                kept.append(r | {"text": " ".join(words[seam:]), "x1": r["x1"] + cut * (r["x2"] - r["x1"]), "trimmed": True})
-                break
-            else:
-                kept.append(r | {"trimmed": False})
+            kept += [r] if r else []
         return [r | {"flat": layout.level(r["x1"], r["y1"], r["x2"], r["y2"])} for r in kept]
 
-    rows = lines.select("page_id", "line_id", "text", "score", geo.bbox(F.col("box")).alias("_b")).select("*", "_b.*").drop("_b")
-    return _with_box(per_page(rows, clean, "page_id long, line_id string, text string, score double, flat array<double>, trimmed boolean"))
-
+    def by_line(page: list[dict]) -> list[dict]:
+        page.sort(key=lambda r: r["_line"])
+        return [r for _, line in groupby(page, key=lambda r: r["_line"]) for r in clean(list(line))]
 
-def _height(row: dict) -> float:
-    return max(1.0, row["y2"] - row["y1"])
+    return _with_box(per_page(rows, by_line, "page_id long, id string, text string, score double, flat array<double>, trimmed boolean"))
 
 
 def reading_order(bubbles: DataFrame, mode: str = "ttb") -> DataFrame:

@@ -909,8 +909,10 @@ def group_bubbles(spark, d):
 
 @query()
 def line_dedup(spark, d):
-    """J12."""
-    return ocr.line_dedup(view(spark, d, "boxes").withColumn("line_id", F.col("pos").cast("string"))).select("page_id", "line_id", "text", "trimmed")
+    """Items of a page that lie at about the same height are a line here."""
+    items = view(spark, d, "boxes").withColumn("id", F.col("pos").cast("string"))
+    lines = items.groupBy("page_id", F.floor(F.array_min(F.transform("box", lambda p: p[1])) / 40).alias("line_no")).agg(F.array_sort(F.collect_list("id")).alias("word_ids"))
+    return ocr.line_dedup(items, lines).select("page_id", "id", "text", "trimmed")
 
 
 @query("SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY (y1 + y2) / 2, (x1 + x2) / 2, CAST(pos AS VARCHAR)) AS order_no FROM boxes", "boxes")
