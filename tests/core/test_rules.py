@@ -144,3 +144,20 @@ def test_duplicates_within_a_line(spark):
     assert got[1, "b"] == ("bye", True, 60 + 80 * 5 / 8, 140.0) and got[1, "c"] == ("say", True, -60.0, round(50 - 110 * 5 / 8, 3))
     assert (1, "d") not in got and got[1, "e"][:2] == ("hello", False) and got[1, "f"][:2] == ("hello world", False)
     assert got[2, "b"][:2] == ("x1 x2 x3 x4 x5 x6 x7 x8 x9", True)
+
+
+def test_import_preview_equals_going_through_candidates_in_order(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["A", "a", "B", "c", "D", "E", "f"]) + str(rng.randint(0, 5)), rng.choice([None, *map(str, range(30))])) for k in range(120)]
+    rows += [(200, "x1", "p1"), (201, "X1", "p2"), (202, "x2", "p2"), (203, "x2", "p3"), (204, "x3", "p3"), (205, "x9", "p2")]  # refusals that free the next
+    existing = [("A0", "7"), ("zz", None)]
+    prints, labels, want = {"7"}, {"a0", "zz"}, {}
+    for k, label, p in rows:
+        want[k] = "duplicate" if p in prints and p is not None else "label_conflict" if label.lower() in labels else "new"
+        if want[k] == "new":
+            prints.add(p)
+            labels.add(label.lower())
+    got = catalog.import_preview(spark.createDataFrame(rows, "seq long, label string, fingerprint string"), spark.createDataFrame(existing, "label string, fingerprint string"))
+    assert {r.seq: r.verdict for r in got.collect()} == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tmspark.cluster import cut_lineage
 from tmspark.functions import text
 
 
@@ -55,13 +56,26 @@ def match_source_folder(raw: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def import_preview(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """Candidates (seq, label, fingerprint): duplicate (of what is there, or earlier in the batch), label_conflict or new."""
-    prints = existing.select("fingerprint", F.lit(True).alias("_f")).distinct()
-    labels = existing.select(F.lower("label").alias("_l"), F.lit(True).alias("_c")).distinct()
-    rows = candidates.withColumn("_l", F.lower("label")).join(prints, "fingerprint", "left").join(labels, "_l", "left")
-    again = F.row_number().over(Window.partitionBy("fingerprint").orderBy("seq")) > 1
-    verdict = F.when(F.col("_f") | again, "duplicate").when(F.col("_c"), "label_conflict").otherwise("new")
-    return rows.withColumn("verdict", F.coalesce(verdict, F.lit("new"))).drop("_f", "_c", "_l")
+    """Candidates (seq, label, fingerprint) in their order: duplicate (content that is there, or that an earlier new one
+    has), label_conflict (a label that is there or that an earlier new one took, whatever its case) or new.
+
+    Only new ones take their label and content. So in each round those are new that come first of all open ones with
+    their content and first with their label, and those that share either with one of these are settled; rounds go on
+    until none is open, which takes few, as a chain of refusals must link every one of them. Rows without a fingerprint
+    are like no other."""
+    prints, labels = existing.select(F.col("fingerprint").alias("_p")).distinct(), existing.select(F.lower("label").alias("_l")).distinct()
+    rows = candidates.withColumns({"_p": F.coalesce("fingerprint", F.concat(F.lit("\u0000"), F.col("seq").cast("string"))), "_l": F.lower("label")})
+    left = cut_lineage(rows.select("seq", "_p", "_l").join(prints, "_p", "left_anti").join(labels, "_l", "left_anti"))
+    taken = left.limit(0)
+    while not left.isEmpty():
+        first = [F.min("seq").over(Window.partitionBy(c)) for c in ("_p", "_l")]
+        new = cut_lineage(left.withColumns({"_a": first[0], "_b": first[1]}).where("seq = _a and seq = _b").select(left.columns))
+        left = cut_lineage(left.join(new.select("_p"), "_p", "left_anti").join(new.select("_l"), "_l", "left_anti"))
+        taken = taken.unionByName(new)
+    same = prints.withColumn("_at", F.lit(None).cast("long")).unionByName(taken.select("_p", F.col("seq").cast("long").alias("_at")))
+    out = rows.join(taken.select("seq", F.lit(True).alias("_new")), "seq", "left").join(same.groupBy("_p").agg(F.bool_or(F.col("_at").isNull()).alias("_there"), F.min("_at").alias("_at")), "_p", "left")
+    verdict = F.when(F.col("_new"), "new").when(F.col("_there") | (F.col("_at") < F.col("seq")), "duplicate").otherwise("label_conflict")
+    return out.withColumn("verdict", verdict).drop("_p", "_l", "_new", "_there", "_at")
 
 
 def unique_label(rows: DataFrame) -> DataFrame:

@@ -761,13 +761,17 @@ def match_source_folder(spark, d):
 
 
 @query(
-    """SELECT doc_id AS seq, CASE WHEN EXISTS (SELECT 1 FROM files x WHERE x.doc_id % 3 = 0 AND x.sha1 = f.sha1) OR row_number() OVER (PARTITION BY sha1 ORDER BY doc_id) > 1 THEN 'duplicate'
-WHEN doc_id % 7 = 0 THEN 'label_conflict' ELSE 'new' END AS verdict FROM files f WHERE doc_id % 3 <> 0""",
+    """WITH RECURSIVE c AS (SELECT doc_id AS seq, sha1, lower(CASE WHEN doc_id % 7 = 0 THEN 'Taken' ELSE 'L' || (doc_id * 5 // 7) END) AS label, row_number() OVER (ORDER BY doc_id) AS n FROM files WHERE doc_id % 3 <> 0),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS verdict, (SELECT list(DISTINCT sha1) FROM files WHERE doc_id % 3 = 0) AS prints, ['taken'] AS labels
+UNION ALL SELECT n, seq, verdict, CASE WHEN verdict = 'new' THEN list_append(prints, sha1) ELSE prints END, CASE WHEN verdict = 'new' THEN list_append(labels, label) ELSE labels END
+FROM (SELECT c.*, prints, labels, CASE WHEN list_contains(prints, sha1) THEN 'duplicate' WHEN list_contains(labels, label) THEN 'label_conflict' ELSE 'new' END AS verdict FROM r JOIN c ON c.n = r.n + 1))
+SELECT seq, verdict FROM r WHERE n > 0""",
     "files",
 )
 def import_preview(spark, d):
-    """A19."""
-    f = view(spark, d, "files").withColumns({"fingerprint": F.col("sha1"), "label": F.when(F.col("doc_id") % 7 == 0, "Taken").otherwise(F.concat(F.lit("L"), F.col("doc_id")))})
+    """Some labels are there, others are taken by candidates before."""
+    label = F.when(F.col("doc_id") % 7 == 0, "Taken").otherwise(F.concat(F.lit("L"), F.floor(F.col("doc_id") * 5 / 7).cast("long")))
+    f = view(spark, d, "files").withColumns({"fingerprint": F.col("sha1"), "label": label})
     there = f.where("doc_id % 3 = 0").select("fingerprint", F.lit("taken").alias("label"))
     return catalog.import_preview(f.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("seq"), "label", "fingerprint"), there).select("seq", "verdict")
 

@@ -112,5 +112,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with the named views in front of it."""
-    ctes = ", ".join(f"{n} AS ({sql_of(n, 'duckdb')})" for n in names)
-    return f"WITH {ctes}{',' if sql.lstrip().upper().startswith('WITH ') else ''} {sql.lstrip()[5:] if sql.lstrip().upper().startswith('WITH ') else sql}"
+    ctes, own = ", ".join(f"{n} AS ({sql_of(n, 'duckdb')})" for n in names), sql.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(start):
+            return f"{start}{ctes}, {own[len(start):]}"
+    return f"WITH {ctes} {own}"
