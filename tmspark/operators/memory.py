@@ -79,12 +79,18 @@ def candidate_pairs(queries: DataFrame, memory: DataFrame, threshold: float, **s
 
 
 def best_similarities(queries: DataFrame, memory: DataFrame, **sizes) -> DataFrame:
-    """(query_id, best): the highest cosine of each query in its project, whatever it is."""
+    """(query_id, best, correction_id): the highest cosine of each query in its project, whatever it is, and the entry that
+    has it (of equal ones the one with the smallest first_id)."""
 
     def multiply(asked: pd.DataFrame, held: pd.DataFrame, product: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": asked["_id"].to_numpy(), "best": product.max(axis=1)})
+        order = np.argsort(held["first_id"].to_numpy(), kind="stable")
+        top = order[product[:, order].argmax(axis=1)]
+        found = {"best": product[np.arange(len(top)), top], "first_id": held["first_id"].to_numpy()[top], "correction_id": held["_id"].to_numpy()[top]}
+        return pd.DataFrame({"query_id": asked["_id"].to_numpy(), **found})
 
-    return by_blocks(queries, memory, [], [], multiply, "query_id long, best double", **sizes).groupBy("query_id").agg(F.max("best").alias("best"))
+    each = by_blocks(queries, memory, [], ["first_id"], multiply, "query_id long, best double, first_id long, correction_id long", **sizes)
+    top = F.max(F.struct("best", -F.col("first_id"), "correction_id")).alias("_b")
+    return each.groupBy("query_id").agg(top).select("query_id", "_b.best", "_b.correction_id")
 
 
 def block_examples(queries: DataFrame, memory: DataFrame, threshold: float, k: int, lexical_min: float = 0.0, strong: float = 0.0, **sizes) -> DataFrame:
@@ -92,12 +98,15 @@ def block_examples(queries: DataFrame, memory: DataFrame, threshold: float, k: i
     final_translation, kind, source_text, embedding) the k best examples of different final texts.
 
     The best k of all blocks together are among these, so no more than k pairs a query leave a block. Entries are gone
-    through from the best, and the gate is asked only of those that come up."""
+    through from the best, and the gate is asked only of those that come up. Without a gate (``lexical_min`` 0) no words are
+    looked at, and ``overlap`` is 0."""
+    none = F.array().cast("array<bigint>")
+    hashed = lambda c: F.transform(text.content_words(F.col(c)), lambda w: F.xxhash64(w)) if lexical_min > 0 else none
     m = memory.select(
         "project_id", "id", "embedding", "first_id", (F.coalesce("kind", F.lit("corrected")) == "corrected").alias("_edited"),
-        F.xxhash64(F.lower(F.trim("final_translation"))).alias("_final"), F.transform(text.content_words(F.col("source_text")), lambda w: F.xxhash64(w)).alias("_mw"),
+        F.xxhash64(F.lower(F.trim("final_translation"))).alias("_final"), hashed("source_text").alias("_mw"),
     )
-    q = queries.withColumn("_qw", F.transform(text.content_words(F.col("text")), lambda w: F.xxhash64(w)))
+    q = queries.withColumn("_qw", hashed("text"))
 
     def multiply(asked: pd.DataFrame, held: pd.DataFrame, product: np.ndarray) -> pd.DataFrame:
         ids, first, final = (held[c].to_numpy() for c in ("_id", "first_id", "_final"))
@@ -148,14 +157,20 @@ def tm_fuzzy(
 
 
 def tm_probe(queries: DataFrame, corrections: DataFrame, max_words: int = 2) -> DataFrame:
-    """For each longer query: how many candidates its project has, and the best cosine before any gate."""
-    asked = queries.where(~text.is_short_phrase(F.col("text"), max_words))
+    """For each query (query_id, project_id, text, embedding) its lane, how many candidates its project has, the best
+    similarity before any gate, and the shared content words (percent) of the entry that has it.
+
+    In the exact lane all entries are candidates and the best is 1 for a hit; in the fuzzy lane they are the latest entries
+    of longer lines. Without candidates or a hit the best is null, and so is the overlap outside the fuzzy lane."""
+    short = text.is_short_phrase(F.col("text"), max_words)
     held = latest_per_source(corrections.where(~text.is_short_phrase(F.col("source_text"), max_words)))
-    sizes = held.groupBy("project_id").agg(F.count(F.lit(1)).alias("candidates"))
-    best = best_similarities(asked, held)
-    return asked.select("query_id", "project_id", F.lit("fuzzy").alias("lane")).join(sizes, "project_id", "left").join(best, "query_id", "left").select(
-        "query_id", "lane", F.coalesce("candidates", F.lit(0)).alias("candidates"), "best"
-    )
+    amounts = [rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("candidates")) for rows in (corrections, held)]
+    hits = tm_exact(queries, corrections, max_words).select("query_id", F.col("similarity").alias("best"), F.lit(None).cast("double").alias("best_overlap"))
+    best = best_similarities(queries.where(~short), held).join(held.select(F.col("id").alias("correction_id"), "source_text"), "correction_id")
+    best = best.join(queries.select("query_id", "text"), "query_id").select("query_id", "best", text.lexical_overlap(F.col("text"), F.col("source_text")).alias("best_overlap"))
+    lanes = [queries.where(c).select("query_id", "project_id", F.lit(lane).alias("lane")).join(n, "project_id", "left").join(found, "query_id", "left")
+             for c, lane, n, found in ((short, "exact", amounts[0], hits), (~short, "fuzzy", amounts[1], best))]
+    return lanes[0].unionByName(lanes[1]).select("query_id", "lane", F.coalesce("candidates", F.lit(0)).alias("candidates"), "best", "best_overlap")
 
 
 def edit_final(corrections: DataFrame, edits: DataFrame) -> DataFrame:

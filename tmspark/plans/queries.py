@@ -78,14 +78,21 @@ def tm_fuzzy(spark, d):
 
 
 @query(
-    f"""WITH q AS (SELECT * FROM query_vectors WHERE {WORDS.format('text')} > 2), m AS (SELECT *, CASE WHEN {KEY.format('source_text')} = '' THEN source_text ELSE {KEY.format('source_text')} END AS k FROM memory_vectors WHERE {WORDS.format('source_text')} > 2),
-held AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY project_id, k ORDER BY id DESC) = 1)
-SELECT q.query_id, 'fuzzy' AS lane, count(held.id) AS candidates, round(max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(held.embedding AS DOUBLE[]))), 6) AS best FROM q LEFT JOIN held ON q.project_id = held.project_id GROUP BY q.query_id""",
+    f"""WITH q AS (SELECT * REPLACE (CASE WHEN query_id % 10 = 0 THEN 'Word' || (query_id % 4) || '!' ELSE text END AS text) FROM query_vectors),
+a AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'word' || (id % 3) ELSE source_text END AS source_text) FROM memory_vectors),
+m AS (SELECT *, CASE WHEN {KEY.format('source_text')} = '' THEN source_text ELSE {KEY.format('source_text')} END AS k, {CONTENT.format(KEY.format('source_text'))} AS cw FROM a WHERE {WORDS.format('source_text')} > 2),
+held AS (SELECT *, min(id) OVER (PARTITION BY project_id, k) AS first_id FROM m QUALIFY row_number() OVER (PARTITION BY project_id, k ORDER BY id DESC) = 1),
+p AS (SELECT query_id, held.id, first_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(held.embedding AS DOUBLE[])) AS sim, {CONTENT.format(KEY.format('text'))} AS w, cw, count(held.id) OVER (PARTITION BY query_id) AS n FROM q LEFT JOIN held ON q.project_id = held.project_id WHERE {WORDS.format('text')} > 2),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, first_id) = 1)
+SELECT query_id, 'fuzzy' AS lane, n AS candidates, round(sim, 6) AS best, round(CASE WHEN id IS NULL THEN NULL WHEN len(w) = 0 OR len(cw) = 0 THEN 0.0 ELSE 100.0 * len(list_intersect(w, cw)) / len(list_distinct(list_concat(w, cw))) END, 6) AS best_overlap FROM t
+UNION ALL SELECT query_id, 'exact', (SELECT count(*) FROM a WHERE a.project_id = q.project_id), CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.project_id = q.project_id AND {KEY.format('a.source_text')} = {KEY.format('q.text')} AND {KEY.format('q.text')} <> '') THEN 1.0 END, NULL FROM q WHERE {WORDS.format('text')} <= 2""",
     "query_vectors", "memory_vectors",
 )
 def tm_probe(spark, d):
-    """J4's probe columns."""
-    return memory.tm_probe(view(spark, d, "query_vectors"), view(spark, d, "memory_vectors")).withColumn("best", F.round("best", 6))
+    """J4's probe columns, with some short lines on both sides."""
+    q = view(spark, d, "query_vectors").withColumn("text", F.when(F.col("query_id") % 10 == 0, F.concat(F.lit("Word"), F.col("query_id") % 4, F.lit("!"))).otherwise(F.col("text")))
+    m = view(spark, d, "memory_vectors").withColumn("source_text", F.when(F.col("id") % 7 == 0, F.concat(F.lit("word"), F.col("id") % 3)).otherwise(F.col("source_text")))
+    return memory.tm_probe(q, m).withColumns({"best": F.round("best", 6), "best_overlap": F.round("best_overlap", 6)})
 
 
 @query(
