@@ -8,7 +8,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmspark.functions import geometry as geo
@@ -16,7 +16,7 @@ from tmspark.functions import helpers, layout, text
 
 #: Default limits of the steps below (pixels, shares and ratios).
 SCORE, TOLERANCE = 0.85, 0.15
-BUBBLE_SCORE = 0.7
+BUBBLE_SCORE, NUMBER_HEIGHTS = 0.7, 1.5
 #: From where on a word is known, the marks that may end a bubble, and characters that stand alone.
 KNOWN, ENDING, ALONE = 2.0, "^[?!？！‽]{1,4}$", ["I"]
 
@@ -196,16 +196,58 @@ def build_text_lines(items: DataFrame, image_width: float = 1000.0) -> DataFrame
     return _with_box(whole_pages(items, build, schema))
 
 
+def _bounds(parts: Column) -> Column:
+    """The bounds of an array of lines with x1, y1, x2 and y2."""
+    side = lambda f, c: f(F.transform(parts, lambda p: p[c])).alias(c)
+    return F.struct(side(F.array_min, "x1"), side(F.array_min, "y1"), side(F.array_max, "x2"), side(F.array_max, "y2"))
+
+
+def split_far_numbers(lines: Column, heights: float = NUMBER_HEIGHTS) -> Column:
+    """An array of a bubble's lines (text, x1, y1, x2, y2, ..) as arrays of lines: the lines that stay, then each line of
+    digits alone whose distance from every line of words exceeds ``heights`` heights, its own or that of the words' lines
+    (the upper one of the two in the middle), whichever is more."""
+    digits = lambda p: p["text"].rlike(r"\p{Nd}") & ~p["text"].rlike(r"[\p{L}\p{Nl}\p{No}]")
+    words = F.filter(lines, lambda p: ~digits(p))
+    usual = F.get(F.array_sort(F.transform(words, lambda p: p["y2"] - p["y1"])), F.floor(F.size(words) / 2).cast("int"))
+
+    def distance(p, q):
+        across, down = F.greatest(p["x1"] - q["x2"], q["x1"] - p["x2"], F.lit(0.0)), F.greatest(p["y1"] - q["y2"], q["y1"] - p["y2"], F.lit(0.0))
+        return F.hypot(across, down)
+
+    far = lambda p: digits(p) & F.coalesce(F.forall(words, lambda q: distance(p, q) > heights * F.greatest(p["y2"] - p["y1"], usual)), F.lit(False))
+    leave = F.when(F.size(words) > 0, F.filter(lines, far)).otherwise(F.slice(lines, 1, 0))
+    stay = F.when(F.size(words) > 0, F.filter(lines, lambda p: ~far(p))).otherwise(lines)
+    return F.concat(F.array(stay), F.transform(leave, lambda p: F.array(p)))
+
+
 def group_bubbles(items: DataFrame, image_width: float = 1000.0, min_score: float = BUBBLE_SCORE) -> DataFrame:
-    """Bubbles of each page from its words: one pass over a page, all pages side by side."""
+    """Bubbles of each page from its words: lines are grouped in one pass over a page, all pages side by side; far numbers
+    leave their bubbles by array conditions. A page from which a number left is numbered anew, by vertical centre."""
 
     def build(boxes: layout.Boxes, column: np.ndarray, page: dict) -> list[dict]:
-        number = page["page_id"][0]
-        rows = layout.bubbles_of(_lines(boxes, column, page, image_width), min_score)
-        return [{"page_id": number, "bubble_no": k, **r} for k, r in enumerate(rows)]
-
-    schema = "page_id long, bubble_no int, text string, line_count int, score double, line_ids array<int>, word_ids array<string>, flat array<double>"
-    return _with_box(whole_pages(items, build, schema))
+        number, lines = page["page_id"][0], _lines(boxes, column, page, image_width)
+        found = []
+        for k, group in enumerate(layout.bubbles_of(lines, min_score)):
+            parts = [{c: lines[n][c] for c in ("text", "score", "word_ids")} | {"line_id": n} | dict(zip(("x1", "y1", "x2", "y2"), layout._bounds(lines[n]["flat"]))) for n in group]
+            found.append({"page_id": number, "group": k, "lines": parts})
+        return found
+
+    line = "array<struct<text:string,score:double,word_ids:array<string>,line_id:int,x1:double,y1:double,x2:double,y2:double>>"
+    rows = whole_pages(items, build, f"page_id long, group int, lines {line}")
+    parts = rows.withColumn("_parts", split_far_numbers(F.col("lines")))
+    parts = parts.select("page_id", "group", (F.size("_parts") > 1).alias("_split"), F.posexplode("_parts").alias("_part", "lines"))
+    b = _bounds(F.col("lines"))
+    parts = parts.select("*", b.alias("_b"))
+    page = Window.partitionBy("page_id")
+    place = F.when(F.max("_split").over(page), F.col("_b.y1") + F.col("_b.y2"))
+    parts = parts.withColumn("_place", place).withColumn("bubble_no", F.row_number().over(page.orderBy("_place", "group", "_part")) - 1)
+    each = lambda c: F.transform("lines", lambda p: p[c])
+    corners = F.array(*[F.array(F.col(f"_b.{x}"), F.col(f"_b.{y}")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
+    mean = F.aggregate(each("score"), F.lit(0.0), lambda a, x: a + x) / F.size("lines")
+    return parts.select(
+        "page_id", "bubble_no", F.array_join(each("text"), " ").alias("text"), F.size("lines").alias("line_count"), mean.alias("score"),
+        each("line_id").alias("line_ids"), F.flatten(each("word_ids")).alias("word_ids"), corners.alias("box"),
+    )
 
 
 def _seam(first: list[str], second: list[str]) -> int:
