@@ -217,6 +217,35 @@ def test_base_scores_are_exact(spark, sf_dir, settings):
         assert abs(r.base_score - want) < 1e-6 * abs(want)
 
 
+def thue_morse(letters):
+    """Two words of the letters whose sums of bytes times powers of an odd number are equal modulo 2^64."""
+    one, other = letters
+    for _ in range(11):
+        one, other = one + other, other + one
+    return one, other
+
+
+def test_words_of_equal_polynomial_sums_are_told_apart(spark):
+    known, new = thue_morse("ab")
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
+    rows = [(k, f"{known} w") for k in range(100) if zlib.crc32(str(k).encode()) % 5 != 1] + [(held, f"{new} w {'x' * 99} {'x' * 101}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, fold_of("doc_id", 5, 1)).collect()}
+    n = len(rows) - 1
+    size = 3 * n + 0.5 * (3 + 1)
+    assert (got[held].n_tokens, got[held].n_known, got[held].train_tokens) == (5, 2, 3 * n)
+    assert abs(got[held].base_score - 2 * math.log10((n + 0.5) / size) - 3 * math.log10(0.5 / size)) < 1e-9
+    assert all(r.n_known == 3 and abs(r.base_score - 3 * math.log10((n + 0.5) / size)) < 1e-9 for i, r in got.items() if i != held)
+
+
+def test_slices_of_equal_polynomial_sums_are_told_apart():
+    texts = [np.frombuffer(t.encode(), dtype=np.uint8) for t in thue_morse("ab")]
+    a, b = (lm_scoring.Slices(np.tile(t, 2)) for t in texts)
+    n = len(texts[0])
+    hashes = [int(s.hash(np.array([k]), np.array([k + n]))[0]) for s in (a, b) for k in (0, n)]
+    assert hashes[0] == hashes[1] != hashes[2] == hashes[3]
+
+
 def scoring_case():
     rng = np.random.default_rng(3)
     common = [f"w{k}" for k in range(40)]
