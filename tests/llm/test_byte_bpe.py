@@ -84,6 +84,24 @@ def test_odd_rows_and_round_trip(spark):
         byte_bpe.decode(foreign).collect()
 
 
+def test_round_trip_is_one_python_step_and_equals_two(spark):
+    rows = [(1, None), (2, ""), (3, "same text"), (3, "same text"), (None, "n\u00e9\u0000 " * 5), (5, "long \u0142 " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got, two = byte_bpe.round_trip(docs), byte_bpe.decode(byte_bpe.encode(docs, packed=True))
+    plain = lambda frame: sorted(((r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in frame.collect()), key=str)
+    assert plain(got) == plain(two) and byte_bpe.round_trip(docs.limit(0)).count() == 0
+    digests = got.select("doc_id", F.sha2("ids", 256), F.sha2("bytes", 256), F.octet_length("ids"))
+    assert digests._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
+def test_ascii_texts_are_split_as_all_are():
+    split, whole = byte_bpe.splitter(), byte_bpe.regex.compile(byte_bpe.PRE_TOKEN).findall
+    letters = [chr(k) for k in range(128)]
+    rng = random.Random(11)
+    for text in ["".join(rng.choice(letters) for _ in range(50)) for _ in range(500)] + [f"a{x}{y} {x}'{y}s" for x in letters for y in letters]:
+        assert split(text) == whole(text), text
+
+
 def test_query_equals_the_library(spark, sf_dir, library):
     got = {r.doc_id: r for r in queries.op13_byte_bpe(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()

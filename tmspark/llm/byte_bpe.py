@@ -2,11 +2,11 @@
 
 A text is split by the vocabulary's pattern. A match that is an entry of the vocabulary is its id. The bytes of the
 others are rows (word, position, token) of a recursive query: each step joins neighbours with the merge table, finds the
-least rank of each word and contracts its leftmost pair; words without any pair left are given out. Other places of the
-same rank are contracted in the same step where that gives the same: if no pair of a lower rank comes of it, so that the
-least rank stays the least until they are all contracted; so is any pair of a lower rank than all entries that span its
-ends, as nothing can come before it there. Ids are read back in order of position. Decoding joins (text, position, id) with the vocabulary and puts the
-bytes together by an ordered aggregate.
+least rank of each word and contracts its leftmost pair; words without any pair left are given out. Words also end where
+no entry spans the place. Other places of the same rank are contracted in the same step where that gives the same: if no
+pair of a lower rank comes of it, so that the least rank stays the least until they are all contracted; so is any pair of
+a lower rank than all entries that span its ends, as nothing can come before it there. Ids are read back in order of
+position. Decoding joins (text, position, id) with the vocabulary and puts the bytes together by an ordered aggregate.
 
 Only matches not met before in a worker are encoded; a bounded memo holds the others.
 """
@@ -14,7 +14,8 @@ Only matches not met before in a worker are encoded; a bounded memo holds the ot
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,33 +27,40 @@ from pyspark.sql import functions as F
 from tmspark.llm.common import chunks, give_back, small_batches
 from tmspark.llm.token_counts import PRE_TOKEN
 
-#: Rows (word, pos, tok, bound) of ``given`` to those of the words' ids; ``bound`` is at most the rank of any entry that
-#: spans the place before the row. ``made`` is the rank of a row's pair with the next one, then its position. A pair is
-#: ``early`` if contracting it makes a pair of lower rank, which would then come first: such a one is contracted as the
-#: word's leftmost only, and none to the right of it in the same step.
+#: Rows (word, pos, tok, bound) of ``given``, ``pos`` counted over all words, to those of the words' ids; ``bound`` is at
+#: most the rank of any entry that spans the place before the row, and a word begins where it is 2147483647. ``made`` is
+#: the rank of a row's pair with the next one, then its position; a pair is ``alone`` if it is of a lower rank than the
+#: bounds of both its ends. Of a word's least rank there can be more pairs (``tied``). One is ``early`` if contracting it
+#: makes a pair of lower rank, which would then come first: such a one is contracted as the word's leftmost only, and none
+#: to the right of it in the same step. Of a run of pairs that overlap every second one is contracted.
 ENCODE = """
 WITH RECURSIVE step AS (
   SELECT word, pos, tok, bound, false AS done FROM given
   UNION ALL
-  (WITH pairs AS (SELECT word, pos, tok, bound, lead(tok) OVER w AS after, lead(tok, 2) OVER w AS beyond, lead(bound, 2) OVER w AS far,
-                    lag(tok) OVER w AS before, row_number() OVER w AS nth FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)),
-   ranked AS (SELECT p.word, p.pos, p.tok, p.bound, p.nth, m.made::BIGINT << 32 | p.pos AS made,
-                m.made < p.bound AND m.made < coalesce(p.far, 2147483647) AS alone,
-                l.made < m.made OR r.made < m.made OR t.made < m.made AS early
-              FROM pairs p LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 32 | p.after)
-              LEFT JOIN lower l ON l.pair = (p.before::BIGINT << 32 | m.made)
-              LEFT JOIN lower r ON r.pair = (m.made::BIGINT << 32 | p.beyond)
-              LEFT JOIN lower t ON t.pair = (m.made::BIGINT << 32 | m.made)),
-   least AS (SELECT word, min(made) AS least, coalesce(min(CASE WHEN early THEN made END), 9223372036854775807) AS before
-             FROM ranked GROUP BY word),
-   marked AS (SELECT r.word, r.pos, r.tok, r.bound, r.nth, r.made, l.least,
-                coalesce(r.alone OR r.made >> 32 = l.least >> 32 AND (r.made = l.least OR r.made < l.before), false) AS wanted
-              FROM ranked r JOIN least l ON r.word = l.word),
-   dealt AS (SELECT *, (nth - 1 - coalesce(max(CASE WHEN NOT wanted THEN nth END)
-               OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 1 AS joined FROM marked)
-   SELECT word, pos, CASE WHEN wanted THEN (made >> 32)::INTEGER ELSE tok END, bound, least IS NULL FROM dealt WHERE NOT joined)
+  (WITH pairs AS (SELECT word, pos, tok, bound, lead(pos) OVER w AS next, lead(tok) OVER w AS after, lead(tok, 2) OVER w AS beyond,
+                    lag(tok) OVER w AS before, lead(bound) OVER w AS edge, lead(bound, 2) OVER w AS far FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)),
+   ranked AS (SELECT p.word, p.pos, p.tok, p.bound, p.next, p.before, p.beyond, m.made::BIGINT << 32 | p.pos AS made,
+                m.made < p.bound AND m.made < coalesce(p.far, 2147483647) AS alone
+              FROM pairs p LEFT JOIN merges m ON m.pair = CASE WHEN p.edge < 2147483647 THEN p.tok::BIGINT << 32 | p.after END),
+   least AS (SELECT word, min(made) AS least FROM ranked GROUP BY word),
+   marked AS (SELECT r.*, l.least, coalesce(NOT r.alone AND r.made >> 32 = l.least >> 32, false) AS tie FROM ranked r JOIN least l ON r.word = l.word),
+   several AS (SELECT DISTINCT word FROM marked WHERE tie AND made > least),
+   tied AS (SELECT m.word, m.pos, m.next, m.made, m.least,
+              coalesce(l.made < (m.made >> 32), false) OR coalesce(r.made < (m.made >> 32), false) OR coalesce(t.made < (m.made >> 32), false) AS early
+            FROM marked m SEMI JOIN several s ON m.word = s.word
+            LEFT JOIN lower l ON l.pair = (m.before::BIGINT << 32 | (m.made >> 32))
+            LEFT JOIN lower r ON r.pair = ((m.made >> 32 << 32) | m.beyond)
+            LEFT JOIN lower t ON t.pair = ((m.made >> 32 << 32) | (m.made >> 32))
+            WHERE m.tie),
+   open AS (SELECT pos, next FROM (SELECT *, min(CASE WHEN early THEN made END) OVER (PARTITION BY word) AS stop FROM tied)
+            WHERE made = least OR stop IS NULL OR made < stop),
+   runs AS (SELECT pos, row_number() OVER w AS nth, lag(next) OVER w IS DISTINCT FROM pos AS new FROM open WINDOW w AS (ORDER BY pos)),
+   second AS (SELECT pos FROM (SELECT pos, nth - max(CASE WHEN new THEN nth END) OVER (ORDER BY pos) AS k FROM runs) WHERE k % 2 = 0),
+   dealt AS (SELECT m.*, coalesce(m.alone OR m.made = m.least, false) OR s.pos IS NOT NULL AS wanted FROM marked m LEFT JOIN second s ON s.pos = m.pos),
+   dropped AS (SELECT *, lag(wanted) OVER (ORDER BY pos) AS joined FROM dealt)
+   SELECT word, pos, CASE WHEN wanted THEN (made >> 32)::INTEGER ELSE tok END, bound, least IS NULL FROM dropped WHERE joined IS DISTINCT FROM true)
 )
-SELECT word, tok FROM step WHERE done ORDER BY word, pos
+SELECT pos, tok FROM step WHERE done ORDER BY pos
 """
 
 DECODE = """
@@ -126,19 +134,28 @@ class Memo:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
+    def missing(self, keys: set[str]) -> list[str]:
         """Those keys that have no value yet; all others can then be read from ``new``."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for key in keys:
-            if key not in new:
-                value = old.get(key)
-                if value is None:
-                    out.append(key)
-                else:
-                    new[key] = value
-        return out
+        new, old = self.new, self.old
+        left = keys.difference(new)
+        met = [key for key in left if key in old]
+        new.update(zip(met, map(old.__getitem__, met)))
+        return list(left.difference(met))
+
+
+def splitter() -> Callable[[str], list[str]]:
+    """All matches of the pattern in a text. For ASCII text the pattern's classes are written out character by character,
+    as the standard module, which is faster there, doesn't know them."""
+    space, letter, number = (
+        "".join(f"\\x{ord(c):02x}" for c in regex.findall(kind, bytes(range(128)).decode())) for kind in (r"\s", r"\p{L}", r"\p{N}")
+    )
+    own = PRE_TOKEN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\S", f"[^{space}]")
+    for kind, listed in ((r"\s", space), (r"\p{L}", letter), (r"\p{N}", number)):
+        own = own.replace(kind, f"[{listed}]")
+    ascii_only, every = re.compile(own).findall, regex.compile(PRE_TOKEN).findall
+    return lambda text: ascii_only(text) if text.isascii() else every(text)
 
 
 class Codec:
@@ -148,7 +165,7 @@ class Codec:
         import duckdb
 
         self.ranks, self.most_bytes = read_ranks(path), most_bytes
-        self.split = regex.compile(PRE_TOKEN).findall
+        self.split = splitter()
         self.matches = Memo(memo)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.bounds = Bounds(self.ranks)
@@ -178,14 +195,16 @@ class Codec:
         """The ids of each non-empty word, as little-endian 32-bit numbers."""
         self._table("merges")
         sizes = np.array([len(w) for w in words])
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        place = np.arange(len(data), dtype=np.int32)
+        pos = (place - np.repeat(starts, sizes)).astype(np.int32)
         bound = self.bounds.of(data, pos, np.repeat(sizes, sizes) - pos)
-        rows = self._query(ENCODE, word=word, pos=pos, tok=self.byte_ids[data], bound=bound)
+        word = np.cumsum(bound == Bounds.NEVER, dtype=np.int32)
+        rows = self._query(ENCODE, word=word, pos=place, tok=self.byte_ids[data], bound=bound)
         ids = rows["tok"].to_numpy().astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(rows["word"].to_numpy(), minlength=len(words)))).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+        ends = [*(4 * np.searchsorted(rows["pos"].to_numpy(), starts)).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def _learn(self, strings: list[str], memo: dict[str, bytes]) -> None:
         """Puts the ids of these matches of the pattern into the memo."""
@@ -206,8 +225,8 @@ class Codec:
         """The ids of each text, as little-endian 32-bit numbers."""
         found = [self.split(text) for text in texts]
         self._learn(self.matches.missing(set().union(*found)), self.matches.new)
-        of_match = self.matches.new
-        return [b"".join([of_match[m] for m in matches]) for matches in found]
+        of_match = self.matches.new.__getitem__
+        return [b"".join(map(of_match, matches)) for matches in found]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each run of ``sizes`` ids. An id that the vocabulary doesn't have is an error."""
@@ -233,6 +252,15 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _decoded(path: str, packed: list[bytes], most: int = 2_000_000) -> list[bytes]:
+    """The bytes of each of some packed ids, at most that many bytes of ids at a time."""
+    out = []
+    for a, b in chunks(packed, most):
+        sizes = np.array([len(v) // 4 for v in packed[a:b]], dtype=np.int64)
+        out += codec(path).decode(np.frombuffer(b"".join(packed[a:b]), dtype="<i4"), sizes)
+    return out
+
+
 def encode_column(text: Column, vocabulary: str | None = None, packed: bool = False) -> Column:
     """A text's ids, as the public library of this vocabulary gives them for ordinary text: array<int>, or packed as
     little-endian unsigned 32-bit numbers (binary). Null and empty texts have none."""
@@ -262,16 +290,31 @@ def decode_column(packed: Column, vocabulary: str | None = None, most: int = 2_0
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for ids in batches:
-            values, out = pc.fill_null(ids, b"").to_pylist(), []
-            for a, b in chunks(values, most):
-                sizes = np.array([len(v) // 4 for v in values[a:b]], dtype=np.int64)
-                out += codec(path).decode(np.frombuffer(b"".join(values[a:b]), dtype="<i4"), sizes)
-            yield pa.array(out, pa.binary())
+            yield pa.array(_decoded(path, pc.fill_null(ids, b"").to_pylist(), most), pa.binary())
             give_back()
 
     return decode(packed)
 
 
+def round_trip_column(text: Column, vocabulary: str | None = None) -> Column:
+    """A text's packed ids and the bytes that they stand for, struct<ids, bytes>: what ``decode_column`` gives for
+    ``encode_column``, in one Python process a task instead of two."""
+    path = vocabulary or default_vocabulary()
+
+    @F.arrow_udf("struct<ids: binary, bytes: binary>")
+    def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            strings, ids, back = pc.fill_null(texts, "").to_pylist(), [], []
+            for a, b in chunks(strings, 4_000_000):
+                found = codec(path).encode(strings[a:b])
+                ids += found
+                back += _decoded(path, found)
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["ids", "bytes"])
+            give_back()
+
+    return round_trip(text)
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id and ``ids`` (array<int>, or packed). No shuffle; null and empty texts have no
     ids, repeated rows stay, texts are encoded whole whatever their length, columns other than id and text aren't read,
@@ -285,3 +328,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc
     small_batches(encoded.sparkSession)
     ids = F.col(ids_col)
     return encoded.select(F.col(id_col), ids.alias("ids"), decode_column(ids, vocabulary).alias("bytes"))
+
+
+def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of the packed ``encode`` in one step: the id, the packed ``ids`` and their ``bytes``."""
+    small_batches(docs.sparkSession)
+    found = docs.select(F.col(id_col), round_trip_column(F.col(text_col), vocabulary).alias("_found"))
+    return found.select(F.col(id_col), "_found.ids", "_found.bytes")
