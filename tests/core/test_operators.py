@@ -9,6 +9,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from tmspark.functions import helpers
 from tmspark.operators import catalog, glossary, logs, memory, ocr, progress, replay
 from tmspark.plans import queries as registered
 from tmspark.plans.views import VIEWS, view
@@ -114,6 +115,21 @@ def test_suggest_terms(spark):
     assert glossary.suggest_terms(c, known).count() == 0
 
 
+def test_suggested_terms_are_compared_within_an_entry(spark):
+    rng = random.Random(5)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    for letters, most in (("abc", 12), ("abcdefghijklmnopqrstuvwxyz", 14), ("ab", 90)):
+        terms, words = [word(letters, most) for _ in range(30)], [word(letters, most) for _ in range(40)]
+        sims = [[helpers.ratio(t, w) for w in words] for t in terms]
+        assert helpers.likest(terms, words, cells=100) == ([s.index(max(s)) for s in sims], [max(s) for s in sims])
+    # Entries of one id count each for themselves, and no pair of words is a row of a join.
+    rows = [(1, 1, "WIVERN WIVERN", "a Wiwern", "a Wywern wywern"), (1, 1, "WIVERN!", "wiwern", "wywern"), (2, 1, "WIVERN", "", "wywern"), (3, 1, "WIVERN", "smok", "wywern")]
+    c = spark.createDataFrame(rows, "id long, project_id int, source_text string, ai_translation string, final_translation string")
+    got = glossary.suggest_terms(c, spark.createDataFrame([], "project_id int, source_term string"))
+    assert [(r.term, r.wrong, r.right, r.occurrences) for r in got.collect()] == [("WIVERN", "Wiwern", "Wywern", 3)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def box(x1, y1, x2, y2):
     return [[float(x1), float(y1)], [float(x2), float(y1)], [float(x2), float(y2)], [float(x1), float(y2)]]
 
