@@ -78,6 +78,15 @@ def test_suggestions_that_a_saved_line_holds(spark):
     assert [(r.project_id, r.term) for r in glossary.suggestions_for(s, saved).collect()] == [(1, "WIVERN")]
 
 
+def test_saved_lines_are_searched_by_their_distinct_runs_of_letters(spark, monkeypatch):
+    s = spark.createDataFrame([(1, "WIVERN"), (1, "KNIGHT"), (1, "STRASSE"), (2, "WIVERN")], "project_id int, term string")
+    saved = spark.createDataFrame([(1, f"the wiverns fly, {k} Straßen") for k in range(9)] + [(1, "kni ght"), (2, "a wi-vern")], "project_id int, source_text string")
+    searched, holding = [], glossary.holding
+    monkeypatch.setattr(glossary, "holding", lambda lines, *rest: searched.extend(lines.collect()) or holding(lines, *rest))
+    assert sorted((r.project_id, r.term) for r in glossary.suggestions_for(s, saved).collect()) == [(1, "STRASSE"), (1, "WIVERN")]
+    assert sorted(r["_line"] for r in searched if r.project_id == 1) == ["FLY", "GHT", "KNI", "STRASSEN", "THE", "WIVERNS"]
+
+
 def test_eligible_entries_by_time_ranges(spark):
     rng = random.Random(12)
     entries = []
