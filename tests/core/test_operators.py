@@ -115,6 +115,15 @@ def test_suggest_terms(spark):
     assert glossary.suggest_terms(c, known).count() == 0
 
 
+def test_entries_follow_edits_whatever_the_case(spark):
+    rows = [(1, 1, "b", "Große Straße", 0), (2, 1, "b", "Große Straße", 1), (3, 1, "b", "other", 0), (4, 2, "b", "große straße", None), (5, None, "b", "große straße", 0)]
+    c = spark.createDataFrame(rows, "id long, page_id long, bubble_id string, source_text string, reuse_count int")
+    edits = [(1, "b", "GROSSE STRASSE!", "new"), (1, "b", "grosse straße", "new"), (1, "b", "absent", "x"), (2, "b", "Grosse Strasse", "neu"), (2, "b", "GROSSE STRASSE", None)]
+    e = spark.createDataFrame(edits, "page_id long, bubble_id string, old_text string, new_text string")
+    got = sorted((r.id, r.source_text, r.re_embed) for r in memory.follow_source_edits(c, e).collect())
+    assert got == [(1, "new", True), (2, "Große Straße", False), (3, "other", False), (4, "neu", True), (5, "große straße", False)]
+
+
 def test_suggested_terms_are_compared_within_an_entry(spark):
     rng = random.Random(5)
     word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))

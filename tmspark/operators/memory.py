@@ -199,12 +199,15 @@ def replace_in_memory(corrections: DataFrame, find: str, new: str, mode: str = "
 
 
 def follow_source_edits(corrections: DataFrame, edits: DataFrame) -> DataFrame:
-    """Unused entries of an edited bubble whose key equals the old text get the new source (edits: page_id, bubble_id,
-    old_text, new_text); ``re_embed`` marks them."""
-    e = edits.select("page_id", "bubble_id", text.normalize_phrase(F.col("old_text")).alias("_old"), F.col("new_text").alias("_new"))
-    hit = (F.coalesce("reuse_count", F.lit(0)) == 0) & (text.normalize_phrase(F.col("source_text")) == F.col("_old")) & F.col("_new").isNotNull()
-    joined = corrections.join(e, ["page_id", "bubble_id"], "left").withColumn("re_embed", F.coalesce(hit, F.lit(False)))
-    return joined.withColumn("source_text", F.when(F.col("re_embed"), F.col("_new")).otherwise(F.col("source_text"))).drop("_old", "_new")
+    """Unused entries of an edited bubble whose key equals the old text's get the new source (edits: page_id, bubble_id,
+    old_text, new_text); ``re_embed`` marks them. Letter case doesn't count, nor where capitals write a letter otherwise
+    (ß as SS). Edits of one old text are one edit; of several new texts the last in order is taken."""
+    key = lambda c: text.normalize_phrase(F.upper(c))
+    e = edits.where("new_text is not null").groupBy("page_id", "bubble_id", key("old_text").alias("_old")).agg(F.max("new_text").alias("_new"))
+    joined = corrections.withColumn("_old", key("source_text")).join(e, ["page_id", "bubble_id", "_old"], "left")
+    hit = (F.coalesce("reuse_count", F.lit(0)) == 0) & F.col("_new").isNotNull()
+    rows = joined.withColumns({"re_embed": hit, "source_text": F.when(hit, F.col("_new")).otherwise(F.col("source_text"))})
+    return rows.select(*corrections.columns, "re_embed")
 
 
 def import_corrections(existing: DataFrame, incoming: DataFrame) -> DataFrame:
