@@ -1,7 +1,11 @@
 """Golden cases of the rules that the reference's lines state: scores, limits, progress, reconciling, order, documents."""
 
+import random
+from collections import Counter
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +21,20 @@ def test_edit_rate_ignores_case_and_counts_shifts():
     assert helpers.ter_score("a b", "") == 1 and helpers.ter_score("", "") == 0 and helpers.ter_score("", "a b") == 1
 
 
+def test_scores_are_worked_out_once_a_pair_over_arrays():
+    rng = random.Random(4)
+    for most, letters in ((3, 2), (40, 3), (40, 30), (60, 2000)):
+        a, b = ([rng.randrange(letters) for _ in range(rng.randint(0, most))] for _ in range(2))
+        want = []
+        for n in range(1, 7):
+            x, y = (Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1)) for t in (a, b))
+            want.append((sum((x & y).values()), sum(x.values()), sum(y.values())))
+        assert helpers.shared_ngrams(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), 6) == want
+    asked = []
+    got = helpers._by_pair(lambda x, y: asked.append((x, y)) or len(x), pd.Series(["aa", "aa", None]), pd.Series(["b", "b", "b"]), "int32")
+    assert list(got) == [2, 2, 0] and asked == [("aa", "b"), ("", "b")]
+
+
 def test_chrf_averages_precision_and_recall_over_the_orders_of_both():
     assert helpers.marks_apart('"Wait," he said... (x) ? don\'t') == ['"Wait,', '"', "he", "said..", ".", "(x", ")", "?", "don't"]
     recall = (6 / 9 + 5 / 8 + 4 / 7 + 3 / 6 + 2 / 5 + 1 / 4 + 2 / 3 + 1 / 2) / 8

@@ -128,9 +128,10 @@ def build_payload(
 
 
 def latest_outputs(outputs: DataFrame) -> DataFrame:
-    """The last row of each page, bubble and variant; those whose final text is blank are then left out."""
+    """The last row of each page, bubble and variant; those whose final text is blank are then left out. A bubble's rows
+    are in one task, where outputs that are the same are scored once."""
     row = F.max_by(F.struct(*[F.col(c) for c in outputs.columns]), "seq").alias("_r")
-    latest = outputs.groupBy("page_id", "bubble_id", "variant").agg(row).select("_r.*")
+    latest = outputs.repartition("page_id", "bubble_id").groupBy("page_id", "bubble_id", "variant").agg(row).select("_r.*")
     return latest.where(F.trim(F.coalesce("final", F.lit(""))) != "")
 
 
