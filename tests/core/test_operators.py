@@ -196,6 +196,25 @@ def test_unique_labels_pass_over_taken_names(spark):
     assert labels[0] == "A" and len({x.lower() for x in labels}) == 4
 
 
+def test_bubbles_are_drawn_and_scored_once_for_all_differences(spark):
+    keys = [(s, p, m) for s in ("all", "fuzzy") for p in ("A1-A0", "A2-A0") for m in ("chrf", "ter")]
+    rows = [(*key, page, "b", float((page * (k + 3)) % 11 - 4)) for k, key in enumerate(keys) for page in range(300)]
+    df = spark.createDataFrame(rows, "subset string, pair string, metric string, page_id long, bubble_id string, difference double")
+    together = {(r.subset, r.pair, r.metric): r for r in replay.bootstrap(df, rounds=200).collect()}
+    for key in keys:
+        alone = replay.bootstrap(df.where(F.struct("subset", "pair", "metric") == F.struct(*map(F.lit, key))), rounds=200).collect()[0]
+        assert together[key][3:] == pytest.approx(alone[3:])
+    outputs = spark.createDataFrame(
+        [(1, "b", v, o, "the final text", "a draft", k, False, None, 0.4) for k, (v, o) in enumerate([("A0", "a draft"), ("A0b", "a draft"), ("A1", "the text")])],
+        "page_id long, bubble_id string, variant string, output string, final string, ai_first string, seq long, short boolean, confirmed_via string, nearest double",
+    )
+    diffs = replay.differences(replay.replay_scores(outputs))
+    assert diffs.count() == 4 * 2 * 2  # subsets, pairs, metrics
+    plan = diffs._jdf.queryExecution().executedPlan().toString()
+    # An exchange stands between the scores and what is made of them, so that uses of the differences share it.
+    assert plan.index("REPARTITION_BY_COL") < plan.index("ArrowEvalPython")
+
+
 def test_wilcoxon_and_bootstrap(spark):
     rows = [("s", "A1-A0", "chrf", k, "b", float(d)) for k, d in enumerate([1, 2, 3, 4, 5, 6, 7, -0.5])] + [("t", "A1-A0", "chrf", k, "b", 0.0) for k in range(8)]
     df = spark.createDataFrame(rows, "subset string, pair string, metric string, page_id long, bubble_id string, difference double")

@@ -157,8 +157,10 @@ def mean_scores(scored: DataFrame) -> DataFrame:
 
 
 def differences(scored: DataFrame) -> DataFrame:
-    """subset, pair, metric, difference of each bubble that has both variants of a pair."""
-    wide = scored.groupBy("subset", "page_id", "bubble_id").pivot("variant", sorted({v for p in PAIRS for v in p})).agg(F.first(F.struct("chrf", "ter")))
+    """subset, pair, metric, difference of each bubble that has both variants of a pair. Scores are dealt by bubble without
+    their texts; what is made of the differences reads them there, so texts are scored once."""
+    dealt = scored.select("subset", "page_id", "bubble_id", "variant", "chrf", "ter").repartition("page_id", "bubble_id")
+    wide = dealt.groupBy("subset", "page_id", "bubble_id").pivot("variant", sorted({v for p in PAIRS for v in p})).agg(F.first(F.struct("chrf", "ter")))
     steps = [F.struct(F.lit(f"{a}-{b}").alias("pair"), F.lit(m).alias("metric"), (F.col(f"{a}.{m}") - F.col(f"{b}.{m}")).alias("difference")) for a, b in PAIRS for m in ("chrf", "ter")]
     return wide.select("subset", "page_id", "bubble_id", F.explode(F.array(*steps)).alias("_s")).select("subset", "page_id", "bubble_id", "_s.*").where("difference is not null")
 
@@ -229,26 +231,45 @@ def wilcoxon(diffs: DataFrame) -> DataFrame:
 def bootstrap(diffs: DataFrame, rounds: int = 2000, seed: int = 7) -> DataFrame:
     """subset, pair, metric, mean and the middle 95 percent of resampled means.
 
-    Each difference gets a Poisson(1) weight in each round, drawn by a hash of its bubble and the round, so weights don't
-    depend on tasks; these send a sum and a weight for each round and key, never their rows."""
+    Each bubble gets a Poisson(1) weight in each round, drawn by a hash of it and the round, so weights don't depend on
+    tasks and are drawn once for all differences of a batch that are the bubble's; tasks send a sum and a weight for each
+    round and key, never their rows."""
     law = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
     step = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # Weights by the upper 16 bits of a draw; where a border of the law lies within these, the draw is looked up.
+    low, high = (np.searchsorted(law, (np.arange(1 << 16) + k) / 2.0**16, "right") for k in (0, 1 - 2.0**-37))
+    by_bits, split = low.astype(np.uint8), low != high
 
     def weights(rows: np.ndarray) -> np.ndarray:
         x = rows[:, None] ^ step
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-        return np.searchsorted(law, (x >> np.uint64(11)) / 2.0**53, "right")
+        bits = (x >> np.uint64(48)).astype(np.intp)
+        out = by_bits[bits].astype(np.float64)
+        near = split[bits]
+        out[near] = np.searchsorted(law, (x[near] >> np.uint64(11)) / 2.0**53, "right")
+        return out
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for key, rows in batch.groupby(KEYS, sort=False):
-                own = totals.setdefault(key, np.zeros((2, rounds)))
-                seeds, values = rows["h"].to_numpy().view(np.uint64), rows["difference"].to_numpy()
-                for a in range(0, len(rows), 256):
-                    draw = weights(seeds[a : a + 256])
-                    own += np.stack((values[a : a + 256] @ draw, draw.sum(axis=0)))
+            number = batch.groupby(KEYS, sort=False).ngroup().to_numpy()
+            first = np.unique(number, return_index=True)[1]
+            names = list(zip(*[batch[c].to_numpy()[first] for c in KEYS], strict=True))
+            seeds, bubble = np.unique(batch["h"].to_numpy().view(np.uint64), return_inverse=True)
+            order = np.argsort(bubble, kind="stable")
+            number, bubble, values = number[order], bubble[order], batch["difference"].to_numpy()[order]
+            own = np.zeros((2, len(names), rounds))
+            for a in range(0, len(seeds), 256):
+                draw = weights(seeds[a : a + 256])
+                some = slice(*np.searchsorted(bubble, (a, a + 256)))
+                table = np.zeros((2, len(names), len(draw)))
+                at = (number[some], bubble[some] - a)
+                np.add.at(table[0], at, values[some])
+                np.add.at(table[1], at, 1.0)
+                own += table @ draw
+            for k, key in enumerate(names):
+                totals[key] = totals.get(key, 0) + own[:, k]
         for key, own in totals.items():
             yield pd.DataFrame({"subset": key[0], "pair": key[1], "metric": key[2], "round": np.arange(rounds), "s": own[0], "w": own[1]})
 
