@@ -165,6 +165,15 @@ def test_repair(spark):
     assert repair.fix_ocr_text(rows.limit(0), table).count() == 0
 
 
+def test_torn_words_are_joined_from_left_to_right(spark):
+    table = spark.createDataFrame([("zzbb", 4.0), ("bbcc", 4.0), ("us", 4.0)], "word string, zipf double")
+    # A pair is where it was found: bb- cc is not torn out of zz- bb- cc because it is a pair elsewhere.
+    texts = ["zz- bb- cc bb- cc", "zz- bb", "bb-  cc! bb- cc", "no- no", "x", None, "bb- cc " * 500]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.fixed for r in repair.fix_ocr_text(rows, table).collect()}
+    assert got == dict(zip(texts, ["zzbb-cc bbcc", "zzbb", "bbcc! bbcc", "no- no", "x", "", "bbcc " * 500], strict=True))
+
+
 def test_bare_text_folds_compatibility_forms(spark):
     rows = spark.createDataFrame([("\ufb01x \uff21!",), ("STRASSE",), ("stra\u00dfe",), (None,), ("A b-C",)], "x string")
     assert [r.b for r in rows.select(text.bare_text(F.col("x")).alias("b")).collect()] == ["fixa", "strasse", "strasse", "", "abc"]

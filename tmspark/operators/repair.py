@@ -23,11 +23,12 @@ def _frequency(rows: DataFrame, zipf: DataFrame, word: str, name: str) -> DataFr
     return rows.join(known, F.lower(F.col(word)) == F.col("_w"), "left").drop("_w").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def _apply(rows: DataFrame, found: DataFrame, decided: DataFrame) -> DataFrame:
-    """Texts (_key, _now) with the decisions (_old, _pattern, _new) about what each holds (_key, _old) put in."""
-    held = found.join(decided, "_old").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("_old", "_pattern", "_new"))).alias("_d"))
-    put = F.aggregate("_d", F.col("_now"), lambda t, d: F.regexp_replace(t, d["_pattern"], d["_new"]))
-    return rows.join(held, "_key", "left").select("_key", F.when(F.col("_d").isNull(), F.col("_now")).otherwise(put).alias("_now"))
+def _apply(rows: DataFrame, held: DataFrame, pattern: str, new: Column) -> DataFrame:
+    """Texts (_key, _now) with each match of a pattern made ``new``, an array of all matches' new forms that ``held``
+    (_key, ..) gives for the texts it has. A text is taken apart and put together once, whatever is put in."""
+    whole = F.zip_with(F.split("_now", pattern, -1), new, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
+    done = F.when(F.col("_held").isNull(), F.col("_now")).otherwise(F.array_join(whole, ""))
+    return rows.join(held, "_key", "left").select("_key", done.alias("_now"))
 
 
 def _protected(column: Column, protected: list[str]) -> Column:
@@ -37,10 +38,8 @@ def _protected(column: Column, protected: list[str]) -> Column:
 def join_torn(rows: DataFrame, zipf: DataFrame, protected: list[str]) -> DataFrame:
     """One pass over hyphens that a line break left: the two parts are one word if that is common, or if it is a word and
     one part isn't common, or if it occurs at all and neither part is a word; else only the space goes. Stutters stay."""
-    parts = [F.regexp_extract_all("_now", F.lit(TORN_PAIR), F.lit(k)) for k in (1, 2)]
-    pair = F.struct(F.col("_p.0").alias("a"), F.col("_p.1").alias("b"))
-    found = rows.select("_key", F.explode(F.arrays_zip(*[p.alias(str(k)) for k, p in enumerate(parts)])).alias("_p"))
-    found = found.select("_key", pair.alias("_old")).distinct()
+    parts = [F.regexp_extract_all("_now", F.lit(TORN_PAIR), F.lit(k)).alias(n) for k, n in enumerate(("all", "a", "b"))]
+    found = rows.select("_key", F.posexplode(F.arrays_zip(*parts)).alias("_at", "_p")).select("_key", "_at", "_p.all", F.struct("_p.a", "_p.b").alias("_old"))
     pairs = found.select("_old").distinct().where(~F.lower("_old.b").startswith(F.lower("_old.a")))
     pairs = pairs.withColumns({"_a": F.col("_old.a"), "_b": F.col("_old.b")}).withColumn("_whole", F.concat("_a", "_b"))
     for word, name in (("_a", "_fa"), ("_b", "_fb"), ("_whole", "_fw")):
@@ -52,18 +51,19 @@ def join_torn(rows: DataFrame, zipf: DataFrame, protected: list[str]) -> DataFra
         | (F.col("_fw") >= TORN) & (F.greatest("_fa", "_fb") < WORD)
     )
     named = _protected(kept, protected) | _protected(F.col("_whole"), protected)
-    decided = pairs.select(
-        "_old", F.concat(F.lit(r"\b"), "_a", F.lit(r"-\s+"), "_b", F.lit(r"\b")).alias("_pattern"), F.when(one_word & ~named, F.col("_whole")).otherwise(kept).alias("_new")
-    )
-    return _apply(rows, found, decided)
+    decided = pairs.select("_old", F.when(one_word & ~named, F.col("_whole")).otherwise(kept).alias("_new"))
+    new = F.struct("_at", F.coalesce("_new", "all").alias("_new"))
+    held = found.join(decided, "_old", "left").groupBy("_key").agg(F.array_sort(F.collect_list(new)).alias("_held"))
+    return _apply(rows, held, TORN_PAIR, F.transform("_held", lambda d: d["_new"]))
 
 
 def right_letters(rows: DataFrame, zipf: DataFrame, protected: list[str], wrong: str = "L", right: str = "U") -> DataFrame:
     """Words of three letters or more that are none get the one letter changed that makes the most common word of them."""
     core = lambda w: F.regexp_replace(w, "^'+|'+$", "")
-    words = F.array_distinct(F.regexp_extract_all("_now", F.lit(LETTERS), F.lit(0)))
-    words = F.filter(words, lambda w: F.upper(w).contains(wrong) & (F.length(core(w)) >= 3))
-    tokens = rows.select("_key", F.explode(words).alias("_old"))
+    every = F.regexp_extract_all("_now", F.lit(LETTERS), F.lit(0))
+    places = F.transform(every, lambda w, k: F.struct(k.alias("_at"), w.alias("_old")))
+    places = F.filter(places, lambda p: F.upper(p["_old"]).contains(wrong) & (F.length(core(p["_old"])) >= 3))
+    tokens = rows.select("_key", F.inline(places))
     doubtful = tokens.select("_old").distinct().withColumn("_core", core(F.col("_old")))
     doubtful = doubtful.where(F.upper("_core").contains(wrong) & ~_protected(F.col("_core"), protected))
     doubtful = _frequency(doubtful, zipf, "_core", "_f").where(F.col("_f") < WORD)
@@ -71,10 +71,9 @@ def right_letters(rows: DataFrame, zipf: DataFrame, protected: list[str], wrong:
     tried = doubtful.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_core")))).where(F.upper(letter) == wrong)
     tried = tried.withColumn("_try", F.overlay("_core", F.when(letter == wrong, right).otherwise(right.lower()), F.col("_at"), F.lit(1)))
     best = _frequency(tried, zipf, "_try", "_ft").where(F.col("_ft") > COMMON).groupBy("_old", "_core").agg(F.max_by("_try", F.struct("_ft", -F.col("_at"))).alias("_try"))
-    decided = best.select(
-        "_old", F.concat(F.lit("(?<![A-Za-z'])"), "_old", F.lit("(?![A-Za-z'])")).alias("_pattern"), F.replace(F.col("_old"), F.col("_core"), F.col("_try")).alias("_new")
-    )
-    return _apply(rows, tokens, decided)
+    decided = best.select("_old", F.replace(F.col("_old"), F.col("_core"), F.col("_try")).alias("_new"))
+    held = tokens.join(decided, "_old").groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_new"))).alias("_held"))
+    return _apply(rows, held, LETTERS, F.transform(every, lambda w, k: F.coalesce(F.col("_held")[k], w)))
 
 
 def fix_ocr_text(rows: DataFrame, zipf: DataFrame, protected: list[str] = (), text_col: str = "text", out: str = "fixed") -> DataFrame:
