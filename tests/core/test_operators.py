@@ -9,7 +9,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from tmspark.functions import helpers
+from tmspark.functions import helpers, layout
 from tmspark.operators import catalog, glossary, logs, memory, ocr, progress, replay
 from tmspark.plans import queries as registered
 from tmspark.plans.views import VIEWS, view
@@ -196,6 +196,20 @@ def test_unique_labels_pass_over_taken_names(spark):
     assert labels[0] == "A" and len({x.lower() for x in labels}) == 4
 
 
+def test_bubbles_of_small_and_large_pages_are_the_same(spark):
+    rng = random.Random(3)
+    for n in (0, 3, 12, 50):
+        lines = []
+        for _ in range(n):
+            x, y, w, h = rng.randrange(0, 300, 10), rng.randrange(0, 300, 10), rng.choice([0, 20, 40, 90]), rng.choice([0, 20, 30])
+            lines.append({"flat": layout.level(float(x), float(y), float(x + w), float(y + h)), "score": rng.choice([0.6, 0.9]), "angle": rng.choice([0.0, 0.0, 30.0]), "stream": rng.choice([-1, 0, 3])})
+        assert layout.bubbles_of(lines, 0.7) == layout.bubbles_of(lines, 0.7, few=0)
+    # Pages are dealt once: their bubbles are numbered within a page's row.
+    found = ocr.group_bubbles(spark.createDataFrame([(1, 0, "0", "a", 0.9, [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]])], "page_id long, pos int, id string, text string, score double, box array<array<double>>"))
+    assert [(r.page_id, r.bubble_no, r.text) for r in found.collect()] == [(1, 0, "a")]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bubbles_are_drawn_and_scored_once_for_all_differences(spark):
     keys = [(s, p, m) for s in ("all", "fuzzy") for p in ("A1-A0", "A2-A0") for m in ("chrf", "ter")]
     rows = [(*key, page, "b", float((page * (k + 3)) % 11 - 4)) for k, key in enumerate(keys) for page in range(300)]

@@ -217,30 +217,28 @@ def split_far_numbers(lines: Column, heights: float = NUMBER_HEIGHTS) -> Column:
     far = lambda p: digits(p) & F.coalesce(F.forall(words, lambda q: distance(p, q) > heights * F.greatest(p["y2"] - p["y1"], usual)), F.lit(False))
     leave = F.when(F.size(words) > 0, F.filter(lines, far)).otherwise(F.slice(lines, 1, 0))
     stay = F.when(F.size(words) > 0, F.filter(lines, lambda p: ~far(p))).otherwise(lines)
-    return F.concat(F.array(stay), F.transform(leave, lambda p: F.array(p)))
+    return F.when(F.exists(lines, digits), F.concat(F.array(stay), F.transform(leave, lambda p: F.array(p)))).otherwise(F.array(lines))
 
 
 def group_bubbles(items: DataFrame, image_width: float = 1000.0, min_score: float = BUBBLE_SCORE) -> DataFrame:
     """Bubbles of each page from its words: lines are grouped in one pass over a page, all pages side by side; far numbers
-    leave their bubbles by array conditions. A page from which a number left is numbered anew, by vertical centre."""
+    leave their bubbles by array conditions. A page from which a number left is numbered anew, by vertical centre. A page's
+    bubbles stay one row until they are numbered, so pages are dealt once."""
 
     def build(boxes: layout.Boxes, column: np.ndarray, page: dict) -> list[dict]:
-        number, lines = page["page_id"][0], _lines(boxes, column, page, image_width)
+        lines = _lines(boxes, column, page, image_width)
         found = []
-        for k, group in enumerate(layout.bubbles_of(lines, min_score)):
-            parts = [{c: lines[n][c] for c in ("text", "score", "word_ids")} | {"line_id": n} | dict(zip(("x1", "y1", "x2", "y2"), layout._bounds(lines[n]["flat"]))) for n in group]
-            found.append({"page_id": number, "group": k, "lines": parts})
-        return found
+        for group in layout.bubbles_of(lines, min_score):
+            found.append([{c: lines[n][c] for c in ("text", "score", "word_ids")} | {"line_id": n} | dict(zip(("x1", "y1", "x2", "y2"), layout._bounds(lines[n]["flat"]))) for n in group])
+        return [{"page_id": page["page_id"][0], "bubbles": found}] if found else []
 
     line = "array<struct<text:string,score:double,word_ids:array<string>,line_id:int,x1:double,y1:double,x2:double,y2:double>>"
-    rows = whole_pages(items, build, f"page_id long, group int, lines {line}")
-    parts = rows.withColumn("_parts", split_far_numbers(F.col("lines")))
-    parts = parts.select("page_id", "group", (F.size("_parts") > 1).alias("_split"), F.posexplode("_parts").alias("_part", "lines"))
-    b = _bounds(F.col("lines"))
-    parts = parts.select("*", b.alias("_b"))
-    page = Window.partitionBy("page_id")
-    place = F.when(F.max("_split").over(page), F.col("_b.y1") + F.col("_b.y2"))
-    parts = parts.withColumn("_place", place).withColumn("bubble_no", F.row_number().over(page.orderBy("_place", "group", "_part")) - 1)
+    rows = whole_pages(items, build, f"page_id long, bubbles array<{line}>")
+    parts = rows.select("page_id", F.size("bubbles").alias("_n"), F.flatten(F.transform("bubbles", lambda lines: split_far_numbers(lines))).alias("_parts"))
+    place = lambda lines: (_bounds(lines)["y1"] + _bounds(lines)["y2"]).alias("place")
+    placed = F.array_sort(F.transform("_parts", lambda lines, k: F.struct(place(lines), k.alias("k"), lines.alias("lines"))))
+    numbered = F.when(F.size("_parts") > F.col("_n"), F.transform(placed, lambda p: p["lines"])).otherwise(F.col("_parts"))
+    parts = parts.select("page_id", F.posexplode(numbered).alias("bubble_no", "lines")).select("*", _bounds(F.col("lines")).alias("_b"))
     each = lambda c: F.transform("lines", lambda p: p[c])
     corners = F.array(*[F.array(F.col(f"_b.{x}"), F.col(f"_b.{y}")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))])
     mean = F.aggregate(each("score"), F.lit(0.0), lambda a, x: a + x) / F.size("lines")
